@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import line_runs, ring
+from . import anchors, line_runs, packing, ring
 
 
 def queries() -> dict:
     return {
+        "op2_best_fit_packing": packing.op2_best_fit_packing,
         "op4_line_dedup": line_runs.op4_line_dedup,
+        "op5_simhash_anchors": anchors.op5_simhash_anchors,
         "op9_ring_shards": ring.op9_ring_shards,
     }
 
