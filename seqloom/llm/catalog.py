@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import anchors, line_runs, packing, ring
+from . import anchors, kneser_ney, line_runs, packing, ring
 
 
 def queries() -> dict:
     return {
+        "op1_kneser_ney": kneser_ney.op1_kneser_ney,
         "op2_best_fit_packing": packing.op2_best_fit_packing,
         "op4_line_dedup": line_runs.op4_line_dedup,
         "op5_simhash_anchors": anchors.op5_simhash_anchors,
