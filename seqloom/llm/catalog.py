@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import anchors, kneser_ney, line_runs, packing, ring
+from . import anchors, decontaminate, kneser_ney, language, line_runs, packing, ring
 
 
 def queries() -> dict:
@@ -11,7 +11,9 @@ def queries() -> dict:
         "op2_best_fit_packing": packing.op2_best_fit_packing,
         "op4_line_dedup": line_runs.op4_line_dedup,
         "op5_simhash_anchors": anchors.op5_simhash_anchors,
+        "op7_qgram_decontamination": decontaminate.op7_qgram_decontamination,
         "op9_ring_shards": ring.op9_ring_shards,
+        "op10_zstd_language": language.op10_zstd_language,
     }
 
 
