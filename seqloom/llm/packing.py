@@ -12,7 +12,9 @@ piece finds its place by its rank among the pieces of its length.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -25,28 +27,44 @@ from .common import gapless_ranks, saved, table
 from .words import segments
 
 TOKENIZER = "word_bpe_49k.json"
+_STOP = re.compile(rb"(?:(?<=[a-z])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([.,])(?=[\x20\x09-\x0d]|$)")
+
+
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 bytes are themselves, the others follow from 256 on, in order."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
 class ChunkIds(dict):
     """UTF-8 chunks without white space to their ids as little-endian uint32 bytes.
 
     The tokenizer's normaliser and pre-tokenizer never look across white space, so the ids of a text are
-    those of its chunks. At most `most` chunks are remembered, and none longer than 64 bytes.
+    those of its chunks; neither does it join a single . or , to the Latin-1 letter before it, and it lower-cases
+    (its special tokens, which it does not, hold <|). Chunks of Latin letters alone are single words to it and go
+    to its BPE model at once. At most `most` chunks are remembered, none above 64 bytes.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.model, self.bytes = self.tokenizer.model, byte_letters()
 
-    def encode(self, chunks: list[bytes]) -> bytes:
-        new = [c for c in {*chunks} - self.keys()]
+    def encode(self, text: bytes) -> bytes:
+        chunks = _STOP.sub(rb" \1", text.lower()).split() if b"<|" not in text else text.split()
+        new = [c for c in {*chunks} if c not in self]
         if len(self) + len(new) > self.most:
             self.clear()
             new = [*{*chunks}]
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
+        plain = [c for c in new if (t := c.decode()).isalpha() and max(t) < "\u0130"]
+        for chunk in plain:
+            self[chunk] = array("I", [t.id for t in self.model.tokenize(chunk.decode().lower().encode().decode("latin-1").translate(self.bytes))]).tobytes()
+        odd = [c for c in new if c not in self]
+        for at in range(0, len(odd), 4096):
+            some = odd[at : at + 4096]
             for chunk, coded in zip(some, self.tokenizer.encode_batch_fast([c.decode() for c in some], add_special_tokens=False), strict=True):
                 self[chunk] = np.array(coded.ids, dtype="<u4").tobytes()
         out = b"".join(map(self.__getitem__, chunks))
@@ -86,7 +104,7 @@ def pieces_of(docs: DataFrame, capacity: int = 4096, end_id: int = 1, tokenizer:
                 cols: list[list] = [[], [], [], [], [], []]
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                     body = text.as_buffer().to_pybytes() if text.is_valid else b""
-                    ids = b"".join([known.encode(s.split()) for s in segments(body)] + [end])
+                    ids = b"".join([known.encode(s) for s in segments(body)] + [end])
                     for k, at in enumerate(range(0, len(ids), width)):
                         piece = ids[at : at + width]
                         for col, value in zip(cols, (doc, k, at // 4, len(piece) // 4, zlib.crc32(piece), piece), strict=True):

@@ -78,13 +78,15 @@ def test_ring_moves_few_rows_and_handles_few(spark):
     assert [r[3] for r in ring_result(spark, [5], 16)] == [0]
 
 
-def test_chunked_ids_are_the_tokenizers():
+def test_chunked_ids_are_the_tokenizers(spark):
     from tokenizers import Tokenizer
 
     path = packing.tokenizer_path(packing.TOKENIZER)
     whole, known = Tokenizer.from_file(path), packing.ChunkIds(path, 50)
-    for text in ["", " a  b\tC\n", "It's I'LL 42 x<|endoftext|>y <|startoftext|>", "É é ́x ÅΣς q z\x1cw", "naïve 日本語 🙂!!", "a" * 300 + " Ǆ"]:
-        ids = np.frombuffer(known.encode(text.encode().split()), "<u4").tolist()
+    for row in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect():
+        assert np.frombuffer(known.encode(row["text"].encode()), "<u4").tolist() == whole.encode(row["text"], add_special_tokens=False).ids
+    for text in ["", " a  b\tC\n", "It's I'LL 42 x<|endoftext|>y <|startoftext|>", "É é ́x ÅΣς q z\x1cw", "naïve 日本語 🙂!!", "a" * 300 + " Ǆ", "end. End, a.b x!. é. q.\nw,. ab.́ c.' 's. it's, <|ENDOFTEXT|> A. <|x. Yes.", "ÀÉîõü ßaß ÿ ŷ Žđ ªº straße ÑANDÚ ǅ"]:
+        ids = np.frombuffer(known.encode(text.encode()), "<u4").tolist()
         assert ids == whole.encode(text, add_special_tokens=False).ids
 
 
