@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import anchors, decontaminate, kneser_ney, language, line_runs, packing, ring
+from . import anchors, decontaminate, kneser_ney, language, line_runs, packing, ring, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_kneser_ney": kneser_ney.op1_kneser_ney,
         "op2_best_fit_packing": packing.op2_best_fit_packing,
+        "op3_kernel_toxicity": toxicity.op3_kernel_toxicity,
         "op4_line_dedup": line_runs.op4_line_dedup,
         "op5_simhash_anchors": anchors.op5_simhash_anchors,
         "op7_qgram_decontamination": decontaminate.op7_qgram_decontamination,

@@ -60,7 +60,7 @@ class Items:
         self.short = [(i, t) for i, t in texts if 0 < len(t) < q]
         texts = [(i, t) for i, t in texts if len(t) >= q]
         self.ids = [i for i, _ in texts]
-        self.chars = [points(t) for _, t in texts]
+        self.texts, self.chars = [t for _, t in texts], [points(t) for _, t in texts]
         sizes = np.array([len(c) for c in self.chars], dtype=np.int64)
         self.edits = np.minimum((sizes * rate).astype(np.int64), (sizes - q) // q)
         self.least = sizes - q + 1 - q * self.edits
@@ -86,9 +86,10 @@ class Items:
         entry = self.first[row].repeat(n) + np.arange(n.sum()) - (np.cumsum(n) - n).repeat(n)
         item, width = self.item[entry], self.edits[self.item[entry]] + 1
         band = (at.repeat(n) - self.place[entry]) // width
-        pairs = np.stack([np.concatenate([item, item]), np.concatenate([band, band - 1])], axis=1)
-        found, hits = np.unique(pairs, axis=0, return_counts=True)
-        for k, b in found[hits >= self.least[found[:, 0]]].tolist():
+        pair = item << 40 | band + (1 << 39)
+        found, hits = np.unique(np.concatenate([pair, pair - 1]), return_counts=True)
+        for x in found[hits >= self.least[found >> 40]].tolist():
+            k, b = x >> 40, (x & (1 << 40) - 1) - (1 << 39)
             w = int(self.edits[k]) + 1
             lo, hi = b * w - w, (b + 2) * w + len(self.chars[k]) + w
             yield k, max(lo, 0), min(hi, len(chars))
@@ -97,7 +98,8 @@ class Items:
         """(item id, edits, start, length) in the normalised text: the best place of every item in it."""
         chars, best = points(text), {}
         for k, lo, hi in self.bands(chars):
-            got = align(self.chars[k], chars[lo:hi], int(self.edits[k]))
+            whole = text.find(self.texts[k], lo, hi)
+            got = (0, whole - lo, whole - lo + len(self.texts[k])) if whole >= 0 else align(self.chars[k], chars[lo:hi], int(self.edits[k]))
             if got:
                 one = (got[0], lo + got[1], got[2] - got[1])
                 best[k] = min(one, best.get(k, one))
