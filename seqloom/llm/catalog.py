@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import anchors, decontaminate, kneser_ney, language, line_runs, packing, ring, toxicity
+from . import anchors, decontaminate, kneser_ney, language, line_runs, matrix_search, packing, ring, toxicity, url_rules
 
 
 def queries() -> dict:
@@ -12,11 +12,13 @@ def queries() -> dict:
         "op3_kernel_toxicity": toxicity.op3_kernel_toxicity,
         "op4_line_dedup": line_runs.op4_line_dedup,
         "op5_simhash_anchors": anchors.op5_simhash_anchors,
+        "op6_url_rules": url_rules.op6_url_rules,
         "op7_qgram_decontamination": decontaminate.op7_qgram_decontamination,
+        "op8_int8_block_join": matrix_search.op8_int8_block_join,
         "op9_ring_shards": ring.op9_ring_shards,
         "op10_zstd_language": language.op10_zstd_language,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": line_runs.OP4_SQL}
+    return {"op4_line_dedup": line_runs.OP4_SQL, "op8_int8_block_join": matrix_search.OP8_SQL}
