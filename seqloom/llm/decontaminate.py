@@ -136,18 +136,37 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 12, rate: float
     start and length are code points of the normalised text. Null or empty texts and items match nothing; rows
     with null or repeated ids are judged like others; empty tables give no rows; other columns are not used.
     """
-    spark = docs.sparkSession
+    parts = [_search(docs, some, q, rate) for some in slices(benchmark, slice_bytes)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def slices(benchmark: DataFrame, slice_bytes: int) -> Iterator[list[tuple[int, str]]]:
+    """The items in one or more slices of about slice_bytes."""
     items = saved(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"), "benchmark-items")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-size // slice_bytes))
-    parts = []
     for k in range(n):
-        some = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()]
-        parts.append(_search(docs, some, q, rate))
-    out = parts[0] if parts else spark.createDataFrame([], MATCHES)
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()]
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, q: int = 12, rate: float = 0.05, slice_bytes: int = 16_000_000) -> DataFrame:
+    """The rows of docs in which no item is found, with all their columns and no shuffle."""
+    left = docs.select(F.col("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    for some in slices(benchmark, slice_bytes):
+        left = _without(left, some, q, rate)
+    return left.select("row.*")
+
+
+def _without(rows: DataFrame, items: list[tuple[int, str]], q: int, rate: float) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Items(items, q, rate)
+        for batch in batches:
+            yield batch.filter(pa.array([not index.matches(normal(t.as_py())) for t in batch.column(0)], pa.bool_()))
+
+    return rows.mapInArrow(run, rows.schema)
 
 
 MATCHES = "doc_id long, item_id long, edits int, start long, length long"

@@ -77,10 +77,8 @@ def near_rows(n, groups, seed):
 def run(spark, fps, most):
     df = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)), i) for i, f in enumerate(fps)], "fp long, first long")
     fps_df = df.groupBy("fp").agg(anchors.F.min("first").alias("first"))
-    rows = anchors.spread_hot(anchors.replicate(fps_df, 4, 3), anchors.replicate(fps_df, 4, 3), most)
-    dealt = rows.repartition("anchor", "part").sortWithinPartitions("anchor", "part", anchors.F.desc("home"))
-    links = anchors.compare(dealt, 4)
-    return {(r["node"]): r["root"] for r in anchors.components(links).collect()}
+    fps_df = fps_df.withColumn("more", anchors.F.array().cast("array<long>"))
+    return {(r["node"]): r["root"] for r in anchors.linked(fps_df, 4, anchors.block_widths(64, 3), 1, most).collect()}
 
 
 def test_links_are_all_found(spark):
@@ -97,13 +95,14 @@ def test_links_are_all_found(spark):
 
 def test_dense_groups_use_the_forest():
     fps = np.array(near_rows(200, 2, 3), dtype=np.uint64)
-    a, b = anchors.forest(fps, 4)
+    fps2 = np.stack([fps, np.zeros_like(fps)], axis=1)
+    a, b = anchors.forest(fps2, 4)
     want = brute_components(range(len(fps)), fps.tolist(), 4)
     groups = {int(f): w for f, w in zip(fps, want)}
     assert all(groups[int(x)] == groups[int(y)] for x, y in zip(a, b))
     assert len(a) == len({int(f) for f in fps}) - len({*groups.values()})
     starts, homes = np.array([0]), np.ones(len(fps), dtype=bool)
-    sparse = {frozenset(p) for x, y in anchors.compare_groups(starts, fps, homes, 4, dense=500_000) for p in zip(x.tolist(), y.tolist())}
+    sparse = {frozenset(p) for x, y in anchors.compare_groups(starts, fps2, homes, 4, dense=500_000) for p in zip(x.tolist(), y.tolist())}
     assert sparse == {frozenset((int(x), int(y))) for x in fps for y in fps if x != y and bin(int(x) ^ int(y)).count("1") <= 4}
 
 
@@ -117,3 +116,27 @@ def test_documents(spark):
     for (doc, _), fp, comp in zip(rows, fps, want):
         assert got[doc] == (int(np.uint64(fp).astype(np.int64)), comp)
     assert anchors.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_one_of_similar_texts_stays(spark):
+    rng = random.Random(4)
+    def text(n):
+        return [f"w{rng.randrange(5000)}" for _ in range(n)]
+    rows, groups = [], {}
+    for g in range(40):
+        base = text(rng.randint(120, 400))
+        for c in range(3):
+            copy = list(base)
+            for at in range(rng.randrange(60), len(copy), 60) if c else ():
+                copy[at] = "changed"
+            rows.append((len(rows), " ".join(copy)))
+            groups[len(rows) - 1] = g
+    rows += [(None, "  "), (7000, ""), (7001, None), (None, rows[0][1]), (7002, rows[3][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"at": anchors.F.lit(1), "row": anchors.F.lit("x"), "fp": anchors.F.lit(2)})
+    kept = anchors.one_of_similar(df)
+    assert kept.columns == df.columns
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert ids.count(7000) == 1 and None not in ids and 7001 not in ids and 7002 not in ids
+    left = sorted(i for i in ids if i < 7000)
+    assert {groups[i] for i in left} == set(range(40)) and len(left) <= 42
+    assert anchors.one_of_similar(df.limit(0)).count() == 0

@@ -82,6 +82,8 @@ def test_contaminated_frames(spark):
     for bytes_ in (16_000_000, 30):
         got = sorted(((r["doc_id"] or 0), r["item_id"], r["edits"]) for r in dc.contaminated(docs, items, slice_bytes=bytes_).collect())
         assert got == [(0, 9, 0), (1, 9, 0)]
+        kept = dc.uncontaminated(docs, items, slice_bytes=bytes_)
+        assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 5]
     assert dc.contaminated(docs, items.limit(0)).count() == 0 and dc.contaminated(docs.limit(0), items).count() == 0
 
 
