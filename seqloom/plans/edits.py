@@ -1 +1,75 @@
-"""Queries."""
+"""Queries over alignments and edit scripts: neighbouring documents' first words, a letter a token."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.rng import uniform_sql
+from ..operators import align as E
+from .corruption import _LOGITS, logits
+from .registry import query, table
+
+_TEXT = "regexp_replace(substr({0}.text, 1, 40), '[^ -~]', '?', 'g')"
+_PAIRS = f"""(SELECT a.item_id, {_TEXT.format('a')} AS a, {_TEXT.format('b')} AS b FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1)"""
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item_id, x0, x1): characters of each item's and the next one's beginning."""
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.transform(F.split(F.regexp_replace(F.substring("text", 1, 40), "[^ -~]", "?"), ""), lambda c: F.ascii(c)).alias("x"))
+    nxt = rows.select((F.col("item_id") - 1).alias("item_id"), F.col("x").alias("x1"))
+    return rows.withColumnRenamed("x", "x0").join(nxt, "item_id")
+
+
+@query("align_cost", f"SELECT item_id, levenshtein(a, b)::BIGINT AS cost FROM {_PAIRS}")
+def align_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.align(pairs(spark, sf_dir), "item_id").select("item_id", "cost")
+
+
+@query("align_blanks")
+def align_blanks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.align(pairs(spark, sf_dir), "item_id")
+
+
+@query("strip_blanks", f"SELECT item_id, a AS one, b AS two FROM {_PAIRS}")
+def strip_blanks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the alignment's blanks were put into comes back."""
+    text = lambda z: F.array_join(F.transform(E.strip_blanks(F.col(z)), lambda x: F.char(x)), "")
+    return E.align(pairs(spark, sf_dir), "item_id").select("item_id", text("z0").alias("one"), text("z1").alias("two"))
+
+
+_Z = """z AS (SELECT vec_id, [CASE WHEN i % 5 = 2 THEN -1 ELSE (vec_id + i) % 9 END FOR i IN range(12)] AS zt, [CASE WHEN i % 4 = 1 THEN -1 ELSE (vec_id + i * i) % 9 END FOR i IN range(12)] AS z1 FROM embeddings)"""
+
+
+@query("remaining_edits", f"""WITH {_Z}, f AS (SELECT vec_id, i, zt[i] AS a, z1[i] AS b, len(list_filter(zt[1:i - 1], lambda x: x <> -1)) AS n FROM (SELECT *, unnest(range(1, 13)) AS i FROM z))
+SELECT vec_id, string_agg(CASE WHEN a = -1 THEN 'INS:' || greatest(n - 1, 0) || ':' || b WHEN b = -1 THEN 'DEL:' || n || ':' ELSE 'SUB:' || n || ':' || b END, ' ' ORDER BY i) AS edits
+FROM f WHERE a <> b GROUP BY vec_id""")
+def remaining_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    places, v = F.sequence(F.lit(0), F.lit(11)), F.col("vec_id")
+    zt = F.transform(places, lambda i: F.when(i % 5 == 2, -1).otherwise(((v + i) % 9).cast("int")))
+    z1 = F.transform(places, lambda i: F.when(i % 4 == 1, -1).otherwise(((v + i * i) % 9).cast("int")))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", E.remaining_edits(zt, z1).alias("e"))
+    text = F.transform("e", lambda e: F.concat(e["kind"], F.lit(":"), e["pos"].cast("string"), F.lit(":"), F.coalesce(e["token"].cast("string"), F.lit(""))))
+    return rows.where(F.size("e") > 0).select("vec_id", F.array_join(text, " ").alias("edits"))
+
+
+@query("edit_range", f"SELECT vec_id, 0 AS beyond FROM embeddings")
+def edit_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    zt = F.array(*[F.lit(x) for x in (1, 2, -1, 3)])
+    return table(spark, sf_dir, "embeddings").select("vec_id", E.out_of_range(E.remaining_edits(zt, F.array(*[F.lit(x) for x in (1, -1, 4, 5)])), F.lit(3)).alias("beyond"))
+
+
+_U = lambda what: uniform_sql("(seq::VARCHAR || chr(47) || pos::VARCHAR)", f"7{what}")
+
+
+@query("tau_leap_step", f"""WITH l AS {_LOGITS}, g AS (SELECT seq, pos, abs(max(logit) FILTER (tok = 0)) AS d, abs(max(logit) FILTER (tok = 1)) AS s, abs(max(logit) FILTER (tok = 2)) AS i, arg_max(tok, (logit, -tok)) AS best FROM l GROUP BY seq, pos),
+r AS (SELECT seq, pos, d * (pos >= 4)::INT * 2 AS d, s * (pos >= 4)::INT * 2 AS s, i * (pos >= 3)::INT * 2 AS i, best FROM g),
+f AS (SELECT *, {_U('fire')} < least((d + s) * 0.1, 1 - 1e-6) AS fires, {_U('which')} < least(d / (d + s + 1e-8), 1) AS del, {_U('ins')} < least(i * 0.1, 1 - 1e-6) AS ins FROM r)
+SELECT seq, string_agg(concat_ws(',', CASE WHEN fires AND del THEN NULL WHEN fires THEN best ELSE 100 + pos END, CASE WHEN ins THEN best END), ',' ORDER BY pos)
+  FILTER (NOT (fires AND del) OR ins) AS ids, bool_or(fires OR ins) AS edited FROM f GROUP BY seq""")
+def tau_leap_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = logits(spark, sf_dir).groupBy("seq", "pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("tok", "logit"))), lambda x: x["logit"]).alias("v"))
+    rate = lambda k: F.abs(F.get("v", F.lit(k)))
+    state = rows.select("seq", "pos", (F.col("pos") + 100).alias("tok"), F.lit(4).alias("prompt_len"), rate(0).alias("del_rate"), rate(1).alias("sub_rate"), rate(2).alias("ins_rate"), F.col("v").alias("sub_logits"), F.col("v").alias("ins_logits"))
+    out = E.rebuilt(E.tau_leap(state, 0.1, 2.0, seed=7))
+    return out.select("seq", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), "edited")

@@ -1 +1,113 @@
-"""Queries."""
+"""Queries over metrics; events stand for losses (value) with weights (k of props) by split (type)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.rng import uniform, uniform_sql
+from ..operators import metrics as M
+from ..operators import pack as P
+from .corruption import _CE, ce_rows
+from .registry import query, table
+
+_EVENTS = "(SELECT event_type AS split, value, coalesce(json_extract(props, '$.k')::DOUBLE, 0) AS weight FROM events)"
+
+
+def losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weight = F.coalesce(F.get_json_object("props", "$.k").cast("double"), F.lit(0.0))
+    return table(spark, sf_dir, "events").select(F.col("event_type").alias("split"), "value", weight.alias("weight"))
+
+
+@query("nll_ppl_by_split", f"SELECT split, round(sum(value / 100 * weight) / sum(weight), 6) AS nll, round(exp(sum(value / 100 * weight) / sum(weight)), 6) AS ppl FROM {_EVENTS} GROUP BY split")
+def nll_ppl_by_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = M.meter(losses(spark, sf_dir).withColumn("value", F.col("value") / 100))
+    return rows.select("split", F.round("nll", 6).alias("nll"), F.round("ppl", 6).alias("ppl"))
+
+
+@query("metric_names", f"""SELECT CASE WHEN split = 'click' THEN 'nll' ELSE split || '_nll' END AS name, round(sum(value * weight) / sum(weight), 6) AS value FROM {_EVENTS} GROUP BY split""")
+def metric_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = losses(spark, sf_dir).withColumn("split", F.when(F.col("split") == "click", "train").otherwise(F.col("split")))
+    return M.named(M.meter(rows, metrics={"nll": M.nll})).withColumn("value", F.round("value", 6))
+
+
+@query("basic_aggregates", f"SELECT split, round(min(value), 6) AS low, round(max(value), 6) AS high, round(avg(value), 6) AS mean, bool_or(weight > 50) AS some, bool_and(weight > 50) AS every FROM {_EVENTS} GROUP BY split")
+def basic_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, w = F.col("value"), F.col("weight")
+    return losses(spark, sf_dir).groupBy("split").agg(F.round(F.min(v), 6).alias("low"), F.round(F.max(v), 6).alias("high"), F.round(F.avg(v), 6).alias("mean"), F.bool_or(w > 50).alias("some"), F.bool_and(w > 50).alias("every"))
+
+
+_DRAWS = f"""SELECT seq, d AS draw, ((round_even(1 + floor({uniform_sql('seq', 41)} * 12) + d * 3.0::DOUBLE, 0)::BIGINT - 1) % 12 + 1) AS n FROM (SELECT DISTINCT vec_id // 16 AS seq FROM embeddings), range(4) r(d)"""
+_MC_KEY = "(seq::VARCHAR || chr(47) || draw::VARCHAR || chr(47) || pos::VARCHAR)"
+_MC = f"""d AS ({_DRAWS}), m AS (SELECT seq, draw, pos, n, row_number() OVER (PARTITION BY seq, draw ORDER BY {uniform_sql(_MC_KEY, 42)}, pos) <= n AS masked FROM d, range(4, 16) p(pos))"""
+
+
+def mc_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seqs = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 16).alias("seq")).distinct()
+    k = F.lit(1) + F.floor(uniform(F.col("seq"), 41) * 12)
+    zero = F.lit(0).cast("long")
+    draws = seqs.withColumn("draw", F.explode(F.sequence(zero, zero + 3))).withColumn("count", M.mask_counts(F.col("draw"), k, 4, F.lit(12)))
+    places = draws.withColumn("pos", F.explode(F.sequence(zero + 4, zero + 15)))
+    return M.stratified_masks(places, "draw", "count", 42)
+
+
+@query("mc_forward_masks", f"WITH {_MC} SELECT seq, draw, pos, masked, round(n / 12.0::DOUBLE, 9) AS p_mask FROM m")
+def mc_forward_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mc_masks(spark, sf_dir).select("seq", "draw", "pos", "masked", F.round(F.col("count") / 12.0, 9).alias("p_mask"))
+
+
+@query("mc_loglikelihood", f"{_CE}, {_MC} SELECT seq, round(-avg(v), 6) AS loglik FROM (SELECT seq, draw, sum(CASE WHEN masked THEN ce / (n / 12.0::DOUBLE) ELSE 0 END) AS v FROM m JOIN ce USING (seq, pos) GROUP BY ALL) GROUP BY seq")
+def mc_loglikelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mc_masks(spark, sf_dir).join(ce_rows(spark, sf_dir), ["seq", "pos"]).withColumn("p_mask", F.col("count") / 12.0)
+    return M.mc_loglikelihood(rows).withColumn("loglik", F.round("loglik", 6))
+
+
+@query("stratified_times", f"SELECT doc_id, i, round(({uniform_sql('doc_id', 43)} + i / 8.0::DOUBLE) % 1.0::DOUBLE, 9) AS t FROM documents, range(8) r(i)")
+def stratified_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    zero = F.lit(0).cast("long")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.sequence(zero, zero + 7)).alias("i"))
+    return rows.select("doc_id", "i", F.round(M.spread_times(F.col("i"), 8, uniform(F.col("doc_id"), 43)), 9).alias("t"))
+
+
+@query("nll_directions", _CE + " SELECT seq, round(sum(ce) FILTER (pos >= 6), 6) AS ftb, round(sum(ce) FILTER (pos < 6), 6) AS btf, round(sum(ce) / count(*), 6) AS both FROM ce GROUP BY seq")
+def nll_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = lambda kind: F.sum(F.when(M.direction(kind, F.col("pos"), F.lit(6)), F.col("ce")))
+    return ce_rows(spark, sf_dir).groupBy("seq").agg(F.round(part("ftb"), 6).alias("ftb"), F.round(part("btf"), 6).alias("btf"), F.round(part("union") / F.count(F.lit(1)), 6).alias("both"))
+
+
+@query("ar_nll", _CE + " SELECT seq, round(sum(ce), 6) AS nll, count(*) AS steps, sum(16 - pos)::BIGINT AS hidden FROM ce WHERE pos >= 6 GROUP BY seq")
+def ar_nll(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ce = ce_rows(spark, sf_dir)
+    cells = M.triangular(ce.select("seq", "pos", F.lit(6).alias("prompt_len")))
+    hidden = cells.groupBy("seq").agg(F.count_distinct("step").alias("steps"), F.count_if("masked").alias("hidden"))
+    return M.ar_nll(cells.join(ce, ["seq", "pos"])).join(hidden, "seq").withColumn("nll", F.round("nll", 6))
+
+
+@query("greedy_match", """WITH b AS (SELECT vec_id, label, list_position(embedding, list_max(embedding)) - 1 AS tok FROM embeddings)
+SELECT vec_id // 16 AS seq, bool_and(tok % 2 = label % 2) AS greedy FROM b WHERE vec_id % 16 < 2 GROUP BY 1""")
+def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parities of the best tokens against those of the labels, in the first two places."""
+    from ..operators.decode import argmax
+    from .corruption import logits
+
+    best = argmax(logits(spark, sf_dir)).withColumn("tok", F.col("tok") % 2)
+    rows = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 16).alias("seq"), (F.col("vec_id") % 16).cast("int").alias("pos"), (F.col("label") % 2).alias("tok"))
+    return M.greedy_match(best, rows.where("pos < 2"))
+
+
+@query("encode_pair", r"""SELECT item_id, regexp_replace(c, '\s+$', '') AS context, regexp_extract(c, '(\s*)$', 1) || substr(text, 41) AS continuation FROM (SELECT *, substr(text, 1, 40) AS c FROM benchmark)""")
+def encode_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    context, continuation = P.encode_pair(F.substring("text", 1, 40), F.substring(F.col("text"), F.lit(41), F.length("text")))
+    return table(spark, sf_dir, "benchmark").select("item_id", context.alias("context"), continuation.alias("continuation"))
+
+
+@query("encode_pair_cut", r"""SELECT item_id, array_to_string(w[greatest(len(w) - 12, 0) + 1:], ' ') AS kept FROM (SELECT item_id, list_append(list_prepend('<s>', regexp_extract_all(text, '\S+')), '</s>') AS w FROM benchmark)""")
+def encode_pair_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A start in front, an end behind, and the left cut to the maximal length."""
+    words = F.concat(F.array(F.lit("<s>")), F.regexp_extract_all("text", F.lit(r"(\S+)"), F.lit(0)), F.array(F.lit("</s>")))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(P.clip(words, 12, "left"), " ").alias("kept"))
+
+
+@query("stop_sequences", "SELECT item_id, split_part(split_part(text, '.', 1), ' on', 1) AS answer FROM benchmark")
+def stop_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select("item_id", P.cut_at_stops(F.col("text"), F.array(F.lit("."), F.lit(""), F.lit(" on"))).alias("answer"))

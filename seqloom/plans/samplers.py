@@ -1 +1,65 @@
-"""Queries."""
+"""Whole decoding programs over embeddings as fixed logits; the canvas has 4 prompt tokens and 12 masks a sequence."""
+
+from __future__ import annotations
+
+from dataclasses import replace
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import samplers as D
+from .corruption import _LOGITS, logits
+from .registry import query
+
+MASK = 64
+
+
+def canvas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = logits(spark, sf_dir).select("seq", "pos").distinct()
+    return rows.select("seq", "pos", F.when(F.col("pos") < 4, F.col("pos")).otherwise(MASK).alias("tok"), F.lit(True).alias("is_valid"))
+
+
+_FINAL = f"""WITH l AS {_LOGITS} SELECT seq, pos, CASE WHEN pos < 4 THEN pos ELSE arg_max(tok, (logit, -tok)) END::INT AS tok FROM l GROUP BY seq, pos"""
+
+
+def _program(name: str, key: str, sql: str | None = _FINAL, **changes: object) -> None:
+    @query(name, sql)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        options = replace(D.PROGRAMS[key], steps=4, **changes)
+        return D.run(canvas(spark, sf_dir), lambda c: logits(spark, sf_dir), MASK, options, 4)[0].select("seq", "pos", "tok")
+
+
+_SHIFT = f"""WITH l0 AS {_LOGITS}, l AS (SELECT seq, pos, tok, coalesce(lag(logit) OVER (PARTITION BY seq, tok ORDER BY pos), logit) AS logit FROM l0)
+SELECT seq, pos, CASE WHEN pos < 4 THEN pos ELSE arg_max(tok, (logit, -tok)) END::INT AS tok FROM l GROUP BY seq, pos"""
+
+_program("masked_sample", "masked", block_size=12)
+_program("block_sample", "block", block_size=6)
+_program("shifted_sample", "shifted", _SHIFT, block_size=12, temperature=0.0)
+_program("parallel_threshold_sample", "parallel_threshold", block_size=12, threshold=0.3)
+_program("parallel_factor_sample", "parallel_factor", block_size=12)
+_program("hybrid_sample", "hybrid", block_size=12, threshold=0.3)
+_program("carry_sample", "carry", _SHIFT, block_size=12, threshold=0.3)
+_program("remasking_sample", "remasking", block_size=12, extra_steps=2)
+
+
+@query("masked_infill", f"""WITH l AS {_LOGITS} SELECT seq, pos, CASE WHEN pos % 2 = 0 THEN pos ELSE arg_max(tok, (logit, -tok)) END::INT AS tok FROM l GROUP BY seq, pos""")
+def masked_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start = canvas(spark, sf_dir).withColumn("tok", F.when(F.col("pos") % 2 == 0, F.col("pos")).otherwise(MASK))
+    return D.infill(start, lambda c: logits(spark, sf_dir), MASK, replace(D.PROGRAMS["masked"], steps=4, block_size=8))[0].select("seq", "pos", "tok")
+
+
+@query("sample_history", """SELECT step, commits FROM (VALUES (0, 3), (1, 3), (2, 3), (3, 3)) t(step, commits), (SELECT 1)""")
+def sample_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Most commits of a sequence per step, from the complete history."""
+    facts = D.run(canvas(spark, sf_dir), lambda c: logits(spark, sf_dir), MASK, replace(D.PROGRAMS["masked"], steps=4, block_size=12), 4, history=True)[1]
+    per = facts.where("commit").groupBy("step", "seq").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy("step").agg(F.max("n").cast("int").alias("commits"))
+
+
+@query("edit_flow_sample")
+def edit_flow_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = logits(spark, sf_dir).groupBy("seq", "pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("tok", "logit"))), lambda x: x["logit"]).alias("v"))
+    rate = lambda k: F.abs(F.get("v", F.lit(k))) / 4
+    rates = rows.select("seq", "pos", rate(0).alias("del_rate"), rate(1).alias("sub_rate"), rate(2).alias("ins_rate"), F.col("v").alias("sub_logits"), F.col("v").alias("ins_logits"))
+    start = rows.where("pos < 6").select("seq", "pos", (F.col("pos") + 100).alias("tok"))
+    return D.edit_flow(start, lambda c: rates, 0.25)[0].select("seq", "pos", "tok")

@@ -1 +1,49 @@
-"""Queries."""
+"""Streaming queries: a whole table goes through a stream and comes out as a table."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import pack as P
+from ..streaming import pipelines as R
+from .packing import CORPUS, GROUP, LENGTH, corpus
+from .registry import query, table
+
+
+def folder(spark: SparkSession, label: str) -> str:
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{(base or tempfile.mkdtemp(prefix='seqloom-')).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+@query("stream_filter_clip", f"WITH {CORPUS} SELECT doc_id, least(len(input_ids), 256)::INT AS n FROM corpus WHERE len(input_ids) >= 64")
+def stream_filter_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = folder(spark, "stream")
+    corpus(spark, sf_dir).repartition(4).write.parquet(f"{root}/in")
+    rows = R.scan(spark, f"{root}/in", "doc_id long, pack_group long, input_ids array<int>", 1).where(F.size("input_ids") >= 64)
+    R.drain(P.clip_rows(rows, 256).select("doc_id", F.size("input_ids").alias("n")), f"{root}/out", f"{root}/log")
+    return spark.read.schema("doc_id long, n int").parquet(f"{root}/out")
+
+
+@query("stream_pack", f"WITH {CORPUS}, n AS (SELECT pack_group, sum(len(input_ids)) AS n FROM corpus GROUP BY pack_group) SELECT pack_group, (n // {LENGTH})::BIGINT AS chunks, (n // {LENGTH} * {LENGTH})::BIGINT AS tokens FROM n WHERE n >= {LENGTH}")
+def stream_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks per group; which documents share a chunk depends on the files' order, their number doesn't."""
+    root = folder(spark, "stream")
+    corpus(spark, sf_dir).withColumn("ord", F.col("doc_id")).repartition(3).write.parquet(f"{root}/in")
+    rows = R.scan(spark, f"{root}/in", "doc_id long, pack_group long, input_ids array<int>, ord long", 1)
+    R.drain(R.pack_stream(rows, LENGTH, "pack_group"), f"{root}/out", f"{root}/log")
+    out = spark.read.schema("pack_group long, chunk long, input_ids array<int>").parquet(f"{root}/out")
+    return out.groupBy("pack_group").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.size("input_ids").cast("long")).alias("tokens"))
+
+
+@query("stream_batches", "SELECT lang, count(*) AS n FROM documents GROUP BY lang")
+def stream_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = folder(spark, "stream")
+    table(spark, sf_dir, "documents").select("doc_id", "lang").repartition(3).write.parquet(f"{root}/in")
+    R.each_batch(R.scan(spark, f"{root}/in", "doc_id long, lang string", 1), lambda b: R.shuffled_batch(b, "doc_id", 1), f"{root}/out", f"{root}/log")
+    return spark.read.schema("doc_id long, lang string, batch int").parquet(f"{root}/out").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
