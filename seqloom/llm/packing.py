@@ -55,22 +55,28 @@ class ChunkIds(dict):
 
     def encode(self, text: bytes) -> bytes:
         chunks = _STOP.sub(rb" \1", text.lower()).split() if b"<|" not in text else text.split()
-        new = [c for c in {*chunks} if c not in self]
+        found = [*map(self.get, chunks)]
+        if None not in found:
+            return b"".join(found)
+        new = self.learn({c for c, ids in zip(chunks, found, strict=True) if ids is None})
         if len(self) + len(new) > self.most:
             self.clear()
-            new = [*{*chunks}]
-        plain = [c for c in new if (t := c.decode()).isalpha() and max(t) < "\u0130"]
-        for chunk in plain:
-            self[chunk] = array("I", [t.id for t in self.model.tokenize(chunk.decode().lower().encode().decode("latin-1").translate(self.bytes))]).tobytes()
-        odd = [c for c in new if c not in self]
+        self.update({c: ids for c, ids in new.items() if len(c) <= 64})
+        return b"".join([new[c] if ids is None else ids for c, ids in zip(chunks, found, strict=True)])
+
+    def learn(self, new: set[bytes]) -> dict[bytes, bytes]:
+        out, odd = {}, []
+        tokenize, letters = self.model.tokenize, self.bytes
+        for chunk in new:
+            text = chunk.decode()
+            if text.isalpha() and max(text) < "\u0130":
+                out[chunk] = array("I", [t.id for t in tokenize(text if chunk.isascii() and text.islower() else text.lower().encode().decode("latin-1").translate(letters))]).tobytes()
+            else:
+                odd.append(chunk)
         for at in range(0, len(odd), 4096):
             some = odd[at : at + 4096]
             for chunk, coded in zip(some, self.tokenizer.encode_batch_fast([c.decode() for c in some], add_special_tokens=False), strict=True):
-                self[chunk] = np.array(coded.ids, dtype="<u4").tobytes()
-        out = b"".join(map(self.__getitem__, chunks))
-        for chunk in new:
-            if len(chunk) > 64:
-                del self[chunk]
+                out[chunk] = np.array(coded.ids, dtype="<u4").tobytes()
         return out
 
 
