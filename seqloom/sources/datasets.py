@@ -140,8 +140,19 @@ def batch_of(ord_: Column, size: int) -> Column:
 
 
 def length_batches(df: DataFrame, length: str, key: str, n: int) -> DataFrame:
-    """`batch` from 0: n ranges of equal row counts by (length, key), so that batches hold like lengths."""
-    return df.withColumn("batch", F.ntile(n).over(Window.orderBy(length, key)) - 1)
+    """`batch` from 0: n ranges of equal row counts by (length, key), so that batches hold like lengths; earlier ones get the rest.
+
+    Only the histogram of lengths is summed up in one place; rows are ranked within their length.
+    """
+    counts = df.groupBy(F.col(length).alias("_length")).agg(F.count(F.lit(1)).alias("_n"))
+    order = Window.orderBy("_length")
+    below = counts.select("_length", (F.sum("_n").over(order) - F.col("_n")).alias("_below"), F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_all"))
+    rank = F.col("_below") + F.row_number().over(Window.partitionBy(length).orderBy(key)) - 1
+    each, rest = F.floor(F.col("_all") / n), F.col("_all") % n
+    longer = rest * (each + 1)
+    batch = F.when(F.col("_rank") < longer, F.floor(F.col("_rank") / (each + 1))).otherwise(rest + F.floor((F.col("_rank") - longer) / F.greatest(each, F.lit(1))))
+    ranked = df.join(below, F.col(length).eqNullSafe(F.col("_length"))).withColumn("_rank", rank)
+    return ranked.withColumn("batch", batch.cast("int")).select(*df.columns, "batch")
 
 
 def load(spark: SparkSession, specs: str, readers: Mapping[str, Reader], streaming: bool = False, preprocessed: bool = False) -> DataFrame:
