@@ -14,7 +14,7 @@ all pairs of a group; components are then found by alternating star steps over w
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -60,10 +60,10 @@ def mixed(hashes: np.ndarray, n: int) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
-def wide_fingerprint(text: bytes, width: int, longs: int) -> np.ndarray:
-    """A bit is 1 if set in over half of the hashes; no words give zeros. Unsigned longs; the first is that of the hashes themselves."""
+def wide_fingerprint(parts: Iterable[np.ndarray], longs: int) -> np.ndarray:
+    """A bit is 1 if set in over half of the hashes; no hashes give zeros. Unsigned longs; the first is that of the hashes themselves."""
     total, ones = 0, np.zeros(64 * longs, dtype=np.int64)
-    for hashes in shingle_hashes(text, width):
+    for hashes in parts:
         for at in range(0, len(hashes), 20_000):
             some = hashes[at : at + 20_000]
             every = np.stack([mixed(some, n) for n in range(longs)], axis=1).astype("<u8")
@@ -73,22 +73,43 @@ def wide_fingerprint(text: bytes, width: int, longs: int) -> np.ndarray:
 
 
 def fingerprint(text: bytes, width: int = 4) -> int:
-    return int(wide_fingerprint(text, width, 1)[0])
+    return int(wide_fingerprint(shingle_hashes(text, width), 1)[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 4, longs: int = 1, carry: str | None = None) -> DataFrame:
-    """(doc_id, fp, more, carry): fp is the first long of the fingerprint, signed; more are the others. Null texts are empty."""
+def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
+    """(doc_id, fp): fp is the fingerprint, signed. Null texts are empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(1)]
-            out = np.array([wide_fingerprint(t, width, longs) for t in texts], dtype=np.uint64).reshape(-1, longs).view(np.int64)
+            out = np.array([fingerprint(t, width) for t in _texts(batch.column(1))], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=["doc_id", "fp"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+
+
+def _texts(column: pa.Array) -> list[bytes]:
+    return [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in column]
+
+
+def shingle_set(text: bytes, width: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted."""
+    parts = [*shingle_hashes(text, width)]
+    return np.unique(np.concatenate(parts)) if parts else np.empty(0, dtype=np.uint64)
+
+
+def set_fingerprints(rows: DataFrame, width: int, longs: int) -> DataFrame:
+    """(key, n, fp, more, row) of rows (text, row): of the set of n shingles its XXH64 and its fingerprint, more being the longs after fp."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, width) for t in _texts(batch.column(0))]
+            out = np.array([wide_fingerprint([s], longs) for s in sets], dtype=np.uint64).reshape(-1, longs).view(np.int64)
+            key = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
             more = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * (longs - 1), pa.int32()), pa.array(out[:, 1:].reshape(-1)))
-            names = ["doc_id", "fp", "more"] + [carry] * bool(carry)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.ascontiguousarray(out[:, 0])), more, *batch.columns[2:]], names=names)
+            columns = [pa.array(key), pa.array([len(s) for s in sets], pa.int64()), pa.array(np.ascontiguousarray(out[:, 0])), more, batch.column(1)]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "fp", "more", "row"])
 
-    schema = "doc_id long, fp long, more array<long>" + (f", {carry} {docs.schema[carry].dataType.simpleString()}" if carry else "")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[carry] * bool(carry)).mapInArrow(run, schema)
+    return rows.select("text", "row").mapInArrow(run, f"key long, n long, fp long, more array<long>, row {rows.schema['row'].dataType.simpleString()}")
 
 
 def _syndromes() -> np.ndarray:
@@ -307,24 +328,111 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, blocks:
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_similar(docs: DataFrame, width: int = 5, blocks: int = 16, block_bits: int = 18, t: int = 1, distance: int = 27) -> DataFrame:
+class Postings:
+    """Sets of hashes by hash: which sets have one in common with a given set, and how many."""
+
+    def __init__(self, codes: np.ndarray, sizes: np.ndarray, n_codes: int):
+        self.codes, self.sizes, self.starts = codes, sizes, np.cumsum(sizes) - sizes
+        self.owner = np.arange(len(sizes)).repeat(sizes)[np.argsort(codes, kind="stable")]
+        self.ends = np.cumsum(np.bincount(codes, minlength=n_codes))
+
+    def similar(self, codes: np.ndarray) -> np.ndarray:
+        """The sets of Jaccard similarity 0.8 or more with a set of codes, in whole numbers: 9 times the intersection is at least 4 times both sizes."""
+        first = np.where(codes > 0, self.ends[codes - 1], 0)
+        n = self.ends[codes] - first
+        common = np.bincount(self.owner[first.repeat(n) + _counted(n)], minlength=len(self.sizes))
+        return np.flatnonzero((9 * common >= 4 * (self.sizes + len(codes))) & (common > 0))
+
+    def without(self, gone: np.ndarray) -> Postings:
+        stay = ~gone
+        return Postings(self.codes[stay.repeat(self.sizes)], self.sizes[stay], len(self.ends))
+
+
+def similar_forest(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(root, member) of a spanning forest over all pairs of sets of similarity 0.8 or more, as places among sizes; breadth-first search."""
+    unique, codes = np.unique(hashes, return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    left, names, gone = Postings(codes, sizes, len(unique)), np.arange(len(sizes)), np.zeros(len(sizes), dtype=bool)
+    seen, a, b = np.zeros(len(sizes), dtype=bool), [], []
+    for root in range(len(sizes)):
+        front = [] if seen[root] else [root]
+        seen[root] = True
+        while front:
+            x = front.pop()
+            if seen.all():
+                break
+            found = left.similar(codes[starts[x] : starts[x] + sizes[x]])
+            found = found[~seen[names[found]]]
+            members = names[found]
+            seen[members] = True
+            front += members.tolist()
+            a.append(np.full(len(members), root))
+            b.append(members)
+            gone = seen[names]
+            if 2 * gone.sum() > len(gone):
+                left, names = left.without(gone), names[~gone]
+    empty = np.empty(0, dtype=np.int64)
+    return np.concatenate([empty, *a]), np.concatenate([empty, *b])
+
+
+def verified(texts: DataFrame, width: int, most: int) -> DataFrame:
+    """(a, b): keys of sets of one group (root) whose similarity is 0.8 or more, a spanning forest of all such pairs. texts: (root, key, n, text), a row per key.
+
+    A group of over `most` shingles is dealt out as pairs of blocks, each compared in its own task.
+    """
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, width) for t in _texts(batch.column(3))]
+            flat = np.concatenate([np.empty(0, dtype=np.uint64), *sets]).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists], names=["root", "part", "key", "hashes"])
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("key")
+        keys = np.asarray(group.column("key"))
+        lists = group.column("hashes")
+        flat, sizes = (np.concatenate([np.asarray(f(c)) for c in lists.chunks]) for f in (lambda c: c.flatten(), lambda c: c.value_lengths()))
+        a, b = similar_forest(flat.view(np.uint64), sizes.astype(np.int64))
+        return pa.table({"a": keys[a], "b": keys[b]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    large = saved(texts.groupBy("root").agg(F.sum("n").alias("total")).where(F.col("total") > most), "hot-groups")
+    rows = texts.withColumn("part", F.lit(0).cast("long"))
+    if not large.isEmpty():
+        dealt = texts.join(large, "root", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("total") * 2 / most), F.lit(1)).cast("long"))
+        own = F.pmod(F.xxhash64("key"), F.col("blocks"))
+        parts = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.least(k, own) * F.col("blocks") + F.greatest(k, own))
+        rows = dealt.withColumn("part", F.explode(parts))
+    sets = rows.select("root", "part", "key", "text").mapInArrow(hashed, "root long, part long, key long, hashes array<long>")
+    return sets.groupBy("root", "part").applyInArrow(run, "a long, b long")
+
+
+def one_of_similar(docs: DataFrame, width: int = 5, blocks: int = 16, block_bits: int = 18, t: int = 1, distance: int = 27, most: int = 5_000_000) -> DataFrame:
     """The rows of docs that stay when one row of each group of similar texts is kept: the one of least doc_id (nulls last).
 
-    For a similarity of 0.8 (Jaccard, of sets of `width`-word shingles) two texts differ in 15 % of the bits, far
-    more than 64 bits and a whole covering could find. The fingerprint has blocks x block_bits bits here, and texts
-    meet at the anchors of any block in which they differ in at most t bits: at a similarity of 0.8 in 98 % of
-    the cases, at 0.83 in 99 %. Of those that meet, texts link that differ in at most `distance` of the first 128
-    bits (97 % at 0.8, 99.8 % at 0.85, 1 in 10 at 0.55, none that are unrelated).
+    Texts are similar at a Jaccard similarity of 0.8 or more of their sets of `width`-word shingles, and groups are
+    the components of such pairs. Fingerprints of the sets only name candidates: two texts of that similarity differ
+    in 15 % of the bits, far more than 64 bits and a whole covering could find. The fingerprint has blocks x
+    block_bits bits here, and texts meet at the anchors of any block in which they differ in at most t bits: at a
+    similarity of 0.8 in 98 % of the cases, at 0.83 in 99 %. Of those that meet, texts are candidates that differ in
+    at most `distance` of the first 128 bits (97 % at 0.8, 99.8 % at 0.85, 1 in 10 at 0.55). Within a component of
+    candidates all pairs are compared on their whole sets.
     Larger corpora take more and wider blocks. Texts without words are similar to each other only; null ids and
     repeated rows are judged like others, columns pass through whatever their names, and an empty table stays empty.
     """
     longs = -(-max(128, blocks * block_bits) // 64)
-    whole = docs.select(F.col("doc_id"), F.col("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    marked = saved(fingerprints(whole, width, longs, "row").withColumn("at", F.monotonically_increasing_id()), "marked-documents")
-    fps = saved(marked.groupBy("fp").agg(F.min("more").alias("more"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "at")).alias("least")), "distinct-fingerprints")
-    roots = linked(fps, distance, [block_bits] * blocks, t)
-    grouped = fps.join(roots, F.col("fp") == F.col("node"), "left").select("least", F.coalesce("root", "fp").alias("root"))
-    stay = saved(grouped.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.at").alias("at")), "stay")
+    whole = docs.select(F.col("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    marked = saved(set_fingerprints(whole, width, longs).withColumn("at", F.monotonically_increasing_id()), "marked-documents")
+    least = F.min(F.struct(F.col("row.doc_id").isNull(), F.col("row.doc_id").alias("doc_id"), "at")).alias("least")
+    sets = saved(marked.groupBy("key", "n").agg(F.min("fp").alias("fp"), F.min("more").alias("more"), least), "distinct-sets")
+    roots = linked(sets.select("fp", "more").distinct(), distance, [block_bits] * blocks, t)
+    rooted = saved(sets.join(roots, F.col("fp") == F.col("node"), "left").select("key", "n", "least", F.coalesce("root", "fp").alias("root")), "candidates")
+    several = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("keys")).where(F.col("keys") > 1).select("root")
+    members = rooted.join(several, "root", "left_semi").select("root", "key", "n", F.col("least.at").alias("at"))
+    texts = marked.select("at", F.col("row.text").alias("text")).join(members, "at").select("root", "key", "n", "text")
+    same = components(saved(verified(texts, width, most), "links"))
+    grouped = rooted.join(same.withColumnRenamed("root", "group"), F.col("key") == F.col("node"), "left").select("least", F.coalesce("group", "key").alias("group"))
+    stay = saved(grouped.groupBy("group").agg(F.min("least").alias("least")).select(F.col("least.at").alias("at")), "stay")
     return marked.join(stay, "at", "left_semi").select("row.*")
 
 

@@ -27,7 +27,7 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: five-word shingles, similarity of 0.8 or more."""
+    """One document of each group of near duplicates stays: five-word shingles, Jaccard similarity of 0.8 or more, verified."""
     return anchors.one_of_similar(docs)
 
 

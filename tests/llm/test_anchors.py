@@ -140,3 +140,68 @@ def test_one_of_similar_texts_stays(spark):
     left = sorted(i for i in ids if i < 7000)
     assert {groups[i] for i in left} == set(range(40)) and len(left) <= 42
     assert anchors.one_of_similar(df.limit(0)).count() == 0
+
+
+def brute_sets(texts, width=5):
+    out = []
+    for t in texts:
+        ws = t.lower().split()
+        out.append({tuple(ws[i : i + width]) for i in range(len(ws) - width + 1)} or ({tuple(ws)} if ws else set()))
+    return out
+
+
+def brute_kept(texts, width=5):
+    """Places of the texts that stay: the first of each component at similarity 0.8."""
+    sets, root = brute_sets(texts, width), list(range(len(texts)))
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if x == y or 5 * len(x & y) >= 4 * len(x | y):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [i for i in range(len(texts)) if find(i) == i]
+
+
+def kept_of(spark, texts, **options):
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    return sorted(r["doc_id"] for r in anchors.one_of_similar(df, **options).collect())
+
+
+def test_texts_below_the_similarity_stay(spark):
+    rng = random.Random(6)
+    texts = []
+    for k in range(60):
+        base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        other = list(base)
+        for at in rng.sample(range(5, 195), 5 + k % 6 if k < 50 else 2):
+            other[at] = "changed"
+        texts += [" ".join(base), " ".join(other)]
+    texts += ["x x x x x", "x x x x x x x y"]  # of the three shingles in a row two are one: equal majorities
+    want = brute_kept(texts)
+    assert 60 < len(want) < len(texts) and {120, 121} <= {*want}
+    assert kept_of(spark, texts) == want
+    assert kept_of(spark, texts, most=300) == want
+
+
+def test_similar_forest_spans_the_pairs():
+    rng = np.random.default_rng(3)
+    sets = []
+    for _ in range(12):
+        base = rng.integers(0, 1 << 62, 60).astype(np.uint64)
+        for _ in range(15):
+            base = base.copy()
+            base[rng.integers(0, 60, rng.integers(0, 14))] = rng.integers(0, 1 << 62)
+            sets.append(np.unique(base))
+    sizes = np.array([len(x) for x in sets])
+    a, b = anchors.similar_forest(np.concatenate(sets), sizes)
+    whole = [{*x.tolist()} for x in sets]
+    root = list(range(len(sets)))
+    for i, x in enumerate(whole):
+        for j, y in enumerate(whole[:i]):
+            if 5 * len(x & y) >= 4 * len(x | y):
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    assert len(a) == len(sets) - len({*root}) > 20 and len({*root}) > 12
+    assert all(root[x] == root[y] for x, y in zip(a.tolist(), b.tolist())) and len({*b.tolist()}) == len(b)
