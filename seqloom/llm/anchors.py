@@ -27,6 +27,8 @@ from .common import saved, table
 from .words import segments, words
 
 HAMMING = 15
+#: Sets of at most so many shingles are candidates by their shingles too: majorities over few hashes are too coarse.
+FEW = 40
 
 
 def shingle_hashes(text: bytes, width: int) -> Iterator[np.ndarray]:
@@ -97,8 +99,13 @@ def shingle_set(text: bytes, width: int) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.empty(0, dtype=np.uint64)
 
 
+def prefix(hashes: np.ndarray) -> np.ndarray:
+    """So many of the least hashes of a set that two sets of similarity 0.8 or more have one in common: n - ceil(0.8 n) + 1 of n."""
+    return hashes[: len(hashes) - -(-4 * len(hashes) // 5) + 1] if len(hashes) else hashes
+
+
 def set_fingerprints(rows: DataFrame, width: int, longs: int) -> DataFrame:
-    """(key, n, fp, more, row) of rows (text, row): of the set of n shingles its XXH64 and its fingerprint, more being the longs after fp."""
+    """(key, n, fp, more, prefix, row) of rows (text, row): of the set of n shingles its XXH64, its fingerprint (more are the longs after fp) and, if n is at most FEW, its prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,10 +113,11 @@ def set_fingerprints(rows: DataFrame, width: int, longs: int) -> DataFrame:
             out = np.array([wide_fingerprint([s], longs) for s in sets], dtype=np.uint64).reshape(-1, longs).view(np.int64)
             key = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
             more = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * (longs - 1), pa.int32()), pa.array(out[:, 1:].reshape(-1)))
-            columns = [pa.array(key), pa.array([len(s) for s in sets], pa.int64()), pa.array(np.ascontiguousarray(out[:, 0])), more, batch.column(1)]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "fp", "more", "row"])
+            heads = pa.array([prefix(s).view(np.int64) if len(s) <= FEW else [] for s in sets], pa.list_(pa.int64()))
+            columns = [pa.array(key), pa.array([len(s) for s in sets], pa.int64()), pa.array(np.ascontiguousarray(out[:, 0])), more, heads, batch.column(1)]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "fp", "more", "prefix", "row"])
 
-    return rows.select("text", "row").mapInArrow(run, f"key long, n long, fp long, more array<long>, row {rows.schema['row'].dataType.simpleString()}")
+    return rows.select("text", "row").mapInArrow(run, f"key long, n long, fp long, more array<long>, prefix array<long>, row {rows.schema['row'].dataType.simpleString()}")
 
 
 def _syndromes() -> np.ndarray:
@@ -299,11 +307,19 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def linked(fps: DataFrame, distance: int, widths: list[int], t: int, most: int = 20_000) -> DataFrame:
-    """(node, root) of the components of distinct fingerprints (fp, more). Distances are over fp and the first of more."""
+def prefix_links(sets: DataFrame) -> DataFrame:
+    """(a, b): every fingerprint of sets (fp, prefix) with the least one that has the same hash in its prefix."""
+    heads = sets.select("fp", F.explode("prefix").alias("h")).distinct()
+    least = heads.groupBy("h").agg(F.min("fp").alias("b"))
+    return heads.join(least, "h").where(F.col("fp") != F.col("b")).select(F.col("fp").alias("a"), "b").distinct()
+
+
+def linked(fps: DataFrame, distance: int, widths: list[int], t: int, most: int = 20_000, also: DataFrame | None = None) -> DataFrame:
+    """(node, root) of the components of distinct fingerprints (fp, more) and links (a, b) given besides. Distances are over fp and the first of more."""
     rows = spread_hot(replicate(fps, widths, t), replicate(fps, widths, t), most)
     dealt = rows.repartition("anchor", "part").sortWithinPartitions("anchor", "part", F.desc("home"))
-    return components(saved(compare(dealt, distance), "links"))
+    found = compare(dealt, distance)
+    return components(saved(found.unionByName(also) if also is not None else found, "links"))
 
 
 def block_widths(bits: int, blocks: int) -> list[int]:
@@ -416,7 +432,8 @@ def one_of_similar(docs: DataFrame, width: int = 5, blocks: int = 16, block_bits
     block_bits bits here, and texts meet at the anchors of any block in which they differ in at most t bits: at a
     similarity of 0.8 in 98 % of the cases, at 0.83 in 99 %. Of those that meet, texts are candidates that differ in
     at most `distance` of the first 128 bits (97 % at 0.8, 99.8 % at 0.85, 1 in 10 at 0.55). Within a component of
-    candidates all pairs are compared on their whole sets.
+    candidates all pairs are compared on their whole sets. Sets of at most FEW shingles are also candidates if they have
+    a hash of their prefixes in common, which names all their pairs; texts without words are candidates of none.
     Larger corpora take more and wider blocks. Texts without words are similar to each other only; null ids and
     repeated rows are judged like others, columns pass through whatever their names, and an empty table stays empty.
     """
@@ -424,8 +441,8 @@ def one_of_similar(docs: DataFrame, width: int = 5, blocks: int = 16, block_bits
     whole = docs.select(F.col("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     marked = saved(set_fingerprints(whole, width, longs).withColumn("at", F.monotonically_increasing_id()), "marked-documents")
     least = F.min(F.struct(F.col("row.doc_id").isNull(), F.col("row.doc_id").alias("doc_id"), "at")).alias("least")
-    sets = saved(marked.groupBy("key", "n").agg(F.min("fp").alias("fp"), F.min("more").alias("more"), least), "distinct-sets")
-    roots = linked(sets.select("fp", "more").distinct(), distance, [block_bits] * blocks, t)
+    sets = saved(marked.groupBy("key", "n").agg(F.min("fp").alias("fp"), F.min("more").alias("more"), F.min("prefix").alias("prefix"), least), "distinct-sets")
+    roots = linked(sets.where("n > 0").select("fp", "more").distinct(), distance, [block_bits] * blocks, t, also=prefix_links(sets))
     rooted = saved(sets.join(roots, F.col("fp") == F.col("node"), "left").select("key", "n", "least", F.coalesce("root", "fp").alias("root")), "candidates")
     several = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("keys")).where(F.col("keys") > 1).select("root")
     members = rooted.join(several, "root", "left_semi").select("root", "key", "n", F.col("least.at").alias("at"))

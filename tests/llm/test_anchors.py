@@ -205,3 +205,30 @@ def test_similar_forest_spans_the_pairs():
                 root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
     assert len(a) == len(sets) - len({*root}) > 20 and len({*root}) > 12
     assert all(root[x] == root[y] for x, y in zip(a.tolist(), b.tolist())) and len({*b.tolist()}) == len(b)
+
+
+def test_short_texts_beside_an_empty_one(spark):
+    rng = random.Random(8)
+    def text(n):
+        return " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    texts = ["", *[text(6) for _ in range(60)], *[text(8) for _ in range(60)], None, " "]
+    kept = kept_of(spark, texts)
+    assert kept == list(range(121))
+
+
+def test_short_similar_texts_are_all_found(spark):
+    rng = random.Random(9)
+    texts = []
+    for k in range(150):
+        ws = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([8, 9, 12, 13, 20, 34]))]
+        texts += [" ".join(ws), " ".join(ws + ["more"] * (1 + k % 2)), " ".join(ws[1:])]
+    want = brute_kept([t or "" for t in texts])
+    assert 150 <= len(want) < 400
+    assert kept_of(spark, texts) == want
+
+
+def test_only_worded_texts_are_candidates(spark, monkeypatch):
+    seen = []
+    linked = anchors.linked
+    monkeypatch.setattr(anchors, "linked", lambda fps, *a, **b: seen.append(fps.count()) or linked(fps, *a, **b))
+    assert kept_of(spark, ["", "one two", None, "  "]) == [0, 1] and seen == [1]
