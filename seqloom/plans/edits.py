@@ -14,28 +14,31 @@ _TEXT = "regexp_replace(substr({0}.text, 1, 40), '[^ -~]', '?', 'g')"
 _PAIRS = f"""(SELECT a.item_id, {_TEXT.format('a')} AS a, {_TEXT.format('b')} AS b FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1)"""
 
 
-def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(item_id, x0, x1): characters of each item's and the next one's beginning."""
-    rows = table(spark, sf_dir, "benchmark").select("item_id", F.transform(F.split(F.regexp_replace(F.substring("text", 1, 40), "[^ -~]", "?"), ""), lambda c: F.ascii(c)).alias("x"))
+def pairs(spark: SparkSession, sf_dir: str, chars: int | None = None) -> DataFrame:
+    """(item_id, x0, x1): characters of each item's text and the next one's, of all or of the first `chars`."""
+    text = F.substring("text", 1, chars) if chars else F.col("text")
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.transform(F.split(F.regexp_replace(text, "[^ -~]", "?"), ""), lambda c: F.ascii(c)).alias("x"))
     nxt = rows.select((F.col("item_id") - 1).alias("item_id"), F.col("x").alias("x1"))
     return rows.withColumnRenamed("x", "x0").join(nxt, "item_id")
 
 
 @query("align_cost", f"SELECT item_id, levenshtein(a, b)::BIGINT AS cost FROM {_PAIRS}")
 def align_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.align(pairs(spark, sf_dir), "item_id").select("item_id", "cost")
+    """Of the first 40 characters, like its SQL."""
+    return E.align(pairs(spark, sf_dir, 40), "item_id").select("item_id", "cost")
 
 
 @query("align_blanks")
 def align_blanks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the whole texts."""
     return E.align(pairs(spark, sf_dir), "item_id")
 
 
 @query("strip_blanks", f"SELECT item_id, a AS one, b AS two FROM {_PAIRS}")
 def strip_blanks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the alignment's blanks were put into comes back."""
+    """What the alignment's blanks were put into comes back; of the first 40 characters, like its SQL."""
     text = lambda z: F.array_join(F.transform(E.strip_blanks(F.col(z)), lambda x: F.char(x)), "")
-    return E.align(pairs(spark, sf_dir), "item_id").select("item_id", text("z0").alias("one"), text("z1").alias("two"))
+    return E.align(pairs(spark, sf_dir, 40), "item_id").select("item_id", text("z0").alias("one"), text("z1").alias("two"))
 
 
 _Z = """z AS (SELECT vec_id, [CASE WHEN i % 5 = 2 THEN -1 ELSE (vec_id + i) % 9 END FOR i IN range(12)] AS zt, [CASE WHEN i % 4 = 1 THEN -1 ELSE (vec_id + i * i) % 9 END FOR i IN range(12)] AS z1 FROM embeddings)"""
