@@ -91,17 +91,17 @@ def batches_of(docs: DataFrame, most: int = 4) -> list[DataFrame]:
     return [docs.sparkSession.read.schema(docs.schema).parquet(*files[k : k + each]) for k in range(0, len(files), each)]
 
 
-def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, fanout: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, fanout: int = 2, key: str = "doc_id", text: str = "text", batches: list[DataFrame] | None = None) -> DataFrame:
     """All columns of docs, with text rebuilt from the lines that stay, plus _n_lines and _n_dropped.
 
     A line goes, in every document, if its key has at least min_chars code points and is found in at
     least min_docs documents (rows). A null or empty text is one empty line and gives an empty text.
     Rows with a null or repeated key are kept as they are and judged alike. An empty table gives an
     empty table. Other columns pass through whatever their names, but for _n_lines and _n_dropped,
-    which are replaced.
+    which are replaced. batches hold the rows of docs in parts; without them docs is dealt by files if it is a plain scan.
     """
     runs = LineRuns(docs.sparkSession, min_docs, min_chars, fanout)
-    for batch in batches_of(docs):
+    for batch in batches or batches_of(docs):
         runs.add(batch, text)
     frequent = saved(runs.sealed(), "line-frequent")
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
@@ -119,7 +119,8 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of at least one code point found in ten or more documents go; digests per document."""
-    out = drop_frequent_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents")
+    out = drop_frequent_lines(docs.select("doc_id", "text"), batches=batches_of(docs))
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 

@@ -135,3 +135,15 @@ def test_digest_of_lines(spark, tmp_path):
     spark.createDataFrame([(1, "a\nb")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     row = line_runs.op4_line_dedup(spark, str(tmp_path)).first()
     assert row["kept_sha256"] == hashlib.sha256(b"a\nb").hexdigest() and (row["n_lines"], row["n_dropped"]) == (2, 0)
+
+
+def test_op4_takes_several_batches(spark, tmp_path, monkeypatch):
+    rows = [(k, f"own {k}\nin all\n" + ("in nine" if k < 9 else "x")) for k in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(6).write.parquet(f"{tmp_path}/documents.parquet")
+    sizes, merges = [], []
+    add, merge = line_runs.LineRuns.add, line_runs.LineRuns._merge
+    monkeypatch.setattr(line_runs.LineRuns, "add", lambda self, docs, text="text": sizes.append(docs.count()) or add(self, docs, text))
+    monkeypatch.setattr(line_runs.LineRuns, "_merge", lambda self, runs: merges.append(len(runs)) or merge(self, runs))
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"]) for r in line_runs.op4_line_dedup(spark, str(tmp_path)).collect()}
+    assert len(sizes) > 1 and sum(sizes) == 40 and 2 in merges
+    assert got == {k: (3, 1 if k < 9 else 2) for k in range(40)}
