@@ -7,15 +7,18 @@ nearest anchor (its home) and is replicated to all anchors within R + t, so two
 a block meet at the home of either: d(y, home(x)) <= d(x, home(x)) + d(x, y) <= R + t. Fingerprints are
 compared per anchor on all 64 bits, so the links are exact.
 
-Exact copies share a fingerprint and are one row before replication. An anchor with more than `most` rows is
-dealt out as pairs of blocks, each compared in its own task. A task emits a spanning forest of its links, never
-all pairs of a group; components are then found by alternating star steps over written tables.
+Exact copies share a fingerprint and are one row before replication. Fingerprints are linked in rounds, each of
+which knows the components of those before it as labels: rows of one label are not compared again and only links
+between labels are sent on, so a large group's links do not multiply by its anchors. An anchor with more than
+`most` rows is dealt out as pairs of blocks, each compared in its own task. Components are found by alternating star
+steps over written tables, in which hubs are salted.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import combinations
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -147,7 +150,7 @@ def block_anchors(values: np.ndarray, free: int, t: int) -> tuple[np.ndarray, np
         anchor = (values ^ base ^ moved)[fits]
         out.append((rows[fits], anchor, np.zeros(int(fits.sum()), dtype=bool)))
 
-    for high in range(0, t + 2):
+    for high in range(0, t + 2):  # none for t = -1: the homes alone
         for frees in combinations(range(HAMMING, HAMMING + free), high):
             base = np.full(len(values), sum(1 << k for k in frees), dtype=np.int64)
             for n in range(0, t + 2 - high):
@@ -158,14 +161,15 @@ def block_anchors(values: np.ndarray, free: int, t: int) -> tuple[np.ndarray, np
     return row[~again], anchor[~again], is_home[~again]
 
 
-def replicate(fps: DataFrame, widths: list[int], t: int) -> DataFrame:
-    """(anchor, fp, second, home) of all anchors near each fingerprint, block after block of the bits of fp and more.
+def replicate(fps: DataFrame, widths: list[int], t: int, blocks: Sequence[int] | None = None, homes_only: bool = False) -> DataFrame:
+    """(anchor, fp, second, label, home) of all anchors near each fingerprint, or of its homes only, in the blocks asked for (all).
 
-    An anchor's number holds its block too; second is the first long of more (0 if there is none).
+    Blocks follow each other over the bits of fp and more. An anchor's number holds its block too; second is the
+    first long of more (0 if there is none). label is passed on; null stands for fp itself.
     """
     if min(widths) < HAMMING or max(widths) > 40:
         raise ValueError("a block has 15 to 40 bits")
-    blocks = len(widths)
+    n_blocks, chosen = len(widths), set(range(len(widths)) if blocks is None else blocks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,17 +179,19 @@ def replicate(fps: DataFrame, widths: list[int], t: int) -> DataFrame:
             second = rest[:, 0] if rest.shape[1] else np.zeros(len(first), dtype=np.int64)
             for at in range(0, len(whole), 5000):
                 fp, shift = whole[at : at + 5000], 0
+                labels = batch.column(2).slice(at, len(fp))
                 for k, w in enumerate(widths):
-                    long, bit = divmod(shift, 64)
-                    values = fp[:, long] >> np.uint64(bit)
-                    if bit + w > 64:
-                        values = values | fp[:, long + 1] << np.uint64(64 - bit)
-                    row, anchor, home = block_anchors((values & np.uint64((1 << w) - 1)).astype(np.int64), w - HAMMING, t)
-                    columns = [pa.array(anchor * blocks + k), pa.array(first[at : at + 5000, 0][row]), pa.array(second[at : at + 5000][row]), pa.array(home)]
-                    yield pa.RecordBatch.from_arrays(columns, names=["anchor", "fp", "second", "home"])
+                    if k in chosen:
+                        long, bit = divmod(shift, 64)
+                        values = fp[:, long] >> np.uint64(bit)
+                        if bit + w > 64:
+                            values = values | fp[:, long + 1] << np.uint64(64 - bit)
+                        row, anchor, home = block_anchors((values & np.uint64((1 << w) - 1)).astype(np.int64), w - HAMMING, -1 if homes_only else t)
+                        columns = [pa.array(anchor * n_blocks + k), pa.array(first[at : at + 5000, 0][row]), pa.array(second[at : at + 5000][row]), labels.take(pa.array(row)), pa.array(home)]
+                        yield pa.RecordBatch.from_arrays(columns, names=["anchor", "fp", "second", "label", "home"])
                     shift += w
 
-    return fps.select("fp", "more").mapInArrow(run, "anchor long, fp long, second long, home boolean")
+    return fps.select("fp", "more", "label").mapInArrow(run, "anchor long, fp long, second long, label long, home boolean")
 
 
 def near_pairs(left: np.ndarray, right: np.ndarray, distance: int) -> np.ndarray:
@@ -193,30 +199,62 @@ def near_pairs(left: np.ndarray, right: np.ndarray, distance: int) -> np.ndarray
     return np.bitwise_count(left ^ right).sum(axis=1, dtype=np.int64) <= distance
 
 
-def forest(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (fp, fp) of a spanning forest over all near pairs of fps (rows of longs), by breadth-first search in blocks."""
-    rest, a, b = np.unique(fps, axis=0), [], []
-    while len(rest) > 1:
-        root, front, rest = rest[0], rest[:1], rest[1:]
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(root, member) of the components of links a - b: one link for each node but the least of its component."""
+    names, codes = np.unique(np.concatenate([a, b]), return_inverse=True)
+    one, two = codes[: len(a)], codes[len(a) :]
+    root = np.arange(len(names))
+    while True:
+        low = np.minimum(root[one], root[two])
+        before = root.copy()
+        for end in (one, two):
+            np.minimum.at(root, before[end], low)
+            np.minimum.at(root, end, low)
+        root = root[root]
+        if (root == before).all():
+            break
+    moved = root != np.arange(len(names))
+    return names[root[moved]], names[moved]
+
+
+def forest(fps: np.ndarray, labels: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (label, label) that join all labels of near fps (rows of longs), by breadth-first search in blocks.
+
+    Rows of one label are joined already and not compared with each other: the search goes from label to label.
+    """
+    kinds, own = np.unique(labels, return_inverse=True)
+    order = np.argsort(own, kind="stable")
+    first = np.searchsorted(own[order], np.arange(len(kinds) + 1))
+    members = lambda k: order[first[k] : first[k + 1]]
+    open_, a, b = np.ones(len(kinds), dtype=bool), [], []
+    rest = np.arange(len(fps))
+    for root in range(len(kinds)):
+        if not open_[root]:
+            continue
+        open_[root] = False
+        front = members(root)
+        rest = rest[open_[own[rest]]]
         while len(front) and len(rest):
             near = np.zeros(len(rest), dtype=bool)
-            for x in front[:64]:
-                near |= near_pairs(rest, x, distance)
-            found, rest = rest[near], rest[~near]
-            front = np.concatenate([front[64:], found])
-            a.append(np.full(len(found), root[0], dtype=np.uint64))
-            b.append(found[:, 0])
-    empty = np.empty(0, dtype=np.uint64)
+            for x in fps[front[:64]]:
+                near |= near_pairs(fps[rest], x, distance)
+            found = np.unique(own[rest[near]])
+            open_[found] = False
+            front = np.concatenate([front[64:], *[members(k) for k in found]])
+            rest = rest[open_[own[rest]]]
+            a.append(np.full(len(found), kinds[root]))
+            b.append(kinds[found])
+    empty = np.empty(0, dtype=labels.dtype)
     return np.concatenate([empty, *a]), np.concatenate([empty, *b])
 
 
-def compare_groups(starts: np.ndarray, fps: np.ndarray, homes: np.ndarray, distance: int, dense: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links of the groups that begin at starts, homes first in each: every home against every row of its group."""
+def compare_groups(starts: np.ndarray, fps: np.ndarray, labels: np.ndarray, homes: np.ndarray, distance: int, dense: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links between labels of the groups that begin at starts, homes first in each: every home against every row of its group that has another label."""
     ends = np.append(starts[1:], len(fps))
     sizes, n_homes = ends - starts, np.add.reduceat(homes.astype(np.int64), starts)
     large = sizes * n_homes > dense
     for g in np.flatnonzero(large):
-        yield forest(fps[starts[g] : ends[g]], distance)
+        yield forest(fps[starts[g] : ends[g]], labels[starts[g] : ends[g]], distance)
     small = np.flatnonzero(~large & (n_homes > 0))
     if not len(small):
         return
@@ -231,9 +269,10 @@ def compare_groups(starts: np.ndarray, fps: np.ndarray, homes: np.ndarray, dista
         one, two = left[lo:hi].repeat(w), other
         apart = np.bitwise_count(fps[one, 0] ^ fps[two, 0]) <= distance
         one, two = one[apart], two[apart]
+        fresh = labels[one] != labels[two]
+        one, two = one[fresh], two[fresh]
         near = near_pairs(fps[one], fps[two], distance)
-        a, b = fps[one[near], 0], fps[two[near], 0]
-        yield a[a != b], b[a != b]
+        yield labels[one[near]], labels[two[near]]
 
 
 def _counted(sizes: np.ndarray) -> np.ndarray:
@@ -242,49 +281,87 @@ def _counted(sizes: np.ndarray) -> np.ndarray:
 
 
 def compare(rows: DataFrame, distance: int) -> DataFrame:
-    """(a, b) links from rows (anchor, part, fp, home) that are dealt and sorted by anchor, part and home, homes first."""
+    """(a, b) links between labels from rows (anchor, part, fp, second, label, home) that are dealt and sorted by anchor, part and home, homes first.
+
+    What a stretch of rows tells is sent on as a spanning forest of its labels.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(key: np.ndarray, fps: np.ndarray, homes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def links(key: np.ndarray, fps: np.ndarray, labels: np.ndarray, homes: np.ndarray) -> Iterator[pa.RecordBatch]:
             change = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-            for a, b in compare_groups(np.append([0], change), fps, homes, distance):
-                if len(a):
-                    low, high = np.minimum(a, b), np.maximum(a, b)
-                    both = np.unique(np.stack([low, high], axis=1), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, k]).view(np.int64)) for k in (0, 1)], names=["a", "b"])
+            found = [*compare_groups(np.append([0], change), fps, labels, homes, distance)]
+            if sum(len(a) for a, _ in found):
+                both = stars(*[np.concatenate(x) for x in zip(*found, strict=True)])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in both], names=["a", "b"])
 
         held: list[tuple] = []
         for batch in batches:
             key = np.stack([np.asarray(batch.column(0)), np.asarray(batch.column(1))], axis=1)
             fps = np.stack([np.asarray(batch.column(2)), np.asarray(batch.column(3))], axis=1).view(np.uint64)
-            held.append((key, fps, np.asarray(batch.column(4).cast(pa.int8())).astype(bool)))
+            held.append((key, fps, np.asarray(batch.column(4)), np.asarray(batch.column(5).cast(pa.int8())).astype(bool)))
             if sum(len(x[0]) for x in held) < 200_000:
                 continue
-            key, fps, homes = (np.concatenate(x) for x in zip(*held, strict=True))
+            joined = [np.concatenate(x) for x in zip(*held, strict=True)]
+            key = joined[0]
             last = int(np.flatnonzero((key != key[-1]).any(axis=1))[-1]) + 1 if (key != key[-1]).any() else 0
             if last:
-                yield from links(key[:last], fps[:last], homes[:last])
-            held = [(key[last:], fps[last:], homes[last:])]
+                yield from links(*[x[:last] for x in joined])
+            held = [tuple(x[last:] for x in joined)]
         if held and len(held[0][0]):
             yield from links(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    return rows.select("anchor", "part", "fp", "second", "home").mapInArrow(run, "a long, b long")
+    return rows.select("anchor", "part", "fp", "second", F.coalesce("label", "fp").alias("label"), "home").mapInArrow(run, "a long, b long")
+
 
+def spread_hot(rows: DataFrame, most: int, whole: bool) -> DataFrame:
+    """Adds part: 0 for anchors with at most `most` rows; larger ones are dealt out.
 
-def spread_hot(rows: DataFrame, again: DataFrame, most: int) -> DataFrame:
-    """Adds part: 0, or for anchors with over `most` rows the pairs of blocks that each row is compared in."""
-    hot = saved(again.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most), "hot-anchors")
+    If not whole, each row of a hot anchor goes to one part, which is enough where a later round looks at all pairs.
+    Else two rows of different labels meet in some part: the rows of the anchor's most common label are dealt
+    into blocks and so are the others; every block of others meets every block, but blocks of the common label do
+    not meet each other. So a large group that is one label already is not copied.
+    """
+    hot = saved(rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most), "hot-anchors")
+    zero = F.lit(0).cast("long")
+    if hot.isEmpty():
+        return rows.withColumn("part", zero)
+    spread = lambda n: F.pmod(F.xxhash64("fp", "second"), n)
+    if not whole:
+        joined = rows.join(hot, "anchor", "left")
+        part = spread(F.coalesce(F.ceil(F.col("n") / most), F.lit(1)).cast("long"))
+        return joined.select("anchor", part.alias("part"), "fp", "second", "label", "home")
+    label = F.coalesce("label", "fp")
+    counts = rows.join(hot, "anchor", "left_semi").groupBy("anchor", label.alias("kind")).agg(F.count(F.lit(1)).alias("m"))
+    common = counts.groupBy("anchor").agg(F.max(F.struct("m", "kind")).alias("top"), F.sum("m").alias("n"))
+    blocks = lambda n: F.greatest(F.ceil(n * 2 / most), F.lit(1)).cast("long")
+    common = saved(common.select("anchor", F.col("top.kind").alias("kind"), blocks(F.col("top.m")).alias("same"), blocks(F.col("n") - F.col("top.m")).alias("others")), "hot-labels")
+    joined = rows.join(common, "anchor", "left")
+    own = spread(F.col("others"))
+    among = F.transform(F.sequence(zero, F.col("others") - 1), lambda k: F.least(k, own) * F.col("others") + F.greatest(k, own))
+    square = F.col("others") * F.col("others")
+    down = F.transform(F.sequence(zero, F.col("same") - 1), lambda j: square + own * F.col("same") + j)
+    across = F.transform(F.sequence(zero, F.col("others") - 1), lambda k: square + k * F.col("same") + spread(F.col("same")))
+    parts = F.when(F.col("others").isNull(), F.array(zero)).when(label == F.col("kind"), across).otherwise(F.concat(among, down))
+    return joined.select("anchor", F.explode(parts).alias("part"), "fp", "second", "label", "home")
+
+
+def salted(edges: DataFrame, low: DataFrame, hub: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Edges and rows of low (u, n, m), n being u's edges, with the columns to join on: nodes of over `hub` edges are dealt out under a salt.
+
+    Such nodes are at most 2 edges / hub, so their list is small and sent to all.
+    """
+    hot = saved(low.where(F.col("n") > hub).select("u", F.ceil(F.col("n") / hub).alias("salts")), "hubs")
     if hot.isEmpty():
-        return rows.withColumn("part", F.lit(0).cast("long"))
-    n_blocks = F.ceil(F.col("n") * 2 / most)
-    joined = rows.join(hot, "anchor", "left").withColumn("blocks", F.coalesce(n_blocks, F.lit(1)).cast("long"))
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
-    parts = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.least(k, own) * F.col("blocks") + F.greatest(k, own))
-    return joined.select("anchor", F.explode(parts).alias("part"), "fp", "second", "home")
+        return edges, low, ["u"]
+    zero = F.lit(0).cast("long")
+    few = F.broadcast(hot)
+    dealt = edges.join(few, "u", "left").withColumn("salt", F.pmod(F.xxhash64("v"), F.coalesce("salts", F.lit(1)).cast("long"))).drop("salts")
+    copies = low.join(few, "u", "left").withColumn("salt", F.explode(F.sequence(zero, F.coalesce("salts", F.lit(1)).cast("long") - 1))).drop("salts")
+    return dealt, copies, ["u", "salt"]
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, root) of all nodes of links (a, b) but the roots; root is the least node. Alternating large and small star steps."""
+def components(links: DataFrame, hub: int = 200_000) -> DataFrame:
+    """(node, root) of all nodes of links (a, b) but the roots; root is the least node. Alternating large and small star steps; hubs are salted."""
     edges = saved(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "star")
 
     def state(df: DataFrame) -> tuple:
@@ -293,9 +370,11 @@ def components(links: DataFrame) -> DataFrame:
     before = state(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = saved(large, "star")
+        low = both.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("m")).select("u", "n", F.least("u", "m").alias("m"))
+        dealt, copies, on = both.where(F.col("v") > F.col("u")), low, ["u"]
+        if before[0] > hub:  # else no node can have more
+            dealt, copies, on = salted(dealt, saved(low, "star-low"), hub)
+        large = saved(dealt.join(copies, on).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
@@ -315,28 +394,79 @@ def prefix_links(sets: DataFrame) -> DataFrame:
 
 
 def linked(fps: DataFrame, distance: int, widths: list[int], t: int, most: int = 20_000, also: DataFrame | None = None) -> DataFrame:
-    """(node, root) of the components of distinct fingerprints (fp, more) and links (a, b) given besides. Distances are over fp and the first of more."""
-    rows = spread_hot(replicate(fps, widths, t), replicate(fps, widths, t), most)
+    """(node, root) of all distinct fingerprints (fp, more), root being the least of the component over near pairs and links (a, b) given besides. Distances are over fp and the first of more.
+
+    Three rounds, each with what those before have joined as labels: homes in the first block, homes in the
+    others, all anchors. The last one looks at every pair, the first two only make it cheap: a large group is
+    (nearly) one label by then, and only links between different labels are sent on. So the first two take one
+    step towards the least label, keep the links that this leaves, and components are found once.
+    """
+    now = saved(fps.select("fp", "more", F.lit(None).cast("long").alias("label")), "labels")
+    label = F.coalesce("label", "fp")
+    kept = also
+    for blocks in [b for b in ((0,), range(1, len(widths))) if len(b)]:
+        links = _round(now, distance, widths, t, most, kept, blocks)
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        down = saved(both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("to")).where("to < u"), "down")
+        now = saved(now.join(down, label == F.col("u"), "left").select("fp", "more", F.coalesce("to", "label").alias("label")), "labels")
+        kept = links
+        for end in ("a", "b"):
+            kept = kept.join(down, F.col(end) == F.col("u"), "left").withColumn(end, F.coalesce("to", end)).select("a", "b")
+        kept = kept.where("a <> b")
+    roots = components(_round(now, distance, widths, t, most, kept))
+    return now.join(roots, label == F.col("node"), "left").select(F.col("fp").alias("node"), F.coalesce("root", "label", "fp").alias("root")).distinct()
+
+
+def _round(now: DataFrame, distance: int, widths: list[int], t: int, most: int, kept: DataFrame | None, homes_of: Sequence[int] | None = None) -> DataFrame:
+    """Links between labels, with those kept: from the homes in some blocks or, without them, from all anchors."""
+    whole = homes_of is None
+    rows = spread_hot(replicate(now, widths, t, homes_of, not whole), most, whole)
     dealt = rows.repartition("anchor", "part").sortWithinPartitions("anchor", "part", F.desc("home"))
     found = compare(dealt, distance)
-    return components(saved(found.unionByName(also) if also is not None else found, "links"))
+    return saved(found.unionByName(kept) if kept is not None else found, "links")
 
 
 def block_widths(bits: int, blocks: int) -> list[int]:
     return [bits // blocks + (k < bits % blocks) for k in range(blocks)]
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, blocks: int = 3, most: int = 20_000) -> DataFrame:
+#: What a replica costs (made, shuffled, sorted) in comparisons of two fingerprints.
+REPLICA = 150
+
+
+def cost(n: int, blocks: int, bits: int, t: int) -> float:
+    """Of linking n fingerprints, per fingerprint: replicas in all blocks of `bits` bits, and comparisons at its homes if anchors are used evenly."""
+    replicas = blocks * sum(comb(bits, k) for k in range(t + 2)) / (HAMMING + 1)
+    return replicas * (REPLICA + n * (HAMMING + 1) / (1 << bits))
+
+
+def cheapest_blocks(n: int, bits: int, distance: int) -> int:
+    """Number of blocks for an exact search among n fingerprints: fewer and wider ones for more."""
+    fits = [b for b in range(1, bits + 1) if bits // b >= HAMMING and -(-bits // b) <= 40]
+    return min(fits, key=lambda b: cost(n, b, bits // b, distance // b))
+
+
+def cheapest_cover(n: int, apart: float = 0.15, missed: float = 0.02) -> tuple[int, int]:
+    """(blocks, bits of each) for n fingerprints: at most `missed` of the pairs whose bits differ with probability `apart` have no block with one differing bit at most."""
+    some = {w: ceil(log(missed) / log(1 - (1 - apart) ** w - w * apart * (1 - apart) ** (w - 1))) for w in range(18, 41, 4)}
+    w = min(some, key=lambda w: cost(n, some[w], w, 1))
+    return some[w], w
+
+
+def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, blocks: int | None = None, most: int = 20_000) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the least doc_id reachable over links of at most `distance` of 64 bits.
 
+    Any number of blocks gives the same links; without one the cheapest for the number of fingerprints is taken.
+
     Null and empty texts have fingerprint 0 and are linked like others. Rows with a null doc_id take part but
     name no component; a component of such rows only has a null id. Repeated doc_ids are rows of their own.
     An empty table gives no rows; columns other than doc_id and text are not used.
     """
-    if not 0 <= distance < 16 or blocks < 1:
+    if not 0 <= distance < 16 or blocks is not None and blocks < 1:
         raise ValueError("distance or blocks out of range")
     marked = saved(fingerprints(docs, width).select("doc_id", "fp"), "fingerprints")
     fps = saved(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
+    blocks = blocks or cheapest_blocks(fps.count(), 64, distance)
     roots = linked(fps.withColumn("more", F.array().cast("array<long>")), distance, block_widths(64, blocks), distance // blocks, most)
     grouped = saved(fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "roots")
     firsts = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -423,26 +553,28 @@ def verified(texts: DataFrame, width: int, most: int) -> DataFrame:
     return sets.groupBy("root", "part").applyInArrow(run, "a long, b long")
 
 
-def one_of_similar(docs: DataFrame, width: int = 5, blocks: int = 16, block_bits: int = 18, t: int = 1, distance: int = 27, most: int = 5_000_000) -> DataFrame:
+def one_of_similar(docs: DataFrame, width: int = 5, distance: int = 27, most: int = 5_000_000) -> DataFrame:
     """The rows of docs that stay when one row of each group of similar texts is kept: the one of least doc_id (nulls last).
 
     Texts are similar at a Jaccard similarity of 0.8 or more of their sets of `width`-word shingles, and groups are
     the components of such pairs. Fingerprints of the sets only name candidates: two texts of that similarity differ
-    in 15 % of the bits, far more than 64 bits and a whole covering could find. The fingerprint has blocks x
-    block_bits bits here, and texts meet at the anchors of any block in which they differ in at most t bits: at a
-    similarity of 0.8 in 98 % of the cases, at 0.83 in 99 %. Of those that meet, texts are candidates that differ in
+    in 15 % of the bits, far more than 64 bits and a whole covering could find. The fingerprint has blocks of 18
+    bits or more here, and texts meet at the anchors of any block in which they differ in at most one bit: at a
+    similarity of 0.8 in 98 % of the cases, at 0.83 in 99 %, since more documents take more and wider blocks
+    (cheapest_cover). Of those that meet, texts are candidates that differ in
     at most `distance` of the first 128 bits (97 % at 0.8, 99.8 % at 0.85, 1 in 10 at 0.55). Within a component of
     candidates all pairs are compared on their whole sets. Sets of at most FEW shingles are also candidates if they have
     a hash of their prefixes in common, which names all their pairs; texts without words are candidates of none.
-    Larger corpora take more and wider blocks. Texts without words are similar to each other only; null ids and
+    Texts without words are similar to each other only; null ids and
     repeated rows are judged like others, columns pass through whatever their names, and an empty table stays empty.
     """
-    longs = -(-max(128, blocks * block_bits) // 64)
+    blocks, bits = cheapest_cover(docs.count())
+    longs = -(-max(128, blocks * bits) // 64)
     whole = docs.select(F.col("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     marked = saved(set_fingerprints(whole, width, longs).withColumn("at", F.monotonically_increasing_id()), "marked-documents")
     least = F.min(F.struct(F.col("row.doc_id").isNull(), F.col("row.doc_id").alias("doc_id"), "at")).alias("least")
     sets = saved(marked.groupBy("key", "n").agg(F.min("fp").alias("fp"), F.min("more").alias("more"), F.min("prefix").alias("prefix"), least), "distinct-sets")
-    roots = linked(sets.where("n > 0").select("fp", "more").distinct(), distance, [block_bits] * blocks, t, also=prefix_links(sets))
+    roots = linked(sets.where("n > 0").select("fp", "more").distinct(), distance, [bits] * blocks, 1, also=prefix_links(sets))
     rooted = saved(sets.join(roots, F.col("fp") == F.col("node"), "left").select("key", "n", "least", F.coalesce("root", "fp").alias("root")), "candidates")
     several = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("keys")).where(F.col("keys") > 1).select("root")
     members = rooted.join(several, "root", "left_semi").select("root", "key", "n", F.col("least.at").alias("at"))

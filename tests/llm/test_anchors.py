@@ -96,13 +96,13 @@ def test_links_are_all_found(spark):
 def test_dense_groups_use_the_forest():
     fps = np.array(near_rows(200, 2, 3), dtype=np.uint64)
     fps2 = np.stack([fps, np.zeros_like(fps)], axis=1)
-    a, b = anchors.forest(fps2, 4)
+    a, b = anchors.forest(fps2, fps, 4)
     want = brute_components(range(len(fps)), fps.tolist(), 4)
     groups = {int(f): w for f, w in zip(fps, want)}
     assert all(groups[int(x)] == groups[int(y)] for x, y in zip(a, b))
     assert len(a) == len({int(f) for f in fps}) - len({*groups.values()})
     starts, homes = np.array([0]), np.ones(len(fps), dtype=bool)
-    sparse = {frozenset(p) for x, y in anchors.compare_groups(starts, fps2, homes, 4, dense=500_000) for p in zip(x.tolist(), y.tolist())}
+    sparse = {frozenset(p) for x, y in anchors.compare_groups(starts, fps2, fps, homes, 4, dense=500_000) for p in zip(x.tolist(), y.tolist())}
     assert sparse == {frozenset((int(x), int(y))) for x in fps for y in fps if x != y and bin(int(x) ^ int(y)).count("1") <= 4}
 
 
