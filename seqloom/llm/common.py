@@ -51,6 +51,19 @@ def crc_mod(doc_id: Column | str, n: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def hash_fraction(h: Column) -> Column:
+    """A 64-bit hash as a number from 0 to 1."""
+    return F.shiftrightunsigned(h, 11) / float(1 << 53)
+
+
+def least_share(n: Column, most: int, error: float = 0.0) -> Column:
+    """Share of n evenly spread hashes below which the `most` least ones lie, but for a chance of about 10^-9.
+
+    n may be wrong by the factor 1 + error. The rows below the share are few, so they can be ranked.
+    """
+    return (most + 6 * most**0.5 + 32) * (1 + error) / n
+
+
 def gapless_ranks(df: DataFrame, group: str, ids: list[str], spread: int = 64) -> DataFrame:
     """Adds `rank`, gapless from 0 within `group`, to rows told apart by `ids` only.
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import crc_mod, saved, table
+from .common import crc_mod, hash_fraction, least_share, saved, table
 from .words import segments
 
 SPAN, DECAY, FLOOR, LONGEST, TOP = 6, 0.7, 0.15, 16, 3
@@ -245,12 +245,21 @@ def kernel_of(names: list[str]) -> np.ndarray:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
-    """(text, toxic) of at most per_class labelled rows of either class. Ids choose the rows and go no further."""
+    """(text, toxic) of at most per_class labelled ids of either class, one text an id. Ids choose the rows and go no further.
+
+    A share of the hashes that holds the per_class least ones is cut off before they are ranked, so no task gets a whole
+    class. Of repeated ids the text of least hash counts (null texts last), so a hot id is one row, too.
+    """
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"))
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    some = known.withColumn("at", F.row_number().over(order)).where(F.col("at") <= per_class).select("doc_id", "toxic")
-    some = saved(some, "toxicity-sample")
-    return saved(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "toxic"), "toxicity-texts")
+    sizes = known.groupBy(F.col("toxic").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    h = F.xxhash64("doc_id")
+    near = known.join(F.broadcast(sizes), F.col("toxic") == F.col("kind")).where(hash_fraction(h) < least_share(F.col("n"), per_class))
+    order = Window.partitionBy("toxic").orderBy(hash_fraction(h), h, "doc_id")
+    some = saved(near.withColumn("at", F.row_number().over(order)).where(F.col("at") <= per_class).select("doc_id", "toxic"), "toxicity-sample")
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    own = F.struct(F.col("text").isNull(), F.xxhash64("text"))
+    one = rows.groupBy("doc_id", "toxic").agg(F.min_by("text", own).alias("text"))
+    return saved(one.select("text", "toxic"), "toxicity-texts")
 
 
 def choose_landmarks(sample: DataFrame, toxic: int, clean: int, candidates: int = 600) -> list[str]:
