@@ -20,16 +20,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import crc_mod, saved, table
+from .common import crc_mod, hash_fraction, least_share, saved, table
 
 UNKNOWN = "und"
 
 
-def sample_by_label(rows: DataFrame, label: str, texts: int, chars: int) -> DataFrame:
-    """(label, rank, text): of each label the `texts` different texts of least hash, cut to `chars` code points. No text is shuffled."""
+def sample_by_label(rows: DataFrame, label: str, texts: int, chars: int, sizes: dict[str, int]) -> DataFrame:
+    """(label, rank, text): of each label the `texts` different texts of least hash, cut to `chars` code points. No text is shuffled.
+
+    sizes are the labels' numbers of different texts, within a tenth: a share of the hashes that holds the least ones
+    is cut off before they are ranked, so no task gets a whole language.
+    """
     hashed = rows.where(F.col("text").isNotNull() & F.col(label).isNotNull()).select(F.col(label).alias("label"), F.xxhash64("text").alias("h"), "text")
-    order = Window.partitionBy("label").orderBy("h")
-    chosen = hashed.groupBy("label", "h").agg(F.count(F.lit(1)).alias("n")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= texts)
+    counts = rows.sparkSession.createDataFrame([*sizes.items()], "kind string, n long")
+    near = hashed.join(F.broadcast(counts), F.col("label") == F.col("kind")).where(hash_fraction(F.col("h")) < least_share(F.col("n"), texts, 0.2))
+    order = Window.partitionBy("label").orderBy(hash_fraction(F.col("h")), "h")
+    chosen = near.select("label", "h").distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= texts)
     chosen = saved(chosen.select("label", "h", "rank"), "language-sample")
     start = F.pmod(F.col("h"), F.greatest(F.char_length("text") - chars, F.lit(0)) + 1) + 1
     cut = hashed.join(F.broadcast(chosen), ["label", "h"]).select("label", "rank", F.col("text").substr(start.cast("int"), F.lit(chars)).alias("text"))
@@ -37,13 +43,32 @@ def sample_by_label(rows: DataFrame, label: str, texts: int, chars: int) -> Data
 
 
 def dictionaries(rows: DataFrame, label: str = "lang", sample_texts: int = 256, sample_chars: int = 2000, dictionary_bytes: int = 65_536) -> dict[str, bytes]:
-    """Raw dictionaries in order of preference at ties. rows: text and label."""
-    counts = {r["label"]: r["n"] for r in rows.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    """Raw dictionaries in order of preference at ties. rows: text and label.
+
+    Each sampled text has an equal part of the dictionary: what short ones leave goes to the longer ones.
+    """
+    named = rows.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("label"))
+    sizes = named.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("texts")).collect()
+    counts = {r["label"]: r["n"] for r in sizes}
+    if not counts:
+        return {}
     parts: dict[str, list[tuple[int, bytes]]] = {k: [] for k in counts}
-    for r in sample_by_label(rows, label, sample_texts, sample_chars).collect():
+    for r in sample_by_label(rows, label, sample_texts, sample_chars, {r["label"]: max(1, r["texts"]) for r in sizes}).collect():
         parts[r["label"]].append((r["rank"], normal(r["text"]).encode()))
     order = sorted(counts, key=lambda k: (-counts[k], k))
-    return {k: b"\n".join(t for _, t in sorted(parts[k]))[:dictionary_bytes] for k in order}
+    return {k: b"\n".join(even_parts([t for _, t in sorted(parts[k])], dictionary_bytes)) for k in order}
+
+
+def even_parts(texts: list[bytes], size: int) -> list[bytes]:
+    """Beginnings of the texts, as long as each other where the texts reach, of `size` bytes in all with a line end after each but the last."""
+    room, bound = size - len(texts) + 1, 0
+    for k, n in enumerate(sorted(map(len, texts))):
+        left = len(texts) - k
+        bound = room // left
+        if n > bound:
+            break
+        room, bound = room - n, n
+    return [t[: max(0, bound)].decode("utf-8", "ignore").encode() for t in texts]
 
 
 def normal(text: str) -> str:
