@@ -98,6 +98,22 @@ def test_search_is_exact(spark):
     assert ms.search(df.limit(0), ms.F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_long_vectors_are_searched_exactly(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=2048)
+    vectors = [(k, (base + rng.normal(size=2048) * 1e-3).astype(np.float32).tolist()) for k in range(120)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    got = {}
+    for r in ms.search(df, ms.F.col("vec_id") % 20 == 0, 20, vector_rows=50).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    want = brute(vectors, lambda i: i % 20 == 0, 20)
+    assert {q: sorted(x) for q, x in got.items()} == {q: one[0] for q, one in want.items()}
+    codes = rng.integers(-127, 128, (9, 9000)).astype(np.int8)
+    assert (ms.code_products(codes, codes) == codes.astype(np.int64) @ codes.astype(np.int64).T).all()
+    full = np.full((2, 5000), 127, np.int8)
+    assert (ms.code_products(full, full) == 127 * 127 * 5000).all()
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(1)
     q, x = rng.normal(size=(20, 64)) * 10.0 ** rng.integers(-3, 4, (20, 1)), rng.normal(size=(300, 64)) * 10.0 ** rng.integers(-3, 4, (300, 1))
