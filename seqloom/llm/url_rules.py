@@ -2,9 +2,9 @@
 
 Labelled URLs become sets of tokens (host labels, path segments with numbers as one token, query keys). FP-growth
 mines frequent token sets together with the label; rules `tokens -> block` are kept by confidence, support
-and lift, and pruned where a subset of their tokens already reaches their confidence. An inverted index from a token
-to the rules that hold it matches them: a rule fires for a URL that holds all its tokens. Pages are labelled
-by the row of `labels` with their id: block if it is toxic.
+(as a share and as a count), lift and significance, and pruned where a subset of their tokens already reaches their
+confidence. An inverted index from a rule's rarest token matches them: a rule fires for a URL that holds all its
+tokens. Pages are labelled by the row of `labels` of their key: block if it is toxic.
 """
 
 from __future__ import annotations
@@ -54,40 +54,77 @@ def tokens_of(url: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(host, segments, keys), lambda x: F.length(x) > 2))
 
 
-def mine(rows: DataFrame, min_support: float = 0.005, min_confidence: float = 0.6, min_lift: float = 1.5) -> DataFrame:
-    """(rule_id, tokens, confidence, support) from rows (tokens, blocked), by FP-growth."""
+def document_of(url: Column) -> Column:
+    """The number of the path's second segment, which names the document a page was made of; null if there is none."""
+    return F.regexp_extract(path_of(url), r"^/[^/]*/([0-9]{1,18})(?![0-9])", 1).try_cast("long")
+
+
+def _rarest(rules: DataFrame, counts: DataFrame) -> DataFrame:
+    """rules with `token`: the one of its tokens that counts (token, n) has the fewest of."""
+    each = rules.select("rule_id", F.explode("tokens").alias("token")).join(counts, "token", "left")
+    chosen = each.groupBy("rule_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "token")).alias("least"))
+    return rules.join(chosen, "rule_id").withColumn("token", F.col("least.token")).drop("least")
+
+
+def mine(rows: DataFrame, min_support: float = 0.005, min_confidence: float = 0.6, min_lift: float = 1.5, min_count: int = 10, min_z: float = 4.0) -> DataFrame:
+    """(rule_id, tokens, confidence, support) from rows (tokens, blocked), by FP-growth.
+
+    A rule needs min_count blocked rows, however few rows there are, and more of them than chance gives: its
+    confidence lies min_z standard errors above the share of blocked rows. A rule goes if some of its tokens alone reach its
+    confidence; such pairs are found by the rarest token of the smaller one.
+    """
     items = saved(rows.select(F.when(F.col("blocked"), F.concat("tokens", F.array(F.lit(BLOCK)))).otherwise(F.col("tokens")).alias("items")), "url-items")
     empty = rows.sparkSession.createDataFrame([], "rule_id long, tokens array<string>, confidence double, support double")
-    if items.isEmpty():
+    total = items.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.array_contains("items", BLOCK)).alias("bad")).first()
+    n, bad = total["n"], total["bad"]
+    if bad < min_count or bad == n:
         return empty
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
+    model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_count / n), minConfidence=min_confidence).fit(items)
     found = model.associationRules.where(F.array_contains("consequent", BLOCK) & (F.size("consequent") == 1) & (F.col("lift") >= min_lift))
+    share = bad / n
+    z = (F.col("confidence") - share) / F.sqrt(share * (1 - share) * F.col("confidence") / (F.col("support") * n))
+    found = found.where((F.round(F.col("support") * n) >= min_count) & (z >= min_z))
     found = saved(found.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support").withColumn("rule_id", F.xxhash64("tokens")), "url-rules")
-    narrow = found.alias("a").join(found.select(F.col("rule_id").alias("other"), F.col("tokens").alias("fewer"), F.col("confidence").alias("sure"), F.explode("tokens").alias("token")).alias("b"), F.array_contains("a.tokens", F.col("b.token")))
-    implied = narrow.where((F.size("fewer") < F.size("tokens")) & (F.size(F.array_except("fewer", "tokens")) == 0) & (F.col("sure") >= F.col("a.confidence"))).select("rule_id").distinct()
+    each = found.select("rule_id", "tokens", "confidence", F.explode("tokens").alias("token"))
+    smaller = _rarest(found, each.groupBy("token").agg(F.count(F.lit(1)).alias("n")))
+    smaller = smaller.select("token", F.col("tokens").alias("fewer"), F.col("confidence").alias("sure"))
+    narrow = each.join(smaller, "token").where((F.size("fewer") < F.size("tokens")) & (F.col("sure") >= F.col("confidence")))
+    implied = narrow.where(F.size(F.array_except("fewer", "tokens")) == 0).select("rule_id").distinct()
     return found.join(implied, "rule_id", "left_anti").select("rule_id", "tokens", "confidence", "support")
 
 
-def match(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """(page_row, rule_ids) of the pages (page_row, tokens) in which rules fire, by the index token -> rules."""
-    index = rules.select(F.explode("tokens").alias("token"), "rule_id", F.size("tokens").alias("need"))
-    held = pages.select("page_row", F.explode("tokens").alias("token"))
-    met = held.join(index, "token").groupBy("page_row", "rule_id").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need"))
-    return met.where(F.col("n") == F.col("need")).groupBy("page_row").agg(F.array_sort(F.collect_set("rule_id")).alias("rule_ids"))
+def match(pages: DataFrame, rules: DataFrame, salts: int = 16) -> DataFrame:
+    """(page_row, rule_ids) of the pages (page_row, tokens) in which rules fire.
+
+    The index holds each rule once, under the one of its tokens that the fewest pages have. Pages look up all their
+    tokens and check the rest of what they find. Tokens are salted, so that a common one is no single task.
+    """
+    known = rules.select(F.explode("tokens").alias("token")).distinct()
+    held = pages.select("page_row", "tokens", F.explode("tokens").alias("token"))
+    counts = held.join(known, "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    index = _rarest(rules, counts).select("token", "rule_id", F.col("tokens").alias("needs"))
+    index = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = held.withColumn("salt", F.pmod(F.xxhash64("page_row"), F.lit(salts)).cast("int"))
+    met = dealt.join(index, ["token", "salt"]).where(F.size(F.array_except("needs", "tokens")) == 0)
+    return met.groupBy("page_row").agg(F.array_sort(F.collect_set("rule_id")).alias("rule_ids"))
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules: tuple = RULES, **mining: float) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, rules: tuple = RULES, key: Column | None = None, **mining: float) -> DataFrame:
     """(page_id, host, path, rule, verdict, mined) of every row of pages.
 
+    key is what joins a page to `labels.doc_id` (page_id if none is given); rows of labels with the same id count as
+    one, toxic if any is.
+
     mined holds the fired rules of pages that no fixed rule decides: with one or more the verdict is block, else
     allow. Null URLs and URLs without :// have an empty host and path and no rule. Null or repeated ids are rows
     of their own; only ids with a label are learnt from. Without labels, or with an empty table, nothing is mined.
     """
     url = F.col("url")
-    read = pages.select(F.col("page_id").cast("long").alias("page_id"), url).select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), tokens_of(url).alias("tokens"))
+    own = F.col("page_id").cast("long") if key is None else key
+    read = pages.select(F.col("page_id").cast("long").alias("page_id"), own.alias("label_id"), url).select("page_id", "label_id", host_of(url).alias("host"), path_of(url).alias("path"), tokens_of(url).alias("tokens"))
     rows = saved(read.withColumn("fixed", fixed_rule(F.col("host"), F.col("path"), rules)).withColumn("page_row", F.monotonically_increasing_id()), "url-pages")
     known = labels.where("toxic IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).alias("blocked"))
-    mined = saved(mine(rows.join(known, rows["page_id"] == known["doc_id"]).select("tokens", "blocked"), **mining), "url-mined")
+    mined = saved(mine(rows.join(known, rows["label_id"] == known["doc_id"]).select("tokens", "blocked"), **mining), "url-mined")
     base = rows.select("page_row", "page_id", "host", "path", "fixed")
     if mined.isEmpty():
         out = base.withColumn("rule_ids", F.lit(None).cast("array<long>"))
@@ -97,5 +134,5 @@ def judge(pages: DataFrame, labels: DataFrame, rules: tuple = RULES, **mining: f
 
 
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdicts for all pages."""
-    return judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")).drop("mined")
+    """Verdicts for all pages. A page's label is that of the document whose number its path holds: their languages agree, which page_id's do not."""
+    return judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), key=document_of(F.col("url"))).drop("mined")

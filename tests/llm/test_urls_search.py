@@ -60,12 +60,35 @@ def test_mined_rules_are_the_counted_ones(spark):
     for n in range(1, 7):
         for some in combinations(tokens, n):
             held = [b for s, b in data if s.issuperset(some)]
-            if sum(held) >= 0.005 * len(data) and sum(held) / len(held) >= 0.6 and sum(held) / len(held) / share >= 1.5:
+            if sum(held) >= max(10, 0.005 * len(data)) and sum(held) / len(held) >= 0.6 and sum(held) / len(held) / share >= 1.5 and (sum(held) / len(held) - share) / (share * (1 - share) / len(held)) ** 0.5 >= 4:
                 counted[some] = sum(held) / len(held)
     kept = {s: c for s, c in counted.items() if not any({*o} < {*s} and d >= c for o, d in counted.items())}
     assert mined.keys() == kept.keys() and all(abs(mined[s] - kept[s]) < 1e-9 for s in kept)
 
 
+def test_few_rows_are_no_evidence(spark):
+    rows = [(["h:a", f"p:{k % 9}"], k < 9) for k in range(90)]
+    assert ur.mine(spark.createDataFrame(rows, "tokens array<string>, blocked boolean")).count() == 0
+    chance = [([f"h:{k % 3}", f"p:{k % 7}"], k % 5 < 3) for k in range(2100)]  # every set is blocked as often as all are
+    assert ur.mine(spark.createDataFrame(chance, "tokens array<string>, blocked boolean"), min_lift=0.5).count() == 0
+
+
+def test_verdicts_of_mined_rules_against_brute_force(spark):
+    rng = np.random.default_rng(2)
+    rules = [(1, ["h:a", "p:x"]), (2, ["q:z"]), (3, ["h:a", "h:b", "p:y"]), (4, ["never"])]
+    names = ["h:a", "h:b", "p:x", "p:y", "q:z", "h:com"]
+    pages = [(k, ["h:com", *[t for t in names[:5] if rng.random() < 0.4]]) for k in range(200)]
+    got = {r["page_row"]: r["rule_ids"] for r in ur.match(spark.createDataFrame(pages, "page_row long, tokens array<string>"), spark.createDataFrame(rules, "rule_id long, tokens array<string>")).collect()}
+    want = {k: [i for i, need in rules if {*need} <= {*t}] for k, t in pages}
+    assert got == {k: v for k, v in want.items() if v}
+
+
+def test_documents_named_by_urls(spark):
+    urls = ["http://a.com/en/12?x=1", "http://a.com/en/12/", "http://a.com/en/12.html", "http://a.com/en/x12", "http://a.com/12", None, "http://a.com/en/" + "9" * 40, "http://" + "a" * 200_000 + ".com/en/7" + "/b" * 100_000]
+    rows = spark.createDataFrame([(u,) for u in urls], "url string").select(ur.document_of(ur.F.col("url")).alias("d")).collect()
+    assert [r["d"] for r in rows] == [12, 12, 12, None, None, None, None, 7]
+
+
 def brute(vectors, asked, k):
     out = {}
     for i, (q, e) in enumerate(vectors):
