@@ -3,7 +3,7 @@
 An item of m characters that occurs in a text with at most e edits shares at least m - q + 1 - q e character
 q-grams with it, all of them on e + 1 neighbouring diagonals (text place minus item place). For each item and
 band of 2 (e + 1) diagonals, bands overlapping by half, shared q-grams are counted; bands that reach the bound
-are verified by a banded alignment that may begin and end anywhere in the text. e is `rate` of the item's
+are verified by an alignment on their diagonals alone that may begin and end anywhere on them. e is `rate` of the item's
 length, but never so much that the bound falls below 1.
 
 Texts and items are lower-cased and runs of white space are one space. Items of fewer than q characters match
@@ -74,7 +74,7 @@ class Items:
         self.seen[self.keys >> np.uint64(64 - BITS)] = True
 
     def bands(self, chars: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(item, first, end) parts of chars that reach an item's bound."""
+        """(item, first diagonal, number of diagonals) of the bands that reach an item's bound. All the diagonals of an occurrence within the budget lie in one of them."""
         hashes = gram_hashes(chars, self.q)
         at = np.flatnonzero(self.seen[hashes >> np.uint64(64 - BITS)])
         if not len(at) or not len(self.keys):
@@ -91,43 +91,49 @@ class Items:
         for x in found[hits >= self.least[found >> 40]].tolist():
             k, b = x >> 40, (x & (1 << 40) - 1) - (1 << 39)
             w = int(self.edits[k]) + 1
-            lo, hi = b * w - w, (b + 2) * w + len(self.chars[k]) + w
-            yield k, max(lo, 0), min(hi, len(chars))
+            yield k, b * w, 2 * w
 
     def matches(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item id, edits, start, length) in the normalised text: the best place of every item in it."""
         chars, best = points(text), {}
-        for k, lo, hi in self.bands(chars):
-            whole = text.find(self.texts[k], lo, hi)
-            got = (0, whole - lo, whole - lo + len(self.texts[k])) if whole >= 0 else align(self.chars[k], chars[lo:hi], int(self.edits[k]))
-            if got:
-                one = (got[0], lo + got[1], got[2] - got[1])
+        for k, first, width in self.bands(chars):
+            size = len(self.texts[k])
+            whole = text.find(self.texts[k], max(first, 0), max(first + width - 1 + size, 0))
+            one = (0, whole, size) if whole >= 0 else align(self.chars[k], chars, int(self.edits[k]), first, width)
+            if one:
                 best[k] = min(one, best.get(k, one))
         out = [(self.ids[k], *one) for k, one in best.items()]
         padded = f" {text} "
         return out + [(i, 0, padded.find(f" {t} "), len(t)) for i, t in self.short if f" {t} " in padded]
 
 
-def align(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int, int] | None:
-    """(edits, start, end) of the item's best place in text, if it takes `most` edits at most; earliest end, then latest start.
+def align(item: np.ndarray, text: np.ndarray, most: int, first: int, width: int) -> tuple[int, int, int] | None:
+    """(edits, start, length) of the item's best place in text on the diagonals (text place minus item place) from first on, if it takes `most` edits at most; earliest end, then latest start.
 
-    A row per character of the item, a column per place of the band; the start is carried along the best path.
+    A row per character of the item, a column per diagonal; the start is carried along the best path. Memory and work
+    are those of the band, however long the text is.
     """
-    n = len(text)
-    cost, begin, steps = np.zeros(n + 1, dtype=np.int64), np.arange(n + 1), np.arange(n + 1)
+    n, far = len(text), 1 << 30
+    steps = np.arange(width)
+    place = first + steps  # in the text, of the row that is being left
+    cost, begin = np.where((place >= 0) & (place <= n), 0, far), place.copy()
     scale = n + 2
-    for c in item:
-        swap = cost[:-1] + (text != c)
-        up, left = cost + 1, begin
-        take = swap <= up[1:]
-        cost = np.concatenate([up[:1], np.where(take, swap, up[1:])])
-        begin = np.concatenate([left[:1], np.where(take, left[:-1], left[1:])])
-        packed = np.minimum.accumulate((cost - steps) * scale + (n + 1 - begin))
-        cost, begin = packed // scale + steps, n + 1 - packed % scale
+    padded = text[max(first, 0) : max(first + width + len(item), 0)]
+    padded = np.concatenate([np.full(min(max(-first, 0), width + len(item)), far, dtype=np.int64), padded.astype(np.int64)])
+    padded = np.concatenate([padded, np.full(width + len(item) - len(padded), far, dtype=np.int64)])
+    for i, c in enumerate(item):
+        swap = cost + (padded[i : i + width] != c)
+        up, left = np.append(cost[1:] + 1, far), np.append(begin[1:], 0)
+        take = swap <= up
+        cost, begin = np.where(take, swap, up), np.where(take, begin, left)
+        place = place + 1
+        inside = (place >= 0) & (place <= n)
+        packed = np.minimum.accumulate((np.where(inside, cost, far) - steps) * scale + (n + 1 - begin))
+        cost, begin = np.where(inside, packed // scale + steps, far), n + 1 - packed % scale
         if cost.min() > most:
             return None
-    end = int(cost.argmin())
-    return (int(cost[end]), int(begin[end]), end) if cost[end] <= most else None
+    at = int(cost.argmin())
+    return (int(cost[at]), int(begin[at]), int(place[at] - begin[at])) if cost[at] <= most else None
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 12, rate: float = 0.05, slice_bytes: int = 16_000_000) -> DataFrame:

@@ -76,6 +76,51 @@ def test_places_and_short_items():
     assert index.matches("") == []
 
 
+def test_alignment_keeps_to_its_band():
+    rng = random.Random(11)
+    for _ in range(150):
+        item, text = words(rng, 4), words(rng, 6)
+        text = text[: rng.randrange(len(text))] + edited(rng, item, rng.randint(0, 3)) + text
+        a, b = dc.points(item), dc.points(text)
+        whole = dc.align(a, b, 99, -len(item), len(text) + len(item) + 1)
+        assert whole[0] == distance_in(item, text)
+        near = text[whole[1] : whole[1] + whole[2]]
+        assert max(distance_in(item, near), distance_in(near, item)) <= whole[0]
+        first, width = whole[1] - whole[0], 2 * whole[0] + 1  # the path cannot leave these diagonals
+        assert dc.align(a, b, 99, first, width)[0] == whole[0] and dc.align(a, b, whole[0] - 1, first, width) is None
+
+
+def test_very_long_texts():
+    item = "one two three four five six seven eight nine ten eleven"
+    index = dc.Items([(1, item)], 12, 0.05)
+    text = "filler words " * 200_000 + item.replace("six", "sax") + " more" * 100_000
+    assert index.matches(text) == [(1, 1, 13 * 200_000, len(item))]
+
+
+def test_languages_against_plain_compression(spark):
+    import zstandard
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 150")
+    raw = language.dictionaries(docs)
+    assert sorted(raw) == ["de", "en", "es", "fr"] and all(1000 < len(d) <= 65_536 for d in raw.values())
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(docs, raw).collect()}
+    for r in docs.collect():
+        text = "".join(c if c.isalpha() else " " for c in r["text"].lower())
+        data, total = " ".join(text.split()).encode(), {}
+        for name, d in raw.items():
+            coder = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+            total[name] = sum(len(coder.compress(data[k : k + 2048])) for k in range(0, len(data), 2048))
+        assert got[r["doc_id"]] == (min([*raw], key=total.get) if data else "und")
+
+
+def test_every_sampled_text_is_in_the_dictionary():
+    texts = [b"a" * 10, b"b" * 1000, "é".encode() * 600, b""]
+    parts = language.even_parts(texts, 213)
+    assert parts[0] == texts[0] and parts[3] == b"" and len(parts[1]) == 100 and len(parts[2]) == 100
+    assert len(b"\n".join(parts)) == 213
+    assert language.even_parts(texts[:2], 9999) == texts[:2] and language.even_parts([], 10) == []
+
+
 def test_contaminated_frames(spark):
     docs = spark.createDataFrame([(1, "x " * 50 + "one two three four five six seven eight nine ten " + "y " * 50), (None, "one two three four five six seven eight nine ten"), (3, None), (4, ""), (5, "clean text of no interest at all, none")], "doc_id long, text string").withColumn("edits", dc.F.lit(1))
     items = spark.createDataFrame([(9, "ONE two three four five six seven eight nine ten"), (8, None), (7, "never seen anywhere in any of the documents")], "item_id long, text string")
