@@ -33,11 +33,16 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and reads it back: lineage ends here and survives lost executors."""
+def stored(df: DataFrame, label: str, *partition_by: str) -> str:
+    """Writes df as a Parquet table in the shared folder; its path."""
     path = shared_dir(df.sparkSession, label)
     df.write.partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
+
+
+def saved(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
+    """Writes df as a Parquet table in the shared folder and reads it back: lineage ends here and survives lost executors."""
+    return df.sparkSession.read.schema(df.schema).parquet(stored(df, label, *partition_by))
 
 
 def ascii_lower(text: Column) -> Column:

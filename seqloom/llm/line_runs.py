@@ -2,9 +2,10 @@
 
 A run is a Parquet table (h, n) sorted by h within its files: h is the XXH64 of a line's key, n the
 number of documents of the run's batches that hold it. A new batch is counted, merge-anti-joined
-against the sealed run (keys already known to be frequent need no more counting) and becomes a run of
+against the sealed runs (keys already known to be frequent need no more counting) and becomes a run of
 level 0. `fanout` runs of a level are merged into one of the next; keys that reach the bound there
-are moved to the sealed run. Runs cost 16 bytes per distinct line and no text.
+are moved to a sealed run. Runs cost 16 bytes per distinct line and no text. Parquet does not tell Spark
+that a run is sorted, so a merge deals and sorts its 16 bytes a key again.
 
 A key is the line without [\\x20\\x09-\\x0D] at either end and with A-Z lower-cased. Keys are told apart
 by 64 bits: with 10^11 distinct lines and 10^7 frequent keys, 0.05 lines are expected to be dropped
@@ -16,7 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower, saved, table
+from .common import SPACES, ascii_lower, saved, stored, table
+
+
+#: Parts of a hot text's rows where lists are joined.
+SALTS = 16
 
 
 def lines_of(text: Column) -> Column:
@@ -36,49 +41,72 @@ def _hashes(text: Column, min_chars: int) -> Column:
     return F.array_distinct(F.transform(keys, lambda k: F.xxhash64(k)))
 
 
+RUNS = "kind string, level int, path string"
+
+
 class LineRuns:
-    """The levelled runs. add() takes one batch of documents; sealed() gives the frequent keys after all of them."""
+    """The levelled runs. add() takes one batch of documents; sealed() gives the frequent keys after all of them.
+
+    A run is (kind, level, path): `raw` as counted, `merged` with the keys that reached the bound still in it (they are
+    left out when it is read), `sealed` with those keys alone. write() stores the list, from which open() goes on, in the
+    same or in another job.
+    """
 
     def __init__(self, spark: SparkSession, min_docs: int = 10, min_chars: int = 1, fanout: int = 2):
         if min_docs < 1 or fanout < 2:
             raise ValueError("min_docs must be at least 1 and fanout at least 2")
         self.spark, self.min_docs, self.min_chars, self.fanout = spark, min_docs, min_chars, fanout
-        self.levels: list[list[DataFrame]] = [[]]
-        self.frequent: list[DataFrame] = []
+        self.runs: list[tuple[str, int, str]] = []
+
+    def write(self, path: str) -> None:
+        self.spark.createDataFrame(self.runs, RUNS).coalesce(1).write.parquet(path)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, **options: int) -> LineRuns:
+        out = cls(spark, **options)
+        out.runs = sorted(tuple(r) for r in spark.read.schema(RUNS).parquet(path).collect())
+        return out
+
+    def read(self, run: tuple[str, int, str]) -> DataFrame:
+        kind, _, path = run
+        if kind == "sealed":
+            return self.spark.read.schema("h long").parquet(path)
+        rows = self.spark.read.schema("h long, n long").parquet(path)
+        return rows.where(F.col("n") < self.min_docs) if kind == "merged" else rows
+
+    def all_of(self, runs: list[tuple[str, int, str]], schema: str) -> DataFrame:
+        out = self.spark.createDataFrame([], schema)
+        for run in runs:
+            out = out.unionByName(self.read(run))
+        return out
+
+    def frequent(self) -> DataFrame:
+        return self.all_of([r for r in self.runs if r[0] == "sealed"], "h long")
 
     def add(self, docs: DataFrame, text: str = "text") -> None:
+        """Counts a batch's keys but the sealed ones (a merge anti join on the hash) as a run of level 0, and compacts what is due."""
         counted = docs.select(F.explode(_hashes(F.col(text), self.min_chars)).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-        for known in self.frequent:
-            counted = counted.join(known, "h", "left_anti")
-        self._push(0, saved(counted.sortWithinPartitions("h"), "line-run"))
-
-    def _push(self, level: int, run: DataFrame) -> None:
-        if level == len(self.levels):
-            self.levels.append([])
-        self.levels[level].append(run)
-        if len(self.levels[level]) >= self.fanout:
-            runs, self.levels[level] = self.levels[level], []
-            self._push(level + 1, self._merge(runs))
-
-    def _merge(self, runs: list[DataFrame]) -> DataFrame:
-        """One sorted run of several; keys that reach the bound go to the sealed run."""
-        both = runs[0]
-        for run in runs[1:]:
-            both = both.unionByName(run)
-        merged = saved(both.groupBy("h").agg(F.sum("n").alias("n")).sortWithinPartitions("h"), "line-run")
-        self.frequent.append(saved(merged.where(F.col("n") >= self.min_docs).select("h"), "line-sealed"))
-        return merged.where(F.col("n") < self.min_docs)
+        if any(r[0] == "sealed" for r in self.runs):
+            counted = counted.join(self.frequent().hint("merge"), "h", "left_anti")
+        self.runs.append(("raw", 0, stored(counted.sortWithinPartitions("h"), "line-run")))
+        level = 0
+        while len(own := [r for r in self.runs if r[0] != "sealed" and r[1] == level]) >= self.fanout:
+            self._merge(own, level + 1)
+            level += 1
+
+    def _merge(self, runs: list[tuple[str, int, str]], level: int) -> None:
+        """One sorted run of several; keys that reach the bound go to a sealed run."""
+        merged = self.all_of(runs, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).sortWithinPartitions("h")
+        run = ("merged", level, stored(merged, "line-run"))
+        sealed = self.spark.read.schema("h long, n long").parquet(run[2]).where(F.col("n") >= self.min_docs).select("h")
+        self.runs = [r for r in self.runs if r not in runs] + [run, ("sealed", level, stored(sealed, "line-sealed"))]
 
     def sealed(self) -> DataFrame:
-        """Keys found in at least min_docs documents of all batches."""
-        left = [run for level in self.levels for run in level]
-        self.levels = [[]]
-        if left:
-            self._merge(left)
-        out = self.spark.createDataFrame([], "h long")
-        for known in self.frequent:
-            out = out.unionByName(known)
-        return out
+        """Keys found in at least min_docs documents of all batches. Runs that are left are compacted for that."""
+        left = [r for r in self.runs if r[0] != "sealed"]
+        if left and (len(left) > 1 or left[0][0] == "raw"):
+            self._merge(left, max(r[1] for r in left) + 1)
+        return self.frequent()
 
 
 def batches_of(docs: DataFrame, most: int = 4) -> list[DataFrame]:
@@ -91,7 +119,7 @@ def batches_of(docs: DataFrame, most: int = 4) -> list[DataFrame]:
     return [docs.sparkSession.read.schema(docs.schema).parquet(*files[k : k + each]) for k in range(0, len(files), each)]
 
 
-def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, fanout: int = 2, key: str = "doc_id", text: str = "text", batches: list[DataFrame] | None = None) -> DataFrame:
+def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, fanout: int = 2, text: str = "text", batches: list[DataFrame] | None = None, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """All columns of docs, with text rebuilt from the lines that stay, plus _n_lines and _n_dropped.
 
     A line goes, in every document, if its key has at least min_chars code points and is found in at
@@ -99,16 +127,28 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     Rows with a null or repeated key are kept as they are and judged alike. An empty table gives an
     empty table. Other columns pass through whatever their names, but for _n_lines and _n_dropped,
     which are replaced. batches hold the rows of docs in parts; without them docs is dealt by files if it is a plain scan.
+
+    Texts find the frequent keys they hold by their hash, not by an id, so ids of any kind are no hot keys; two texts
+    of one hash would only share keys that are frequent anyway. If these lists are at most broadcast_bytes they go to
+    all and no text is shuffled; else they are joined, copies of a text being salted by the partition they are read in.
     """
     runs = LineRuns(docs.sparkSession, min_docs, min_chars, fanout)
     for batch in batches or batches_of(docs):
         runs.add(batch, text)
     frequent = saved(runs.sealed(), "line-frequent")
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    body, own = F.col(f"row.`{text}`"), F.col(f"row.`{key}`")
-    found = whole.select(own.alias("key"), F.explode(_hashes(body, min_chars)).alias("h"))
-    hits = found.join(frequent, "h", "left_semi").groupBy("key").agg(F.collect_set("h").alias("hits"))
-    lines = whole.join(hits, own.eqNullSafe(F.col("key")), "left").select("row", "hits", lines_of(body).alias("lines"))
+    body = F.col(f"row.`{text}`")
+    found = whole.select(F.xxhash64(body).alias("t"), F.explode(_hashes(body, min_chars)).alias("h"))
+    hits = saved(found.join(frequent, "h", "left_semi").groupBy("t").agg(F.collect_set("h").alias("hits")), "line-hits")
+    size = hits.agg(F.sum(16 + 8 * F.size("hits").cast("long"))).first()[0] or 0
+    own = whole.withColumn("own", F.xxhash64(body))
+    if size <= broadcast_bytes:
+        joined = own.join(F.broadcast(hits), F.col("own") == F.col("t"), "left")
+    else:
+        copies = hits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = own.withColumn("own_salt", F.spark_partition_id() % SALTS)
+        joined = dealt.join(copies, (F.col("own") == F.col("t")) & (F.col("own_salt") == F.col("salt")), "left")
+    lines = joined.select("row", "hits", lines_of(body).alias("lines"))
     hit = lambda x: F.array_contains("hits", key_hash(ascii_lower(x)))
     long_enough = lambda x: F.char_length(F.btrim(x, F.lit(SPACES))) >= min_chars
     kept = F.when(F.col("hits").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~(long_enough(x) & hit(x))))

@@ -51,6 +51,29 @@ def test_filtered_documents_are_one_batch(spark, tmp_path):
     assert line_runs.drop_frequent_lines(few).where("_n_dropped > 0").count() == 0
 
 
+def test_large_lists_are_joined(spark):
+    rows = [(k % 3, f"Shared Line\nown {k}") for k in range(40)] + [(None, "shared line\ncopied")] * 9
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"own": line_runs.F.lit(1), "salt": line_runs.F.lit(2), "t": line_runs.F.lit(3)}).repartition(5)
+    out = line_runs.drop_frequent_lines(df, broadcast_bytes=0)
+    assert out.columns == [*df.columns, "_n_lines", "_n_dropped"]
+    assert sorted([(r["doc_id"], r["_n_lines"], r["_n_dropped"], r["text"]) for r in out.collect()], key=repr) == brute_lines(rows, 10)
+
+
+def test_runs_are_reopened_by_the_next_job(spark, tmp_path):
+    batch = lambda lo, hi: spark.createDataFrame([(k, f"all\n{'some' if k < 12 else 'none'} {k // 12}\nown {k}") for k in range(lo, hi)], "doc_id long, text string")
+    path = None
+    for n, (lo, hi) in enumerate([(0, 7), (7, 14), (14, 21), (21, 30)]):
+        runs = line_runs.LineRuns.open(spark, path, min_docs=10) if path else line_runs.LineRuns(spark, 10)
+        runs.add(batch(lo, hi))
+        path = f"{tmp_path}/runs-{n}"
+        runs.write(path)
+    again = line_runs.LineRuns.open(spark, path, min_docs=10)
+    assert {r[0] for r in again.runs} >= {"merged", "sealed"} and max(r[1] for r in again.runs) == 2
+    keys = {r[0] for r in again.sealed().collect()}
+    h = {t: spark.sql(f"SELECT xxhash64('{t}')").first()[0] for t in ("all", "some 0", "none 1", "own 3")}
+    assert keys == {h["all"], h["some 0"], h["none 1"]}
+
+
 def test_lines_of_an_empty_table(spark):
     assert line_runs.drop_frequent_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -70,6 +93,67 @@ def test_ring_is_balanced_gapless_and_whole(spark):
         assert sorted(r[3] for r in got if r[2] == shard) == list(range(sizes[shard]))
 
 
+def plain_ring(keys, shards, vnodes):
+    """(place, shard) counts: a row at a time, own shards first, then the overflow clockwise."""
+    import xxhash
+
+    nodes = {}
+    for s in range(shards):
+        for v in range(vnodes):
+            nodes.setdefault(xxhash.xxh64_intdigest(f"{s}/{v}".encode(), 42) >> 48, s)
+    circle = [nodes[p % 65536] for p in range(2 * 65536) if p % 65536 in nodes]
+    places = sorted(nodes)
+    room = [len(keys) // shards + (s < len(keys) % shards) for s in range(shards)]
+    got, over = Counter(), []
+    for p in sorted(keys):
+        at = next((k for k, q in enumerate(places) if q >= p), 0)
+        if room[circle[at]]:
+            room[circle[at]] -= 1
+            got[p, circle[at]] += 1
+        else:
+            over.append((p, at))
+    for p, at in over:
+        at = next(k for k in range(at + 1, at + 1 + len(places)) if room[circle[k % len(places)]]) % len(places)
+        room[circle[at]] -= 1
+        got[p, circle[at]] += 1
+    return got
+
+
+def test_ring_against_a_plain_one(spark):
+    keys = [*range(700), *[None] * 150, *[3] * 200]
+    place = {r["k"]: r["p"] for r in spark.createDataFrame([(k,) for k in {*keys}], "k long").selectExpr("k", "shiftrightunsigned(xxhash64(k), 48) AS p").collect()}
+    got = Counter((place[r[0]], r[2]) for r in ring_result(spark, keys, 16))
+    assert got == plain_ring([place[k] for k in keys], 16, 128)
+
+
+def test_ring_carries_columns_of_any_name(spark):
+    names = ["rank", "shard", "slot", "_place", "_copies", "_sub", "_at", "k0"]
+    df = spark.createDataFrame([(k, *[k * 10 + j for j in range(8)]) for k in (1, 2, 2, None) if k] + [(None, *range(8))], "doc_id long, " + ", ".join(f"`{n}` long" for n in names))
+    out = ring.shard_rows(df, "doc_id", names, 3)
+    assert out.columns == ["doc_id", *[n for n in names if n not in ("shard", "slot")], "shard", "slot"]
+    rows = out.collect()
+    assert Counter((r["doc_id"], r["rank"], r["_copies"]) for r in rows) == Counter({(1, 10, 14): 1, (2, 20, 24): 2, (None, 0, 4): 1})
+
+
+def test_op9_of_odd_texts(spark, tmp_path):
+    rows = [(1, None), (2, ""), (2, ""), (None, "é" * 400_000), (5, "x")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = ring.op9_ring_shards(spark, str(tmp_path)).collect()
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter((d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t in rows)
+
+
+def test_texts_longer_than_a_segment_keep_their_ids(spark):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(packing.tokenizer_path(packing.TOKENIZER))
+    text = "some words, é and more. " * 190_000  # above the 4 MB at which texts are cut
+    assert len(text.encode()) > 1 << 22
+    ids = whole.encode(text, add_special_tokens=False).ids + [1]
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = {r["piece"]: (r["start"], r["length"], r["ids_crc32"]) for r in packing.pieces_of(df).collect()}
+    assert got == {k // 4096: (k, len(ids[k : k + 4096]), zlib.crc32(np.array(ids[k : k + 4096], "<u4").tobytes())) for k in range(0, len(ids), 4096)}
+
+
 def test_ring_moves_few_rows_and_handles_few(spark):
     one = {r[0]: r[2] for r in ring_result(spark, range(3000), 16)}
     two = {r[0]: r[2] for r in ring_result(spark, range(3000), 17)}
@@ -143,7 +227,7 @@ def test_op4_takes_several_batches(spark, tmp_path, monkeypatch):
     sizes, merges = [], []
     add, merge = line_runs.LineRuns.add, line_runs.LineRuns._merge
     monkeypatch.setattr(line_runs.LineRuns, "add", lambda self, docs, text="text": sizes.append(docs.count()) or add(self, docs, text))
-    monkeypatch.setattr(line_runs.LineRuns, "_merge", lambda self, runs: merges.append(len(runs)) or merge(self, runs))
+    monkeypatch.setattr(line_runs.LineRuns, "_merge", lambda self, runs, level: merges.append(len(runs)) or merge(self, runs, level))
     got = {r["doc_id"]: (r["n_lines"], r["n_dropped"]) for r in line_runs.op4_line_dedup(spark, str(tmp_path)).collect()}
     assert len(sizes) > 1 and sum(sizes) == 40 and 2 in merges
     assert got == {k: (3, 1 if k < 9 else 2) for k in range(40)}
