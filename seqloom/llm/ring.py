@@ -70,23 +70,28 @@ def route(counts: dict[int, int], n_shards: int, vnodes: int) -> list[tuple[int,
 def shard_rows(df: DataFrame, key: str, others: list[str], n_shards: int = 16, vnodes: int = 128) -> DataFrame:
     """Columns key, *others, shard and slot: one row for each row of df.
 
-    others are the columns to carry besides the key; equal rows are interchangeable. The place is the hash of
-    the key alone; null keys have a place of their own kind like any value. Empty tables give empty results.
-    Hot places and repeated rows are spread over tasks while ranks are counted.
+    others are the columns to carry besides the key, of any names; carried columns named shard or slot are left out for
+    the result's own. Equal rows are interchangeable. The place is the hash of the key alone: null keys share one place,
+    null values in others are carried, and texts, however long, matter only if they are carried. Empty tables give
+    empty results. Hot places and repeated rows are spread over tasks while ranks are counted.
     """
     if n_shards < 1 or vnodes < 1:
         raise ValueError("n_shards and vnodes must be positive")
     spark = df.sparkSession
-    thin = saved(df.select(key, *others, F.shiftrightunsigned(F.xxhash64(key), 64 - PLACES_BITS).alias("_place")), "ring-rows")
+    names = [key, *[c for c in others if c not in ("shard", "slot")]]
+    plain = [f"k{i}" for i in range(len(names))]
+    own = df.select(*[F.col(f"`{c}`").alias(p) for c, p in zip(names, plain, strict=True)])
+    thin = saved(own.withColumn("_place", F.shiftrightunsigned(F.xxhash64("k0"), 64 - PLACES_BITS)), "ring-rows")
     counts = {r["_place"]: r["n"] for r in thin.groupBy("_place").agg(F.count(F.lit(1)).alias("n")).collect()}
     routes = spark.createDataFrame(route(counts, n_shards, vnodes), "_at long, _lo long, _hi long, shard int, _slot long")
-    ranked = gapless_ranks(thin, "_place", [key, *others], spread=8)
+    ranked = gapless_ranks(thin, "_place", plain, spread=8)
     joined = ranked.join(F.broadcast(routes), (F.col("_place") == F.col("_at")) & (F.col("rank") >= F.col("_lo")) & (F.col("rank") < F.col("_hi")))
-    return joined.select(key, *others, "shard", (F.col("_slot") + F.col("rank") - F.col("_lo")).alias("slot"))
+    back = [F.col(p).alias(c) for c, p in zip(names, plain, strict=True)]
+    return joined.select(*back, "shard", (F.col("_slot") + F.col("rank") - F.col("_lo")).alias("slot"))
 
 
 def op9_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in 16 shards under the law `rows`: counts at most one apart."""
+    """All documents in 16 shards under the law `rows`: counts at most one apart. Null texts count as empty: size 1 and the crc32 of nothing."""
     text = F.col("text").cast("binary")
     docs = table(spark, sf_dir, "documents").select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("size"), F.crc32(F.coalesce(text, F.lit("").cast("binary"))).alias("text_crc32"))
     out = shard_rows(docs, "doc_id", ["size", "text_crc32"])
