@@ -55,6 +55,11 @@ def save_array(folder: str, name: str, values: np.ndarray) -> None:
     os.replace(part, f"{folder}/{name}.npy")
 
 
+def narrow(values: np.ndarray) -> np.ndarray:
+    """As 32 bits where all values fit, else as 64."""
+    return values.astype(np.uint32 if not values.size or int(values.max()) < 1 << 32 else np.uint64)
+
+
 def load_array(folder: str, name: str) -> np.ndarray:
     return np.load(f"{folder}/{name}.npy", mmap_mode="r")
 
@@ -239,14 +244,14 @@ def count_level(texts: DataFrame, levels: list[Shards], k: int, n_ranges: int, w
 
 def _write_stats(folder: str, r: int, keys: np.ndarray, adjusted: np.ndarray, level: int) -> np.ndarray:
     """Saves the adjusted counts and, above level 1, the totals of each prefix. n1 to n4, N1, N2, N3+ and the sum."""
-    save_array(folder, f"adjusted-{r}", adjusted.astype(np.uint32))
+    save_array(folder, f"adjusted-{r}", narrow(adjusted))
     classes = np.stack([adjusted == 1, adjusted == 2, adjusted >= 3], axis=1).astype(np.int64)
     if level > 1:
         prefix = keys >> np.uint64(32)
         first = np.flatnonzero(np.append([True], prefix[1:] != prefix[:-1])) if len(keys) else np.empty(0, dtype=np.int64)
         totals = np.concatenate([np.add.reduceat(adjusted[:, None], first), np.add.reduceat(classes, first)], axis=1) if len(keys) else np.empty((0, 4), dtype=np.int64)
         save_array(folder, f"contexts-{r}", prefix[first])
-        save_array(folder, f"totals-{r}", totals.astype(np.uint32))
+        save_array(folder, f"totals-{r}", narrow(totals))
     return np.array([*[(adjusted == n).sum() for n in (1, 2, 3, 4)], *classes.sum(axis=0), adjusted.sum()], dtype=np.int64)
 
 
@@ -263,7 +268,8 @@ def merge_level(sent: DataFrame, folder: str, levels: list[Shards], k: int, orde
         keys, counts = merged[0], merged[1].astype(np.int64)
         here = f"{folder}/{k}"
         save_array(here, f"keys-{r}", keys)
-        save_array(here, f"raw-{r}", counts.astype(np.uint32))
+        if k < order or k == 1:  # the highest level's counts are its adjusted ones
+            save_array(here, f"raw-{r}", narrow(counts))
         stats = _write_stats(here, r, keys, counts, k) if k == order else np.zeros(8, dtype=np.int64)
         targets, blobs = [None], [None]
         if k > 1:
@@ -357,6 +363,8 @@ def train(texts: DataFrame, order: int = 2, tokens_per_range: int = 2_000_000) -
     levels: list[Shards] = []
     drops, unigrams, vocabulary, tokens = [], {}, 0, 0
     for k in range(1, order + 1):
+        if levels and int(levels[-1].offsets[-1]) >= START_ID:
+            raise OverflowError(f"level {k - 1} has {int(levels[-1].offsets[-1])} entries; keys have room for ranks below 2^32 - 2")
         width = -(-int(levels[-1].offsets[-1]) // n_ranges) or 1 if levels else 0
         told = saved(merge_level(count_level(texts, levels, k, n_ranges, width), folder, levels, k, order, n_ranges), "kneser-ney-level")
         rows = {r["range"]: r for r in told.drop("blob").where("range IS NOT NULL").collect()}
