@@ -70,6 +70,8 @@ ALPHAS: dict[str, Alpha] = {
     "linear": Alpha(lambda t: 1 - t, lambda t: t * 0 - 1),
     "cosine": Alpha(lambda t: 1 - F.cos(_HALF * (1 - t)), lambda t: -_HALF * F.sin(_HALF * (1 - t))),
 }
+#: The same values for one number on the driver.
+NUMBERS: dict[str, Callable[[float], float]] = {"linear": lambda t: 1 - t, "cosine": lambda t: 1 - math.cos(_HALF * (1 - t))}
 KAPPAS: dict[str, Kappa] = {
     "cubic": cubic_kappa(),
     "linear": cubic_kappa(-1.0, 0.0),
@@ -117,6 +119,29 @@ def _step(prob: Column, k: int, draw: Callable[[Column, Column, int], Column] |
     return step
 
 
+def planned_quota(masked: int, steps: int, value: Callable[[float], float]) -> list[int]:
+    """transfer_quota for one number, without zeros."""
+    rest, got = masked, []
+    for k in range(steps):
+        t, s = (steps - k) / steps, (steps - k - 1) / steps
+        n = min(round(rest * (1 - (1 - value(s)) / (1 - value(t)))), rest)
+        rest -= n
+        got.append(n)
+    return [n for n in got if n > 0]
+
+
+def binomial_draw(key: Column, seed: int | str) -> Callable[[Column, Column, int], Column]:
+    """For transfer_quota: of `rest` tokens each is revealed with the step's probability; draws by key, step and token."""
+    from .rng import uniform
+
+    def draw(rest: Column, prob: Column, step: int) -> Column:
+        one = lambda i: (uniform(F.concat_ws("/", key.cast("string"), F.lit(str(step)), i.cast("string")), seed) < prob).cast("long")
+        places = F.when(rest > 0, F.sequence(F.lit(1).cast("long"), F.greatest(rest, F.lit(1).cast("long"))))
+        return F.coalesce(F.aggregate(F.transform(places, one), F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long"))
+
+    return draw
+
+
 def even_quota(n: Column, steps: Column | int) -> Column:
     """n div steps each, one more for the first n % steps."""
     k = steps.cast("long") if isinstance(steps, Column) else F.lit(steps).cast("long")

@@ -12,31 +12,33 @@ from pyspark.sql import functions as F
 from ..functions.rng import uniform
 
 BLANK = -1
+PAIR, DELETION, INSERTION = 0, 1, 2
 
 
 def aligned(x0: list[int], x1: list[int], sub: int = 1, gap: int = 1) -> tuple[list[int], list[int], int]:
     """Global alignment (z0, z1, cost); at equal cost a pair is preferred to a deletion, that to an insertion.
 
-    Costs are filled row by row: what depends on the row above is one array step, and insertions along the row are a
-    running minimum.
+    Costs are filled row by row, two at a time in memory: what depends on the row above is one array step, and insertions
+    along the row are a running minimum. The way back takes one byte a cell.
     """
     a, b = np.asarray(x0, dtype=np.int64), np.asarray(x1, dtype=np.int64)
     ramp = np.arange(len(b) + 1, dtype=np.int64) * gap
-    cost = np.empty((len(a) + 1, len(b) + 1), dtype=np.int64)
-    cost[0] = ramp
+    way = np.full((len(a) + 1, len(b) + 1), INSERTION, dtype=np.uint8)
+    cost = ramp
     for i in range(1, len(a) + 1):
-        row = cost[i - 1] + gap
-        row[1:] = np.minimum(row[1:], cost[i - 1, :-1] + np.where(b == a[i - 1], 0, sub))
-        cost[i] = np.minimum.accumulate(row - ramp) + ramp
+        up, pair = cost + gap, cost[:-1] + np.where(b == a[i - 1], 0, sub)
+        row = up.copy()
+        row[1:] = np.minimum(row[1:], pair)
+        cost = np.minimum.accumulate(row - ramp) + ramp
+        way[i] = np.where(cost == up, DELETION, INSERTION)
+        way[i, 1:][cost[1:] == pair] = PAIR
     z0, z1, i, j = [], [], len(a), len(b)
     while i or j:
-        here = cost[i, j]
-        pair = i and j and here == cost[i - 1, j - 1] + (0 if a[i - 1] == b[j - 1] else sub)
-        up = not pair and i and here == cost[i - 1, j] + gap
+        pair, up = way[i, j] == PAIR, way[i, j] == DELETION
         i, j = i - bool(pair or up), j - bool(pair or not up)
         z0.append(int(a[i]) if pair or up else BLANK)
         z1.append(int(b[j]) if pair or not up else BLANK)
-    return z0[::-1], z1[::-1], int(cost[-1, -1])
+    return z0[::-1], z1[::-1], int(cost[-1])
 
 
 def align(df: DataFrame, key: str, x0: str = "x0", x1: str = "x1", sub: int = 1, gap: int = 1) -> DataFrame:

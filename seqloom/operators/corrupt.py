@@ -64,12 +64,16 @@ def geometric_p(kind: str) -> float:
 
 
 def cross_entropy(logits: DataFrame, targets: DataFrame) -> DataFrame:
-    """(seq, pos, ce): -log softmax at the target of logits (seq, pos, tok, logit); one aggregation, the maximum taken off first."""
-    top = logits.groupBy("seq", "pos").agg(F.max("logit").alias("top"), F.collect_list("logit").alias("all"))
-    total = F.aggregate("all", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
-    norm = top.select("seq", "pos", (F.col("top") + F.log(total)).alias("norm"))
-    picked = logits.join(targets, ["seq", "pos", "tok"])
-    return picked.join(norm, ["seq", "pos"]).select("seq", "pos", (F.col("norm") - F.col("logit")).alias("ce"))
+    """(seq, pos, ce): -log softmax at the target of logits (seq, pos, tok, logit), the maximum taken off first.
+
+    The maximum per position is one small aggregate; the sum and the target's logit come from one more pass, and neither
+    holds a vocabulary in memory.
+    """
+    top = logits.groupBy("seq", "pos").agg(F.max("logit").alias("top"))
+    wanted = targets.select("seq", "pos", F.col("tok").alias("want"))
+    rows = logits.join(top.join(wanted, ["seq", "pos"]), ["seq", "pos"])
+    sums = rows.groupBy("seq", "pos").agg(F.max("top").alias("top"), F.sum(F.exp(F.col("logit") - F.col("top"))).alias("total"), F.max(F.when(F.col("tok") == F.col("want"), F.col("logit"))).alias("own"))
+    return sums.where("own IS NOT NULL").select("seq", "pos", (F.col("top") + F.log("total") - F.col("own")).alias("ce"))
 
 
 def loss_norms(rows: DataFrame, kind: str, by: list[str]) -> DataFrame:

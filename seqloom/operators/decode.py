@@ -86,12 +86,17 @@ def categorical(logits: DataFrame, seed: int | str) -> DataFrame:
     return hit.groupBy(*KEY).agg(F.min("tok").alias("tok"), F.min_by("p", "tok").alias("p"))
 
 
+def filtered(rows: DataFrame, p: float | None, k: int | None, order: str = "p_then_k") -> DataFrame:
+    """The two filters in the given order."""
+    if order not in ("p_then_k", "k_then_p"):
+        raise ValueError(f"unknown order {order!r}")
+    return top_k(top_p(rows, p), k) if order == "p_then_k" else top_p(top_k(rows, k), p if p and 0 < p < 1 else None)
+
+
 def sample(logits: DataFrame, temperature: float = 0.0, p: float | None = None, k: int | None = None, order: str = "p_then_k", seed: int | str = 0) -> DataFrame:
     """(seq, pos, tok, p): temperature, then the filters in the given order, then a draw, or the best at temperature 0."""
     rows = logits.withColumn("logit", F.col("logit") / temperature) if temperature > 0 else logits
-    if order not in ("p_then_k", "k_then_p"):
-        raise ValueError(f"unknown order {order!r}")
-    rows = top_k(top_p(rows, p), k) if order == "p_then_k" else top_p(top_k(rows, k), p if p and 0 < p < 1 else None)
+    rows = filtered(rows, p, k, order)
     if temperature > 0:
         return categorical(rows, seed)
     return confidence(rows, "top").withColumnRenamed("conf", "p")

@@ -7,15 +7,14 @@ collected but the number of masks left. Hooks take and give DataFrames.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import schedules as S
+from ..storage import saved as _saved
 from . import decode as L
 
 Score = Callable[[DataFrame], DataFrame]
@@ -37,6 +36,12 @@ class Options:
     guidance: float = 0.0
     shift: bool = False
     stop_token: int | None = None
+    top_p: float | None = None
+    top_k: int | None = None
+    filters: str = "p_then_k"  # or k_then_p
+    even: bool = False  # quotas in equal parts instead of the schedule's
+    first_from_full: bool = False  # a block's first place is written before its steps
+    infills: bool = True
     remask: bool = False
     extra_steps: int = 0
     seed: int = 0
@@ -48,31 +53,17 @@ class Options:
 #: Named settings of the programs.
 PROGRAMS: dict[str, Options] = {
     "masked": Options(),
-    "block": Options(block_size=32),
-    "shifted": Options(steps=512, temperature=1.0, confidence="neg_entropy", shift=True),
+    "block": Options(block_size=32, infills=False),
+    "shifted": Options(steps=512, temperature=1.0, top_k=50, confidence="neg_entropy", shift=True),
     "origin": Options(commit="random", shift=True),
     "parallel_threshold": Options(commit="threshold"),
     "parallel_factor": Options(commit="factor"),
-    "carry": Options(commit="carry", block_size=32, shift=True),
-    "hybrid": Options(commit="hybrid", threshold=0.95, block_size=32),
+    "carry": Options(commit="carry", block_size=32, shift=True, first_from_full=True),
+    "hybrid": Options(commit="hybrid", threshold=0.95, block_size=32, even=True, infills=False),
     "remasking": Options(remask=True),
 }
 
 
-def _saved(df: DataFrame, label: str) -> DataFrame:
-    spark = df.sparkSession
-    context = spark.sparkContext
-    base = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="seqloom-"))
-        base = context.getCheckpointDir()
-    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def step(canvas: DataFrame, score: Score, options: Options, mask: int, open_: F.Column, quota: int, later: int = 0, at: int = 0, times: tuple[float, float] = (0.0, 1.0)) -> DataFrame:
     """(seq, pos, tok, conf, h, masked, commit) of one step: open_ says which masked places may be written."""
     logits = score(canvas)
@@ -81,12 +72,21 @@ def step(canvas: DataFrame, score: Score, options: Options, mask: int, open_: F.
     if options.shift:
         logits = L.shift_right(logits)
     logits = L.suppress(logits, [*options.suppress])
-    if options.temperature > 0:
-        noisy = L.gumbel(logits, options.temperature, f"{options.seed}/{at}")
+    seed = f"{options.seed}/{at}"
+    if options.top_p is not None or options.top_k:
+        rows = logits.withColumn("logit", F.col("logit") / options.temperature) if options.temperature > 0 else logits
+        kept = L.filtered(rows, options.top_p, options.top_k, options.filters)
+        drawn = L.categorical(kept, seed) if options.temperature > 0 else L.confidence(kept).withColumnRenamed("conf", "p")
+        if options.confidence == "top":
+            conf = drawn.withColumnRenamed("p", "conf")
+        else:
+            conf = drawn.select("seq", "pos", "tok").join(L.confidence(kept, options.confidence, seed=seed).select("seq", "pos", "conf"), ["seq", "pos"])
+    elif options.temperature > 0:
+        noisy = L.gumbel(logits, options.temperature, seed)
         best = L.argmax(noisy)
         conf = L.softmax(logits).join(best, ["seq", "pos", "tok"]).select("seq", "pos", "tok", F.col("p").alias("conf"))
     else:
-        conf = L.confidence(logits, options.confidence, seed=f"{options.seed}/{at}")
+        conf = L.confidence(logits, options.confidence, seed=seed)
     here = canvas.select("seq", "pos", F.col("tok").alias("now"), ((F.col("tok") == mask) & F.col("is_valid") & open_).alias("masked"))
     rows = conf.join(here, ["seq", "pos"])
     kinds = {
@@ -95,8 +95,8 @@ def step(canvas: DataFrame, score: Score, options: Options, mask: int, open_: F.
         "factor": lambda c: L.commit_factor(c, options.factor),
         "hybrid": lambda c: L.commit_hybrid(c, options.threshold, quota),
         "carry": lambda c: L.commit_carry(c, options.threshold, later),
-        "soft": lambda c: L.commit_soft(c, quota, options.soft_temperature, f"{options.seed}/{at}"),
-        "random": lambda c: L.commit_random(c, *times, f"{options.seed}/{at}"),
+        "soft": lambda c: L.commit_soft(c, quota, options.soft_temperature, seed),
+        "random": lambda c: L.commit_random(c, *times, seed),
     }
     if options.commit not in kinds:
         raise ValueError(f"unknown commit {options.commit!r}")
@@ -109,7 +109,7 @@ def step(canvas: DataFrame, score: Score, options: Options, mask: int, open_: F.
 
 
 def run(canvas: DataFrame, score: Score, mask: int, options: Options = PROGRAMS["masked"], start: int = 0, history: bool = False) -> tuple[DataFrame, DataFrame | None]:
-    """Fills the masks block after block. (final canvas, facts (step, seq, pos, tok, conf, masked, commit) or None).
+    """Fills the masks block after block. (final canvas, facts (step, seq, pos, before, tok, conf, masked, commit, after) or None).
 
     start is the first place of the first block; a block gets its share of the steps, its quotas follow the
     schedule, and zero quotas are not run. Tokens that are no masks are never changed, except by remasking.
@@ -126,7 +126,14 @@ def run(canvas: DataFrame, score: Score, mask: int, options: Options = PROGRAMS[
         lo, hi = start + b * options.block_size, min(start + (b + 1) * options.block_size, width + 1)
         open_ = (F.col("pos") >= lo) & (F.col("pos") < hi)
         left = _masks(canvas, mask, lo, hi)
-        quotas = plan_quota(left, per_block, options.schedule) + [0] * (options.extra_steps if options.remask else 0)
+        if options.first_from_full and left:
+            whole = replace(options, commit="quota")
+            rows = _saved(step(canvas, score, whole, mask, F.col("pos") == lo, 1, 0, at), "step")
+            if history:
+                facts.append(_facts(rows, at))
+            canvas = _saved(L.write(canvas, rows).select("seq", "pos", "tok", "is_valid"), "canvas")
+            left, at = _masks(canvas, mask, lo, hi), at + 1
+        quotas = plan_quota(left, per_block, options) + [0] * (options.extra_steps if options.remask else 0)
         k = 0
         while left:
             last = k >= len(quotas) - 1
@@ -135,7 +142,7 @@ def run(canvas: DataFrame, score: Score, mask: int, options: Options = PROGRAMS[
             rows = step(canvas, score, options, mask, open_, quota, sum(quotas[k + 1 :]), at, (0.0 if last else s, t))
             rows = _saved(rows, "step")
             if history:
-                facts.append(rows.select(F.lit(at).alias("step"), "seq", "pos", "tok", "conf", "masked", "commit"))
+                facts.append(_facts(rows, at))
             new = L.write(canvas, rows)
             if options.remask and not last:
                 again = L.remask(rows.select("seq", "pos", (F.col("now") == mask).alias("masked"), "h"), lo, hi, last, f"{options.seed}/remask/{at}").where("remask").select("seq", "pos", F.lit(True).alias("again"))
@@ -144,6 +151,9 @@ def run(canvas: DataFrame, score: Score, mask: int, options: Options = PROGRAMS[
                 new = hook(new)
             canvas = _saved(new.select("seq", "pos", "tok", "is_valid"), "canvas")
             left = _masks(canvas, mask, lo, hi)
+            more = left - sum(quotas[k + 1 :])
+            if options.remask and more > 0:  # what was masked again has to be written in the steps that are left
+                quotas = spread(quotas, more, k + 1)
             k, at = k + 1, at + 1
             if k > 4 * (len(quotas) + 1):
                 raise RuntimeError("a block does not get filled")
@@ -155,13 +165,34 @@ def run(canvas: DataFrame, score: Score, mask: int, options: Options = PROGRAMS[
     return canvas, out
 
 
-def plan_quota(masked: int, steps: int, schedule: str) -> list[int]:
-    """The schedule's quotas of one block, zeros left out; at least one step."""
-    spark = SparkSession.active()
-    got = spark.range(1).select(S.transfer_quota(F.lit(masked), steps, S.alpha(schedule)).alias("q")).first()["q"]
+def _facts(rows: DataFrame, at: int) -> DataFrame:
+    """What a step knew: of every place the proposal and its confidence, what stood there, whether it was open, and whether it was written."""
+    return rows.select(F.lit(at).alias("step"), "seq", "pos", F.col("now").alias("before"), "tok", "conf", "masked", "commit", F.when(F.col("commit"), F.col("tok")).otherwise(F.col("now")).alias("after"))
+
+
+def plan_quota(masked: int, steps: int, options: Options) -> list[int]:
+    """Quotas of one block, zeros left out, at least one step: equal parts, or the schedule's. Only own schedules need Spark for that."""
+    if options.even:
+        each, more = divmod(masked, steps)
+        got = [n for n in (each + (k < more) for k in range(steps)) if n]
+    elif (name := options.schedule.lower()) in S.NUMBERS:
+        got = S.planned_quota(masked, steps, S.NUMBERS[name])
+    else:
+        spark = SparkSession.active()
+        got = spark.range(1).select(S.transfer_quota(F.lit(masked), steps, S.alpha(options.schedule)).alias("q")).first()["q"]
     return [*got] or [masked]
 
 
+def spread(quotas: list[int], extra: int, first: int) -> list[int]:
+    """decode.spread_quota for one list on the driver."""
+    tail = quotas[first:]
+    if not tail:
+        return quotas
+    base, rest = divmod(extra, len(tail))
+    order = sorted(range(len(tail)), key=lambda i: (tail[i], i))
+    return quotas[:first] + [x + base + (order.index(i) < rest) for i, x in enumerate(tail)]
+
+
 def _masks(canvas: DataFrame, mask: int, lo: int, hi: int) -> int:
     """Most masks that a sequence has left in the block."""
     per = canvas.where((F.col("tok") == mask) & F.col("is_valid") & (F.col("pos") >= lo) & (F.col("pos") < hi)).groupBy("seq").count()
@@ -174,13 +205,13 @@ def _all_stopped(canvas: DataFrame, stop: int) -> bool:
 
 def infill(canvas: DataFrame, score: Score, mask: int, options: Options = PROGRAMS["masked"], history: bool = False) -> tuple[DataFrame, DataFrame | None]:
     """Blocks are windows over the whole sequence, prompt included. Programs without infilling raise."""
-    if options.commit in ("hybrid",):
+    if not options.infills:
         raise NotImplementedError("this program does not infill")
     return run(canvas, score, mask, options, 0, history)
 
 
 def edit_flow(canvas: DataFrame, rates: Score, tau: float, kappa: S.Kappa = S.KAPPAS["linear"], temperature: float = 0.0, seed: int = 0, prompt_len: int = 1) -> tuple[DataFrame, DataFrame]:
-    """ceil(1 / tau) steps of deletions, substitutions and insertions on (seq, pos, tok). (canvas, facts (step, seq, pos, op, ins)).
+    """ceil(1 / tau) steps of deletions, substitutions and insertions on (seq, pos, tok). (canvas, facts (step, seq, pos, before, op, ins, after)); after are the ids that take the place of the token before.
 
     rates gives (seq, pos, del_rate, sub_rate, ins_rate, sub_logits, ins_logits).
     """
@@ -194,7 +225,7 @@ def edit_flow(canvas: DataFrame, rates: Score, tau: float, kappa: S.Kappa = S.KA
         weight = kappa.weight(t)
         rows = now.join(rates(now), ["seq", "pos"]).withColumn("prompt_len", F.lit(prompt_len))
         moved = _saved(E.tau_leap(rows, tau, weight, temperature, seed=f"{seed}/{k}/").select("seq", "pos", "op", "ins", "out"), "edit-step")
-        trace = moved.select(F.lit(k).alias("step"), "seq", "pos", "op", "ins")
+        trace = moved.join(now, ["seq", "pos"]).select(F.lit(k).alias("step"), "seq", "pos", F.col("tok").alias("before"), "op", "ins", F.col("out").alias("after"))
         facts = trace if facts is None else facts.unionByName(trace)
         now = _saved(E.rebuilt(moved).select("seq", F.posexplode("ids").alias("pos", "tok")), "edit")
     return now, facts

@@ -72,21 +72,25 @@ def loss_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kinds["token"].join(kinds["sequence"], "batch").join(kinds["batch"], "batch")
 
 
-@query("label_mismatches", SFT + "SELECT conv_id FROM sft WHERE false")
+@query("label_mismatches", SFT + "SELECT conv_id FROM sft WHERE conv_id % 7 = 0")
 def label_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.label_mismatches(sft_rows(spark, sf_dir)).select("conv_id")
+    """The last label of every seventh row is made wrong."""
+    wrong = F.transform("labels", lambda x, i: F.when((F.col("conv_id") % 7 == 0) & (i == F.size("labels") - 1), x + 1).otherwise(x))
+    return C.label_mismatches(sft_rows(spark, sf_dir).withColumn("labels", wrong)).select("conv_id")
 
 
-@query("bos_if_needed", SFT + "SELECT conv_id, (len(input_ids) + CASE WHEN bool_and(coalesce(prompt_len > 0, false)) OVER (PARTITION BY conv_id // 8) THEN 0 ELSE 1 END)::INT AS n FROM sft")
+@query("bos_if_needed", SFT + """SELECT conv_id, array_to_string(CASE WHEN bool_and(conv_id % 16 <> 3) OVER (PARTITION BY conv_id // 8) THEN input_ids ELSE list_prepend(1, input_ids) END, ',') AS input_ids FROM sft""")
 def bos_if_needed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sft_rows(spark, sf_dir).withColumn("batch", F.floor(F.col("conv_id") / 8))
-    return C.bos_if_needed(rows, "batch", 1).select("conv_id", F.size("input_ids").alias("n"))
+    """Every second batch has a row that does not begin with an ignored label."""
+    labels = F.when(F.col("conv_id") % 16 == 3, F.col("input_ids")).otherwise(F.col("labels"))
+    rows = sft_rows(spark, sf_dir).withColumns({"batch": F.floor(F.col("conv_id") / 8), "labels": labels})
+    return C.bos_if_needed(rows, "batch", 1).select("conv_id", text_of("input_ids"))
 
 
-@query("doubled_rows", NOISED + "SELECT conv_id, (2 * len(input_ids))::INT AS n, (len(input_ids) * (len(input_ids) - 1))::BIGINT AS positions FROM noised")
+@query("doubled_rows", NOISED + """SELECT conv_id, array_to_string(list_concat([CASE WHEN masked[i] THEN 3 ELSE input_ids[i] END FOR i IN range(1, len(masked) + 1)], input_ids), ',') AS pair_ids,
+  array_to_string(list_concat(range(len(input_ids)), range(len(input_ids))), ',') AS positions FROM noised""")
 def doubled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = C.doubled(noised_rows(spark, sf_dir))
-    return rows.select("conv_id", F.size("pair_ids").alias("n"), F.aggregate("positions", F.lit(0).cast("long"), lambda a, x: a + x).alias("positions"))
+    return C.doubled(noised_rows(spark, sf_dir)).select("conv_id", text_of("pair_ids"), text_of("positions"))
 
 
 @query("block_attention_mask", """

@@ -1,4 +1,4 @@
-"""Queries over alignments and edit scripts: neighbouring documents' first words, a letter a token."""
+"""Queries over alignments and edit scripts: neighbouring benchmark texts, a character a token."""
 
 from __future__ import annotations
 
@@ -10,35 +10,32 @@ from ..operators import align as E
 from .corruption import _LOGITS, logits
 from .registry import query, table
 
-_TEXT = "regexp_replace(substr({0}.text, 1, 40), '[^ -~]', '?', 'g')"
+_TEXT = "regexp_replace({0}.text, '[^ -~]', '?', 'g')"
 _PAIRS = f"""(SELECT a.item_id, {_TEXT.format('a')} AS a, {_TEXT.format('b')} AS b FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1)"""
 
 
-def pairs(spark: SparkSession, sf_dir: str, chars: int | None = None) -> DataFrame:
-    """(item_id, x0, x1): characters of each item's text and the next one's, of all or of the first `chars`."""
-    text = F.substring("text", 1, chars) if chars else F.col("text")
-    rows = table(spark, sf_dir, "benchmark").select("item_id", F.transform(F.split(F.regexp_replace(text, "[^ -~]", "?"), ""), lambda c: F.ascii(c)).alias("x"))
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item_id, x0, x1): characters of each item's text and the next one's."""
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.transform(F.split(F.regexp_replace("text", "[^ -~]", "?"), ""), lambda c: F.ascii(c)).alias("x"))
     nxt = rows.select((F.col("item_id") - 1).alias("item_id"), F.col("x").alias("x1"))
     return rows.withColumnRenamed("x", "x0").join(nxt, "item_id")
 
 
 @query("align_cost", f"SELECT item_id, levenshtein(a, b)::BIGINT AS cost FROM {_PAIRS}")
 def align_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the first 40 characters, like its SQL."""
-    return E.align(pairs(spark, sf_dir, 40), "item_id").select("item_id", "cost")
+    return E.align(pairs(spark, sf_dir), "item_id").select("item_id", "cost")
 
 
 @query("align_blanks")
 def align_blanks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the whole texts."""
     return E.align(pairs(spark, sf_dir), "item_id")
 
 
 @query("strip_blanks", f"SELECT item_id, a AS one, b AS two FROM {_PAIRS}")
 def strip_blanks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the alignment's blanks were put into comes back; of the first 40 characters, like its SQL."""
+    """What the alignment's blanks were put into comes back."""
     text = lambda z: F.array_join(F.transform(E.strip_blanks(F.col(z)), lambda x: F.char(x)), "")
-    return E.align(pairs(spark, sf_dir, 40), "item_id").select("item_id", text("z0").alias("one"), text("z1").alias("two"))
+    return E.align(pairs(spark, sf_dir), "item_id").select("item_id", text("z0").alias("one"), text("z1").alias("two"))
 
 
 _Z = """z AS (SELECT vec_id, [CASE WHEN i % 5 = 2 THEN -1 ELSE (vec_id + i) % 9 END FOR i IN range(12)] AS zt, [CASE WHEN i % 4 = 1 THEN -1 ELSE (vec_id + i * i) % 9 END FOR i IN range(12)] AS z1 FROM embeddings)"""
@@ -56,10 +53,14 @@ def remaining_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(F.size("e") > 0).select("vec_id", F.array_join(text, " ").alias("edits"))
 
 
-@query("edit_range", f"SELECT vec_id, 0 AS beyond FROM embeddings")
+@query("edit_range", f"""WITH {_Z}, f AS (SELECT vec_id, zt[i] AS a, z1[i] AS b, len(list_filter(zt[1:i - 1], lambda x: x <> -1)) AS n FROM (SELECT *, unnest(range(1, 13)) AS i FROM z))
+SELECT vec_id, count(*) FILTER (a <> b AND CASE WHEN a = -1 THEN greatest(n - 1, 0) ELSE n END >= vec_id % 12)::INT AS beyond FROM f GROUP BY vec_id""")
 def edit_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    zt = F.array(*[F.lit(x) for x in (1, 2, -1, 3)])
-    return table(spark, sf_dir, "embeddings").select("vec_id", E.out_of_range(E.remaining_edits(zt, F.array(*[F.lit(x) for x in (1, -1, 4, 5)])), F.lit(3)).alias("beyond"))
+    """Edits beyond a size that differs from row to row."""
+    places, v = F.sequence(F.lit(0), F.lit(11)), F.col("vec_id")
+    zt = F.transform(places, lambda i: F.when(i % 5 == 2, -1).otherwise(((v + i) % 9).cast("int")))
+    z1 = F.transform(places, lambda i: F.when(i % 4 == 1, -1).otherwise(((v + i * i) % 9).cast("int")))
+    return table(spark, sf_dir, "embeddings").select("vec_id", E.out_of_range(E.remaining_edits(zt, z1), (v % 12).cast("int")).alias("beyond"))
 
 
 _U = lambda what: uniform_sql("(seq::VARCHAR || chr(47) || pos::VARCHAR)", f"7{what}")

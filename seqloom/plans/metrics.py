@@ -83,16 +83,18 @@ def ar_nll(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.ar_nll(cells.join(ce, ["seq", "pos"])).join(hidden, "seq").withColumn("nll", F.round("nll", 6))
 
 
-@query("greedy_match", """WITH b AS (SELECT vec_id, label, list_position(embedding, list_max(embedding)) - 1 AS tok FROM embeddings)
-SELECT vec_id // 16 AS seq, bool_and(tok % 2 = label % 2) AS greedy FROM b WHERE vec_id % 16 < 2 GROUP BY 1""")
+_WANT = f"""WITH b AS (SELECT vec_id // 16 AS seq, (vec_id % 16)::INT AS pos, (list_position(embedding, list_max(embedding)) - 1)::INT AS tok FROM embeddings)"""
+
+
+@query("greedy_match", _WANT + """ SELECT seq, bool_and(tok = CASE WHEN seq % 3 = 0 AND pos = 6 + seq % 10 THEN (tok + 1) % 64 ELSE tok END) AS greedy FROM b WHERE pos >= 6 GROUP BY seq""")
 def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parities of the best tokens against those of the labels, in the first two places."""
+    """The best tokens of the whole continuation against targets in which every third sequence has one other token."""
     from ..operators.decode import argmax
     from .corruption import logits
 
-    best = argmax(logits(spark, sf_dir)).withColumn("tok", F.col("tok") % 2)
-    rows = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 16).alias("seq"), (F.col("vec_id") % 16).cast("int").alias("pos"), (F.col("label") % 2).alias("tok"))
-    return M.greedy_match(best, rows.where("pos < 2"))
+    best = argmax(logits(spark, sf_dir))
+    other = (F.col("seq") % 3 == 0) & (F.col("pos") == 6 + F.col("seq") % 10)
+    return M.greedy_match(best, best.where("pos >= 6").withColumn("tok", F.when(other, (F.col("tok") + 1) % 64).otherwise(F.col("tok"))))
 
 
 @query("encode_pair", r"""SELECT item_id, regexp_replace(c, '\s+$', '') AS context, regexp_extract(c, '(\s*)$', 1) || substr(text, 41) AS continuation FROM (SELECT *, substr(text, 1, 40) AS c FROM benchmark)""")

@@ -85,26 +85,27 @@ def block_eos_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sft_rows(spark, sf_dir).select("conv_id", F.array_join(P.block_pad(F.col("input_ids"), EOS, 32).cast("array<string>"), ",").alias("input_ids"))
 
 
-@query("random_truncate", SFT + f"""SELECT conv_id, least(len(input_ids), cut)::INT AS kept, len(list_filter(labels[cut + 1:], lambda x: true))::INT AS ignored FROM (
+@query("random_truncate", SFT + f"""SELECT conv_id, least(len(input_ids), cut)::INT AS kept, array_to_string([CASE WHEN i > cut THEN -100 ELSE labels[i] END FOR i IN range(1, len(labels) + 1)], ',') AS labels, array_to_string(input_ids, ',') AS input_ids FROM (
   SELECT *, CASE WHEN {uniform_sql('conv_id // 8', '5a')} < 0.5 THEN floor({uniform_sql('conv_id // 8', '5b')} * w)::BIGINT + 1 ELSE w END AS cut
   FROM (SELECT *, max(len(input_ids)) OVER (PARTITION BY conv_id // 8) AS w FROM sft))""")
 def random_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = P.random_truncate(sft_rows(spark, sf_dir).withColumn("batch", F.floor(F.col("conv_id") / 8)), "batch", 0.5, 5)
-    return rows.select("conv_id", F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("kept"), F.size(F.filter("attention_mask", lambda x: x == 0)).alias("ignored"))
+    return rows.select("conv_id", F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("kept"), text_of("labels"), text_of("input_ids"))
 
 
-@query("resp_cutoff", SFT + f"""SELECT conv_id, (len(input_ids) - greatest(len(input_ids) - prompt_len - chosen, 0))::INT AS n FROM (
-  SELECT *, first_value(len(input_ids) - prompt_len) OVER (PARTITION BY conv_id // 8 ORDER BY {uniform_sql('conv_id', 3)}) AS chosen FROM sft)""")
+@query("resp_cutoff", SFT + f"""SELECT conv_id, array_to_string(input_ids[1:n], ',') AS input_ids, array_to_string(labels[1:n], ',') AS labels FROM (SELECT *, len(input_ids) - greatest(len(input_ids) - prompt_len - chosen, 0) AS n FROM (
+  SELECT *, first_value(len(input_ids) - prompt_len) OVER (PARTITION BY conv_id // 8 ORDER BY {uniform_sql('conv_id', 3)}) AS chosen FROM sft))""")
 def resp_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = P.cut_responses(sft_rows(spark, sf_dir).withColumn("batch", F.floor(F.col("conv_id") / 8)), "batch", "conv_id", 3)
-    return rows.select("conv_id", F.size("input_ids").alias("n"))
+    return rows.select("conv_id", text_of("input_ids"), text_of("labels"))
 
 
-@query("padded_resp_cutoff", SFT + f"""SELECT conv_id, (w - CASE WHEN s > 1 THEN floor({uniform_sql('conv_id // 8', 4)} * (s - 1))::BIGINT + 1 ELSE 0 END)::INT AS n FROM (
-  SELECT conv_id, max(len(input_ids)) OVER b AS w, min(len(input_ids) - prompt_len) OVER b AS s FROM sft WINDOW b AS (PARTITION BY conv_id // 8))""")
+@query("padded_resp_cutoff", SFT + f"""SELECT conv_id, array_to_string(list_concat(input_ids, list_resize([]::INT[], w - len(input_ids), 0))[1:n], ',') AS input_ids FROM (
+  SELECT conv_id, input_ids, w, w - CASE WHEN s > 1 THEN floor({uniform_sql('conv_id // 8', 4)} * (s - 1))::BIGINT + 1 ELSE 0 END AS n FROM (
+  SELECT conv_id, input_ids, max(len(input_ids)) OVER b AS w, min(len(input_ids) - prompt_len) OVER b AS s FROM sft WINDOW b AS (PARTITION BY conv_id // 8)))""")
 def padded_resp_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sft_rows(spark, sf_dir).withColumns({"batch": F.floor(F.col("conv_id") / 8), "n_ids": F.size("input_ids")})
-    return P.cut_padded(P.pad_batch(rows, "batch", PAD), "batch", 4).select("conv_id", F.size("input_ids").alias("n"))
+    return P.cut_padded(P.pad_batch(rows, "batch", PAD), "batch", 4).select("conv_id", text_of("input_ids"))
 
 
 @query("edit_pairs", SFT + "SELECT conv_id, array_to_string(list_concat(input_ids[1:prompt_len], list_resize([]::INT[], 4, 3)), ',') AS x0, array_to_string(input_ids, ',') AS x1 FROM sft")

@@ -7,6 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.rng import uniform_sql
 from ..operators import samplers as D
 from .corruption import _LOGITS, logits
 from .registry import query
@@ -19,27 +20,69 @@ def canvas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("seq", "pos", F.when(F.col("pos") < 4, F.col("pos")).otherwise(MASK).alias("tok"), F.lit(True).alias("is_valid"))
 
 
-_FINAL = f"""WITH l AS {_LOGITS} SELECT seq, pos, CASE WHEN pos < 4 THEN pos ELSE arg_max(tok, (logit, -tok)) END::INT AS tok FROM l GROUP BY seq, pos"""
+_BEST = """l AS ({0}), s AS (SELECT seq, pos, tok, logit, e / sum(e) OVER (PARTITION BY seq, pos) AS p FROM (SELECT *, exp(logit - max(logit) OVER (PARTITION BY seq, pos)) AS e FROM l)),
+best AS (SELECT seq, pos, arg_max(tok, (logit, -tok)) AS tok, {1} AS conf FROM s GROUP BY seq, pos)"""
+_PLAIN = f"SELECT * FROM {_LOGITS}"
+_SHIFTED = f"SELECT seq, pos, tok, coalesce(lag(logit) OVER (PARTITION BY seq, tok ORDER BY pos), logit) AS logit FROM {_LOGITS}"
+#: Logits, confidence and first masked place to the places that are to be written, ranked within their part of the canvas.
+_RANKS = "r AS (SELECT *, row_number() OVER (PARTITION BY seq, part ORDER BY conf DESC, pos) AS r FROM (SELECT *, {0} AS part FROM best WHERE pos >= {1}))"
+_OUT = "SELECT seq, pos, tok, {0}::INT AS step FROM r UNION ALL SELECT DISTINCT seq, pos, pos AS tok, -1 FROM best WHERE pos < 4"
 
 
-def _program(name: str, key: str, sql: str | None = _FINAL, **changes: object) -> None:
-    @query(name, sql)
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        options = replace(D.PROGRAMS[key], steps=4, **changes)
-        return D.run(canvas(spark, sf_dir), lambda c: logits(spark, sf_dir), MASK, options, 4)[0].select("seq", "pos", "tok")
+def _sql(logits_: str, conf: str, part: str, step: str, first: int = 4, extra: str = "") -> str:
+    return f"WITH {_BEST.format(logits_, conf)}, {_RANKS.format(part, first)} {_OUT.format(step)}{extra}"
+
+
+def _recursive(logits_: str, threshold: str, taken: str, first: int = 4, places: int = 12, extra: str = "", at: int = 0) -> str:
+    """Steps commit the best places that are left: `taken` says how many of those after the first c, h being the places that pass the threshold, n all."""
+    return f"""WITH RECURSIVE {_BEST.format(logits_, 'max(p)')}, {_RANKS.format('0', first)}, hits AS (SELECT seq, count(*) FILTER (conf {threshold}) AS h FROM r GROUP BY seq),
+c AS (SELECT seq, {at} AS step, 0::BIGINT AS c, 0::BIGINT AS before FROM hits UNION ALL SELECT c.seq, step + 1, c + {taken}, c FROM c JOIN hits USING (seq) WHERE c < {places}),
+t AS (SELECT r.seq, r.pos, r.tok, min(c.step) - 1 AS step FROM r JOIN c ON c.seq = r.seq AND r.r <= c.c GROUP BY ALL)
+SELECT seq, pos, tok, step::INT AS step FROM t UNION ALL SELECT DISTINCT seq, pos, pos AS tok, -1 FROM best WHERE pos < 4{extra}"""
 
 
-_SHIFT = f"""WITH l0 AS {_LOGITS}, l AS (SELECT seq, pos, tok, coalesce(lag(logit) OVER (PARTITION BY seq, tok ORDER BY pos), logit) AS logit FROM l0)
-SELECT seq, pos, CASE WHEN pos < 4 THEN pos ELSE arg_max(tok, (logit, -tok)) END::INT AS tok FROM l GROUP BY seq, pos"""
+def with_steps(run: tuple) -> DataFrame:
+    """(seq, pos, tok, step): the final canvas and the step at which a place was written, -1 if it was given."""
+    final, facts = run
+    written = facts.where("commit").groupBy("seq", "pos").agg(F.max("step").alias("step"))
+    return final.join(written, ["seq", "pos"], "left").select("seq", "pos", "tok", F.coalesce("step", F.lit(-1)).alias("step"))
 
-_program("masked_sample", "masked", block_size=12)
-_program("block_sample", "block", block_size=6)
-_program("shifted_sample", "shifted", _SHIFT, block_size=12, temperature=0.0)
-_program("parallel_threshold_sample", "parallel_threshold", block_size=12, threshold=0.3)
-_program("parallel_factor_sample", "parallel_factor", block_size=12)
-_program("hybrid_sample", "hybrid", block_size=12, threshold=0.3)
-_program("carry_sample", "carry", _SHIFT, block_size=12, threshold=0.3)
-_program("remasking_sample", "remasking", block_size=12, extra_steps=2)
+
+def _program(name: str, key: str, sql: str, **changes: object) -> None:
+    @query(name, sql)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        options = replace(D.PROGRAMS[key], steps=4, **changes)
+        return with_steps(D.run(canvas(spark, sf_dir), lambda c: logits(spark, sf_dir), MASK, options, 4, history=True))
+
+
+_program("masked_sample", "masked", _sql(_PLAIN, "max(p)", "0", "(r - 1) // 3"), block_size=12)
+_program("block_sample", "block", _sql(_PLAIN, "max(p)", "(pos - 4) // 6", "part * 2 + (r - 1) // 3"), block_size=6)
+_program("shifted_sample", "shifted", _sql(_SHIFTED, "sum(p * ln(p + 1e-10))", "0", "(r - 1) // 3"), block_size=12, temperature=0.0, top_k=None)
+_program("parallel_threshold_sample", "parallel_threshold", _recursive(_PLAIN, ">= 0.3", "greatest(h - c, 1)"), block_size=12, threshold=0.3)
+_program("hybrid_sample", "hybrid", _recursive(_PLAIN, "> 0.3", "CASE WHEN step >= 3 THEN 12 - c WHEN h - c >= 3 THEN h - c ELSE least(3, 12 - c) END"), block_size=12, threshold=0.3)
+#: Of eleven places the quotas are 3, 3, 2 and 3, after a step of its own for the block's first.
+_program("carry_sample", "carry", _recursive(_SHIFTED, ">= 0.3", "greatest(least(greatest(11 - c - CASE step WHEN 1 THEN 8 WHEN 2 THEN 5 WHEN 3 THEN 3 ELSE 0 END, 0), h - c), (11 - c > CASE step WHEN 1 THEN 8 WHEN 2 THEN 5 WHEN 3 THEN 3 ELSE 0 END)::INT)",
+    5, 11, " UNION ALL SELECT seq, pos, tok, 0 FROM best WHERE pos = 4", 1), block_size=12, threshold=0.3)
+_program("parallel_factor_sample", "parallel_factor", f"""WITH RECURSIVE {_BEST.format(_PLAIN, 'max(p)')}, {_RANKS.format('0', 4)},
+c AS (SELECT DISTINCT seq, 0 AS step, 0::BIGINT AS c FROM r UNION ALL
+  SELECT c.seq, step + 1, c + count(*) FILTER (r - c = 1 OR conf >= 1 - 1.0::DOUBLE / (r - c + 1)) FROM c JOIN r ON r.seq = c.seq AND r.r > c.c GROUP BY c.seq, step, c),
+t AS (SELECT r.seq, r.pos, r.tok, min(c.step) - 1 AS step FROM r JOIN c ON c.seq = r.seq AND r.r <= c.c GROUP BY ALL)
+SELECT seq, pos, tok, step::INT AS step FROM t UNION ALL SELECT DISTINCT seq, pos, pos AS tok, -1 FROM best WHERE pos < 4""", block_size=12)
+
+_DRAWN = uniform_sql("(seq::VARCHAR || chr(47) || pos::VARCHAR)", "0/'").replace(":0/'", ":0/' || step || '")
+_program("filtered_sample", "shifted", f"""WITH l0 AS (SELECT seq, pos, tok, logit / 5 AS logit FROM ({_SHIFTED})), a AS (SELECT seq, pos, tok, logit FROM (SELECT *, coalesce(sum(p) OVER (PARTITION BY seq, pos ORDER BY logit DESC, tok ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM (SELECT seq, pos, tok, logit, e / sum(e) OVER (PARTITION BY seq, pos) AS p FROM (SELECT *, exp(logit - max(logit) OVER (PARTITION BY seq, pos)) AS e FROM l0))) WHERE before <= 0.8),
+{_BEST.format('SELECT seq, pos, tok, logit FROM (SELECT *, rank() OVER (PARTITION BY seq, pos ORDER BY logit DESC) AS r FROM a) WHERE r <= 20', 'sum(p * ln(p + 1e-10))')}, {_RANKS.format('0', 4)},
+d AS (SELECT r.seq, r.pos, (r.r - 1) // 3 AS step, s.tok, sum(s.p) OVER (PARTITION BY s.seq, s.pos ORDER BY s.tok) AS run, max(s.tok) OVER (PARTITION BY s.seq, s.pos) AS last FROM r JOIN s ON s.seq = r.seq AND s.pos = r.pos)
+SELECT seq, pos, min(tok)::INT AS tok, step::INT AS step FROM d WHERE run >= {_DRAWN} OR tok = last GROUP BY seq, pos, step UNION ALL SELECT DISTINCT seq, pos, pos AS tok, -1 FROM best WHERE pos < 4""",
+    block_size=12, temperature=5.0, top_p=0.8, top_k=20)
+
+
+@query("remasking_sample")
+def remasking_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places may be written, masked and written again; no twin, held against a plain loop in the tests."""
+    options = replace(D.PROGRAMS["remasking"], steps=4, block_size=12, extra_steps=2)
+    return with_steps(D.run(canvas(spark, sf_dir), lambda c: logits(spark, sf_dir), MASK, options, 4, history=True))
 
 
 @query("masked_infill", f"""WITH l AS {_LOGITS} SELECT seq, pos, CASE WHEN pos % 2 = 0 THEN pos ELSE arg_max(tok, (logit, -tok)) END::INT AS tok FROM l GROUP BY seq, pos""")
@@ -48,12 +91,13 @@ def masked_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.infill(start, lambda c: logits(spark, sf_dir), MASK, replace(D.PROGRAMS["masked"], steps=4, block_size=8))[0].select("seq", "pos", "tok")
 
 
-@query("sample_history", """SELECT step, commits FROM (VALUES (0, 3), (1, 3), (2, 3), (3, 3)) t(step, commits), (SELECT 1)""")
+@query("sample_history", _sql(_PLAIN, "max(p)", "0", "(r - 1) // 3").replace(_OUT.format("(r - 1) // 3"), f"""SELECT b.seq, b.pos, st AS step,
+  CASE WHEN b.pos < 4 THEN b.pos WHEN (r - 1) // 3 < st THEN b.tok ELSE {MASK} END::INT AS before, CASE WHEN b.pos < 4 THEN b.pos WHEN (r - 1) // 3 <= st THEN b.tok ELSE {MASK} END::INT AS after,
+  b.tok, round(b.conf, 6) AS conf, coalesce((r - 1) // 3 >= st, false) AS masked, coalesce((r - 1) // 3 = st, false) AS commit FROM best b LEFT JOIN r ON r.seq = b.seq AND r.pos = b.pos, range(4) t(st)"""))
 def sample_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Most commits of a sequence per step, from the complete history."""
+    """All facts of all steps."""
     facts = D.run(canvas(spark, sf_dir), lambda c: logits(spark, sf_dir), MASK, replace(D.PROGRAMS["masked"], steps=4, block_size=12), 4, history=True)[1]
-    per = facts.where("commit").groupBy("step", "seq").agg(F.count(F.lit(1)).alias("n"))
-    return per.groupBy("step").agg(F.max("n").cast("int").alias("commits"))
+    return facts.select("seq", "pos", F.col("step").cast("long").alias("step"), "before", "after", "tok", F.round("conf", 6).alias("conf"), "masked", "commit")
 
 
 @query("edit_flow_sample")

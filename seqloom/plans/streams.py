@@ -2,25 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import pack as P
 from ..streaming import pipelines as R
+from ..storage import shared_folder as folder
+from .chat import SFT, sft_rows, text_of
 from .packing import CORPUS, GROUP, LENGTH, corpus
 from .registry import query, table
 
 
-def folder(spark: SparkSession, label: str) -> str:
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{(base or tempfile.mkdtemp(prefix='seqloom-')).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 @query("stream_filter_clip", f"WITH {CORPUS} SELECT doc_id, least(len(input_ids), 256)::INT AS n FROM corpus WHERE len(input_ids) >= 64")
 def stream_filter_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = folder(spark, "stream")
@@ -47,3 +39,39 @@ def stream_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     table(spark, sf_dir, "documents").select("doc_id", "lang").repartition(3).write.parquet(f"{root}/in")
     R.each_batch(R.scan(spark, f"{root}/in", "doc_id long, lang string", 1), lambda b: R.shuffled_batch(b, "doc_id", 1), f"{root}/out", f"{root}/log")
     return spark.read.schema("doc_id long, lang string, batch int").parquet(f"{root}/out").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("stream_clip_prompts", SFT + """SELECT conv_id, array_to_string(list_concat(input_ids[1:prompt_len], input_ids[prompt_len + 1 : 60]), ',') AS input_ids,
+  array_to_string(list_concat(labels[1:prompt_len], labels[prompt_len + 1 : 60]), ',') AS labels FROM sft WHERE prompt_len <= 60""")
+def stream_clip_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose prompt fits, clipped behind it, as a stream."""
+    root = folder(spark, "stream")
+    kinds = "conv_id long, input_ids array<int>, labels array<int>, prompt_len int"
+    sft_rows(spark, sf_dir).select("conv_id", "input_ids", "labels", "prompt_len").repartition(3).write.parquet(f"{root}/in")
+    rows = R.scan(spark, f"{root}/in", kinds, 1)
+    fits = P.post_process(rows, 60, "right")
+    R.drain(P.clip_rows(fits, 60, keep_prompt=True), f"{root}/out", f"{root}/log")
+    return spark.read.schema(kinds).parquet(f"{root}/out").select("conv_id", text_of("input_ids"), text_of("labels"))
+
+
+@query("stream_union", "SELECT doc_id, 0 AS source_ord FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id, 1 FROM documents WHERE lang = 'fr'")
+def stream_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = folder(spark, "stream")
+    for lang in ("en", "fr"):
+        table(spark, sf_dir, "documents").where(F.col("lang") == lang).select("doc_id").write.parquet(f"{root}/{lang}")
+    R.drain(R.union([R.scan(spark, f"{root}/en", "doc_id long"), None, R.scan(spark, f"{root}/fr", "doc_id long")]), f"{root}/out", f"{root}/log")
+    return spark.read.schema("doc_id long, source_ord int").parquet(f"{root}/out")
+
+
+@query("stream_skip_take", "SELECT doc_id FROM documents ORDER BY doc_id LIMIT 90 OFFSET 40")
+def stream_skip_take(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files come in the order of their time; each holds a range of ids."""
+    import time
+
+    root = folder(spark, "stream")
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    for k, part in enumerate((docs.where("doc_id < 50"), docs.where("doc_id >= 50 AND doc_id < 120"), docs.where("doc_id >= 120"))):
+        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
+        time.sleep(0.05 if k < 2 else 0)
+    R.skip_take(R.scan(spark, f"{root}/in", "doc_id long", 1), 40, 90, "doc_id", f"{root}/out", f"{root}/log")
+    return spark.read.schema("doc_id long, batch long").parquet(f"{root}/out/rows").select("doc_id")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 from pyspark.sql.window import Window
 
 from ..functions.rng import uniform
@@ -60,9 +61,49 @@ def merge(parts: Sequence[Mapping[str, DataFrame]]) -> dict[str, DataFrame]:
     return {n: concat([p.get(n) for p in parts]) for n in names}
 
 
+#: Up to so many rows a top-n is gathered in one task.
+MANY = 100_000
+
+
 def head(df: DataFrame, n: int | None, order: str = "ord") -> DataFrame:
-    """The first n rows by order, at most all; None keeps everything. A top-n, not a global sort."""
-    return df if n is None else df.orderBy(order).limit(max(0, n))
+    """The first n rows by order, at most all; None keeps everything. Nulls count as the least value.
+
+    A large n by a number is a filter: values are counted in ranges, and in the boundary's range one by one. Else a top-n.
+    """
+    if n is None:
+        return df
+    kind = df.schema[order].dataType
+    if n <= MANY or not isinstance(kind, NumericType):
+        return df.orderBy(order).limit(max(0, n))
+    ends = df.agg(F.min(order), F.max(order), F.count(F.lit(1))).first()
+    low, high, total = ends
+    if total <= n or low is None:
+        return df.limit(n)
+    x = F.coalesce(F.col(order), F.lit(low).cast(kind))
+    bucket = F.floor((x - F.lit(low)).cast("double") / (float(high - low) or 1.0) * 65535)
+    counts = sorted((r["b"], r["n"]) for r in df.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect())
+    edge, below = _boundary(counts, n)
+    groups = df.where(bucket == edge).groupBy(x.alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    at = _reaching(groups, ["x"], n - below)
+    ties, take = x == F.lit(at["x"]).cast(kind), n - below - at["upto"] + at["n"]
+    less = df.where(x < F.lit(at["x"]).cast(kind))
+    return df.where(x <= F.lit(at["x"]).cast(kind)) if take == at["n"] else less.unionByName(df.where(ties).limit(take))
+
+
+def _boundary(counts: list[tuple[int, int]], want: int) -> tuple[int, int]:
+    """(bucket in which the rows counted reach want, rows below it)."""
+    below = 0
+    for b, n in counts:
+        if below + n >= want:
+            return b, below
+        below += n
+    return counts[-1][0], below - counts[-1][1]
+
+
+def _reaching(groups: DataFrame, order: list[str], want: int) -> Row:
+    """The group of (..., n), by order, at which the running sum `upto` reaches want. Groups are those of one bucket."""
+    upto = F.sum("n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return groups.withColumn("upto", upto).where(F.col("upto") >= want).orderBy("upto").first()
 
 
 def limit_splits(df: DataFrame, limits: Mapping[str, int], order: str = "ord") -> DataFrame:
@@ -102,24 +143,32 @@ def limit_stream_splits(df: DataFrame, limits: Mapping[str, int], order: str = "
 
 
 def hash_split(df: DataFrame, key: str, share: float = 0.05, seed: int = 42) -> DataFrame:
-    """`split` test for exactly ceil(share n) rows of least hash, else train; the order is (hash, key).
+    """`split` test for exactly ceil(share n) rows of least hash, else train; the order is (hash, key, hash of the whole row), null keys first.
 
-    Ranks are needed in one hash bucket only: rows are counted per 16-bit bucket, buckets below the boundary's are
-    test as a whole, and just the boundary's rows are ranked.
+    Rows are counted per 16-bit bucket of the hash; only the boundary's bucket is looked at closer. Keys may repeat: rows
+    of one key are told apart by their content, and of equal rows at the boundary so many copies as are
+    needed become test. A row is compared with the boundary, so nothing is joined.
     """
-    bits = F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))), 1, 4), 16, 10).cast("int")
-    counts = sorted((r["b"], r["n"]) for r in df.groupBy(bits.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect())
+    k = F.col(f"`{key}`")
+    u = uniform(F.coalesce(k.cast("string"), F.lit("")), seed)
+    bucket, row = F.floor(u * 65536), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    counts = sorted((r["b"], r["n"]) for r in df.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect())
     want = -int(-share * sum(n for _, n in counts) // 1)
-    below, edge = 0, -1
-    for b, n in counts:
-        edge = b
-        if below + n >= want:
-            break
-        below += n
-    inside = df.where(bits == edge).select(key, F.row_number().over(Window.orderBy(uniform(F.col(key), seed), key)).alias("_rank"))
-    chosen = inside.where(F.col("_rank") <= want - below).select(F.col(key).alias("_key"))
-    marked = df.join(F.broadcast(chosen), F.col(key) == F.col("_key"), "left")
-    return marked.withColumn("split", F.when((bits < edge) | F.col("_key").isNotNull(), "test").otherwise("train")).drop("_key")
+    if not want:
+        return df.withColumn("split", F.lit("train"))
+    edge, below = _boundary(counts, want)
+    groups = df.where(bucket == edge).groupBy(u.alias("u"), k.alias("k"), row.alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    at = _reaching(groups, ["u", "k", "h"], want - below)
+    own = F.lit(at["k"]).cast(df.schema[key].dataType)
+    lesser = F.lit(False) if at["k"] is None else F.coalesce(k < own, F.lit(True))
+    same = (u == at["u"]) & k.eqNullSafe(own) & (row == at["h"])
+    less = (u < at["u"]) | ((u == at["u"]) & (lesser | (k.eqNullSafe(own) & (row < at["h"]))))
+    take = want - below - at["upto"] + at["n"]
+    if take == at["n"]:
+        return df.withColumn("split", F.when(less | same, "test").otherwise("train"))
+    rest = df.where(~same).withColumn("split", F.when(less, "test").otherwise("train"))
+    copies = df.sparkSession.range(at["n"]).select(F.col("id").alias("_copy")).crossJoin(F.broadcast(df.where(same).limit(1)))
+    return rest.unionByName(copies.withColumn("split", F.when(F.col("_copy") < take, "test").otherwise("train")).drop("_copy"))
 
 
 def shuffled(df: DataFrame, key: str, seed: int = 42, buffer: int | None = None) -> DataFrame:
@@ -196,6 +245,7 @@ def write_sft(df: DataFrame, path: str) -> None:
 
 def write_pt(df: DataFrame, folder: str, max_length: int, insert_eos: bool, drop_tail: bool) -> str:
     """The path names the options."""
+    #: Fixed form of the folder's name.
     path = f"{folder}/max_length-{max_length}-insert_eos-{insert_eos}-drop_tail-{drop_tail}"
     keep_columns(df, KEEP_PT).write.partitionBy("split").mode("overwrite").parquet(path)
     return path

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,12 +31,11 @@ def pack_stream(rows: DataFrame, length: int, group: str) -> DataFrame:
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         left, chunk = state.get if state.exists else ([], 0)
-        left = [*left]
-        for ids in pd.concat([*frames]).sort_values("ord")["input_ids"]:
-            left.extend(int(x) for x in ids)
-        full = len(left) // length
-        yield pd.DataFrame({group: [key[0]] * full, "chunk": [chunk + k for k in range(full)], "input_ids": [left[k * length : (k + 1) * length] for k in range(full)]})
-        state.update((left[full * length :], chunk + full))
+        rows = pd.concat([f[["ord", "input_ids"]] for f in frames]).sort_values("ord")["input_ids"]
+        flat = np.concatenate([np.asarray(left, dtype=np.int32), *[np.asarray(ids, dtype=np.int32) for ids in rows]])
+        full = len(flat) // length
+        yield pd.DataFrame({group: key[0], "chunk": np.arange(chunk, chunk + full), "input_ids": [*flat[: full * length].reshape(full, length)]})
+        state.update((flat[full * length :].tolist(), chunk + full))
 
     return rows.groupBy(group).applyInPandasWithState(run, out, STATE, "append", "NoTimeout")
 
@@ -48,6 +48,36 @@ def each_batch(stream: DataFrame, work: Callable[[DataFrame], DataFrame], path:
     stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def union(streams: Sequence[DataFrame | None]) -> DataFrame:
+    """One stream of several, columns by name; None is left out, nothing at all raises. `source_ord` is the stream's place."""
+    kept = [s for s in streams if s is not None]
+    if not kept:
+        raise ValueError("nothing to unite")
+    marked = [s.withColumn("source_ord", F.lit(k)) for k, s in enumerate(kept)]
+    out = marked[0]
+    for s in marked[1:]:
+        out = out.unionByName(s, allowMissingColumns=True)
+    return out
+
+
+def skip_take(stream: DataFrame, skip: int, take: int | None, order: str, path: str, checkpoint: str) -> None:
+    """Writes the rows after the first `skip`, at most `take` (None: all), batch after batch and by order within one.
+
+    How many rows a batch had is written beside it; a repeated batch counts only those before it.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        spark, seen = batch.sparkSession, 0
+        if number:
+            seen = spark.read.schema("n long, batch long").parquet(f"{path}/seen").where(F.col("batch") < number).agg(F.sum("n")).first()[0] or 0
+        lo = max(0, skip - seen)
+        rows = batch.orderBy(order).offset(lo)
+        (rows if take is None else rows.limit(max(0, skip + take - seen - lo))).write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        batch.agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{path}/seen/batch={number}")
+
+    stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Writes all available input and stops."""
     stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
