@@ -92,6 +92,28 @@ def greedy_match(proposals: DataFrame, targets: DataFrame) -> DataFrame:
     return both.groupBy("seq").agg(F.bool_and(F.coalesce(F.col("tok") == F.col("want"), F.lit(False))).alias("greedy"))
 
 
+def loglikelihood(draws: DataFrame, proposals: DataFrame, targets: DataFrame, lengths: DataFrame | None = None, max_length: int | None = None) -> DataFrame:
+    """(seq, loglik, greedy) per request: the Monte-Carlo score of draws (mc_loglikelihood's rows) and whether the proposals are the targets.
+
+    With lengths (seq, n), a request longer than max_length raises.
+    """
+    out = mc_loglikelihood(draws).join(greedy_match(proposals, targets), "seq", "left")
+    if lengths is None or max_length is None:
+        return out
+    fits = F.when(F.col("n") <= max_length, F.col("loglik")).otherwise(F.raise_error(F.concat(F.lit("request too long: "), F.col("n").cast("string"))).cast("double"))
+    return out.join(lengths, "seq").withColumn("loglik", fits).drop("n")
+
+
+def answers(final: DataFrame, prompts: DataFrame, vocabulary: DataFrame, pad: int, stops: list[int], until: Column) -> DataFrame:
+    """(seq, answer) of a decoded canvas (seq, pos, tok): prompt (seq, prompt array) and pads off, up to the first stop id, as text, cut at each stop string in turn."""
+    from . import pack as P
+    from . import text as X
+
+    ids = final.groupBy("seq").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tok"))), lambda x: x["tok"]).alias("ids"))
+    body = ids.join(prompts, "seq").select("seq", P.trim_sample(F.col("ids"), F.col("prompt"), pad, stops).alias("ids"))
+    return X.decode(body, "seq", "ids", vocabulary).select("seq", P.cut_at_stops(F.col("text"), until).alias("answer"))
+
+
 @dataclass(frozen=True)
 class EvalConfig:
     batch_size: int = 32

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import lru_cache
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,6 +78,7 @@ def _opening(messages: Column, text: Column) -> Column:
     return F.when(F.coalesce(last == "assistant", F.lit(False)), "").otherwise(text)
 
 
+#: The markers above are fixed by the models that were trained with them.
 TEMPLATES = {"headers": render_headers, "blocks": render_blocks}
 
 
@@ -90,6 +96,56 @@ def token_ids(text: Column) -> Column:
     return F.transform(words(F.coalesce(text, F.lit(""))), lambda w: word_id(w))
 
 
+@lru_cache(maxsize=4)
+def _tokenizer(path: str):
+    import os
+
+    from tokenizers import Tokenizer
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return Tokenizer.from_file(path)
+
+
+def bpe_ids(path: str, special: bool = False) -> Callable[[Column], Column]:
+    """Ids of a public tokenizer's file, which workers read at `path`, as an Arrow UDF; null texts are empty. special adds the tokenizer's own marks."""
+
+    @F.pandas_udf("array<int>")
+    def encode(texts: pd.Series) -> pd.Series:
+        own = _tokenizer(path)
+        out = []
+        for at in range(0, len(texts), 256):
+            coded = own.encode_batch_fast([t or "" for t in texts.iloc[at : at + 256]], add_special_tokens=special)
+            out += [np.array(c.ids, dtype=np.int32) for c in coded]
+        return pd.Series(out, index=texts.index)
+
+    return encode
+
+
+def bpe_text(path: str) -> Callable[[Column], Column]:
+    """The text of ids, special tokens left out."""
+
+    @F.pandas_udf("string")
+    def decode_(ids: pd.Series) -> pd.Series:
+        return pd.Series(_tokenizer(path).decode_batch([[int(i) for i in row] if row is not None else [] for row in ids]), index=ids.index)
+
+    return decode_
+
+
+def sft_map(df: DataFrame, messages: str = "messages", encode: Callable[[Column], Column] = token_ids, template: str = "headers", mask_prompt: bool = True) -> DataFrame:
+    """Adds input_ids, labels and prompt_len of a chat whose last message is the answer.
+
+    The whole chat is rendered and encoded, and so is all before the answer, with the header to go on from; labels of that
+    prompt are ignored if mask_prompt.
+    """
+    from . import pack as P
+
+    render, chat = TEMPLATES[template], F.col(messages)
+    asked = F.slice(chat, 1, F.size(chat) - 1)
+    rows = df.withColumns({"input_ids": encode(render(chat)), "_asked": encode(render(asked, True))}).withColumn("prompt_len", F.size("_asked")).drop("_asked")
+    labels = P.sft_labels(F.col("input_ids"), F.col("prompt_len")) if mask_prompt else F.col("input_ids")
+    return rows.withColumn("labels", labels)
+
+
 def decode(df: DataFrame, key: str, ids: str, vocabulary: DataFrame) -> DataFrame:
     """(key, text): ids to words by a table (id, word); unknown ids are left out, rows without a known id are empty texts."""
     flat = df.select(key, F.posexplode(ids).alias("pos", "id")).join(vocabulary, "id")

@@ -132,3 +132,25 @@ def clip_keep_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("pre_tokens")
 def pre_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.size(X.pre_tokens(F.col("text"))).alias("n"), F.md5(F.array_join(X.pre_tokens(F.col("text")), "")).alias("joined"))
+
+
+_ASKED = "'<|startoftext|><|start_header_id|>user<|end_header_id|>' || chr(10) || chr(10) || prompt || '<|eot_id|><|start_header_id|>assistant<|end_header_id|>' || chr(10) || chr(10)"
+
+
+@query("sft_map", f"""WITH {_TURNS}, t AS (SELECT conv_id, {_ASKED} AS asked, response FROM pair WHERE length(prompt) > 0 AND length(response) > 0),
+i AS (SELECT conv_id, {ids_sql("(asked || response || '<|eot_id|>')")} AS ids, len({ids_sql('asked')}) AS p FROM t)
+SELECT conv_id, array_to_string(ids, ',') AS input_ids, array_to_string([CASE WHEN k <= p THEN -100 ELSE ids[k] END FOR k IN range(1, len(ids) + 1)], ',') AS labels, p::INT AS prompt_len FROM i""")
+def sft_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First turns rendered by the template, encoded, the prompt's labels ignored."""
+    pairs = first_turn(spark, sf_dir).select("conv_id", X.pair_chat(F.col("prompt"), F.col("response")).alias("messages"))
+    return X.sft_map(pairs).select("conv_id", text_of("input_ids"), text_of("labels"), "prompt_len")
+
+
+@query("bpe_round_trip", "SELECT doc_id, text FROM documents")
+def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A byte-level tokenizer's ids give the text back."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ids = table(spark, sf_dir, "documents").select("doc_id", X.bpe_ids(path)(F.col("text")).alias("ids"))
+    return ids.select("doc_id", X.bpe_text(path)(F.col("ids")).alias("text"))

@@ -135,3 +135,90 @@ def batch_slicing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("length_batches", "SELECT doc_id, (ntile(10) OVER (ORDER BY n_chars, doc_id) - 1)::INT AS batch FROM documents")
 def length_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.length_batches(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id", 10).select("doc_id", "batch")
+
+
+_TEST = f"CASE WHEN row_number() OVER (ORDER BY {uniform_sql('doc_id', 42)}, doc_id) <= ceil(0.05 * count(*) OVER ()) THEN 'test' ELSE 'train' END"
+_CHAT = "messages[0].content AS prompt, messages[1].content AS answer"
+
+
+def _stored(spark: SparkSession, rows: DataFrame, name: str, config: str | None = None, root: str | None = None) -> str:
+    """Rows as a saved dataset of that name; the folder."""
+    from ..storage import shared_folder
+
+    path = root or f"{shared_folder(spark, 'dataset')}/{name}"
+    rows.write.parquet(f"{path}/{config}" if config else path)
+    return path
+
+
+def _chat_of(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("messages")[0]["content"].alias("prompt"), F.col("messages")[1]["content"].alias("answer"), "split")
+
+
+def _loaded(spark: SparkSession, spec: str) -> DataFrame:
+    from ..sources.readers import READERS
+
+    return D.load(spark, spec, READERS)
+
+
+@query("read_alpaca", f"SELECT lang || chr(10) || chr(10) || source AS prompt, text AS answer, {_TEST} AS split FROM documents")
+def read_alpaca(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit(" "), F.col("lang")).alias("instruction"), F.col("source").alias("input"), F.col("text").alias("output"))
+    return _chat_of(_loaded(spark, _stored(spark, rows, "tatsu-lab/alpaca")))
+
+
+@query("read_opc_sft", f"SELECT * FROM (SELECT lang AS prompt, text AS answer, {_TEST} AS split FROM documents) WHERE contains(answer, 'License')")
+def read_opc_sft(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filter comes after the parts are made."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("instruction"), F.col("text").alias("output"))
+    path = _stored(spark, rows, "OpenCoder-LLM/opc-sft-stage1", "educational_instruct")
+    return _chat_of(_loaded(spark, f"{path}[name:educational_instruct,lang:License]"))
+
+
+@query("read_opc_annealing", "SELECT doc_id, 'train' AS split FROM documents WHERE lang = 'de' AND doc_id % 3 < 2")
+def read_opc_annealing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two configs that keep the language in different columns."""
+    docs, path = table(spark, sf_dir, "documents"), None
+    for k, (config, column) in enumerate((("algorithmic_corpus", "lang"), ("synthetic_qa", "program_lang"))):
+        path = _stored(spark, docs.where(F.col("doc_id") % 3 == k).select("doc_id", F.col("lang").alias(column)), "OpenCoder-LLM/opc-annealing-corpus", config, path)
+    return _loaded(spark, f"{path}[lang:de]").select("doc_id", "split")
+
+
+@query("read_ultrachat", "SELECT conv_id, CASE conv_id % 3 WHEN 0 THEN 'test' ELSE 'train' END AS split, count(*)::INT AS n FROM conversations WHERE conv_id % 3 < 2 GROUP BY conv_id")
+def read_ultrachat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.text import chats
+
+    split = F.element_at(F.array(F.lit("test_sft"), F.lit("train_sft"), F.lit("train_gen")), (F.col("conv_id") % 3 + 1).cast("int"))
+    path = _stored(spark, chats(table(spark, sf_dir, "conversations")).withColumn("split", split), "HuggingFaceH4/ultrachat_200k")
+    return _loaded(spark, path).select("conv_id", "split", F.size("messages").alias("n"))
+
+
+@query("read_reasoning", "SELECT lang AS prompt, text AS answer, source AS reasoning FROM documents")
+def read_reasoning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select(F.col("lang").alias("question"), F.array("source", F.lit("other")).alias("thinking_trajectories"), F.col("text").alias("attempt"))
+    m = F.col("messages")
+    return _loaded(spark, _stored(spark, rows, "simplescaling/s1K")).select(m[0]["content"].alias("prompt"), m[1]["content"].alias("answer"), m[1]["reasoning_content"].alias("reasoning"))
+
+
+@query("read_mixture", f"SELECT doc_id AS id, {_TEST} AS split FROM documents")
+def read_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return _loaded(spark, _stored(spark, rows, "allenai/tulu-3-sft-mixture")).select("id", "split")
+
+
+@query("read_configured", "SELECT doc_id, 'train' AS split FROM documents WHERE lang = 'fr' UNION ALL SELECT doc_id, 'train' FROM documents WHERE lang = 'es'")
+def read_configured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A named config, and `all` where none is named."""
+    docs, path = table(spark, sf_dir, "documents"), None
+    for config, lang in (("all", "fr"), ("chat", "es"), ("code", "de")):
+        path = _stored(spark, docs.where(F.col("lang") == lang).select("doc_id"), "HuggingFaceTB/smoltalk", config, path)
+    return _loaded(spark, f"{path} | {path}[name:chat]").select("doc_id", "split")
+
+
+@query("split_repeated_keys", f"""WITH k AS (SELECT CASE WHEN doc_id % 5 = 0 THEN NULL ELSE doc_id % 7 END AS key, lang FROM documents),
+r AS (SELECT key, row_number() OVER (ORDER BY {uniform_sql("coalesce(key::VARCHAR, '')", 42)}, key NULLS FIRST) AS r, count(*) OVER () AS n FROM k)
+SELECT key, count(*) FILTER (r <= ceil(0.3 * n)) AS test, count(*) FILTER (r > ceil(0.3 * n)) AS train FROM r GROUP BY key""")
+def split_repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Few keys, many rows, null keys: every row keeps its place and the number of test rows is exact."""
+    key = F.when(F.col("doc_id") % 5 != 0, F.col("doc_id") % 7)
+    rows = D.hash_split(table(spark, sf_dir, "documents").select(key.alias("key"), "lang"), "key", 0.3)
+    return rows.groupBy("key").agg(F.count_if(F.col("split") == "test").alias("test"), F.count_if(F.col("split") == "train").alias("train"))

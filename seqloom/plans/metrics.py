@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.rng import uniform, uniform_sql
 from ..operators import metrics as M
 from ..operators import pack as P
-from .corruption import _CE, ce_rows
+from .corruption import _CE, _LOGITS, ce_rows
 from .registry import query, table
 
 _EVENTS = "(SELECT event_type AS split, value, coalesce(json_extract(props, '$.k')::DOUBLE, 0) AS weight FROM events)"
@@ -113,3 +113,39 @@ def encode_pair_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stop_sequences", "SELECT item_id, split_part(split_part(text, '.', 1), ' on', 1) AS answer FROM benchmark")
 def stop_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", P.cut_at_stops(F.col("text"), F.array(F.lit("."), F.lit(""), F.lit(" on"))).alias("answer"))
+
+
+@query("loglikelihood", f"""{_CE}, {_MC}, s AS (SELECT seq, round(-avg(v), 6) AS loglik FROM (SELECT seq, draw, sum(CASE WHEN masked THEN ce / (n / 12.0::DOUBLE) ELSE 0 END) AS v FROM m JOIN ce USING (seq, pos) GROUP BY ALL) GROUP BY seq),
+b AS (SELECT seq, pos, arg_max(tok, (logit, -tok)) AS tok FROM l GROUP BY ALL)
+SELECT s.seq, loglik, greedy FROM s JOIN (SELECT seq, bool_and(pos = 5 OR seq % 2 = 0) AS greedy FROM b WHERE pos >= 4 GROUP BY seq) USING (seq)""")
+def loglikelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and greedy flag per request; targets are the best tokens, but for one place of every odd sequence."""
+    from ..operators.decode import argmax
+    from .corruption import logits
+
+    draws = mc_masks(spark, sf_dir).join(ce_rows(spark, sf_dir), ["seq", "pos"]).withColumn("p_mask", F.col("count") / 12.0)
+    best = argmax(logits(spark, sf_dir))
+    other = (F.col("seq") % 2 == 1) & (F.col("pos") != 5)
+    targets = best.where("pos >= 4").withColumn("tok", F.when(other, F.col("tok") + 1).otherwise(F.col("tok")))
+    lengths = best.groupBy("seq").agg(F.count(F.lit(1)).alias("n"))
+    return M.loglikelihood(draws, best, targets, lengths, 4096).withColumn("loglik", F.round("loglik", 6))
+
+
+@query("generate_until", f"""WITH l AS {_LOGITS}, b AS (SELECT seq, pos, arg_max(tok, (logit, -tok)) AS tok FROM l GROUP BY ALL),
+g AS (SELECT seq, coalesce(list(tok ORDER BY pos) FILTER (pos >= 4), []) AS t FROM b GROUP BY seq),
+c AS (SELECT seq, CASE WHEN list_position([x IN (7, 9) FOR x IN t], true) > 0 THEN t[1:list_position([x IN (7, 9) FOR x IN t], true) - 1] ELSE t END AS t FROM g)
+SELECT seq, split_part(split_part(array_to_string(['w' || x FOR x IN t], ' '), ' w2', 1), ' w31', 1) AS answer FROM c""")
+def generate_until(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts are decoded, trimmed at stop ids, turned into words and cut at stop strings."""
+    from dataclasses import replace
+
+    from ..operators import samplers as D
+    from .corruption import logits
+    from .samplers import MASK, canvas
+
+    start = canvas(spark, sf_dir)
+    final = D.run(start, lambda c: logits(spark, sf_dir), MASK, replace(D.PROGRAMS["masked"], steps=4, block_size=12), 4)[0]
+    prompts = start.where("pos < 4").groupBy("seq").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tok"))), lambda x: x["tok"]).alias("prompt"))
+    words = spark.range(64).select(F.col("id").cast("int").alias("id"), F.concat(F.lit("w"), F.col("id").cast("string")).alias("word"))
+    until = F.array(F.lit(" w2"), F.lit(""), F.lit(" w31"))
+    return M.answers(final, prompts, words, -5, [7, 9], until)

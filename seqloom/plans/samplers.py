@@ -107,3 +107,13 @@ def edit_flow_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     rates = rows.select("seq", "pos", rate(0).alias("del_rate"), rate(1).alias("sub_rate"), rate(2).alias("ins_rate"), F.col("v").alias("sub_logits"), F.col("v").alias("ins_logits"))
     start = rows.where("pos < 6").select("seq", "pos", (F.col("pos") + 100).alias("tok"))
     return D.edit_flow(start, lambda c: rates, 0.25)[0].select("seq", "pos", "tok")
+
+
+@query("shifted_history", _sql(_SHIFTED, "sum(p * ln(p + 1e-10))", "0", "(r - 1) // 3").replace(_OUT.format("(r - 1) // 3"), f"""SELECT b.seq, b.pos, st AS step,
+  CASE WHEN b.pos < 4 THEN b.pos WHEN (r - 1) // 3 < st THEN b.tok ELSE {MASK} END::INT AS before, b.tok, round(b.conf, 6) AS conf, coalesce((r - 1) // 3 >= st, false) AS masked
+  FROM best b LEFT JOIN r ON r.seq = b.seq AND r.pos = b.pos, range(4) t(st)"""))
+def shifted_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The facts of the shifted program; masked is as before the step's commits."""
+    options = replace(D.PROGRAMS["shifted"], steps=4, block_size=12, temperature=0.0, top_k=None)
+    facts = D.run(canvas(spark, sf_dir), lambda c: logits(spark, sf_dir), MASK, options, 4, history=True)[1]
+    return facts.select("seq", "pos", F.col("step").cast("long").alias("step"), "before", "tok", F.round("conf", 6).alias("conf"), "masked")

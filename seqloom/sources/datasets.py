@@ -66,7 +66,7 @@ MANY = 100_000
 
 
 def head(df: DataFrame, n: int | None, order: str = "ord") -> DataFrame:
-    """The first n rows by order, at most all; None keeps everything. Nulls count as the least value.
+    """The first n rows by order, at most all; None keeps everything. Nulls come first.
 
     A large n by a number is a filter: values are counted in ranges, and in the boundary's range one by one. Else a top-n.
     """
@@ -75,19 +75,23 @@ def head(df: DataFrame, n: int | None, order: str = "ord") -> DataFrame:
     kind = df.schema[order].dataType
     if n <= MANY or not isinstance(kind, NumericType):
         return df.orderBy(order).limit(max(0, n))
-    ends = df.agg(F.min(order), F.max(order), F.count(F.lit(1))).first()
-    low, high, total = ends
-    if total <= n or low is None:
-        return df.limit(n)
-    x = F.coalesce(F.col(order), F.lit(low).cast(kind))
+    low, high, known, total = df.agg(F.min(order), F.max(order), F.count(order), F.count(F.lit(1))).first()
+    if total <= n:
+        return df
+    blank = df.where(F.col(order).isNull())
+    if n <= total - known:
+        return blank.limit(n)
+    rows, want, df = blank, n - (total - known), df.where(F.col(order).isNotNull())
+    x = F.col(order)
     bucket = F.floor((x - F.lit(low)).cast("double") / (float(high - low) or 1.0) * 65535)
     counts = sorted((r["b"], r["n"]) for r in df.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect())
-    edge, below = _boundary(counts, n)
+    edge, below = _boundary(counts, want)
     groups = df.where(bucket == edge).groupBy(x.alias("x")).agg(F.count(F.lit(1)).alias("n"))
-    at = _reaching(groups, ["x"], n - below)
-    ties, take = x == F.lit(at["x"]).cast(kind), n - below - at["upto"] + at["n"]
-    less = df.where(x < F.lit(at["x"]).cast(kind))
-    return df.where(x <= F.lit(at["x"]).cast(kind)) if take == at["n"] else less.unionByName(df.where(ties).limit(take))
+    at = _reaching(groups, ["x"], want - below)
+    last, take = F.lit(at["x"]).cast(kind), want - below - at["upto"] + at["n"]
+    if take == at["n"]:
+        return rows.unionByName(df.where(x <= last))
+    return rows.unionByName(df.where(x < last)).unionByName(df.where(x == last).limit(take))
 
 
 def _boundary(counts: list[tuple[int, int]], want: int) -> tuple[int, int]:
