@@ -173,9 +173,10 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, query_rows: int = 8
 
     cells = left.groupBy("dim", "bq", "bx").cogroup(right.groupBy("dim", "bq", "bx")).applyInArrow(tile, "query_row long, row long, low double, high double")
     pairs = per_query(cells, "query_row long, row long", survivors)
-    asked = rows.where("asked").select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"), whole.alias("query"))
-    both = pairs.join(rows.select("row", "vec_id", whole.alias("other")), "row").join(asked, "query_row")
-    product = F.aggregate(F.zip_with("query", "other", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+    asked = rows.where("asked").select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    both = pairs.join(rows.select("row", "vec_id", F.col("embedding").alias("other")), "row").join(asked, "query_row")
+    products = F.zip_with("query", "other", lambda x, y: x.cast("double") * y.cast("double"))
+    product = F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
     exact = both.select("query_row", "query_id", "vec_id", "row", product.alias("score"))
     return per_query(exact, "query_id long, rank int, vec_id long, score double", best)
 
