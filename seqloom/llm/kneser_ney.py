@@ -396,7 +396,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("text", F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
-def score_with_folds(docs: DataFrame, order: int = 2, folds: int = 7, held: int = 2) -> DataFrame:
+def score_with_folds(docs: DataFrame, order: int = 3, folds: int = 7, held: int = 2) -> DataFrame:
     """Learns from the rows whose crc32(doc_id as text) mod folds is not held, scores all.
 
     Null doc_ids count as the empty text in the fold rule; repeated rows count as often as they occur; with
@@ -408,6 +408,6 @@ def score_with_folds(docs: DataFrame, order: int = 2, folds: int = 7, held: int
 
 
 def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents under a model of order 2, beside an add-one unigram base."""
+    """All documents under a model of order 3, beside an add-one unigram base."""
     out = score_with_folds(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", (10 ** (-F.col("score") / F.col("n_tokens"))).alias("perplexity"))
