@@ -85,12 +85,13 @@ def post_process(df: DataFrame, max_length: int, truncation: str) -> DataFrame:
 def pack(df: DataFrame, length: int, group: str, order: str, drop_tail: bool = True, ids: str = "input_ids") -> DataFrame:
     """(group, chunk, input_ids, labels): a group's ids in order, cut every `length` ids; the shorter last chunk stays if asked for.
 
-    Documents find the chunks they touch from their running offset, and only slices are shuffled, not single tokens.
+    Documents find the chunks they touch from their running offset. Ids are shuffled once, by group: a group's chunks are
+    put together where its offsets are counted. Groups spread the work, so they should be bounded.
     """
     n = F.size(ids).cast("long")
     w = Window.partitionBy(group).orderBy(order)
     placed = df.select(group, F.col(order).alias("_order"), F.col(ids).alias("_ids"), n.alias("_n"), (F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, 0)) - n).alias("_at")).where("_n > 0")
-    first, last = F.floor(F.col("_at") / length), F.floor((F.col("_at") + F.col("_n") - 1) / length)
+    first, last = F.expr(f"_at div {length}"), F.expr(f"(_at + _n - 1) div {length}")
     parts = placed.withColumn("chunk", F.explode(F.sequence(first, last)))
     lo = F.greatest(F.col("chunk") * length - F.col("_at"), F.lit(0))
     hi = F.least((F.col("chunk") + 1) * length - F.col("_at"), F.col("_n"))

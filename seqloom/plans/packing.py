@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.rng import uniform, uniform_sql
 from ..operators import pack as P
 from ..operators import text as X
+from ..storage import dealt
 from .chat import SFT, ids_sql, sft_rows, text_of
 from .registry import query, table
 
@@ -16,7 +17,7 @@ EOS, BOS, PAD, MASK, LENGTH, GROUP = 2, 1, 0, 3, 128, 1000
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, pack_group, input_ids) with an end id."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = dealt(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", F.floor(F.col("doc_id") / GROUP).alias("pack_group"), P.append_eos(X.token_ids(F.col("text")), EOS).alias("input_ids"))
 
 

@@ -25,3 +25,12 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     path = shared_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dealt(scan: DataFrame) -> DataFrame:
+    """A bare scan's rows over all cores where its files have fewer splits than there are cores; a larger table is left as it is.
+
+    A small file has few row groups, and what follows a scan (tokens, scores) costs far more than moving its rows once.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)

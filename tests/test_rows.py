@@ -14,6 +14,7 @@ from seqloom.operators import pack as P
 from seqloom.operators import samplers as D
 from seqloom.operators import text as X
 from seqloom.sources import datasets as S
+from seqloom.storage import dealt
 from seqloom.streaming import pipelines as R
 
 IDS = "input_ids array<int>, labels array<int>, attention_mask array<int>"
@@ -110,6 +111,21 @@ def test_packing(spark):
         assert {(r["g"], r["chunk"]): r["input_ids"] for r in P.pack(df, 16, "g", "d", drop).collect()} == want
 
 
+def test_packing_shuffles_ids_once(spark):
+    rows = frame(spark, [(g, d, [d] * (d + 1)) for g in (0, 1) for d in range(9)], "g long, d long, input_ids array<int>")
+    plan = P.pack(rows, 4, "g", "d")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
+def test_small_scans_are_dealt_over_cores(spark, tmp_path):
+    spark.range(50).coalesce(1).write.parquet(f"{tmp_path}/one")
+    spark.range(50).repartition(30).write.parquet(f"{tmp_path}/many")
+    few, many = (spark.read.parquet(f"{tmp_path}/{n}") for n in ("one", "many"))
+    cores = spark.sparkContext.defaultParallelism
+    assert dealt(few).rdd.getNumPartitions() == cores and sorted(r[0] for r in dealt(few).collect()) == [*range(50)]
+    assert few.rdd.getNumPartitions() < cores <= many.rdd.getNumPartitions() and dealt(many) is many
+
+
 def test_clips_and_labels(spark):
     rows = frame(spark, [([1, 2, 3, 4, 5], 2), ([1, 2, 3], 3), ([1], -1)], "input_ids array<int>, prompt_len int")
     clip = lambda **k: [r["input_ids"] for r in P.clip_rows(rows, k.pop("n"), **k).collect()]
