@@ -30,6 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import dealt
 from .common import crc_mod, saved, shared_dir, table
 from .words import segments, words
 
@@ -409,5 +410,5 @@ def score_with_folds(docs: DataFrame, order: int = 2, folds: int = 7, held: int
 
 def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents under a model of order 2, beside an add-one unigram base."""
-    out = score_with_folds(table(spark, sf_dir, "documents"))
+    out = score_with_folds(dealt(table(spark, sf_dir, "documents")))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", (10 ** (-F.col("score") / F.col("n_tokens"))).alias("perplexity"))
