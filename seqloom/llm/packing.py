@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import dealt
 from .common import gapless_ranks, saved, table
 from .words import segments
 
@@ -202,4 +203,4 @@ def pack_documents(docs: DataFrame, capacity: int = 4096, end_id: int = 1, token
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 4,096 tokens."""
-    return pack_documents(table(spark, sf_dir, "documents"))
+    return pack_documents(dealt(table(spark, sf_dir, "documents")))
