@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import dealt
 from .common import crc_mod, hash_fraction, least_share, saved, table
 from .words import segments
 
@@ -361,7 +362,7 @@ def score_documents(docs: DataFrame, scorer: Scorer, columns: list[str] | None =
 
 def op3_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents; labels only of rows whose crc32(doc_id as text) mod 3 is not 1."""
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    docs, labels = dealt(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels")
     scorer = train(docs, labels.where(crc_mod("doc_id", 3) != 1))
     out = score_documents(docs, scorer)
     return out.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
