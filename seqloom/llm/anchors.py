@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import dealt
 from .common import saved, table
 from .words import segments, words
 
@@ -587,5 +588,5 @@ def one_of_similar(docs: DataFrame, width: int = 5, distance: int = 27, most: in
 
 def op5_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: 4-word shingles, links at 4 or fewer differing bits."""
-    out = near_duplicates(table(spark, sf_dir, "documents"))
+    out = near_duplicates(dealt(table(spark, sf_dir, "documents")))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
