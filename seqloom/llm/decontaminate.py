@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import dealt
 from .common import saved, table
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -193,4 +194,4 @@ def _search(docs: DataFrame, items: list[tuple[int, str]], q: int, rate: float)
 
 def op7_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item with at most 5 % edits, with the items and places."""
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contaminated(dealt(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
