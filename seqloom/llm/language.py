@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import dealt
 from .common import crc_mod, hash_fraction, least_share, saved, table
 
 UNKNOWN = "und"
@@ -130,6 +131,6 @@ def identify(docs: DataFrame, raw: dict[str, bytes], reject_below: float = 0.2)
 
 def op10_zstd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of all documents; learnt from those whose crc32(doc_id as text) mod 5 is not 0."""
-    docs = table(spark, sf_dir, "documents")
+    docs = dealt(table(spark, sf_dir, "documents"))
     raw = dictionaries(docs.where(crc_mod("doc_id", 5) != 0).select("text", "lang"))
     return identify(docs, raw).withColumn("held_out", crc_mod("doc_id", 5) == 0)
