@@ -118,6 +118,11 @@ def tau_leap(rows: DataFrame, tau: float, weight: Column | float = 1.0, temperat
     return out.withColumn("out", F.array_compact(F.array(new, F.col("ins"))))
 
 
+def labelled(stepped: DataFrame) -> DataFrame:
+    """Adds after_ops to tau_leap's rows: of each id in out, whether it was kept, substituted or inserted."""
+    return stepped.withColumn("after_ops", F.array_compact(F.array(F.when(F.col("op") != "DEL", F.col("op")), F.when(F.col("ins").isNotNull(), "INS"))))
+
+
 def rebuilt(stepped: DataFrame) -> DataFrame:
     """(seq, ids, edited) of tau_leap's rows."""
     parts = F.array_sort(F.collect_list(F.struct("pos", "out")))

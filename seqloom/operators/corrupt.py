@@ -94,6 +94,13 @@ def loss_norms(rows: DataFrame, kind: str, by: list[str]) -> DataFrame:
     return per.groupBy(*by).agg(loss.alias("loss"))
 
 
+def eval_step(rows: DataFrame, logits: DataFrame, kind: str, by: list[str], loss_only: bool = False) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """(loss per `by`, logits, labels (seq, pos, tok)) of rows (*by, seq, pos, tok, weight, masked, counts); without the last two if only the loss is asked for."""
+    scored = rows.join(cross_entropy(logits, rows.select("seq", "pos", "tok")), ["seq", "pos"])
+    loss = loss_norms(scored, kind, by)
+    return (loss, None, None) if loss_only else (loss, logits, rows.select("seq", "pos", "tok"))
+
+
 def label_mismatches(df: DataFrame) -> DataFrame:
     """Rows whose counted labels differ from their ids."""
     return df.where(F.exists(F.arrays_zip("input_ids", "labels"), lambda z: (z["labels"] != IGNORE) & (z["labels"] != z["input_ids"])))

@@ -138,15 +138,27 @@ def cut_responses(df: DataFrame, batch: str, key: str, seed: int) -> DataFrame:
     return wide.withColumns({c: F.slice(F.col(c), 1, F.size(c) - F.col("_cut")) for c in COLUMNS if c in df.columns}).drop("_cut")
 
 
-def cut_padded(df: DataFrame, batch: str, seed: int) -> DataFrame:
-    """Cuts the same number of places, from 1 to the shortest response less 1, off all padded rows; nothing if that response has 1 or less."""
+def cut_padded(df: DataFrame, batch: str, seed: int, ratio: float = 1.0) -> DataFrame:
+    """In a batch with probability ratio, cuts the same number of places, from 1 to the shortest response less 1, off all padded rows; nothing if that response has 1 or less."""
     w = Window.partitionBy(batch)
     shortest = F.min(F.col("n_ids") - F.col("prompt_len")).over(w)
     cut = F.floor(uniform(F.col(batch), seed) * (shortest - 1)) + 1
-    wide = df.withColumn("_n", F.max("n_ids").over(w) - F.when(shortest > 1, cut).otherwise(0))
+    wide = df.withColumn("_n", F.max("n_ids").over(w) - F.when((shortest > 1) & (uniform(F.col(batch), f"{seed}/hit") < ratio), cut).otherwise(0))
     return wide.withColumns({c: F.slice(F.col(c), F.lit(1), F.col("_n").cast("int")) for c in COLUMNS if c in df.columns}).drop("_n")
 
 
+def cutting_collator(batch: str, key: str, pad: int, seed: int, per_batch: bool = False, ratio: float = 0.0) -> Callable[[DataFrame], DataFrame]:
+    """Pads batches after cutting their responses to a chosen length (per_batch), or cuts padded ones with probability ratio. Keeps key and batch and what a model reads."""
+
+    def cut(df: DataFrame) -> DataFrame:
+        if per_batch:
+            return pad_batch(cut_responses(df, batch, key, seed), batch, pad)
+        padded = pad_batch(df.withColumn("n_ids", F.size("input_ids")), batch, pad)
+        return cut_padded(padded, batch, seed, ratio) if ratio > 0 else padded
+
+    return collate(cut, lambda df: df.select(*dict.fromkeys((key, batch)), *COLUMNS))
+
+
 def collate(*steps: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
     """Stacks before, base and after steps to one."""
     def run(df: DataFrame) -> DataFrame:

@@ -19,6 +19,8 @@ from . import decode as L
 
 Score = Callable[[DataFrame], DataFrame]
 Hook = Callable[[DataFrame], DataFrame]
+#: Adds columns to a step's rows (seq, pos, tok, conf, now, masked, commit), given the logits that the step saw.
+Measure = Callable[[DataFrame, DataFrame], DataFrame]
 
 
 @dataclass(frozen=True)
@@ -64,7 +66,7 @@ PROGRAMS: dict[str, Options] = {
 }
 
 
-def step(canvas: DataFrame, score: Score, options: Options, mask: int, open_: F.Column, quota: int, later: int = 0, at: int = 0, times: tuple[float, float] = (0.0, 1.0)) -> DataFrame:
+def step(canvas: DataFrame, score: Score, options: Options, mask: int, open_: F.Column, quota: int, later: int = 0, at: int = 0, times: tuple[float, float] = (0.0, 1.0), measure: Measure | None = None) -> DataFrame:
     """(seq, pos, tok, conf, h, masked, commit) of one step: open_ says which masked places may be written."""
     logits = score(canvas)
     for hook in options.logit_hooks:
@@ -105,14 +107,15 @@ def step(canvas: DataFrame, score: Score, options: Options, mask: int, open_: F.
         own = logits.select("seq", "pos", F.col("tok").alias("now"), "logit")
         p = L.softmax(own.withColumnRenamed("now", "tok")).select("seq", "pos", F.col("tok").alias("now"), "p")
         out = out.join(p, ["seq", "pos", "now"], "left").withColumn("h", F.when(F.col("now") == mask, 0.0).otherwise(F.col("conf") - F.coalesce("p", F.lit(0.0)))).drop("p")
-    return out
+    return measure(out, logits) if measure else out
 
 
-def run(canvas: DataFrame, score: Score, mask: int, options: Options = PROGRAMS["masked"], start: int = 0, history: bool = False) -> tuple[DataFrame, DataFrame | None]:
+def run(canvas: DataFrame, score: Score, mask: int, options: Options = PROGRAMS["masked"], start: int = 0, history: bool = False, measure: Measure | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Fills the masks block after block. (final canvas, facts (step, seq, pos, before, tok, conf, masked, commit, after) or None).
 
     start is the first place of the first block; a block gets its share of the steps, its quotas follow the
     schedule, and zero quotas are not run. Tokens that are no masks are never changed, except by remasking.
+    Columns that measure adds to a step's rows are in the facts too.
     """
     canvas = _saved(canvas.select("seq", "pos", "tok", "is_valid"), "canvas")
     width = canvas.agg(F.max("pos")).first()[0]
@@ -128,7 +131,7 @@ def run(canvas: DataFrame, score: Score, mask: int, options: Options = PROGRAMS[
         left = _masks(canvas, mask, lo, hi)
         if options.first_from_full and left:
             whole = replace(options, commit="quota")
-            rows = _saved(step(canvas, score, whole, mask, F.col("pos") == lo, 1, 0, at), "step")
+            rows = _saved(step(canvas, score, whole, mask, F.col("pos") == lo, 1, 0, at, measure=measure), "step")
             if history:
                 facts.append(_facts(rows, at))
             canvas = _saved(L.write(canvas, rows).select("seq", "pos", "tok", "is_valid"), "canvas")
@@ -139,7 +142,7 @@ def run(canvas: DataFrame, score: Score, mask: int, options: Options = PROGRAMS[
             last = k >= len(quotas) - 1
             quota = left if last and options.commit != "random" else max(1, quotas[min(k, len(quotas) - 1)])
             s, t = max(0.0, 1 - (k + 1) / per_block), max(1 / per_block, 1 - k / per_block)
-            rows = step(canvas, score, options, mask, open_, quota, sum(quotas[k + 1 :]), at, (0.0 if last else s, t))
+            rows = step(canvas, score, options, mask, open_, quota, sum(quotas[k + 1 :]), at, (0.0 if last else s, t), measure)
             rows = _saved(rows, "step")
             if history:
                 facts.append(_facts(rows, at))
@@ -167,7 +170,44 @@ def run(canvas: DataFrame, score: Score, mask: int, options: Options = PROGRAMS[
 
 def _facts(rows: DataFrame, at: int) -> DataFrame:
     """What a step knew: of every place the proposal and its confidence, what stood there, whether it was open, and whether it was written."""
-    return rows.select(F.lit(at).alias("step"), "seq", "pos", F.col("now").alias("before"), "tok", "conf", "masked", "commit", F.when(F.col("commit"), F.col("tok")).otherwise(F.col("now")).alias("after"))
+    return rows.select(F.lit(at).alias("step"), "seq", "pos", F.col("now").alias("before"), "tok", "conf", "masked", "commit", F.when(F.col("commit"), F.col("tok")).otherwise(F.col("now")).alias("after"), *[c for c in rows.columns if c not in _OWN])
+
+
+_OWN = ("seq", "pos", "now", "tok", "conf", "masked", "commit", "h")
+
+
+def measures(mask: int, clusters: DataFrame | None = None, vectors: DataFrame | None = None) -> Measure:
+    """Adds entropy (1e-8), best_prob (of the proposal) and own_prob (of a token that is no mask, else 0).
+
+    With clusters (tok, cluster) also cluster, cluster_prob and cluster_entropy, with vectors (tok, e) dispersion.
+    """
+
+    def add(rows: DataFrame, logits: DataFrame) -> DataFrame:
+        p = F.col("p")
+        seen = L.softmax(logits).join(rows.select("seq", "pos", "now", F.col("tok").alias("best")), ["seq", "pos"])
+        at = lambda hit: F.coalesce(F.max(F.when(hit, p)), F.lit(0.0))
+        sums = seen.groupBy("seq", "pos").agg((-F.sum(p * F.log(p + 1e-8))).alias("entropy"), at(F.col("tok") == F.col("best")).alias("best_prob"), at((F.col("tok") == F.col("now")) & (F.col("now") != mask)).alias("own_prob"))
+        out = rows.join(sums, ["seq", "pos"])
+        if clusters is not None:
+            groups = L.clusters(logits, clusters).select("seq", "pos", F.col("label").alias("cluster"), F.col("prob").alias("cluster_prob"), F.col("entropy").alias("cluster_entropy"))
+            out = out.join(groups, ["seq", "pos"])
+        return out if vectors is None else out.join(L.dispersion(logits, vectors), ["seq", "pos"])
+
+    return add
+
+
+def series(facts: DataFrame, mask: int, kept: bool = False) -> DataFrame:
+    """What a complete history holds of measured facts: x, x0, logprob, own_prob, is_mask, entropy, h and the measures of meaning, if there are any.
+
+    As it stands, x0 is the proposal of every place, logprob its confidence and is_mask the canvas after the step; with kept,
+    revealed places propose their own token, logprob is that token's probability and is_mask is as before the step. h is
+    logprob less own_prob.
+    """
+    hidden = F.col("before") == mask
+    x0 = F.when(hidden, F.col("tok")).otherwise(F.col("before")) if kept else F.col("tok")
+    logprob = F.when(hidden, F.col("best_prob")).otherwise(F.col("own_prob")) if kept else F.col("conf")
+    more = [c for c in ("cluster", "cluster_prob", "cluster_entropy", "dispersion") if c in facts.columns]
+    return facts.select("step", "seq", "pos", F.col("after").alias("x"), x0.alias("x0"), logprob.alias("logprob"), "own_prob", (hidden if kept else F.col("after") == mask).alias("is_mask"), "entropy", (logprob - F.col("own_prob")).alias("h"), *more)
 
 
 def plan_quota(masked: int, steps: int, options: Options) -> list[int]:
@@ -203,29 +243,37 @@ def _all_stopped(canvas: DataFrame, stop: int) -> bool:
     return bool(canvas.groupBy("seq").agg(F.count_if(F.col("tok") == stop).alias("n")).agg(F.bool_and(F.col("n") > 0)).first()[0])
 
 
-def infill(canvas: DataFrame, score: Score, mask: int, options: Options = PROGRAMS["masked"], history: bool = False) -> tuple[DataFrame, DataFrame | None]:
+def infill(canvas: DataFrame, score: Score, mask: int, options: Options = PROGRAMS["masked"], history: bool = False, measure: Measure | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Blocks are windows over the whole sequence, prompt included. Programs without infilling raise."""
     if not options.infills:
         raise NotImplementedError("this program does not infill")
-    return run(canvas, score, mask, options, 0, history)
+    return run(canvas, score, mask, options, 0, history, measure)
 
 
-def edit_flow(canvas: DataFrame, rates: Score, tau: float, kappa: S.Kappa = S.KAPPAS["linear"], temperature: float = 0.0, seed: int = 0, prompt_len: int = 1) -> tuple[DataFrame, DataFrame]:
-    """ceil(1 / tau) steps of deletions, substitutions and insertions on (seq, pos, tok). (canvas, facts (step, seq, pos, before, op, ins, after)); after are the ids that take the place of the token before.
+def edit_flow(canvas: DataFrame, rates: Score, tau: float, kappa: S.Kappa = S.KAPPAS["linear"], temperature: float = 0.0, seed: int = 0, prompt_len: int = 1, time_independent: bool = False, time_epsilon: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """ceil(1 / tau) steps of deletions, substitutions and insertions on (seq, pos, tok), none from time 1 - time_epsilon on. (canvas, facts).
 
-    rates gives (seq, pos, del_rate, sub_rate, ins_rate, sub_logits, ins_logits).
+    rates gives (seq, pos, del_rate, sub_rate, ins_rate, sub_logits, ins_logits). Facts are (step, t, seq, pos, before, op, ins,
+    after, after_ops, reused): after are the ids that take the place of the token before, after_ops their origins. If
+    the rates do not depend on time, a step after one without edits takes that one's rates again.
     """
     from . import align as E
 
     now = _saved(canvas.select("seq", "pos", "tok"), "edit")
-    facts = None
-    n = -int(-1 / tau // 1)
-    for k in range(n):
+    facts = given = None
+    for k in range(-int(-1 / tau // 1)):
         t = min(k * tau, 1.0)
-        weight = kappa.weight(t)
-        rows = now.join(rates(now), ["seq", "pos"]).withColumn("prompt_len", F.lit(prompt_len))
-        moved = _saved(E.tau_leap(rows, tau, weight, temperature, seed=f"{seed}/{k}/").select("seq", "pos", "op", "ins", "out"), "edit-step")
-        trace = moved.join(now, ["seq", "pos"]).select(F.lit(k).alias("step"), "seq", "pos", F.col("tok").alias("before"), "op", "ins", F.col("out").alias("after"))
+        if k and t >= 1 - time_epsilon:
+            break
+        reused = given is not None
+        if time_independent and not reused:
+            given = _saved(rates(now), "edit-rates")
+        rows = now.join(given if time_independent else rates(now), ["seq", "pos"]).withColumn("prompt_len", F.lit(prompt_len))
+        moved = _saved(E.labelled(E.tau_leap(rows, tau, kappa.weight(t), temperature, seed=f"{seed}/{k}/")).select("seq", "pos", F.col("tok").alias("before"), "op", "ins", "out", "after_ops"), "edit-step")
+        trace = moved.select(F.lit(k).alias("step"), F.lit(t).alias("t"), "seq", "pos", "before", "op", "ins", F.col("out").alias("after"), "after_ops", F.lit(reused).alias("reused"))
         facts = trace if facts is None else facts.unionByName(trace)
+        if time_independent and moved.where("op <> 'KEEP' OR ins IS NOT NULL").isEmpty():
+            continue
+        given = None
         now = _saved(E.rebuilt(moved).select("seq", F.posexplode("ids").alias("pos", "tok")), "edit")
     return now, facts

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.rng import uniform_sql
 from ..functions.schedules import alpha, kappa
 from ..operators import corrupt as C
+from ..operators.decode import argmax
 from .chat import SFT, sft_rows, text_of
 from .registry import query
 
@@ -72,6 +73,18 @@ def loss_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kinds["token"].join(kinds["sequence"], "batch").join(kinds["batch"], "batch")
 
 
+@query("eval_step", _CE + """, r AS (SELECT seq, pos, ce * (1 + pos) * (pos % 2 = 0)::INT AS v, pos < 12 AS counts FROM ce), b AS (SELECT seq // 4 AS batch, sum(v) / greatest(count(*) FILTER (counts), 1) AS loss FROM r GROUP BY ALL)
+SELECT l.seq, l.pos, l.pos * 3 AS label, arg_max(l.tok, (l.logit, -l.tok)) AS best, round(any_value(loss), 6) AS loss FROM l JOIN b ON b.batch = l.seq // 4 GROUP BY l.seq, l.pos""")
+def eval_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch's loss beside each place's label and best token."""
+    rows = logits(spark, sf_dir)
+    batch = F.floor(F.col("seq") / 4).alias("batch")
+    wanted = rows.where(F.col("tok") == F.col("pos") * 3).select(batch, "seq", "pos", "tok", (1.0 + F.col("pos")).alias("weight"), (F.col("pos") % 2 == 0).alias("masked"), (F.col("pos") < 12).alias("counts"))
+    loss, seen, labels = C.eval_step(wanted, rows, "token", ["batch"])
+    best = argmax(seen).withColumnRenamed("tok", "best")
+    return labels.withColumnRenamed("tok", "label").join(best, ["seq", "pos"]).withColumn("batch", batch).join(loss, "batch").select("seq", "pos", "label", "best", F.round("loss", 6).alias("loss"))
+
+
 @query("label_mismatches", SFT + "SELECT conv_id FROM sft WHERE conv_id % 7 = 0")
 def label_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last label of every seventh row is made wrong."""

@@ -63,6 +63,13 @@ def edit_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", E.out_of_range(E.remaining_edits(zt, z1), (v % 12).cast("int")).alias("beyond"))
 
 
+def _state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates are three of a place's logits, the first four places are the prompt."""
+    rows = logits(spark, sf_dir).groupBy("seq", "pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("tok", "logit"))), lambda x: x["logit"]).alias("v"))
+    rate = lambda k: F.abs(F.get("v", F.lit(k)))
+    return rows.select("seq", "pos", (F.col("pos") + 100).alias("tok"), F.lit(4).alias("prompt_len"), rate(0).alias("del_rate"), rate(1).alias("sub_rate"), rate(2).alias("ins_rate"), F.col("v").alias("sub_logits"), F.col("v").alias("ins_logits"))
+
+
 _U = lambda what: uniform_sql("(seq::VARCHAR || chr(47) || pos::VARCHAR)", f"7{what}")
 
 
@@ -72,8 +79,19 @@ f AS (SELECT *, {_U('fire')} < least((d + s) * 0.1, 1 - 1e-6) AS fires, {_U('whi
 SELECT seq, string_agg(concat_ws(',', CASE WHEN fires AND del THEN NULL WHEN fires THEN best ELSE 100 + pos END, CASE WHEN ins THEN best END), ',' ORDER BY pos)
   FILTER (NOT (fires AND del) OR ins) AS ids, bool_or(fires OR ins) AS edited FROM f GROUP BY seq""")
 def tau_leap_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = logits(spark, sf_dir).groupBy("seq", "pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("tok", "logit"))), lambda x: x["logit"]).alias("v"))
-    rate = lambda k: F.abs(F.get("v", F.lit(k)))
-    state = rows.select("seq", "pos", (F.col("pos") + 100).alias("tok"), F.lit(4).alias("prompt_len"), rate(0).alias("del_rate"), rate(1).alias("sub_rate"), rate(2).alias("ins_rate"), F.col("v").alias("sub_logits"), F.col("v").alias("ins_logits"))
-    out = E.rebuilt(E.tau_leap(state, 0.1, 2.0, seed=7))
+    out = E.rebuilt(E.tau_leap(_state(spark, sf_dir), 0.1, 2.0, seed=7))
     return out.select("seq", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), "edited")
+
+
+@query("tau_leap_trace", f"""WITH l AS {_LOGITS}, x AS (SELECT seq, pos, tok, exp((logit - max(logit) OVER (PARTITION BY seq, pos)) / 5) AS e FROM l),
+w AS (SELECT *, sum(e) OVER (PARTITION BY seq, pos ORDER BY tok) AS run, sum(e) OVER (PARTITION BY seq, pos) AS total FROM x),
+k AS (SELECT seq, pos, least(count(*) FILTER (run < {_U('sub_token')} * total), 63) AS sub, least(count(*) FILTER (run < {_U('ins_token')} * total), 63) AS new FROM w GROUP BY seq, pos),
+g AS (SELECT seq, pos, abs(max(logit) FILTER (tok = 0)) AS d, abs(max(logit) FILTER (tok = 1)) AS s, abs(max(logit) FILTER (tok = 2)) AS i FROM l GROUP BY seq, pos),
+r AS (SELECT seq, pos, d * (pos >= 4)::INT * 2 AS d, s * (pos >= 4)::INT * 2 AS s, i * (pos >= 3)::INT * 2 AS i FROM g),
+f AS (SELECT *, {_U('fire')} < least((d + s) * 0.1, 1 - 1e-6) AS fires, {_U('which')} < least(d / (d + s + 1e-8), 1) AS del, {_U('ins')} < least(i * 0.1, 1 - 1e-6) AS ins FROM r JOIN k USING (seq, pos))
+SELECT seq, pos, CASE WHEN NOT fires THEN 'KEEP' WHEN del THEN 'DEL' ELSE 'SUB' END AS op, concat_ws(',', CASE WHEN NOT fires THEN 100 + pos WHEN NOT del THEN sub END, CASE WHEN ins THEN new END) AS after,
+  concat_ws(',', CASE WHEN NOT fires THEN 'KEEP' WHEN NOT del THEN 'SUB' END, CASE WHEN ins THEN 'INS' END) AS after_ops FROM f""")
+def tau_leap_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of one step at temperature 5, with the origin of each new id."""
+    out = E.labelled(E.tau_leap(_state(spark, sf_dir), 0.1, 2.0, 5.0, seed=7))
+    return out.select("seq", "pos", "op", F.array_join(F.col("out").cast("array<string>"), ",").alias("after"), F.array_join("after_ops", ",").alias("after_ops"))

@@ -109,6 +109,27 @@ def padded_resp_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.cut_padded(P.pad_batch(rows, "batch", PAD), "batch", 4).select("conv_id", text_of("input_ids"))
 
 
+@query("collated_cutoff", SFT + f"""SELECT conv_id, array_to_string(list_concat(input_ids, list_resize([]::INT[], w - len(input_ids), 0))[1:n], ',') AS input_ids,
+  array_to_string(list_concat(labels, list_resize([]::INT[], w - len(labels), -100))[1:n], ',') AS labels, least(len(input_ids), n)::INT AS ones FROM (
+  SELECT *, w - CASE WHEN s > 1 AND {uniform_sql('conv_id // 8', '6/hit')} < 0.5 THEN floor({uniform_sql('conv_id // 8', 6)} * (s - 1))::BIGINT + 1 ELSE 0 END AS n FROM (
+  SELECT *, max(len(input_ids)) OVER b AS w, min(len(input_ids) - prompt_len) OVER b AS s FROM sft WINDOW b AS (PARTITION BY conv_id // 8)))""")
+def collated_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the padded batches are cut."""
+    rows = sft_rows(spark, sf_dir).withColumn("batch", F.floor(F.col("conv_id") / 8))
+    out = rows.transform(P.cutting_collator("batch", "conv_id", PAD, 6, ratio=0.5))
+    return out.select("conv_id", text_of("input_ids"), text_of("labels"), F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("ones"))
+
+
+@query("collated_per_batch", SFT + f"""SELECT conv_id, array_to_string(list_resize(input_ids[1:n], w, 0), ',') AS input_ids, array_to_string(list_resize(labels[1:n], w, -100), ',') AS labels, n::INT AS ones FROM (
+  SELECT *, max(n) OVER (PARTITION BY conv_id // 8) AS w FROM (SELECT *, len(input_ids) - greatest(len(input_ids) - prompt_len - chosen, 0) AS n FROM (
+  SELECT *, first_value(len(input_ids) - prompt_len) OVER (PARTITION BY conv_id // 8 ORDER BY {uniform_sql('conv_id', 6)}) AS chosen FROM sft)))""")
+def collated_per_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses are cut before padding."""
+    rows = sft_rows(spark, sf_dir).withColumn("batch", F.floor(F.col("conv_id") / 8))
+    out = rows.transform(P.cutting_collator("batch", "conv_id", PAD, 6, per_batch=True))
+    return out.select("conv_id", text_of("input_ids"), text_of("labels"), F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("ones"))
+
+
 @query("edit_pairs", SFT + "SELECT conv_id, array_to_string(list_concat(input_ids[1:prompt_len], list_resize([]::INT[], 4, 3)), ',') AS x0, array_to_string(input_ids, ',') AS x1 FROM sft")
 def edit_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     x0, x1 = P.edit_pairs(F.col("input_ids"), F.col("prompt_len"), P.start_sampler("masks[length:4]", MASK), BOS)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.rng import uniform_sql
 from ..operators import samplers as D
 from .corruption import _LOGITS, logits
-from .registry import query
+from .registry import query, table
 
 MASK = 64
 
@@ -100,13 +100,24 @@ def sample_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.select("seq", "pos", F.col("step").cast("long").alias("step"), "before", "after", "tok", F.round("conf", 6).alias("conf"), "masked", "commit")
 
 
-@query("edit_flow_sample")
-def edit_flow_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _edits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, D.Score]:
+    """Sequences of all 16 places and rates by place; a sequence that outgrows them has no rates beyond."""
     rows = logits(spark, sf_dir).groupBy("seq", "pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("tok", "logit"))), lambda x: x["logit"]).alias("v"))
     rate = lambda k: F.abs(F.get("v", F.lit(k))) / 4
-    rates = rows.select("seq", "pos", rate(0).alias("del_rate"), rate(1).alias("sub_rate"), rate(2).alias("ins_rate"), F.col("v").alias("sub_logits"), F.col("v").alias("ins_logits"))
-    start = rows.where("pos < 6").select("seq", "pos", (F.col("pos") + 100).alias("tok"))
-    return D.edit_flow(start, lambda c: rates, 0.25)[0].select("seq", "pos", "tok")
+    own = rows.select("seq", "pos", rate(0).alias("del_rate"), rate(1).alias("sub_rate"), rate(2).alias("ins_rate"), F.col("v").alias("sub_logits"), F.col("v").alias("ins_logits"))
+    none = F.array(F.lit(0.0)).alias("none")
+
+    def rates(canvas: DataFrame) -> DataFrame:
+        here = canvas.select("seq", "pos").join(own, ["seq", "pos"], "left").withColumn("none", none)
+        return here.select("seq", "pos", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("del_rate", "sub_rate", "ins_rate")], *[F.coalesce(c, "none").alias(c) for c in ("sub_logits", "ins_logits")])
+
+    return rows.select("seq", "pos", (F.col("pos") + 100).alias("tok")), rates
+
+
+@query("edit_flow_sample")
+def edit_flow_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start, rates = _edits(spark, sf_dir)
+    return D.edit_flow(start, rates, 0.25)[0].select("seq", "pos", "tok")
 
 
 @query("shifted_history", _sql(_SHIFTED, "sum(p * ln(p + 1e-10))", "0", "(r - 1) // 3").replace(_OUT.format("(r - 1) // 3"), f"""SELECT b.seq, b.pos, st AS step,
@@ -117,3 +128,50 @@ def shifted_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     options = replace(D.PROGRAMS["shifted"], steps=4, block_size=12, temperature=0.0, top_k=None)
     facts = D.run(canvas(spark, sf_dir), lambda c: logits(spark, sf_dir), MASK, options, 4, history=True)[1]
     return facts.select("seq", "pos", F.col("step").cast("long").alias("step"), "before", "tok", F.round("conf", 6).alias("conf"), "masked")
+
+
+_MEANING = """v AS (SELECT vec_id::INT AS tok, d, x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)) AS x FROM (SELECT vec_id, unnest(range(64)) AS d, unnest(embedding)::DOUBLE AS x FROM embeddings WHERE vec_id < 64)),
+m AS (SELECT seq, pos, greatest(0, 1 - sum(m * m)) AS dispersion FROM (SELECT seq, pos, d, sum(p * x) AS m FROM s JOIN v USING (tok) GROUP BY ALL) GROUP BY ALL),
+k AS (SELECT seq, pos, arg_max(c, (p, -c)) AS cluster, max(p) AS cluster_prob, -sum(p * ln(p + 1e-10)) AS cluster_entropy FROM (SELECT seq, pos, (tok % 8)::INT AS c, sum(p) + 1e-14 AS p FROM s GROUP BY ALL) GROUP BY seq, pos)"""
+#: Of every place and step: what stood there before and after, the best token's probability and that of a token that is no mask.
+_PLACES = f"""e AS (SELECT seq, pos, -sum(p * ln(p + 1e-8)) AS entropy, max(p) AS best_prob, max(p) FILTER (tok = pos) AS given_prob FROM s GROUP BY seq, pos),
+h AS (SELECT b.seq, b.pos, st AS step, b.tok, b.conf, e.entropy, e.best_prob, coalesce((r - 1) // 3 >= st, false) AS hidden, coalesce((r - 1) // 3 > st, false) AS left_,
+  CASE WHEN b.pos < 4 THEN e.given_prob WHEN (r - 1) // 3 < st THEN e.best_prob ELSE 0 END AS own, CASE WHEN b.pos < 4 THEN b.pos WHEN (r - 1) // 3 < st THEN b.tok ELSE {MASK} END::INT AS before, CASE WHEN b.pos < 4 THEN b.pos WHEN (r - 1) // 3 <= st THEN b.tok ELSE {MASK} END::INT AS x
+  FROM best b JOIN e USING (seq, pos) LEFT JOIN r ON r.seq = b.seq AND r.pos = b.pos, range(4) t(st))"""
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if c == "step" else F.col(c) for c, t in df.dtypes])
+
+
+@query("full_history", _sql(_PLAIN, "max(p)", "0", "(r - 1) // 3").replace(_OUT.format("(r - 1) // 3"), f""", {_PLACES}, {_MEANING}
+SELECT h.seq, h.pos, step, x, tok AS x0, round(conf, 6) AS logprob, round(own, 6) AS own_prob, left_ AS is_mask, round(entropy, 6) AS entropy, round(conf - own, 6) AS h,
+  cluster, round(cluster_prob, 6) AS cluster_prob, round(cluster_entropy, 6) AS cluster_entropy, round(dispersion, 6) AS dispersion FROM h JOIN k USING (seq, pos) JOIN m USING (seq, pos)""".lstrip()))
+def full_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All series of the masked program; the first 64 vectors are the embedding matrix of the 64-token vocabulary."""
+    clusters = spark.range(64).select(F.col("id").cast("int").alias("tok"), (F.col("id") % 8).cast("int").alias("cluster"))
+    vectors = table(spark, sf_dir, "embeddings").where("vec_id < 64").select(F.col("vec_id").cast("int").alias("tok"), F.col("embedding").alias("e"))
+    options = replace(D.PROGRAMS["masked"], steps=4, block_size=12)
+    facts = D.run(canvas(spark, sf_dir), lambda c: logits(spark, sf_dir), MASK, options, 4, True, D.measures(MASK, clusters, vectors))[1]
+    return _rounded(D.series(facts, MASK))
+
+
+@query("shifted_full_history", _sql(_SHIFTED, "sum(p * ln(p + 1e-10))", "0", "(r - 1) // 3").replace(_OUT.format("(r - 1) // 3"), f""", {_PLACES}
+SELECT seq, pos, step, x, CASE WHEN hidden THEN tok ELSE before END::INT AS x0, round(CASE WHEN hidden THEN best_prob ELSE own END, 6) AS logprob, round(own, 6) AS own_prob, hidden AS is_mask,
+  round(entropy, 6) AS entropy, round(CASE WHEN hidden THEN best_prob ELSE 0 END, 6) AS h FROM h"""))
+def shifted_full_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All series of the shifted program."""
+    options = replace(D.PROGRAMS["shifted"], steps=4, block_size=12, temperature=0.0, top_k=None)
+    facts = D.run(canvas(spark, sf_dir), lambda c: logits(spark, sf_dir), MASK, options, 4, True, D.measures(MASK))[1]
+    return _rounded(D.series(facts, MASK, kept=True))
+
+
+_TOSS = lambda k: uniform_sql("(seq::VARCHAR || chr(47) || pos::VARCHAR)", f"0/{k}")
+_program("origin_sample", "origin", _sql(_SHIFTED, "max(p)", "0", f"CASE WHEN {_TOSS(0)} < 0.25 THEN 0 WHEN {_TOSS(1)} < 1 / 3.0::DOUBLE THEN 1 WHEN {_TOSS(2)} < 0.5 THEN 2 ELSE 3 END"), block_size=12)
+
+
+@query("edit_flow_trace")
+def edit_flow_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event of every step with the origins of the new ids; held against a plain loop in the tests."""
+    start, rates = _edits(spark, sf_dir)
+    return D.edit_flow(start, rates, 0.25, time_independent=True)[1]

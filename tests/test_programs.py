@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqloom.functions import schedules as S
+from seqloom.operators import corrupt as C
 from seqloom.operators import decode as L
 from seqloom.operators import samplers as D
 from seqloom.operators import text as X
@@ -122,6 +123,78 @@ def test_hooks_and_stop(spark):
             D.infill(canvas, scorer(spark), MASK, D.PROGRAMS[key])
 
 
+def edit_rates(canvas):
+    x = F.col("seq") + 2.0 * F.col("pos") + 3.0 * F.col("tok")
+    lean = lambda a: F.array(*[F.sin(x + a * v) for v in range(4)])
+    return canvas.select("seq", "pos", *[(0.6 + 0.5 * F.sin(x + a)).alias(f"{n}_rate") for a, n in enumerate(("del", "sub", "ins"))], lean(1.3).alias("sub_logits"), lean(2.1).alias("ins_logits"))
+
+
+def plain_edits(seq, row, tau, temperature, seed, prompt):
+    """One sequence through the edit flow, by lists: (final, [(step, pos, op, after, after_ops)])."""
+    def pick(x, a, u):
+        w = [math.sin(x + a * v) for v in range(4)]
+        if temperature <= 0:
+            return max(range(4), key=lambda v: (w[v], -v))
+        e = [math.exp((y - max(w)) / temperature) for y in w]
+        return min(sum(sum(e[: v + 1]) < u * sum(e) for v in range(4)), 3)
+
+    facts = []
+    for k in range(math.ceil(1 / tau)):
+        t, new = min(k * tau, 1.0), []
+        for p, tok in enumerate(row):
+            x, u = seq + 2 * p + 3 * tok, lambda what, p=p: uniform(f"{seq}/{p}", f"{seed}/{k}/{what}")  # noqa: B023
+            d, s, i = ((0.6 + 0.5 * math.sin(x + a)) / (1 - t + 1e-6) for a in range(3))
+            d, s, i = d if p >= prompt else 0, s if p >= prompt else 0, i if p >= prompt - 1 else 0
+            fires = u("fire") < min(max((d + s) * tau, 0), 1 - 1e-6)
+            op = "KEEP" if not fires else "DEL" if u("which") < d / (d + s + 1e-8) else "SUB"
+            after = [] if op == "DEL" else [(tok if op == "KEEP" else pick(x, 1.3, u("sub_token")), op)]
+            if u("ins") < min(max(i * tau, 0), 1 - 1e-6):
+                after.append((pick(x, 2.1, u("ins_token")), "INS"))
+            facts.append((k, p, op, [a for a, _ in after], [o for _, o in after]))
+            new += [a for a, _ in after]
+        row = new
+    return row, sorted(facts)
+
+
+@pytest.mark.parametrize("temperature", [0.0, 0.7])
+def test_edit_flow_follows_its_rules(spark, temperature):
+    start = {0: [5, 6, 7, 8], 1: [2], 2: [1, 1, 1, 1, 1, 1], 3: [9, 4, 3]}
+    canvas = spark.createDataFrame([(s, p, t) for s, row in start.items() for p, t in enumerate(row)], "seq long, pos int, tok int")
+    final, facts = D.edit_flow(canvas, edit_rates, 0.3, temperature=temperature, seed=5, prompt_len=2)
+    got, trace = {}, {}
+    for r in final.collect():
+        got.setdefault(r["seq"], {})[r["pos"]] = r["tok"]
+    for r in facts.collect():
+        trace.setdefault(r["seq"], []).append((r["step"], r["pos"], r["op"], r["after"], r["after_ops"]))
+        assert not r["reused"] and r["t"] == min(r["step"] * 0.3, 1.0)
+    for s, row in start.items():
+        want = plain_edits(s, row, 0.3, temperature, 5, 2)
+        assert ([got[s][p] for p in range(len(got[s]))], sorted(trace[s])) == want
+
+
+def test_rates_are_taken_again_after_a_step_without_edits(spark):
+    canvas = spark.createDataFrame([(0, 0, 5), (0, 1, 6)], "seq long, pos int, tok int")
+    asked = []
+
+    def none(c):
+        asked.append(1)
+        return edit_rates(c).withColumns({f"{n}_rate": F.lit(0.0) for n in ("del", "sub", "ins")})
+
+    final, facts = D.edit_flow(canvas, none, 0.25, time_independent=True, time_epsilon=0.3)
+    assert len(asked) == 1 and final.count() == 2
+    assert {(r["step"], r["reused"]) for r in facts.collect()} == {(0, False), (1, True), (2, True)}
+    moving = D.edit_flow(canvas, edit_rates, 0.25, seed=3, time_independent=True)
+    same = D.edit_flow(canvas, edit_rates, 0.25, seed=3)
+    assert sorted(moving[0].collect()) == sorted(same[0].collect())
+
+
+def test_eval_step_of_the_loss_alone(spark):
+    rows = spark.createDataFrame([(0, 0, 0, 1, 1.0, True, True)], "batch long, seq long, pos int, tok int, weight double, masked boolean, counts boolean")
+    logits = spark.createDataFrame([(0, 0, t, 0.0) for t in range(4)], "seq long, pos int, tok int, logit double")
+    loss, seen, labels = C.eval_step(rows, logits, "token", ["batch"], loss_only=True)
+    assert seen is None and labels is None and abs(loss.first()["loss"] - math.log(4)) < 1e-12
+
+
 def test_quotas_on_the_driver_are_spark_quotas(spark):
     for n, steps in ((10, 4), (4, 3), (16, 5), (3, 8), (0, 4), (97, 13)):
         for name in ("linear", "cosine"):
