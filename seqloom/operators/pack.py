@@ -218,6 +218,12 @@ def trim_infill(ids: Column, prompt: Column, mask: int, pad: int, stops: list[in
     return _until(F.transform(pairs, lambda z: z["x"]), stops)
 
 
+def bounded_pair(context: Column, continuation: Column, bos: Column, eos: Column, max_length: int) -> tuple[Column, Column]:
+    """(ids, number of context ids left): start, context, continuation, end; where they are too long the left is cut."""
+    ids = F.concat(F.array(bos), context, continuation, F.array(eos))
+    return clip(ids, max_length, "left"), F.greatest(F.size(context) + 1 - F.greatest(F.size(ids) - max_length, F.lit(0)), F.lit(0))
+
+
 def cut_at_stops(text: Column, until: Column) -> Column:
     """The text cut before each stop string in turn; empty stops do nothing."""
     return F.aggregate(until, text, lambda acc, s: F.when(F.length(s) > 0, F.split_part(acc, s, F.lit(1))).otherwise(acc))

@@ -103,11 +103,21 @@ def encode_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", context.alias("context"), continuation.alias("continuation"))
 
 
-@query("encode_pair_cut", r"""SELECT item_id, array_to_string(w[greatest(len(w) - 12, 0) + 1:], ' ') AS kept FROM (SELECT item_id, list_append(list_prepend('<s>', regexp_extract_all(text, '\S+')), '</s>') AS w FROM benchmark)""")
+@query("encode_pair_cut", r"""SELECT item_id, array_to_string(w[greatest(len(w) - 12, 0) + 1:], ' ') AS kept, greatest(c + 1 - greatest(len(w) - 12, 0), 0)::INT AS context_left
+FROM (SELECT item_id, list_append(list_prepend('<s>', regexp_extract_all(text, '\S+')), '</s>') AS w, least(len(regexp_extract_all(text, '\S+')), item_id % 20) AS c FROM benchmark)""")
 def encode_pair_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A start in front, an end behind, and the left cut to the maximal length."""
-    words = F.concat(F.array(F.lit("<s>")), F.regexp_extract_all("text", F.lit(r"(\S+)"), F.lit(0)), F.array(F.lit("</s>")))
-    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(P.clip(words, 12, "left"), " ").alias("kept"))
+    """A start in front, an end behind, and the left cut to the maximal length; the context has up to 19 words."""
+    words = F.regexp_extract_all("text", F.lit(r"(\S+)"), F.lit(0))
+    rows = table(spark, sf_dir, "benchmark").select("item_id", words.alias("w"), F.least(F.size(words), F.col("item_id") % 20).cast("int").alias("c"))
+    ids, left = P.bounded_pair(F.slice("w", F.lit(1), F.col("c")), F.slice("w", F.col("c") + 1, F.size("w")), F.lit("<s>"), F.lit("</s>"), 12)
+    return rows.select("item_id", F.array_join(ids, " ").alias("kept"), left.alias("context_left"))
+
+
+@query("edge_safe_masks", f"""WITH {_MC} SELECT seq, draw, pos, masked AND pos > 4 AND pos < 15 AS masked FROM m""")
+def edge_safe_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first and the last place of the continuation keep their tokens."""
+    rows = mc_masks(spark, sf_dir)
+    return rows.select("seq", "draw", "pos", M.edge_safe(F.col("masked"), F.col("pos") - 4, F.lit(12)).alias("masked"))
 
 
 @query("stop_sequences", "SELECT item_id, split_part(split_part(text, '.', 1), ' on', 1) AS answer FROM benchmark")

@@ -171,3 +171,47 @@ def decode_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", X.words(F.col("text")).alias("w"))
     vocabulary = docs.select(F.explode("w").alias("word")).where(F.length("word") < 4).distinct().select(F.xxhash64("word").alias("id"), "word")
     return X.decode(docs.select("doc_id", F.transform("w", lambda w: F.xxhash64(w)).alias("ids")), "doc_id", "ids", vocabulary)
+
+
+@query("saved_sft", SFT + "SELECT CASE WHEN conv_id % 4 = 0 THEN 'test' ELSE 'train' END AS split, prompt_len::INT AS prompt_len, array_to_string(input_ids, ',') AS input_ids, array_to_string(labels, ',') AS labels FROM sft")
+def saved_sft(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mapped rows are saved by split and loaded again as preprocessed data."""
+    from ..sources import datasets as D
+    from ..storage import shared_folder
+
+    path = f"{shared_folder(spark, 'sink')}/sft"
+    D.write_sft(sft_rows(spark, sf_dir).withColumn("split", F.when(F.col("conv_id") % 4 == 0, "test").otherwise("train")), path)
+    return D.load(spark, path, {}, preprocessed=True).select("split", F.col("prompt_len").cast("int").alias("prompt_len"), text_of("input_ids"), text_of("labels"))
+
+
+@query("saved_pt", f"WITH {TOKENS} SELECT 'train' AS split, 'max_length-{LENGTH}-insert_eos-True-drop_tail-True' AS folder, md5(array_to_string(ids, ',')) AS ids, true AS same FROM chunks WHERE len(ids) = {LENGTH}")
+def saved_pt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed chunks are saved below a folder that tells the options."""
+    from ..sources import datasets as D
+    from ..storage import shared_folder
+
+    rows = P.pack(corpus(spark, sf_dir), LENGTH, "pack_group", "doc_id").withColumn("split", F.lit("train"))
+    path = D.write_pt(rows, shared_folder(spark, "sink"), LENGTH, True, True)
+    back = D.load(spark, path, {}, preprocessed=True)
+    ids = F.md5(F.array_join(F.col("input_ids").cast("array<string>"), ","))
+    return back.select("split", F.lit(path.rpartition("/")[2]).alias("folder"), ids.alias("ids"), (F.col("labels") == F.col("input_ids")).alias("same"))
+
+
+@query("map_by_path", SFT + "SELECT array_to_string(list_prepend(1, input_ids), ',') AS input_ids, array_to_string(list_prepend(-100, labels), ',') AS labels FROM sft")
+def map_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A map named by its dotted path, with an option bound."""
+    from ..sources import datasets as D
+
+    return sft_rows(spark, sf_dir).transform(D.use("seqloom.operators.pack.prepend_bos", bos=BOS)).select(text_of("input_ids"), text_of("labels"))
+
+
+@query("json_map", "SELECT vec_id::INT AS tok, label::INT AS cluster FROM embeddings WHERE vec_id < 64")
+def json_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vocabulary's clusters from one JSON object."""
+    from ..sources import datasets as D
+    from ..storage import shared_folder
+
+    path = f"{shared_folder(spark, 'map')}/clusters"
+    pairs = F.map_from_entries(F.collect_list(F.struct(F.col("vec_id").cast("string"), "label")))
+    table(spark, sf_dir, "embeddings").where("vec_id < 64").agg(F.to_json(pairs).alias("value")).coalesce(1).write.text(path)
+    return D.cluster_map(spark, path)

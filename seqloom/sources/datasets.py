@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from importlib import import_module
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -269,9 +270,15 @@ def transform(name: str) -> Callable:
 
 
 def use(name: str, **bound: object) -> Callable[[DataFrame], DataFrame]:
-    if name not in TRANSFORMS:
+    """The registered map of this name, or the function at a dotted path, with its options bound."""
+    if name in TRANSFORMS:
+        found = TRANSFORMS[name]
+    elif "." in name:
+        module, _, own = name.rpartition(".")
+        found = getattr(import_module(module), own)
+    else:
         raise ValueError(f"unknown transform {name!r}; known: {', '.join(sorted(TRANSFORMS))}")
-    return lambda df: TRANSFORMS[name](df, **bound)
+    return lambda df: found(df, **bound)
 
 
 def cluster_map(spark: SparkSession, path: str) -> DataFrame:
