@@ -71,6 +71,7 @@ def test_transform_registry(spark):
         return df.withColumn("id", F.col("id") * by)
 
     assert S.use("double_id", by=3)(spark.range(3)).agg(F.sum("id")).first()[0] == 9
+    assert S.use("seqloom.operators.pack.drop_mask")(frame(spark, [([1], [1], [1])], IDS)).columns == ["input_ids", "labels"]
     with pytest.raises(ValueError):
         S.use("none")
 
@@ -216,3 +217,12 @@ def test_windowed_stream(spark, tmp_path):
     stream = R.scan(spark, f"{tmp_path}/in", "event_id long, ts timestamp, user_id long, event_type string, value double, props string")
     R.drain(R.windowed_losses(stream).select("event_type", "mean", "n"), f"{tmp_path}/out", f"{tmp_path}/log")
     assert spark.read.parquet(f"{tmp_path}/out").agg(F.sum("n")).first()[0] > 0
+
+
+def test_cutting_collator_leaves_batches_with_one_token_responses(spark):
+    rows = frame(spark, [(0, 0, 2, [5, 6, 7], [-100, -100, 7], [1, 1, 1]), (0, 1, 1, [5, 6, 7, 8], [-100, 6, 7, 8], [1, 1, 1, 1]), (1, 2, 1, [5, 6, 7, 8], [-100, 6, 7, 8], [1, 1, 1, 1])], f"batch long, id long, prompt_len int, {IDS}")
+    out = {r["id"]: r for r in P.cutting_collator("batch", "id", 0, 3, ratio=1.0)(rows).collect()}
+    assert out[0]["input_ids"] == [5, 6, 7, 0] and out[0]["labels"] == [-100, -100, 7, -100] and out[0]["attention_mask"] == [1, 1, 1, 0]
+    assert out[1]["input_ids"] == [5, 6, 7, 8] and 2 <= len(out[2]["input_ids"]) < 4
+    assert {len(r["input_ids"]) for r in P.cutting_collator("batch", "id", 0, 3)(rows).collect()} == {4}
+    assert P.cutting_collator("batch", "id", 0, 3, per_batch=True)(rows.limit(0)).count() == 0
