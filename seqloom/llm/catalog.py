@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import anchors, decontaminate, kneser_ney, language, line_runs, matrix_search, packing, ring, toxicity, url_rules
+from . import anchors, decontaminate, kneser_ney, language, line_runs, matrix_search, merkle, packing, ring, toxicity, url_rules
 
 
 def queries() -> dict:
@@ -17,8 +17,9 @@ def queries() -> dict:
         "op8_int8_block_join": matrix_search.op8_int8_block_join,
         "op9_ring_shards": ring.op9_ring_shards,
         "op10_zstd_language": language.op10_zstd_language,
+        "op11_merkle_manifest": merkle.op11_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": line_runs.OP4_SQL, "op8_int8_block_join": matrix_search.OP8_SQL}
+    return {"op4_line_dedup": line_runs.OP4_SQL, "op8_int8_block_join": matrix_search.OP8_SQL, "op11_merkle_manifest": merkle.OP11_SQL}

@@ -18,6 +18,7 @@ COLUMNS = {
     8: "query_id rank vec_id score",
     9: "doc_id size text_crc32 law shard slot grown_shard",
     10: "doc_id lang_pred score rejected held_out",
+    11: "doc_id leaf subroot root proof_sha256 folded_root verified",
 }
 
 
@@ -28,9 +29,9 @@ def test_query_matches_sql(spark, name):
 
 def test_names_and_columns(spark):
     names = {int(n[2:].split("_")[0]): n for n in catalog.queries()}
-    assert sorted(names) == [*range(1, 11)]
+    assert sorted(names) == [*range(1, 12)]
     every = __spark_entry__.queries()
     assert {*names.values(), "pipeline"} <= every.keys()
     for n, name in names.items():
-        if n not in (4, 8):
+        if n not in (4, 8, 11):
             assert every[name](spark, SF).columns == COLUMNS[n].split(), name
