@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import anchors, decontaminate, kneser_ney, language, line_runs, matrix_search, merkle, packing, ring, toxicity, url_rules
+from . import anchors, decontaminate, kneser_ney, language, licences, line_runs, matrix_search, merkle, packing, periodic, ring, toxicity, url_rules
 
 
 def queries() -> dict:
@@ -18,6 +18,8 @@ def queries() -> dict:
         "op9_ring_shards": ring.op9_ring_shards,
         "op10_zstd_language": language.op10_zstd_language,
         "op11_merkle_manifest": merkle.op11_merkle_manifest,
+        "op12_licence_index": licences.op12_licence_index,
+        "op13_periodic_runs": periodic.op13_periodic_runs,
     }
 
 

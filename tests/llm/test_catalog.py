@@ -19,6 +19,8 @@ COLUMNS = {
     9: "doc_id size text_crc32 law shard slot grown_shard",
     10: "doc_id lang_pred score rejected held_out",
     11: "doc_id leaf subroot root proof_sha256 folded_root verified",
+    12: "doc_id n_words n_base first_word last_word base_labels labels score",
+    13: "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
 }
 
 
@@ -29,7 +31,7 @@ def test_query_matches_sql(spark, name):
 
 def test_names_and_columns(spark):
     names = {int(n[2:].split("_")[0]): n for n in catalog.queries()}
-    assert sorted(names) == [*range(1, 12)]
+    assert sorted(names) == [*range(1, 14)]
     every = __spark_entry__.queries()
     assert {*names.values(), "pipeline"} <= every.keys()
     for n, name in names.items():
