@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.rng import uniform
+from ..functions.schedules import step_quota
 
 KEY = ("seq", "pos")
 NEG = float("-inf")
@@ -162,27 +163,33 @@ def commit_factor(conf: DataFrame, factor: float) -> DataFrame:
     return rows.withColumn("commit", F.col("masked") & (F.col("r") <= F.least(k, F.col("n")))).drop("r", "n", "ok")
 
 
-def commit_hybrid(conf: DataFrame, threshold: float, quota: int) -> DataFrame:
+def commit_hybrid(conf: DataFrame, threshold: float, quota: int | Column) -> DataFrame:
     """All masked places with conf > threshold if they reach the quota, else the best `quota`."""
     rows = _ranked(conf).withColumn("hit", F.col("masked") & (F.col("conf") > threshold))
     enough = F.count_if("hit").over(Window.partitionBy("seq")) >= quota
     return rows.withColumn("commit", F.when(enough, F.col("hit")).otherwise(F.col("masked") & (F.col("r") <= quota))).drop("r", "n", "hit")
 
 
-def commit_carry(conf: DataFrame, threshold: float, future: int) -> DataFrame:
+def commit_carry(conf: DataFrame, threshold: float, future: int | Column) -> DataFrame:
     """k = masked places less later quotas; of the best k, those below the threshold wait, but never the first."""
     k = F.greatest(F.col("n") - future, F.lit(0))
     rows = _ranked(conf)
     return rows.withColumn("commit", F.col("masked") & (F.col("r") <= k) & ((F.col("r") == 1) | (F.col("conf") >= threshold))).drop("r", "n")
 
 
-def commit_soft(conf: DataFrame, k: int, temperature: float, seed: int | str) -> DataFrame:
+def commit_soft(conf: DataFrame, k: int | Column, temperature: float, seed: int | str) -> DataFrame:
     """k masked places drawn without replacement by softmax(conf / temperature), as Gumbel top-k."""
     noise = -F.log(-F.log(uniform(F.concat_ws("/", *KEY), seed)))
     rows = conf.withColumn("_own", F.col("conf")).withColumn("conf", F.col("conf") / temperature + noise)
     return commit_quota(rows, k).withColumn("conf", F.col("_own")).drop("_own")
 
 
+def commit_timed(conf: DataFrame, s: Column, t: Column, last: bool) -> DataFrame:
+    """The int(n (1 - s / t)) most confident of n masked places; all of them at the last step."""
+    rows = _ranked(conf)
+    return rows.withColumn("commit", F.col("masked") & (F.col("r") <= step_quota(F.col("n"), s, t, F.lit(last)))).drop("r", "n")
+
+
 def commit_random(conf: DataFrame, s: float, t: float, seed: int | str) -> DataFrame:
     """Each masked place with probability 1 - s / t."""
     return conf.withColumn("commit", F.col("masked") & (uniform(F.concat_ws("/", *KEY), seed) < 1 - s / t))
@@ -233,7 +240,7 @@ def h_statistic(logits: DataFrame, canvas: DataFrame, mask: int) -> DataFrame:
     return own.join(p.groupBy(*KEY).agg(F.max("p").alias("conf")), [*KEY]).select(*KEY, F.when(F.col("tok") == mask, 0.0).otherwise(F.col("conf") - F.coalesce("p", F.lit(0.0))).alias("h"))
 
 
-def remask(rows: DataFrame, start: int, end: int, last_step: bool, seed: int | str) -> DataFrame:
+def remask(rows: DataFrame, start: int | Column, end: int | Column, last_step: bool, seed: int | str) -> DataFrame:
     """Adds remask to (seq, pos, masked, h): revealed, h > 0, start <= pos < end, with probability h; never at the last step."""
     hit = ~F.col("masked") & (F.col("h") > 0) & (F.col("pos") >= start) & (F.col("pos") < end) & (uniform(F.concat_ws("/", *KEY), seed) < F.least("h", F.lit(1.0)))
     return rows.withColumn("remask", hit & F.lit(not last_step))

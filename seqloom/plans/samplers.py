@@ -6,11 +6,12 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.rng import uniform_sql
 from ..operators import samplers as D
 from .corruption import _LOGITS, logits
-from .registry import query, table
+from .registry import SQL, query, table
 
 MASK = 64
 
@@ -175,3 +176,90 @@ def edit_flow_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event of every step with the origins of the new ids; held against a plain loop in the tests."""
     start, rates = _edits(spark, sf_dir)
     return D.edit_flow(start, rates, 0.25, time_independent=True)[1]
+
+
+def _uneven(spark: SparkSession, sf_dir: str, m: int) -> DataFrame:
+    """Prompts of 4 to 3 + m tokens, so that sequences differ in their masks."""
+    start = 4 + F.col("seq") % m
+    return canvas(spark, sf_dir).select("seq", "pos", F.when(F.col("pos") < start, F.col("pos")).otherwise(MASK).alias("tok"), "is_valid", start.alias("start"))
+
+
+def _reader(spark: SparkSession, sf_dir: str, forced: int | None = None) -> D.Score:
+    """Logits that depend on the token before; `forced` is where token 1 wins."""
+
+    def score(now: DataFrame) -> DataFrame:
+        left = now.select("seq", (F.col("pos") + 1).alias("pos"), F.col("tok").alias("left"))
+        rows = logits(spark, sf_dir).join(left, ["seq", "pos"], "left")
+        more = 4 * F.cos(0.7 * F.coalesce("left", F.lit(MASK)) + 1.3 * F.col("tok"))
+        bonus = F.lit(0.0) if forced is None else F.when((F.col("pos") == forced) & (F.col("tok") == 1), 100.0).otherwise(0.0)
+        return rows.select("seq", "pos", "tok", (F.col("logit") + more + bonus).alias("logit"))
+
+    return score
+
+
+def _folded(rule: str, m: int, size: int, steps: int, even: bool = False, infill: bool = False, forced: int | None = None, limit: str = "") -> str:
+    """Every sequence folded on its own: its quotas by its own masks in each block, its places by a scorer that reads the canvas.
+
+    c holds a sequence's tokens and the steps at which they were written; `rule` says what a step commits.
+    """
+    start = "0" if infill else f"(4 + seq % {m})"
+    given = "pos % 2 = 0" if infill else f"pos < {start}"
+    bonus = "" if forced is None else f" + CASE WHEN l.pos = {forced} AND l.tok = 1 THEN 100 ELSE 0 END"
+    blocks = -(-(16 if infill else 12) // size)
+    per = -(-steps // blocks)
+    quotas = f"[{', '.join(str(size // per + (k < size % per)) for k in range(per))}]::BIGINT[]"
+    return f"""WITH RECURSIVE l AS {_LOGITS}, place AS (SELECT DISTINCT seq, pos, ({given}) AS given, (pos - {start}) // {size} AS b FROM l),
+q AS (SELECT seq, b, 0 AS j, count(*) AS rest, []::BIGINT[] AS got FROM place WHERE NOT given GROUP BY seq, b
+  UNION ALL SELECT seq, b, j + 1, rest - x, CASE WHEN x > 0 THEN list_append(got, x) ELSE got END
+    FROM (SELECT *, least(round_even(rest * (1 - (({per} - j - 1) / {per}::DOUBLE) / (({per} - j) / {per}::DOUBLE)), 0)::BIGINT, rest) AS x FROM q WHERE j < {per})),
+quota AS (SELECT seq, b, {quotas if even else 'got'} AS got FROM q WHERE j = {per}),
+c AS (SELECT seq, 0 AS stp, 0 AS b, 0 AS k, list(CASE WHEN given THEN pos ELSE {MASK} END ORDER BY pos) AS toks, list(-1 ORDER BY pos) AS ats FROM place GROUP BY seq
+  UNION ALL SELECT seq, stp + 1, CASE WHEN bool_or(masked AND NOT hit) THEN any_value(b) ELSE any_value(b) + 1 END, CASE WHEN bool_or(masked AND NOT hit) THEN any_value(k) + 1 ELSE 0 END,
+    list(CASE WHEN hit THEN tok ELSE now END ORDER BY pos), list(CASE WHEN hit THEN stp ELSE was END ORDER BY pos)
+  FROM (SELECT *, masked AND coalesce({rule}, false) AS hit FROM (
+    SELECT r.*, quota.got, CASE WHEN r.k >= len(quota.got) - 1 THEN 1000 ELSE quota.got[r.k + 1] END AS quota, coalesce(list_sum(quota.got[r.k + 2:]), 0) AS later,
+      row_number() OVER (PARTITION BY r.seq ORDER BY masked DESC, conf DESC, pos) AS r, count(*) FILTER (masked) OVER (PARTITION BY r.seq) AS n, count(*) FILTER (masked AND conf > 0.3) OVER (PARTITION BY r.seq) AS hits
+    FROM (SELECT seq, stp, b, k, pos, any_value(now) AS now, any_value(was) AS was, any_value(now) = {MASK} AND (pos - {start}) // {size} = b AND pos >= {start} AS masked, arg_max(tok, (logit, -tok)) AS tok, exp(max(logit)) / sum(exp(logit)) AS conf
+      FROM (SELECT c.seq, c.stp, c.b, c.k, l.pos, l.tok, c.toks[l.pos + 1] AS now, c.ats[l.pos + 1] AS was, l.logit + 4 * cos(0.7 * (CASE WHEN l.pos = 0 THEN {MASK} ELSE c.toks[l.pos] END) + 1.3 * l.tok){bonus} AS logit
+        FROM c JOIN l ON l.seq = c.seq WHERE c.b < {blocks}) GROUP BY seq, stp, b, k, pos) r LEFT JOIN quota ON quota.seq = r.seq AND quota.b = r.b)) GROUP BY seq, stp),
+done AS (SELECT seq, unnest(range(16))::INT AS pos, unnest(toks)::INT AS tok, unnest(ats) AS stp FROM c WHERE b = {blocks}){limit}
+SELECT seq, pos, tok, (CASE WHEN stp < 0 THEN -1 ELSE dense_rank() OVER (PARTITION BY seq, stp < 0 ORDER BY stp) END)::INT AS turn FROM done WHERE tok IS NOT NULL"""
+
+
+def with_turns(run: tuple) -> DataFrame:
+    """(seq, pos, tok, turn): the final canvas and which of its sequence's writing steps wrote a place, from 1; -1 if none did."""
+    final, facts = run
+    w = Window.partitionBy("seq").orderBy("step")
+    written = facts.where("commit").groupBy("seq", "pos").agg(F.max("step").alias("step")).withColumn("turn", F.dense_rank().over(w))
+    return final.join(written, ["seq", "pos"], "left").select("seq", "pos", "tok", F.coalesce("turn", F.lit(-1)).alias("turn"))
+
+
+def _uneven_program(name: str, key: str, rule: str, m: int = 9, size: int = 12, even: bool = False, forced: int | None = None, limit: str = "", **changes: object) -> None:
+    """Sequences of unequal masks through a program whose scorer reads the canvas, against a twin that folds each on its own."""
+
+    @query(name, _folded(rule, m, size, 8, even, False, forced, limit))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        options = replace(D.PROGRAMS[key], steps=8, block_size=size, **changes)
+        return with_turns(D.run(_uneven(spark, sf_dir, m), _reader(spark, sf_dir, forced), MASK, options, history=True))
+
+
+_uneven_program("masked_uneven", "masked", "r <= quota")
+_uneven_program("block_uneven", "block", "r <= quota", size=5)
+_uneven_program("hybrid_uneven", "hybrid", "CASE WHEN hits >= quota THEN conf > 0.3 ELSE r <= quota END", size=6, even=True, threshold=0.3)
+_uneven_program("carry_uneven", "carry", "r <= greatest(n - later, 0) AND (r = 1 OR conf >= 0.3)", shift=False, first_from_full=False, threshold=0.3)
+#: Token 1 stands at place 9 of all sequences after their second block, so the others are not begun.
+_uneven_program("block_stop", "block", "r <= quota", m=5, size=3, forced=9, stop_token=1, limit=f""",
+over AS (SELECT CASE WHEN count(*) = (SELECT count(DISTINCT seq) FROM place WHERE NOT given) THEN max(b) ELSE 99 END AS b FROM (SELECT d.seq, min(p.b) AS b FROM done d JOIN place p ON p.seq = d.seq AND p.pos = d.pos WHERE d.tok = 1 AND NOT p.given GROUP BY d.seq)),
+cut AS (SELECT d.seq, d.pos, CASE WHEN p.given OR p.b <= over.b THEN d.tok ELSE {MASK} END::INT AS tok, CASE WHEN p.given OR p.b <= over.b THEN d.stp ELSE -1 END AS stp FROM done d JOIN place p ON p.seq = d.seq AND p.pos = d.pos, over)""")
+SQL["block_stop"] = SQL["block_stop"].replace("AS turn FROM done", "AS turn FROM cut")
+#: A block's places alone are scored again; the scorer looks one place back, so nothing is lost by that.
+_uneven_program("prefix_cached_uneven", "prefix_cached", "r <= quota", size=5)
+_uneven_program("both_cached_uneven", "both_cached", "(conf >= 0.3 OR r = 1) AND k < len(got)", size=12, commit="threshold", threshold=0.3)
+SQL["both_cached_uneven"] = SQL["both_cached_uneven"].replace("CASE WHEN bool_or(masked AND NOT hit) THEN any_value(b) ELSE", "CASE WHEN bool_or(masked AND NOT hit) AND any_value(k) + 1 < any_value(len(got)) THEN any_value(b) ELSE")
+
+
+@query("infill_uneven", _folded("r <= quota", 9, 8, 8, infill=True))
+def infill_uneven(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every other place is given; windows over the whole sequence."""
+    rows = canvas(spark, sf_dir).withColumn("tok", F.when(F.col("pos") % 2 == 0, F.col("pos")).otherwise(MASK))
+    return with_turns(D.infill(rows, _reader(spark, sf_dir), MASK, replace(D.PROGRAMS["masked"], steps=8, block_size=8), history=True))

@@ -27,6 +27,12 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, path: str) -> None:
+    """Removes a table that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def dealt(scan: DataFrame) -> DataFrame:
     """A bare scan's rows over all cores where its files have fewer splits than there are cores; a larger table is left as it is.
 

@@ -41,9 +41,9 @@ def scorer(spark):
     return score
 
 
-def plain(seq, options, quotas_of):
+def plain(seq, options, start):
     """One sequence through a program, by lists."""
-    row = [p if p < START else MASK for p in range(N)]
+    row = [p if p < start else MASK for p in range(N)]
 
     def proposals():
         out = {}
@@ -54,19 +54,23 @@ def plain(seq, options, quotas_of):
             out[p] = best, e[best] / sum(e), [x / sum(e) for x in e]
         return out
 
-    blocks = -(-(N - START) // options.block_size)
+    blocks = -(-(N - START) // options.block_size)  # of the longest
     per, at = max(1, -(-options.steps // blocks)), 0
+    if options.remask:
+        return plain_remasked(seq, options, row, start, proposals, blocks, per)
     for b in range(blocks):
-        lo, hi = START + b * options.block_size, min(START + (b + 1) * options.block_size, N)
-        if options.first_from_full:
+        lo, hi = start + b * options.block_size, min(start + (b + 1) * options.block_size, N)
+        if options.first_from_full and lo < hi:
             row[lo] = proposals()[lo][0]
             at += 1
-        quotas, k = quotas_of(sum(row[p] == MASK for p in range(lo, hi)), per, options), 0
+        masks = sum(row[p] == MASK for p in range(lo, hi))
+        quotas, k = D.plan_quota(options.block_size if options.even else masks, per, options), 0
         while left := [p for p in range(lo, hi) if row[p] == MASK]:
+            if options.cache == "both" and not options.first_from_full and k >= len(quotas):
+                break
             got = proposals()
             order = sorted(left, key=lambda p: (-got[p][1], p))
-            last = k >= len(quotas) - 1
-            quota, later = len(left) if last else max(1, quotas[k]), sum(quotas[k + 1 :])
+            quota, later = len(left) if k >= len(quotas) - 1 else quotas[k], sum(quotas[k + 1 :])
             if options.commit == "quota":
                 take = order[:quota]
             elif options.commit == "threshold":
@@ -79,33 +83,125 @@ def plain(seq, options, quotas_of):
                 take = hits if len(hits) >= quota else order[:quota]
             elif options.commit == "carry":
                 take = [p for r, p in enumerate(order[: max(0, len(left) - later)]) if r == 0 or got[p][1] >= options.threshold]
-            before = list(row)
+            elif options.commit == "timed":
+                t, s = (1 + (options.eps - 1) * min(k + j, per) / per for j in (1, 2))
+                take = order if k >= per - 2 else order[: int(len(left) * (1 - s / t))]
             for p in take:
                 row[p] = got[p][0]
-            if options.remask and not last:
-                for p in range(lo, hi):
-                    h = got[p][1] - got[p][2][before[p]] if before[p] != MASK else 0
-                    if h > 0 and uniform(f"{seq}/{p}", f"{options.seed}/remask/{at}") < min(h, 1):
-                        row[p] = MASK
-            more = sum(row[p] == MASK for p in range(lo, hi)) - sum(quotas[k + 1 :])
-            if options.remask and more > 0:
-                quotas = D.spread(quotas, more, k + 1)
             k, at = k + 1, at + 1
     return row
 
 
-@pytest.mark.parametrize("key,changes", [("masked", {}), ("block", {"block_size": 4}), ("parallel_threshold", {"threshold": 0.55}), ("parallel_factor", {"factor": 1.4}), ("hybrid", {"threshold": 0.55}), ("carry", {"threshold": 0.55, "shift": False}), ("remasking", {"extra_steps": 2})])
-def test_programs_follow_their_rules(spark, key, changes):
-    def quotas(masked, steps, options):
-        return D.plan_quota(masked, steps, options) + [0] * (options.extra_steps if options.remask else 0)
+def plain_remasked(seq, options, row, start, proposals, blocks, per):
+    """Written places are masked again before the step's writing; what was masked again is spread over all steps to come."""
+    steps = per + -(-options.extra_steps // blocks)
+    quotas = []
+    for b in range(blocks):
+        n = sum(row[p] == MASK for p in range(start + b * options.block_size, min(start + (b + 1) * options.block_size, N)))
+        own = D.plan_quota(n, per, options) if n else []
+        quotas += own + [0] * (steps - len(own))
+    for at in range(blocks * steps):
+        b, k = divmod(at, steps)
+        got, again = proposals(), []
+        if k < steps - 1:
+            for p in range(start, N):
+                h = got[p][1] - got[p][2][row[p]] if row[p] != MASK else 0
+                if h > 0 and uniform(f"{seq}/{p}", f"{options.seed}/remask/{at}") < min(h, 1):
+                    again.append(p)
+        for p in again:
+            row[p] = MASK
+        tail = list(range(at + 1, len(quotas)))
+        if again and tail:
+            each, rest = divmod(len(again), len(tail))
+            least = sorted(tail, key=lambda i: (quotas[i], i))[:rest]
+            for i in tail:
+                quotas[i] += each + (i in least)
+        left = [p for p in range(start, min(start + (b + 1) * options.block_size, N)) if row[p] == MASK]
+        order = sorted(left, key=lambda p: (-got[p][1], p))
+        for p in order if at == blocks * steps - 1 else order[: quotas[at]]:
+            row[p] = got[p][0]
+    return row
 
-    options = replace(D.PROGRAMS[key], **{"steps": 4, "block_size": 8, **changes})
-    seqs = [3] if options.remask else [0, 1, 2, 3]  # quotas are those of the sequence with the most masks
-    canvas = spark.createDataFrame([(s, p, p if p < START else MASK, True) for s in seqs for p in range(N)], "seq long, pos int, tok int, is_valid boolean")
+
+def filled(spark, options, starts, history=False):
+    canvas = spark.createDataFrame([(s, p, p if p < at else MASK, True, at) for s, at in starts.items() for p in range(N)], "seq long, pos int, tok int, is_valid boolean, start int")
+    final, facts = D.run(canvas, scorer(spark), MASK, options, history=history)
     got = {}
-    for r in D.run(canvas, scorer(spark), MASK, options, START)[0].collect():
+    for r in final.collect():
         got.setdefault(r["seq"], {})[r["pos"]] = r["tok"]
-    assert {s: [x[p] for p in range(N)] for s, x in got.items()} == {s: plain(s, options, quotas) for s in seqs}
+    return {s: [x[p] for p in range(N)] for s, x in got.items()}, facts
+
+
+#: First places of the sequences: masks of 8, 3, 7, 1 and none.
+STARTS = {0: START, 1: 7, 2: 3, 3: 9, 4: N}
+
+
+@pytest.mark.parametrize("key,changes", [
+    ("masked", {}), ("block", {"block_size": 4}), ("block", {"block_size": 3, "steps": 7, "schedule": "cosine"}), ("parallel_threshold", {"threshold": 0.55}), ("parallel_factor", {"factor": 1.4}), ("hybrid", {"threshold": 0.55}),
+    ("carry", {"threshold": 0.55, "shift": False}), ("carry", {"threshold": 0.55, "shift": False, "first_from_full": False}), ("remasking", {"extra_steps": 2}), ("remasking", {"extra_steps": 3, "block_size": 3, "steps": 5}),
+    ("prefix_cached", {"block_size": 3}), ("both_cached", {"block_size": 4, "commit": "threshold", "threshold": 0.6, "steps": 4}), ("carry_cached", {"block_size": 4, "shift": False, "threshold": 0.6}), ("timed_cached", {"block_size": 4, "shift": False, "steps": 8}),
+])
+def test_programs_follow_their_rules(spark, key, changes):
+    """Each sequence as if it were alone, whatever the masks of the others."""
+    options = replace(D.PROGRAMS[key], **{"steps": 4, "block_size": 8, **changes})
+    assert filled(spark, options, STARTS)[0] == {s: plain(s, options, at) for s, at in STARTS.items()}
+
+
+def test_a_sequence_does_not_depend_on_its_neighbours(spark):
+    for key in ("masked", "hybrid"):
+        options = replace(D.PROGRAMS[key], steps=4, block_size=8)
+        assert filled(spark, options, {2: 6})[0][2] == filled(spark, options, {0: START, 2: 6, 5: 9})[0][2]
+
+
+def test_quotas_are_each_sequences_own(spark):
+    """Twelve and four masks in four steps: 3, 3, 3, 3 and 1, 1, 1, 1."""
+    canvas = spark.createDataFrame([(s, p, MASK if p >= at else p % V, True, at) for s, at in ((0, 0), (1, 8)) for p in range(12)], "seq long, pos int, tok int, is_valid boolean, start int")
+    facts = D.run(canvas, scorer(spark), MASK, replace(D.PROGRAMS["masked"], steps=4), history=True)[1]
+    got = facts.where("commit").groupBy("seq", "step").count().collect()
+    assert {(r["seq"], r["step"]): r["count"] for r in got} == {(s, k): n for s, n in ((0, 3), (1, 1)) for k in range(4)}
+
+
+def test_quotas_can_be_drawn(spark):
+    options = replace(D.PROGRAMS["masked"], steps=4, block_size=8, stochastic=True)
+    rows, facts = filled(spark, options, {s: START for s in range(12)}, history=True)
+    assert all(MASK not in r for r in rows.values())
+    counts = {}
+    for r in facts.where("commit").groupBy("seq", "step").count().collect():
+        counts.setdefault(r["seq"], {})[r["step"]] = r["count"]
+    want = spark.range(12).select("id", S.transfer_quota(F.lit(8), 4, S.alpha("linear"), draw=S.binomial_draw(F.col("id"), "0/quota")).alias("q")).collect()
+    assert {s: [c[k] for k in sorted(c)] for s, c in counts.items()} == {r["id"]: [*r["q"]] for r in want} and len({tuple(r["q"]) for r in want}) > 4
+
+
+def test_a_cache_asks_for_fewer_places(spark):
+    """The scorer counts what it is asked for: all places once a block, then the block's (prefix: and those behind it) only."""
+    asked = {}
+
+    def run(cache):
+        places = asked.setdefault(cache, [])
+
+        def score(canvas):
+            places.append(canvas.where("asked").count())
+            return scorer(spark)(canvas)
+
+        canvas = spark.createDataFrame([(0, p, p if p < START else MASK, True) for p in range(N)], "seq long, pos int, tok int, is_valid boolean")
+        options = replace(D.PROGRAMS["block"], steps=8, block_size=4, cache=cache)
+        final, facts = D.run(canvas, score, MASK, options, START, history=True)
+        return sorted(final.collect()), sorted(facts.select("step", "seq", "pos", "tok", "masked", "commit").where("masked").collect())
+
+    assert run(None) == run("prefix") == run("both")
+    assert asked == {None: [N] * 8, "prefix": [N, 8, 8, 8, N, 4, 4, 4], "both": [N, 4, 4, 4, N, 4, 4, 4]}
+    with pytest.raises(ValueError, match="unknown cache"):
+        run("other")
+
+
+def test_steps_without_a_history_leave_one_table(spark, tmp_path):
+    import os
+    from glob import glob
+
+    before = {*glob(f"{spark.sparkContext.getCheckpointDir().removeprefix('file:')}/program-*")} if spark.sparkContext.getCheckpointDir() else set()
+    filled(spark, replace(D.PROGRAMS["masked"], steps=4, block_size=8), {0: START})
+    new = {*glob(f"{spark.sparkContext.getCheckpointDir().removeprefix('file:')}/program-*")} - before
+    assert [os.listdir(p) for p in new] == [["step=3"]]
 
 
 def test_hooks_and_stop(spark):
@@ -202,8 +298,8 @@ def test_quotas_on_the_driver_are_spark_quotas(spark):
             assert S.planned_quota(n, steps, S.NUMBERS[name]) == [*want]
     assert D.plan_quota(10, 4, replace(D.PROGRAMS["hybrid"])) == [3, 3, 2, 2]
     quota, extra = [3, 1, 5, 2], 7
-    want = spark.range(1).select(L.spread_quota(F.array(*[F.lit(x).cast("long") for x in quota]), F.lit(extra).cast("long"), 1)).first()[0]
-    assert D.spread(quota, extra, 1) == [*want]
+    got = spark.range(1).select(L.spread_quota(F.array(*[F.lit(x).cast("long") for x in quota]), F.lit(extra).cast("long"), 1)).first()[0]
+    assert [*got] == [3, 4, 7, 4]
     drawn = spark.range(300).select(S.transfer_quota(F.lit(8), 4, S.alpha("linear"), True, S.binomial_draw(F.col("id"), 5)).alias("q")).collect()
     assert all(sum(r["q"]) == 8 and len(r["q"]) == 4 for r in drawn) and len({tuple(r["q"]) for r in drawn}) > 20
     assert abs(sum(r["q"][0] for r in drawn) / 300 - 2) < 0.3
