@@ -7,24 +7,36 @@ are verified by an alignment on their diagonals alone that may begin and end any
 length, but never so much that the bound falls below 1.
 
 Texts and items are lower-cased and runs of white space are one space. Items of fewer than q characters match
-only as whole words, without edits. Items are few and small: they go to the workers in slices of at most
-`slice_bytes`, and every slice meets all documents.
+only as whole words, without edits. Equal items are one text with several ids. The texts are dealt into slices of about
+`slice_bytes`, told by their sizes. A single slice goes to the workers with the task; several are tables in the shared
+folder, of which a worker reads one at a time for each block of documents, so that the documents are read once and the
+driver holds no items (where the folder is not mounted, it passes on one slice after another).
+
+Shared grams are expanded to at most PAIRS (text place, item place) pairs at a time; counts of bands that the text has
+not left yet are carried on. A long text that repeats an item's repeated grams takes time in proportion to those pairs,
+but no more memory. Once an item is found without edits in a text, it is looked for no further there.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import os
+from collections.abc import Callable, Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..storage import dealt
-from .common import saved, table
+from .common import saved, shared_dir, table
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 BITS = 22
+#: Places of a text that are hashed at once, pairs of text and item places that are counted at once, diagonals that are aligned at once.
+PLACES, PAIRS, WIDE = 1 << 18, 1 << 20, 1 << 18
 
 
 def normal(text: str | None) -> str:
@@ -56,13 +68,14 @@ def gram_hashes(chars: np.ndarray, q: int) -> np.ndarray:
 class Items:
     """Sorted q-gram index of a slice of items."""
 
-    def __init__(self, items: list[tuple[int, str]], q: int, rate: float):
+    def __init__(self, items: list[tuple[object, str | None]], q: int, rate: float):
         self.q, texts = q, [(i, normal(t)) for i, t in items]
         self.short = [(i, t) for i, t in texts if 0 < len(t) < q]
         texts = [(i, t) for i, t in texts if len(t) >= q]
         self.ids = [i for i, _ in texts]
         self.texts, self.chars = [t for _, t in texts], [points(t) for _, t in texts]
         sizes = np.array([len(c) for c in self.chars], dtype=np.int64)
+        self.sizes = sizes
         self.edits = np.minimum((sizes * rate).astype(np.int64), (sizes - q) // q)
         self.least = sizes - q + 1 - q * self.edits
         hashes = np.concatenate([np.empty(0, np.uint64), *[gram_hashes(c, q) for c in self.chars]])
@@ -74,37 +87,72 @@ class Items:
         self.seen = np.zeros(1 << BITS, dtype=bool)
         self.seen[self.keys >> np.uint64(64 - BITS)] = True
 
-    def bands(self, chars: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(item, first diagonal, number of diagonals) of the bands that reach an item's bound. All the diagonals of an occurrence within the budget lie in one of them."""
-        hashes = gram_hashes(chars, self.q)
-        at = np.flatnonzero(self.seen[hashes >> np.uint64(64 - BITS)])
-        if not len(at) or not len(self.keys):
+    def pairs(self, chars: np.ndarray, gone: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """(item << 40 | band, hits, first text place that is still to come), a bounded part of the text's places at a time."""
+        n = len(chars) - self.q + 1
+        for low in range(0, n, PLACES):
+            hashes = gram_hashes(chars[low : min(low + PLACES, n) + self.q - 1], self.q)
+            at = np.flatnonzero(self.seen[hashes >> np.uint64(64 - BITS)])
+            row = np.minimum(np.searchsorted(self.keys, hashes[at]), len(self.keys) - 1)
+            real = self.keys[row] == hashes[at]
+            at, row = at[real] + low, row[real]
+            upto, begin = np.cumsum(self.count[row]), 0
+            while begin < len(at):
+                end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + PAIRS, "right")))
+                alive = np.add.reduceat(~gone[self.item], self.first) > 0 if gone.any() else None
+                some, own = at[begin:end], row[begin:end]
+                if alive is not None:
+                    some, own = some[alive[own]], own[alive[own]]
+                k = self.count[own]
+                entry = self.first[own].repeat(k) + np.arange(k.sum()) - (np.cumsum(k) - k).repeat(k)
+                item = self.item[entry]
+                band = (some.repeat(k) - self.place[entry]) // (self.edits[item] + 1)
+                pair = item << 40 | band + (1 << 39)
+                found, hits = np.unique(np.concatenate([pair, pair - 1]), return_counts=True)
+                begin = end
+                yield found, hits, int(at[end]) if end < len(at) else min(low + PLACES, n)
+
+    def bands(self, chars: np.ndarray, gone: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, first diagonal, number of diagonals) of the bands that reach an item's bound, neighbouring ones as one.
+
+        All the diagonals of an occurrence within the budget lie in one of them. A band is told once the text has left it.
+        """
+        if not len(self.keys):
             return
-        row = np.minimum(np.searchsorted(self.keys, hashes[at]), len(self.keys) - 1)
-        real = self.keys[row] == hashes[at]
-        at, row = at[real], row[real]
-        n = self.count[row]
-        entry = self.first[row].repeat(n) + np.arange(n.sum()) - (np.cumsum(n) - n).repeat(n)
-        item, width = self.item[entry], self.edits[self.item[entry]] + 1
-        band = (at.repeat(n) - self.place[entry]) // width
-        pair = item << 40 | band + (1 << 39)
-        found, hits = np.unique(np.concatenate([pair, pair - 1]), return_counts=True)
-        for x in found[hits >= self.least[found >> 40]].tolist():
-            k, b = x >> 40, (x & (1 << 40) - 1) - (1 << 39)
-            w = int(self.edits[k]) + 1
-            yield k, b * w, 2 * w
-
-    def matches(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(item id, edits, start, length) in the normalised text: the best place of every item in it."""
-        chars, best = points(text), {}
-        for k, first, width in self.bands(chars):
-            size = len(self.texts[k])
+        held, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        for found, hits, come in self.pairs(chars, gone):
+            held, back = np.unique(np.concatenate([held, found]), return_inverse=True)
+            counts = np.bincount(back, np.concatenate([counts, hits]), len(held)).astype(np.int64)
+            item = held >> 40
+            over = ((held & (1 << 40) - 1) - (1 << 39) + 2) * (self.edits[item] + 1) + self.sizes[item] < come
+            yield from self._wide(held[over & (counts >= self.least[item])])
+            held, counts = held[~over], counts[~over]
+        yield from self._wide(held[counts >= self.least[held >> 40]])
+
+    def _wide(self, pairs: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """Sorted (item << 40 | band), runs of neighbours joined up to about WIDE diagonals."""
+        if not len(pairs):
+            return
+        cuts = [0, *(np.flatnonzero(np.diff(pairs) > 1) + 1).tolist(), len(pairs)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            w = int(self.edits[pairs[a] >> 40]) + 1
+            for c in range(a, b, max(1, WIDE // w)):
+                last = min(c + max(1, WIDE // w), b) - 1
+                yield int(pairs[c] >> 40), (int(pairs[c] & (1 << 40) - 1) - (1 << 39)) * w, (last - c + 2) * w
+
+    def matches(self, text: str) -> list[tuple[object, int, int, int]]:
+        """(item, edits, start, length) in the normalised text: the best place of every item in it; of equally good ones that of the first band."""
+        chars, best, gone = points(text), {}, np.zeros(len(self.texts), dtype=bool)
+        for k, first, width in self.bands(chars, gone):
+            if gone[k]:
+                continue
+            size, most = len(self.texts[k]), best[k][0] - 1 if k in best else int(self.edits[k])
             whole = text.find(self.texts[k], max(first, 0), max(first + width - 1 + size, 0))
-            one = (0, whole, size) if whole >= 0 else align(self.chars[k], chars, int(self.edits[k]), first, width)
+            one = (0, whole, size) if whole >= 0 else align(self.chars[k], chars, most, first, width) if most else None
             if one:
-                best[k] = min(one, best.get(k, one))
+                best[k], gone[k] = one, one[0] == 0
         out = [(self.ids[k], *one) for k, one in best.items()]
-        padded = f" {text} "
+        padded = f" {text} " if self.short else ""
         return out + [(i, 0, padded.find(f" {t} "), len(t)) for i, t in self.short if f" {t} " in padded]
 
 
@@ -141,55 +189,142 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 12, rate: float
     """(doc_id, item_id, edits, start, length): one row for each document row and item found in it, at its best place.
 
     start and length are code points of the normalised text. Null or empty texts and items match nothing; rows
-    with null or repeated ids are judged like others; empty tables give no rows; other columns are not used.
+    with null or repeated ids are judged like others, equal items each give a row; empty tables give no rows; other
+    columns are not used.
     """
-    parts = [_search(docs, some, q, rate) for some in slices(benchmark, slice_bytes)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def slices(benchmark: DataFrame, slice_bytes: int) -> Iterator[list[tuple[int, str]]]:
-    """The items in one or more slices of about slice_bytes."""
-    items = saved(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"), "benchmark-items")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = max(1, -(-size // slice_bytes))
+    items, loads = slices(benchmark, slice_bytes)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    out = None
+    for last, load in loads:
+        part = _searched(rows, load, q, rate)
+        part = part if last and out is None else saved(part, "benchmark-hits")
+        out = part if out is None else out.unionByName(part)
+    few = items.count() <= MANY_ITEMS
+    return out.join(F.broadcast(items) if few else items, "key").select("doc_id", "item_id", "edits", "start", "length")
+
+
+#: Gives a worker the slices of (key, text), one at a time.
+Load = Callable[[], Iterator[list[tuple[str, str]]]]
+#: Up to so many items their ids go to all tasks.
+MANY_ITEMS = 1_000_000
+
+
+def slices(benchmark: DataFrame, slice_bytes: int) -> tuple[DataFrame, Iterator[tuple[bool, Load]]]:
+    """(key, item_id) of the items and (whether it is the last, what gives a worker slices of the distinct texts).
+
+    Normalised texts are dealt by their hash into as many slices as keep them at half of slice_bytes on average. One slice is
+    collected; several are read by the workers from the shared folder or, where that is not mounted, collected one after another.
+    """
+
+    def normals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [normal(t.as_py()) for t in batch.column(1)]
+            keys = [sha256(t.encode()).hexdigest() for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(keys, pa.string())], names=["item_id", "text", "key"])
+
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    items = saved(rows.mapInArrow(normals, "item_id long, text string, key string").where("text <> ''"), "benchmark-items")
+    texts = saved(items.groupBy("key").agg(F.first("text").alias("text")), "benchmark-texts")
+    total = texts.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    return items.select("key", "item_id"), _loads(texts, 1 if total <= slice_bytes else -(-2 * total // slice_bytes))
+
+
+def _loads(texts: DataFrame, n: int) -> Iterator[tuple[bool, Load]]:
+    if n == 1:
+        held = [tuple(r) for r in texts.collect()]
+        yield True, lambda: iter([held])
+        return
+    path = shared_dir(texts.sparkSession, "benchmark-slices")
+    dealt_out = texts.withColumn("slice", F.pmod(F.xxhash64("key"), F.lit(n)))
+    dealt_out.repartition("slice").write.partitionBy("slice").parquet(path)
+    if path.startswith(("file:", "/")):
+        folder = "/" + path.removeprefix("file:").lstrip("/")
+
+        def from_folder() -> Iterator[list[tuple[str, str]]]:
+            for name in sorted(x for x in os.listdir(folder) if x.startswith("slice=")):
+                rows = pq.read_table(f"{folder}/{name}", columns=["key", "text"], partitioning=None)
+                yield [*zip(rows["key"].to_pylist(), rows["text"].to_pylist(), strict=True)]
+
+        yield True, from_folder
+        return
     for k in range(n):
-        yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()]
+        held = [tuple(r) for r in texts.sparkSession.read.parquet(path).where(F.col("slice") == k).select("key", "text").collect()]
+        yield k == n - 1, lambda held=held: iter([held])
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, q: int = 12, rate: float = 0.05, slice_bytes: int = 16_000_000) -> DataFrame:
     """The rows of docs in which no item is found, with all their columns and no shuffle."""
     left = docs.select(F.col("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    for some in slices(benchmark, slice_bytes):
-        left = _without(left, some, q, rate)
+    for last, load in slices(benchmark, slice_bytes)[1]:
+        left = _without(left, load, q, rate)
+        left = left if last else saved(left, "uncontaminated")
     return left.select("row.*")
 
 
-def _without(rows: DataFrame, items: list[tuple[int, str]], q: int, rate: float) -> DataFrame:
+#: Bytes of documents that meet one slice after the other.
+HELD = 64 << 20
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches joined to about HELD bytes."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= HELD:
+            yield from pa.Table.from_batches(held).to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).to_batches()
+
+
+def _indexes(load: Load, q: int, rate: float) -> Callable[[], Iterator[Items]]:
+    """The slices' indexes, again and again; that of a single slice is made once."""
+    kept: list[Items] = []
+
+    def every() -> Iterator[Items]:
+        if kept:
+            yield kept[0]
+            return
+        n = 0
+        for some in load():
+            index, n = Items(some, q, rate), n + 1
+            kept[:] = [index] if n == 1 else []
+            yield index
+
+    return every
+
+
+def _without(rows: DataFrame, load: Load, q: int, rate: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Items(items, q, rate)
-        for batch in batches:
-            yield batch.filter(pa.array([not index.matches(normal(t.as_py())) for t in batch.column(0)], pa.bool_()))
+        indexes = _indexes(load, q, rate)
+        for batch in _blocks(batches):
+            left = list(range(batch.num_rows))
+            for index in indexes():
+                left = [k for k in left if not index.matches(normal(batch.column(0)[k].as_py()))]
+            yield batch.take(pa.array(left, pa.int64()))
 
     return rows.mapInArrow(run, rows.schema)
 
 
-MATCHES = "doc_id long, item_id long, edits int, start long, length long"
+MATCHES = "doc_id long, key string, edits int, start long, length long"
+
 
+def _searched(rows: DataFrame, load: Load, q: int, rate: float) -> DataFrame:
+    """MATCHES of rows (doc_id, text): the texts of the slices that are found in each."""
 
-def _search(docs: DataFrame, items: list[tuple[int, str]], q: int, rate: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Items(items, q, rate)
+        indexes = _indexes(load, q, rate)
         names = [x.split()[0] for x in MATCHES.split(", ")]
-        for batch in batches:
-            rows = [(doc, *m) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for m in index.matches(normal(text.as_py()))]
-            cols = [*zip(*rows, strict=True)] if rows else [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, MATCHES)
+        for batch in _blocks(batches):
+            docs = batch.column(0).to_pylist()
+            for index in indexes():
+                found = [(doc, *m) for doc, text in zip(docs, batch.column(1), strict=True) for m in index.matches(normal(text.as_py()))]
+                cols = [*zip(*found, strict=True)] if found else [[]] * 5
+                kinds = (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
+
+    return rows.mapInArrow(run, MATCHES)
 
 
 def op7_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -138,3 +138,59 @@ def test_hashes_of_all_lengths():
         h = dc.gram_hashes(chars, q)
         assert len(h) == 60 - q and len(np.unique(h)) == len(h)
         assert (dc.gram_hashes(chars[5:], q) == h[5:]).all()
+
+
+def test_long_repetitive_texts_keep_memory_bounded():
+    """5 MB of one character against items of that character, one of them with a foreign character in it."""
+    import resource
+
+    item, odd = "a" * 394, "a" * 200 + "b" + "a" * 60
+    index = dc.Items([(1, item), (2, odd)], 12, 0.05)
+    assert index.matches("a" * 30_000 + "b" + "a" * 30_000) == [(1, 0, 0, 394), (2, 0, 29_800, 261)]
+    index = dc.Items([(1, item)], 12, 0.05)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert index.matches("a" * 5_000_000) == [(1, 0, 0, 394)]
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000
+
+
+def test_pieces_find_what_one_piece_finds(monkeypatch):
+    """Small pieces, pairs and widths against large ones and against full edit distance."""
+    rng = random.Random(8)
+    items = [(k, "".join(rng.choice("ab ") for _ in range(rng.randint(30, 120)))) for k in range(12)] + [(99, "ab" * 40), (98, "-" * 50)]
+    texts = []
+    for _ in range(25):
+        parts = [rng.choice(["ab" * 60, "-" * 200, rng.choice(items)[1], "".join(rng.choice("ab ") for _ in range(50))]) for _ in range(rng.randint(1, 5))]
+        texts.append(dc.normal(" ".join(parts)))
+    index = dc.Items(items, 12, 0.05)
+    want = [sorted((i, e) for i, e, _, _ in index.matches(t)) for t in texts]
+    for name, value in (("PLACES", 37), ("PAIRS", 50), ("WIDE", 16)):
+        monkeypatch.setattr(dc, name, value)
+    assert [sorted((i, e) for i, e, _, _ in index.matches(t)) for t in texts] == want
+    for k, t in enumerate(texts):
+        for i, e, start, length in index.matches(t):
+            own = dc.normal(dict(items)[i])
+            assert edit_distance(own, t[start : start + length]) == e
+        assert all((i, 0) in want[k] for i, text in items if len(dc.normal(text)) >= 12 and dc.normal(text) in t)
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        above, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_equal_items_and_slices(spark):
+    """Equal items are one text: thousands of them make no large slice, and each of them gives a row."""
+    text = "an item that many rows of the benchmark hold word for word " * 3
+    items = spark.createDataFrame([(k, text) for k in range(300)] + [(1000 + k, f"{k} other items, told apart by their number {k * k} alone") for k in range(40)] + [(5000, None), (None, text)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x " + text), (2, "nothing"), (3, "so 7 other items, told apart by their number 49 alone it is"), (4, None)], "doc_id long, text string")
+    want = sorted([(1, k, 0) for k in range(300)] + [(1, -1, 0), (3, 1007, 0)])
+    for size in (16_000_000, 1000):
+        got = dc.contaminated(docs, items, slice_bytes=size).collect()
+        assert sorted((r["doc_id"], -1 if r["item_id"] is None else r["item_id"], r["edits"]) for r in got if r["edits"] == 0) == want
+        assert sorted(r["doc_id"] for r in dc.uncontaminated(docs, items, slice_bytes=size).collect()) == [2, 4]
+    sizes = [[len(t) for _, t in part] for _, load in dc.slices(items, 1000)[1] for part in load()]
+    assert len(sizes) > 2 and max(map(sum, sizes)) < 2000 and sum(map(len, sizes)) == 41
