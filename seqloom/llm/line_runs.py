@@ -109,14 +109,42 @@ class LineRuns:
         return self.frequent()
 
 
-def batches_of(docs: DataFrame, most: int = 4) -> list[DataFrame]:
-    """Batches of whole input files, as they would arrive, if docs is a plain Parquet scan; else docs as one batch."""
+def batches_of(docs: DataFrame, first_bytes: int = 1 << 17, growth: int = 4) -> list[DataFrame]:
+    """docs, if it is a plain scan of files, in batches of first_bytes, growth times as much, and so on, in the files' order; else docs as one batch.
+
+    Bounds are bytes of the files, and fall between any two rows of a file: a row lies at its share of its file. Batches grow so
+    that the most frequent keys are sealed early, on little data, and later batches count the others only, while
+    there are but log(size) batches. A file is read by the batches that hold some of its rows.
+    """
     plan = docs._jdf.queryExecution().analyzed()
-    files = sorted(docs.inputFiles()) if not plan.children().size() else []
-    if len(files) < 2:
+    if plan.children().size() or not docs.inputFiles():
         return [docs]
-    each = -(-len(files) // most)
-    return [docs.sparkSession.read.schema(docs.schema).parquet(*files[k : k + each]) for k in range(0, len(files), each)]
+    meta = docs.metadataColumn("_metadata")
+    files = docs.select(meta["file_path"].alias("path"), meta["file_size"].alias("size"), meta["row_index"].alias("row")).groupBy("path").agg(F.max("size").alias("size"), (F.max("row") + 1).alias("rows")).orderBy("path").collect()
+    batches: list[list[tuple[str, int, int, int]]] = [[]]  # (path, first row, row behind the last, rows of the file)
+    room, bound = float(first_bytes), first_bytes
+    for path, size, rows in files:
+        low = 0
+        while low < rows:
+            high = min(rows, max(low + 1, low + int(room * rows / size)))
+            batches[-1].append((path, low, high, rows))
+            room -= (high - low) * size / rows
+            low = high
+            if room * rows < size:
+                bound *= growth
+                room = float(bound)
+                batches.append([])
+    return [_part(docs, b) for b in batches if b] or [docs]
+
+
+def _part(docs: DataFrame, segments: list[tuple[str, int, int, int]]) -> DataFrame:
+    """The rows of docs in segments; at most the first and the last of them are parts of a file."""
+    rows = docs.sparkSession.read.schema(docs.schema).parquet(*[s[0] for s in segments])
+    meta, keep = rows.metadataColumn("_metadata"), F.lit(True)
+    for path, low, high, n in segments:
+        if (low, high) != (0, n):
+            keep = keep & ((meta["file_path"] != path) | ((meta["row_index"] >= low) & (meta["row_index"] < high)))
+    return rows.where(keep)
 
 
 def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, fanout: int = 2, text: str = "text", batches: list[DataFrame] | None = None, broadcast_bytes: int = 32 << 20) -> DataFrame:
@@ -126,7 +154,7 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     least min_docs documents (rows). A null or empty text is one empty line and gives an empty text.
     Rows with a null or repeated key are kept as they are and judged alike. An empty table gives an
     empty table. Other columns pass through whatever their names, but for _n_lines and _n_dropped,
-    which are replaced. batches hold the rows of docs in parts; without them docs is dealt by files if it is a plain scan.
+    which are replaced. batches hold the rows of docs in parts; without them docs is cut by bytes if it is a plain scan.
 
     Texts find the frequent keys they hold by their hash, not by an id, so ids of any kind are no hot keys; two texts
     of one hash would only share keys that are frequent anyway. If these lists are at most broadcast_bytes they go to

@@ -1,6 +1,7 @@
 """Line runs against a dictionary count, the ring against its laws, packing against a round trip."""
 
 import hashlib
+import random
 import zlib
 from collections import Counter
 
@@ -36,8 +37,9 @@ def test_lines_match_a_plain_count(spark, tmp_path, fanout):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"h": line_runs.F.lit(1), "hits": line_runs.F.lit("x"), "row": line_runs.F.lit(2)})
     df.repartition(6).write.parquet(path)
     docs = spark.read.parquet(path)
-    assert len(line_runs.batches_of(docs)) > 1
-    out = line_runs.drop_frequent_lines(docs, 10, 1, fanout)
+    batches = line_runs.batches_of(docs, 1000, 2)
+    assert len(batches) > 2
+    out = line_runs.drop_frequent_lines(docs, 10, 1, fanout, batches=batches)
     assert out.columns == [*docs.columns, "_n_lines", "_n_dropped"]
     got = sorted([(r["doc_id"], r["_n_lines"], r["_n_dropped"], r["text"]) for r in out.collect()], key=repr)
     assert got == brute_lines(rows, 10)
@@ -51,6 +53,29 @@ def test_filtered_documents_are_one_batch(spark, tmp_path):
     assert line_runs.drop_frequent_lines(few).where("_n_dropped > 0").count() == 0
 
 
+def test_batches_grow_and_hold_every_row_once(spark, tmp_path):
+    path = str(tmp_path / "d")
+    df = spark.range(3000).selectExpr("id AS doc_id", "concat('line ', id % 7, '\nown ', sha2(string(id), 512)) AS text")
+    df.withColumn("_metadata", line_runs.F.lit(1)).repartition(3).write.parquet(path)
+    docs = spark.read.parquet(path)
+    parts = [[r["doc_id"] for r in b.collect()] for b in line_runs.batches_of(docs, 20_000, 3)]
+    assert sorted(x for p in parts for x in p) == list(range(3000))
+    assert len(parts) >= 3 and all(len(b) > 2 * len(a) for a, b in zip(parts[:-2], parts[1:-1]))
+    assert [len(b.columns) for b in line_runs.batches_of(docs, 20_000, 3)][0] == 3
+
+
+def test_the_query_runs_in_batches(spark, monkeypatch):
+    """On a table of one file: several batches, anti joins with sealed keys, runs merged into higher levels."""
+    seen = []
+    add, merge = line_runs.LineRuns.add, line_runs.LineRuns._merge
+    monkeypatch.setattr(line_runs.LineRuns, "add", lambda self, docs, text="text": (seen.append(("add", any(r[0] == "sealed" for r in self.runs))), add(self, docs, text))[1])
+    monkeypatch.setattr(line_runs.LineRuns, "_merge", lambda self, runs, level: (seen.append(("merge", level)), merge(self, runs, level))[1])
+    line_runs.op4_line_dedup(spark, "/root/testdata/sf0.01").count()
+    adds = [x for k, x in seen if k == "add"]
+    assert len(adds) >= 3 and adds[0] is False and adds[-1] is True
+    assert [x for k, x in seen if k == "merge"]
+
+
 def test_large_lists_are_joined(spark):
     rows = [(k % 3, f"Shared Line\nown {k}") for k in range(40)] + [(None, "shared line\ncopied")] * 9
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"own": line_runs.F.lit(1), "salt": line_runs.F.lit(2), "t": line_runs.F.lit(3)}).repartition(5)
@@ -222,7 +247,7 @@ def test_digest_of_lines(spark, tmp_path):
 
 
 def test_op4_takes_several_batches(spark, tmp_path, monkeypatch):
-    rows = [(k, f"own {k}\nin all\n" + ("in nine" if k < 9 else "x")) for k in range(40)]
+    rows = [(k, f"own {k} {random.Random(k).randbytes(20_000).hex()}\nin all\n" + ("in nine" if k < 9 else "x")) for k in range(40)]
     spark.createDataFrame(rows, "doc_id long, text string").repartition(6).write.parquet(f"{tmp_path}/documents.parquet")
     sizes, merges = [], []
     add, merge = line_runs.LineRuns.add, line_runs.LineRuns._merge
