@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import shared_folder as shared_dir
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Space and \x09-\x0D: the white space of all text rules here.
 SPACES = " \t\n\x0b\x0c\r"
@@ -18,21 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share.
-
-    Where the setting is absent only local mode may go on: it gets a temporary folder.
-    """
-    context = spark.sparkContext
-    base = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not context.master.startswith("local[") and context.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="seqloom-"))
-        base = context.getCheckpointDir()
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, label: str, *partition_by: str) -> str:
     """Writes df as a Parquet table in the shared folder; its path."""
     path = shared_dir(df.sparkSession, label)

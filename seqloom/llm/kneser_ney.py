@@ -20,8 +20,8 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,8 @@ END, START = np.uint64(1), np.uint64(0)
 #: Id of the start mark, above all word ids; -1 is unknown.
 START_ID = (1 << 32) - 2
 CHUNK = 1_000_000
+#: Arrays of a level that a task keeps mapped at a time; each holds a file descriptor.
+MAPS = 48
 
 
 def local_path(uri: str) -> str:
@@ -117,9 +119,19 @@ class Shards:
         self.folder, self.level, self.n_ranges, self.width = f"{folder}/{level}", level, n_ranges, width
         self.offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
-    @lru_cache(maxsize=None)  # noqa: B019
     def array(self, kind: str, r: int) -> np.ndarray:
-        return load_array(self.folder, f"{kind}-{r}")
+        """A mapped array. The last MAPS ones stay mapped, and only as long as this object lives; they are not pickled with it."""
+        held = self.__dict__.setdefault("held", OrderedDict())
+        if (kind, r) in held:
+            held.move_to_end((kind, r))
+        else:
+            held[kind, r] = load_array(self.folder, f"{kind}-{r}")
+            if len(held) > MAPS:
+                held.popitem(last=False)
+        return held[kind, r]
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "held"}
 
     def ranges(self, keys: np.ndarray) -> np.ndarray:
         return range_of_hash(keys, self.n_ranges) if self.level == 1 else np.minimum((keys >> np.uint64(32)).astype(np.int64) // self.width, self.n_ranges - 1)

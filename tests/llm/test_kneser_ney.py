@@ -77,3 +77,32 @@ def test_arrays_survive_the_way():
     with pytest.raises(ValueError):
         kn.local_path("hdfs://host/x")
     assert kn.local_path("file:/a/b") == "/a/b" == kn.local_path("file:///a/b") == kn.local_path("/a/b")
+
+
+def test_mapped_arrays_are_bounded_and_let_go(tmp_path):
+    """A task's model keeps few arrays mapped, whatever the number of ranges, and none after the task; a pickled model brings none along."""
+    import gc
+    import os
+    import pickle
+
+    n = 300
+    for r in range(n):
+        kn.save_array(f"{tmp_path}/1", f"keys-{r}", np.array([r << 54], dtype=np.uint64))
+        kn.save_array(f"{tmp_path}/1", f"adjusted-{r}", np.array([r], dtype=np.uint32))
+    shards = kn.Shards(str(tmp_path), 1, n, [1] * n, 0)
+    keys = np.array([r << 54 for r in range(n)], dtype=np.uint64)
+    ranges = shards.ranges(keys)
+    for r in {*ranges.tolist()}:
+        kn.save_array(f"{tmp_path}/1", f"keys-{r}", keys[ranges == r])
+        kn.save_array(f"{tmp_path}/1", f"adjusted-{r}", np.flatnonzero(ranges == r).astype(np.uint32))
+    model = kn.Model([shards], [[0.5, 1, 1.5]], n, n, {})
+    opened = lambda: sum("1/" in os.readlink(f"/proc/self/fd/{f}") and str(tmp_path) in os.readlink(f"/proc/self/fd/{f}") for f in os.listdir("/proc/self/fd") if os.path.islink(f"/proc/self/fd/{f}"))
+    for _ in range(5):
+        own = pickle.loads(pickle.dumps(model))
+        rank, value = own.levels[0].find(keys, "adjusted")
+        assert (rank >= 0).all() and value.tolist() == list(range(n))
+        assert 0 < opened() <= 2 * kn.MAPS
+        assert "held" not in pickle.loads(pickle.dumps(own)).levels[0].__dict__
+        del own
+        gc.collect()
+        assert opened() == 0
