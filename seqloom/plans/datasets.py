@@ -174,11 +174,11 @@ def read_opc_sft(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chat_of(_loaded(spark, f"{path}[name:educational_instruct,lang:License]"))
 
 
-@query("read_opc_annealing", "SELECT doc_id, 'train' AS split FROM documents WHERE lang = 'de' AND doc_id % 3 < 2")
+@query("read_opc_annealing", "SELECT doc_id, 'train' AS split FROM documents WHERE lang = 'de'")
 def read_opc_annealing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two configs that keep the language in different columns."""
+    """Three configs that keep the language in different columns."""
     docs, path = table(spark, sf_dir, "documents"), None
-    for k, (config, column) in enumerate((("algorithmic_corpus", "lang"), ("synthetic_qa", "program_lang"))):
+    for k, (config, column) in enumerate((("algorithmic_corpus", "lang"), ("synthetic_qa", "program_lang"), ("synthetic_code_snippet", "lang"))):
         path = _stored(spark, docs.where(F.col("doc_id") % 3 == k).select("doc_id", F.col("lang").alias(column)), "OpenCoder-LLM/opc-annealing-corpus", config, path)
     return _loaded(spark, f"{path}[lang:de]").select("doc_id", "split")
 
@@ -222,3 +222,84 @@ def split_repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.when(F.col("doc_id") % 5 != 0, F.col("doc_id") % 7)
     rows = D.hash_split(table(spark, sf_dir, "documents").select(key.alias("key"), "lang"), "key", 0.3)
     return rows.groupBy("key").agg(F.count_if(F.col("split") == "test").alias("test"), F.count_if(F.col("split") == "train").alias("train"))
+
+
+def _uneven_files(spark: SparkSession, rows: DataFrame, path: str, fmt: str = "parquet", options: dict | None = None) -> None:
+    """Three files in the order of doc_id: of 7 rows, of most rows, and of the last 11."""
+    last = rows.agg(F.max("doc_id")).first()[0] - 11
+    parts = [rows.where("doc_id < 7"), rows.where((F.col("doc_id") >= 7) & (F.col("doc_id") <= last)), rows.where(F.col("doc_id") > last)]
+    out = parts[0].coalesce(1).sortWithinPartitions("doc_id")
+    for part in parts[1:]:
+        out = out.unionByName(part.coalesce(1).sortWithinPartitions("doc_id"))
+    (out.select(F.concat_ws(" ", "doc_id", "lang", "source").alias("value")) if fmt == "text" else out).write.format(fmt).options(**options or {}).save(path)
+
+
+_PLACED = "(SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS ord FROM documents)"
+
+
+@query("read_file_order", f"SELECT doc_id, ord, 'train' AS split FROM {_PLACED} WHERE ord < 25 UNION ALL SELECT doc_id, ord, 'test' FROM {_PLACED} WHERE ord < 10")
+def read_file_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rows are those of the first files, however large the others are."""
+    from ..storage import shared_folder
+
+    path = f"{shared_folder(spark, 'dataset')}/HuggingFaceTB/smoltalk"
+    _uneven_files(spark, table(spark, sf_dir, "documents").select("doc_id", "lang"), f"{path}/all")
+    return _loaded(spark, f"{path}[train:25,test:10]").select("doc_id", "ord", "split")
+
+
+@query("file_order", f"SELECT doc_id, ord FROM {_PLACED}")
+def file_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's place through files of unequal sizes."""
+    from ..storage import shared_folder
+
+    path = shared_folder(spark, "dataset")
+    _uneven_files(spark, table(spark, sf_dir, "documents").select("doc_id"), path)
+    return D.in_file_order(spark.read.parquet(path))
+
+
+@query("load_pt_text", f"SELECT doc_id || ' ' || lang || ' ' || source AS value, CASE WHEN ord < 30 THEN 'test' ELSE 'train' END AS split FROM {_PLACED} WHERE ord < 110")
+def load_pt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text files through the pretraining loader, cut into disjoint parts."""
+    from ..sources.readers import READERS
+    from ..storage import shared_folder
+
+    path = f"{shared_folder(spark, 'dataset')}/corpus.txt"
+    _uneven_files(spark, table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), path, "text")
+    return D.load_texts(spark, f"{path}[train:80,test:30]", READERS).select("value", "split")
+
+
+@query("load_pt_epochs", f"SELECT doc_id, i AS epoch, i * 40 + ord - 10 AS stream_ord FROM {_PLACED}, range(3) r(i) WHERE ord BETWEEN 10 AND 49")
+def load_pt_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A streaming specification whose train part is repeated for ever, drained for three epochs in two runs."""
+    from ..sources.readers import READERS
+    from ..storage import shared_folder
+    from ..streaming import pipelines as R
+
+    root = shared_folder(spark, "dataset")
+    _uneven_files(spark, table(spark, sf_dir, "documents").select("doc_id"), f"{root}/corpus")
+    rows = D.load_texts(spark, f"{root}/corpus[train:40,test:10]", READERS, position=f"{root}/position", rows=60)
+    for _ in range(2):
+        R.drain(rows.select("doc_id", "epoch", "stream_ord"), f"{root}/out", f"{root}/log")
+    return spark.read.schema("doc_id long, epoch long, stream_ord long").parquet(f"{root}/out")
+
+
+@query("read_csv_json", "SELECT doc_id, lang, n_chars, 'csv' AS kind FROM documents UNION ALL SELECT doc_id, lang, n_chars, 'json' FROM documents")
+def read_csv_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV by a declared schema, JSON by that of its first file."""
+    from ..storage import shared_folder
+
+    root, docs = shared_folder(spark, "dataset"), table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    _uneven_files(spark, docs, f"{root}/rows.csv", "csv", {"header": "true"})
+    _uneven_files(spark, docs, f"{root}/rows.json", "json")
+    csv = D.read_auto(spark, f"{root}/rows.csv", schema="doc_id long, lang string, n_chars long")
+    json = D.read_auto(spark, f"{root}/rows.json")
+    return csv.withColumn("kind", F.lit("csv")).unionByName(json.withColumn("kind", F.lit("json")))
+
+
+@query("length_grouped", f"""WITH p AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY {uniform_sql('doc_id', 5)}, doc_id) - 1 AS r FROM documents),
+m AS (SELECT *, r // 24 * 24 + row_number() OVER (PARTITION BY r // 24 ORDER BY n_chars DESC, r) - 1 AS place FROM p),
+top AS (SELECT arg_min(place, (-n_chars, place)) AS top FROM m WHERE place % 24 = 0)
+SELECT doc_id, CASE WHEN place = 0 THEN top WHEN place = top THEN 0 ELSE place END AS place FROM m, top""")
+def length_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Megabatches of three batches of eight, the longest of all rows first."""
+    return D.length_grouped(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id", 8, 5, 3).select("doc_id", "place")

@@ -7,23 +7,74 @@ from importlib import import_module
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import NumericType, StructType
 from pyspark.sql.window import Window
 
 from ..functions.rng import uniform
+from ..storage import saved, shared_folder
 from .specs import name_matches, split_specs
 
 #: Named readers: (spark, path, options without split limits) -> DataFrame with split and ord.
 Reader = Callable[[SparkSession, str, dict], DataFrame]
 
 
-def read_auto(spark: SparkSession, path: str, config: str | None = None, fmt: str | None = None) -> DataFrame:
-    """Scans Parquet, JSON, CSV, ORC or text by the path's ending; config is a subfolder. Filters and columns reach the scan."""
+def read_auto(spark: SparkSession, path: str, config: str | None = None, fmt: str | None = None, schema: str | StructType | None = None) -> DataFrame:
+    """Scans Parquet, JSON, CSV, ORC or text by the path's ending or fmt; config is a subfolder. Filters and columns reach the scan.
+
+    A declared schema spares CSV and JSON a look at the data; without one it is found in the first file alone, by path, and holds for
+    all. CSV has a header.
+    """
     where = f"{path}/{config}" if config else path
-    kind = fmt or next((k for k in ("json", "csv", "orc", "parquet", "txt") if where.rstrip("/").split("?")[0].endswith(k)), "parquet")
-    if kind == "csv":
-        return spark.read.option("header", True).option("inferSchema", True).csv(where)
-    return spark.read.text(where) if kind == "txt" else spark.read.format(kind).load(where)
+    kind = fmt or next((k for k in ("json", "csv", "orc", "parquet", "txt", "text") if where.rstrip("/").split("?")[0].endswith(k)), "parquet")
+    if kind in ("txt", "text"):
+        return spark.read.text(where)
+    if kind in ("csv", "json"):
+        reader = spark.read.option("header", True) if kind == "csv" else spark.read
+        if schema is None:
+            first = min(spark.read.text(where).inputFiles(), default=where)
+            schema = (reader.option("inferSchema", True) if kind == "csv" else reader).format(kind).load(first).schema
+        return reader.format(kind).schema(schema).load(where)
+    return (spark.read.schema(schema) if schema else spark.read).format(kind).load(where)
+
+
+#: Up to so many files their places go to all tasks.
+MANY_FILES = 200_000
+
+
+def in_file_order(scan: DataFrame) -> DataFrame:
+    """A bare scan with `ord`: rows counted from 0 through the files, by their paths, and down each file.
+
+    A file's rows are counted from its footer (or block by block, where a format has no row index) and shifted by those of the files
+    before it. No row is moved, and neither cores nor split sizes change the numbers.
+    """
+    meta = scan.metadataColumn("_metadata")
+    indexed = "row_index" in {f.name for f in scan.select(meta.alias("m")).schema["m"].dataType.fields}
+    rows = scan.withColumns({"_path": meta["file_path"], "_block": F.lit(0).cast("long") if indexed else meta["file_block_start"], "_row": meta["row_index"] if indexed else F.monotonically_increasing_id()})
+    blocks = rows.groupBy("_path", "_block").agg(F.min("_row").alias("_low"), (F.max("_row") + 1).alias("_high"))
+    low = F.lit(0).cast("long") if indexed else F.col("_low")
+    order = Window.orderBy("_path", "_block")  # a row a file or block
+    before = F.sum(F.col("_high") - low).over(order) - (F.col("_high") - low)
+    shifts = saved(blocks.select(F.col("_path").alias("_p"), F.col("_block").alias("_b"), (before - low).alias("_shift")), "file-order")
+    few = shifts.count() <= MANY_FILES
+    joined = rows.join(F.broadcast(shifts) if few else shifts, (F.col("_path") == F.col("_p")) & (F.col("_block") == F.col("_b")))
+    return joined.withColumn("ord", F.col("_row") + F.col("_shift")).drop("_path", "_block", "_row", "_p", "_b", "_shift")
+
+
+def ranked(df: DataFrame, order: Sequence[Column | str], name: str = "place") -> DataFrame:
+    """df with `name`, gapless from 0 in that order; rows that are equal in it come by their hash.
+
+    The rows are dealt by ranges, sorted and stored; a row's place is its own in its range, shifted by the ranges before. So
+    one value that most rows share is dealt over many tasks. Twice as much as df is stored in the shared folder.
+    """
+    rows = saved(df, "unranked")
+    last = [F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.col("_tie")]
+    sorted_ = rows.withColumn("_tie", F.monotonically_increasing_id())
+    by = [*[F.col(c) if isinstance(c, str) else c for c in order], *last]
+    placed = saved(sorted_.repartitionByRange(*by).sortWithinPartitions(*by).drop("_tie").withColumn("_at", F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright("_at", 33)
+    counts = placed.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))  # a row a range
+    before = counts.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
+    return placed.join(F.broadcast(before), part == F.col("_p")).withColumn(name, F.col("_at").bitwiseAND((1 << 33) - 1) + F.col("_before")).drop("_at", "_p", "_before")
 
 
 def with_split(df: DataFrame, split: str = "train", ord_: Column | None = None) -> DataFrame:
@@ -135,9 +186,11 @@ def limit_stream_splits(df: DataFrame, limits: Mapping[str, int], order: str = "
     names = [r[0] for r in df.select("split").distinct().limit(2).collect()]
     if len(names) == 1 and {"train", "test"} <= limits.keys():
         n_test, n_train = limits["test"], limits["train"]
-        test = head(df, n_test, order).withColumn("split", F.lit("test"))
-        train = df.orderBy(order).offset(n_test).limit(n_train).withColumn("split", F.lit("train"))
-        return test.unionByName(train)
+        if n_test + n_train <= MANY:
+            test, train = head(df, n_test, order), df.orderBy(order).offset(n_test).limit(n_train)
+            return test.withColumn("split", F.lit("test")).unionByName(train.withColumn("split", F.lit("train")))
+        placed = ranked(head(df, n_test + n_train, order), [order], "_place")
+        return placed.withColumn("split", F.when(F.col("_place") < n_test, "test").otherwise("train")).drop("_place")
     parts = [head(df if len(names) == 1 else df.where(F.col("split") == k), n, order).withColumn("split", F.lit(k)) for k, n in limits.items()]
     if not parts:
         raise ValueError("limits need split names")
@@ -172,7 +225,8 @@ def hash_split(df: DataFrame, key: str, share: float = 0.05, seed: int = 42) ->
     if take == at["n"]:
         return df.withColumn("split", F.when(less | same, "test").otherwise("train"))
     rest = df.where(~same).withColumn("split", F.when(less, "test").otherwise("train"))
-    copies = df.sparkSession.range(at["n"]).select(F.col("id").alias("_copy")).crossJoin(F.broadcast(df.where(same).limit(1)))
+    one = F.broadcast(df.where(same).limit(1).withColumn("_one", F.lit(1)))
+    copies = df.sparkSession.range(at["n"]).select(F.col("id").alias("_copy"), F.lit(1).alias("_one")).join(one, "_one").drop("_one")
     return rest.unionByName(copies.withColumn("split", F.when(F.col("_copy") < take, "test").otherwise("train")).drop("_copy"))
 
 
@@ -194,19 +248,32 @@ def batch_of(ord_: Column, size: int) -> Column:
 
 
 def length_batches(df: DataFrame, length: str, key: str, n: int) -> DataFrame:
-    """`batch` from 0: n ranges of equal row counts by (length, key), so that batches hold like lengths; earlier ones get the rest.
+    """`batch` from 0: n ranges of equal row counts by (length, key), so that batches hold like lengths; earlier ones get the rest."""
+    rows = ranked(df, [length, key], "_rank")
+    total = rows.count()
+    each, rest = divmod(total, n)
+    longer = rest * (each + 1)
+    batch = F.when(F.col("_rank") < longer, F.floor(F.col("_rank") / (each + 1))).otherwise(rest + F.floor((F.col("_rank") - longer) / max(each, 1)))
+    return rows.withColumn("batch", batch.cast("int")).select(*df.columns, "batch")
+
 
-    Only the histogram of lengths is summed up in one place; rows are ranked within their length.
+def length_grouped(df: DataFrame, length: str, key: str, batch: int, seed: int | str = 42, megabatches: int | None = None) -> DataFrame:
+    """Adds `place`: the rows in an order for training in which neighbours have like lengths.
+
+    A seeded permutation of the rows is cut into megabatches of `megabatches` batches (by default 50, or as many as make four of them,
+    at least one); within each the longest come first, equal ones as in the permutation; and the longest row of all is
+    swapped to the very first place. key tells rows apart.
     """
-    counts = df.groupBy(F.col(length).alias("_length")).agg(F.count(F.lit(1)).alias("_n"))
-    order = Window.orderBy("_length")
-    below = counts.select("_length", (F.sum("_n").over(order) - F.col("_n")).alias("_below"), F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_all"))
-    rank = F.col("_below") + F.row_number().over(Window.partitionBy(length).orderBy(key)) - 1
-    each, rest = F.floor(F.col("_all") / n), F.col("_all") % n
-    longer = rest * (each + 1)
-    batch = F.when(F.col("_rank") < longer, F.floor(F.col("_rank") / (each + 1))).otherwise(rest + F.floor((F.col("_rank") - longer) / F.greatest(each, F.lit(1))))
-    ranked = df.join(below, F.col(length).eqNullSafe(F.col("_length"))).withColumn("_rank", rank)
-    return ranked.withColumn("batch", batch.cast("int")).select(*df.columns, "batch")
+    rows = ranked(df, [uniform(F.col(key), seed), key], "_rank")
+    total = rows.count()
+    size = batch * (megabatches or max(1, min(50, total // (4 * batch))))
+    mega = F.floor(F.col("_rank") / size)
+    own = Window.partitionBy(mega).orderBy(F.desc(length), F.asc("_rank"))
+    placed = rows.withColumn("place", mega * size + F.row_number().over(own) - 1)
+    heads = placed.where(F.col("place") % size == 0)  # the first of each megabatch
+    top = heads.agg(F.min_by("place", F.struct(-F.col(length), F.col("place"))).alias("top")).first()["top"] or 0
+    swapped = F.when(F.col("place") == 0, top).when(F.col("place") == top, 0).otherwise(F.col("place"))
+    return placed.withColumn("place", swapped).drop("_rank")
 
 
 def load(spark: SparkSession, specs: str, readers: Mapping[str, Reader], streaming: bool = False, preprocessed: bool = False) -> DataFrame:
@@ -228,6 +295,27 @@ def load(spark: SparkSession, specs: str, readers: Mapping[str, Reader], streami
     return concat(parts)
 
 
+def load_texts(spark: SparkSession, specs: str, readers: Mapping[str, Reader], streaming: bool = True, preprocessed: bool = False, position: str | None = None, rows: int = 100_000) -> DataFrame:
+    """The pretraining loader: as load, but a name that no reader knows is a dataset of files (`name` is its config).
+
+    Streaming cuts by disjoint rows, test first. With position, a file of the stream's own, train is repeated for ever: the cut
+    rows are stored once, in order, and come as a stream of `rows` a trigger with their epoch; other splits are left out
+    of it and loaded without position.
+    """
+    known = {k: r for k, r in readers.items() if any(name_matches(name or "", k) for name, _ in split_specs(specs))}
+    out = load(spark, specs, {**known, "": lambda s, path, own: with_split(in_file_order(read_auto(s, path, own.get("name"))))}, streaming, preprocessed)
+    if position is None:
+        return out
+    from ..streaming.epochs import repeat
+
+    train = out.where("split = 'train'").drop("split")
+    path = shared_folder(spark, "train")
+    by = ["source_ord", "ord"]
+    train.repartitionByRange(*by).sortWithinPartitions(*by).write.parquet(path)
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in train.schema if f.name not in ("ord", "epoch", "stream_ord")]
+    return repeat(spark, path, ", ".join([*fields, "epoch long", "stream_ord long"]), position, rows)
+
+
 def all_configs(spark: SparkSession, configs: Sequence[str], read: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
     """Every named config, united; none raises."""
     if not configs:

@@ -26,7 +26,7 @@ def config_names(spark: SparkSession, path: str) -> list[str]:
 
 def rows_of(spark: SparkSession, path: str, config: str | None = None) -> DataFrame:
     df = D.read_auto(spark, path, config)
-    return D.with_split(df, ord_=F.monotonically_increasing_id() if "ord" not in df.columns else F.col("ord"))
+    return D.with_split(df if "ord" in df.columns else D.in_file_order(df))
 
 
 def parted(df: DataFrame, share: float = 0.05, seed: int = 42) -> DataFrame:
