@@ -15,30 +15,53 @@ BLANK = -1
 PAIR, DELETION, INSERTION = 0, 1, 2
 
 
-def aligned(x0: list[int], x1: list[int], sub: int = 1, gap: int = 1) -> tuple[list[int], list[int], int]:
-    """Global alignment (z0, z1, cost); at equal cost a pair is preferred to a deletion, that to an insertion.
+#: Cells of the way that are held at once.
+CELLS = 1 << 26
 
-    Costs are filled row by row, two at a time in memory: what depends on the row above is one array step, and insertions
-    along the row are a running minimum. The way back takes one byte a cell.
-    """
-    a, b = np.asarray(x0, dtype=np.int64), np.asarray(x1, dtype=np.int64)
+
+def _rows(a: np.ndarray, b: np.ndarray, cost: np.ndarray, sub: int, gap: int, way: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """Cost rows below the row `cost`, one per element of a; with way also how each cell is reached best."""
     ramp = np.arange(len(b) + 1, dtype=np.int64) * gap
-    way = np.full((len(a) + 1, len(b) + 1), INSERTION, dtype=np.uint8)
-    cost = ramp
-    for i in range(1, len(a) + 1):
-        up, pair = cost + gap, cost[:-1] + np.where(b == a[i - 1], 0, sub)
+    for i, x in enumerate(a):
+        up, pair = cost + gap, cost[:-1] + np.where(b == x, 0, sub)
         row = up.copy()
         row[1:] = np.minimum(row[1:], pair)
         cost = np.minimum.accumulate(row - ramp) + ramp
-        way[i] = np.where(cost == up, DELETION, INSERTION)
-        way[i, 1:][cost[1:] == pair] = PAIR
-    z0, z1, i, j = [], [], len(a), len(b)
+        if way is not None:
+            way[i] = np.where(cost == up, DELETION, INSERTION)
+            way[i, 1:][cost[1:] == pair] = PAIR
+        yield cost
+
+
+def aligned(x0: list[int], x1: list[int], sub: int = 1, gap: int = 1, cells: int = CELLS) -> tuple[list[int], list[int], int]:
+    """Global alignment (z0, z1, cost); at equal cost a pair is preferred to a deletion, that to an insertion.
+
+    Costs are filled row by row: what depends on the row above is one array step, and insertions along the row are a
+    running minimum. Only every so many rows are kept; going back, the rows between two of them are filled again with the way of
+    each cell, at most about `cells` bytes at a time. So memory is that of some rows and one block, and work twice the table.
+    """
+    a, b = np.asarray(x0, dtype=np.int64), np.asarray(x1, dtype=np.int64)
+    width = len(b) + 1
+    block = max(1, cells // width, int((8 * len(a)) ** 0.5) if width > cells // 64 else 1)
+    cost, kept = np.arange(width, dtype=np.int64) * gap, {}
+    kept[0] = cost
+    for i, cost in enumerate(_rows(a, b, cost, sub, gap), 1):
+        if i % block == 0:
+            kept[i] = cost
+    z0, z1, i, j, top, way = [], [], len(a), len(b), len(a) + 1, None
+    total = int(cost[-1])
     while i or j:
-        pair, up = way[i, j] == PAIR, way[i, j] == DELETION
+        if i and i <= top:
+            top = (i - 1) // block * block
+            way = np.empty((min(block, len(a) - top), width), dtype=np.uint8)
+            for _ in _rows(a[top : top + len(way)], b, kept.pop(top), sub, gap, way):
+                pass
+        step = way[i - 1 - top, j] if i else INSERTION
+        pair, up = step == PAIR, step == DELETION
         i, j = i - bool(pair or up), j - bool(pair or not up)
         z0.append(int(a[i]) if pair or up else BLANK)
         z1.append(int(b[j]) if pair or not up else BLANK)
-    return z0[::-1], z1[::-1], int(cost[-1])
+    return z0[::-1], z1[::-1], total
 
 
 def align(df: DataFrame, key: str, x0: str = "x0", x1: str = "x1", sub: int = 1, gap: int = 1) -> DataFrame:
@@ -58,20 +81,29 @@ def strip_blanks(z: Column) -> Column:
 
 
 def remaining_edits(zt: Column, z1: Column) -> Column:
-    """Edits (kind, pos, token) that take zt to z1: INS after the previous token, DEL and SUB at the token's place."""
-    zero = F.struct(F.lit(0).alias("n"), F.array().cast("array<struct<kind:string,pos:int,token:int>>").alias("out"))
+    """Edits (kind, pos, token) that take zt to z1: INS after the previous token, DEL and SUB at the token's place.
+
+    How many tokens stand before a place is found from the tokens' own places: token k is that of the places after token k - 1 up
+    to its own, so the whole is linear in the length.
+    """
 
     def edit(kind: str, pos: Column, token: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), pos.cast("int").alias("pos"), token.cast("int").alias("token"))
 
-    def step(acc: Column, z: Column) -> Column:
-        a, b, n = z["a"], z["b"], acc["n"]
-        made = F.when(a == b, F.array().cast("array<struct<kind:string,pos:int,token:int>>"))
-        made = made.when(a == BLANK, F.array(edit("INS", F.greatest(n - 1, F.lit(0)), b)))
-        made = made.when(b == BLANK, F.array(edit("DEL", n, F.lit(None)))).otherwise(F.array(edit("SUB", n, b)))
-        return F.struct((n + F.when(a == BLANK, 0).otherwise(1)).alias("n"), F.concat(acc["out"], made).alias("out"))
+    def counted(z: Column) -> Column:
+        """Tokens before each place of z; a lambda over one element binds the tokens' places once."""
+        places = F.filter(F.transform(z, lambda x, i: F.when(x != BLANK, i)), lambda i: i.isNotNull())
+        ends = F.concat(F.array(F.lit(-1)), places, F.array(F.size(z) - 1))
+        spread = lambda e: F.flatten(F.transform(F.sequence(F.lit(0), F.size(e) - 2), lambda k: F.array_repeat(k, (F.get(e, k + 1) - F.get(e, k)).cast("int"))))
+        return F.element_at(F.transform(F.array(ends), spread), 1)
+
+    def made(z: Column) -> Column:
+        a, b, n = z["a"], z["b"], z["n"]
+        out = F.when(a == b, F.lit(None)).when(a == BLANK, edit("INS", F.greatest(n - 1, F.lit(0)), b))
+        return out.when(b == BLANK, edit("DEL", n, F.lit(None))).otherwise(edit("SUB", n, b))
 
-    return F.aggregate(F.arrays_zip(zt.alias("a"), z1.alias("b")), zero, step, lambda acc: acc["out"])
+    rows = F.arrays_zip(zt.alias("a"), z1.alias("b"), counted(zt).alias("n"))
+    return F.when(F.size(zt) > 0, F.filter(F.transform(rows, made), lambda e: e.isNotNull())).otherwise(F.array().cast("array<struct<kind:string,pos:int,token:int>>"))
 
 
 def out_of_range(edits: Column, size: Column) -> Column:

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.rng import uniform
+from ..storage import saved
+from . import align as E
 
 IGNORE = -100
 
@@ -37,22 +44,40 @@ def loss_weight(kind: str, t: Column, schedule=None) -> Column:
     raise ValueError(f"unknown loss weight {kind!r}")
 
 
+def _decayed(x: np.ndarray, q: float) -> np.ndarray:
+    """s with s[0] = 0 and s[j + 1] = q s[j] + x[j], without the last: scaled prefix sums over pieces short enough for the scale."""
+    out = np.zeros(len(x))
+    size = 1 if q <= 0 else int(min(4096, max(1.0, 280 / max(-math.log10(q), 1e-9))))
+    scale, carry = q ** np.arange(size, dtype=np.float64), 0.0
+    for low in range(0, len(x), size):
+        part = x[low : low + size]
+        own = scale[: len(part)]
+        before = np.concatenate([[0.0], np.cumsum(part[:-1] / own[1:] if len(part) > 1 else part[:0])]) * own
+        out[low : low + size] = own * carry + before
+        carry = q * out[low + len(part) - 1] + part[-1]
+    return out
+
+
 def context_weights(masked: Column, p: float = 0.3) -> Column:
     """Of each masked place: the sum over unmasked places i of 0.5 p (1 - p)^max(|i - j| - 1, 0); 0 elsewhere.
 
-    A geometric sum runs from each side instead of a sum per pair: s(j + 1) = (1 - p) s(j) + 1 after an unmasked j.
+    A geometric sum runs from each side instead of a sum per pair; Arrow batches, linear in the places. A null row stays null.
     """
     q = 1 - p
-    zero = F.struct(F.lit(0.0).alias("s"), F.array().cast("array<double>").alias("out"))
-
-    def side(flags: Column) -> Column:
-        def step(acc: Column, m: Column) -> Column:
-            return F.struct((q * acc["s"] + F.when(m, 0.0).otherwise(1.0)).alias("s"), F.concat(acc["out"], F.array(acc["s"])).alias("out"))
 
-        return F.aggregate(flags, zero, step, lambda acc: acc["out"])
+    @F.pandas_udf("array<double>")
+    def weights(rows: pd.Series) -> pd.Series:
+        out = []
+        for row in rows:
+            if row is None:
+                out.append(None)
+                continue
+            flags = np.asarray(row, dtype=bool)
+            free = 1.0 - flags
+            out.append(np.where(flags, 0.5 * p * (_decayed(free, q) + _decayed(free[::-1], q)[::-1]), 0.0))
+        return pd.Series(out, dtype=object)
 
-    both = F.zip_with(side(masked), F.reverse(side(F.reverse(masked))), lambda a, b: 0.5 * p * (a + b))
-    return F.zip_with(both, masked, lambda w, m: F.when(m, w).otherwise(0.0))
+    return weights(masked)
 
 
 def geometric_p(kind: str) -> float:
@@ -160,3 +185,46 @@ def edit_flow_loss(edits: DataFrame, rates: DataFrame, weights: DataFrame) -> Da
     rows = weights.join(survival, "seq", "left").join(gain, "seq", "left")
     value = F.col("weight") * (F.coalesce("survival", F.lit(0.0)) - F.coalesce("gain", F.lit(0.0)))
     return rows.select("seq", (value / F.greatest(F.col("target_len"), F.lit(1))).alias("loss"))
+
+
+#: From (seq, pos, tok, t) to (rates, tokens): (seq, pos, del_rate, sub_rate, ins_rate) and the full vocabulary's (seq, pos, kind, token, logit) for SUB and INS.
+EditRates = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
+
+
+def edit_flow_pairs(pairs: DataFrame, kappa, seed: int | str, most: float = 20.0, eps: float = 1e-3, fixed_t: Column | None = None) -> DataFrame:
+    """(seq, t, weight, z0, z1, zt, xt, edits, target_len) of pairs (seq, x0, x1): aligned, mixed at a drawn time, with the edits that are left.
+
+    x0 and x1 begin with the same token, which no edit touches.
+    """
+    rows = E.align(pairs, "seq").join(pairs.select("seq", F.size("x1").alias("target_len")), "seq")
+    t = fixed_t if fixed_t is not None else edit_time(F.col("seq"), f"{seed}/t", eps)
+    timed = rows.withColumn("t", t).withColumn("weight", clamped_weight(kappa, F.col("t"), most))
+    mixed = timed.withColumn("zt", mix(F.col("z0"), F.col("z1"), kappa(F.col("t")), F.col("seq"), f"{seed}/mix"))
+    return mixed.withColumns({"xt": E.strip_blanks(F.col("zt")), "edits": E.remaining_edits(F.col("zt"), F.col("z1"))}).drop("cost")
+
+
+def edit_flow_step(pairs: DataFrame, rates: EditRates, kappa, seed: int | str, per_position: bool = True, most: float = 20.0) -> tuple[DataFrame, DataFrame]:
+    """One training step on pairs (seq, x0, x1): ((seq, loss), the stored rows of edit_flow_pairs).
+
+    An edit outside x_t raises. Without per_position losses are not divided by the target's length.
+    """
+    rows = saved(edit_flow_pairs(pairs, kappa, seed, most), "edit-pairs")
+    canvas = rows.select("seq", "t", F.posexplode("xt").alias("pos", "tok"))
+    by_place, tokens = rates(canvas)
+    held = by_place.join(canvas.select("seq", "pos"), ["seq", "pos"])
+    survival = held.groupBy("seq").agg(F.sum(F.col("del_rate") + F.col("sub_rate") + F.col("ins_rate")).alias("survival"))
+    edits = rows.select("seq", F.size("xt").alias("n"), F.explode("edits").alias("e")).select("seq", "n", "e.kind", "e.pos", "e.token")
+    inside = F.when((F.col("pos") >= 0) & (F.col("pos") < F.col("n")), F.col("pos")).otherwise(F.raise_error(F.concat(F.lit("edit outside the sequence: "), F.col("pos").cast("string"))).cast("int"))
+    edits = edits.withColumn("pos", inside).drop("n")
+    rate = F.when(F.col("kind") == "DEL", F.col("del_rate")).when(F.col("kind") == "SUB", F.col("sub_rate")).otherwise(F.col("ins_rate"))
+    priced = edits.join(held, ["seq", "pos"]).groupBy("seq").agg(F.sum(safe_log(rate)).alias("rate_gain"))
+    wanted = edits.where("kind <> 'DEL'")
+    places = wanted.select("seq", "pos", "kind").distinct()
+    top = tokens.join(places, ["seq", "pos", "kind"], "left_semi").groupBy("seq", "pos", "kind").agg(F.max("logit").alias("top"))
+    norms = tokens.join(top, ["seq", "pos", "kind"]).groupBy("seq", "pos", "kind").agg((F.max("top") + F.log(F.sum(F.exp(F.col("logit") - F.col("top"))))).alias("norm"))
+    named = wanted.join(tokens, ["seq", "pos", "kind", "token"]).join(norms, ["seq", "pos", "kind"]).groupBy("seq").agg(F.sum(F.col("logit") - F.col("norm")).alias("token_gain"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    joined = rows.select("seq", "weight", "target_len").join(survival, "seq", "left").join(priced, "seq", "left").join(named, "seq", "left")
+    value = F.col("weight") * (zero("survival") - zero("rate_gain") - zero("token_gain"))
+    size = F.greatest(F.col("target_len"), F.lit(1)) if per_position else F.lit(1)
+    return joined.select("seq", (value / size).alias("loss")), rows

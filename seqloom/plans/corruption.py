@@ -126,17 +126,3 @@ def edit_flow_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kappa_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     zt = C.mix(F.col("labels"), F.col("input_ids"), kappa("linear")(0.4), F.col("conv_id"), 32)
     return sft_rows(spark, sf_dir).select("conv_id", F.array_join(zt.cast("array<string>"), ",").alias("zt"))
-
-
-@query("edit_flow_loss", f"""WITH l AS {_LOGITS}, r AS (SELECT seq, pos, CASE tok % 3 WHEN 0 THEN 'INS' WHEN 1 THEN 'DEL' ELSE 'SUB' END AS kind, tok AS token, abs(logit) AS rate, -abs(logit) AS lp FROM l WHERE tok < 3),
-e AS (SELECT seq, pos, kind, token, rate, lp FROM r WHERE pos % 2 = 0)
-SELECT seq, round((SELECT sum(rate) FROM r WHERE r.seq = s.seq) * 1.5 / 16 - (SELECT sum(ln(greatest(rate, 1e-12)) + CASE WHEN kind = 'DEL' THEN 0 ELSE lp END) FROM e WHERE e.seq = s.seq) * 1.5 / 16, 6) AS loss
-FROM (SELECT DISTINCT seq FROM r) s""")
-def edit_flow_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = F.abs("logit")
-    kind = F.element_at(F.array(F.lit("INS"), F.lit("DEL"), F.lit("SUB")), F.col("tok") % 3 + 1)
-    token = F.when(kind != "DEL", F.col("tok"))
-    rates = logits(spark, sf_dir).where("tok < 3").select("seq", "pos", kind.alias("kind"), token.alias("token"), x.alias("rate"), F.when(kind != "DEL", -x).alias("log_prob"))
-    edits = rates.where("pos % 2 = 0").select("seq", "kind", "pos", "token")
-    weights = rates.select("seq").distinct().select("seq", F.lit(1.5).alias("weight"), F.lit(16).alias("target_len"))
-    return C.edit_flow_loss(edits, rates, weights).select("seq", F.round("loss", 6).alias("loss"))
