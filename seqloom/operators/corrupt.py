@@ -145,7 +145,7 @@ def doubled(df: DataFrame) -> DataFrame:
     return df.withColumns({"pair_ids": F.concat("noised", "input_ids"), "positions": F.concat(at, at)})
 
 
-def block_mask(q: Column, k: Column, block: int, n: int) -> Column:
+def block_mask(q: Column, k: Column, block: int, n: int | Column) -> Column:
     """Attention of block diffusion training over 2 n places, the noised half first."""
     clean_q, clean_k = q >= n, k >= n
     block_of = lambda x, clean: F.floor(F.when(clean, x - n).otherwise(x) / block)

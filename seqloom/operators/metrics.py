@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -92,6 +93,23 @@ def greedy_match(proposals: DataFrame, targets: DataFrame) -> DataFrame:
     return both.groupBy("seq").agg(F.bool_and(F.coalesce(F.col("tok") == F.col("want"), F.lit(False))).alias("greedy"))
 
 
+def greedy_decoded(canvas: DataFrame, score: Callable[[DataFrame], DataFrame], mask: int, targets: DataFrame) -> DataFrame:
+    """(seq, greedy, equal): whether the masks of a canvas (seq, pos, tok, is_valid) become the targets (seq, pos, tok) if, step after step, the one most confident place is written.
+
+    The scorer sees the canvas of each step. equal counts the places that do. All sequences go on together, each with a quota
+    of one, so there are as many steps as the longest continuation has places.
+    """
+    from .samplers import Options, run
+
+    rows = canvas.where((F.col("tok") == mask) & F.col("is_valid")).groupBy("seq").agg(F.count(F.lit(1)).alias("n"))
+    most = rows.agg(F.max("n")).first()[0] or 1
+    width = (canvas.agg(F.max("pos")).first()[0] or 0) + 1
+    final = run(canvas.drop("start"), score, mask, Options(steps=most, block_size=width))[0]
+    both = targets.select("seq", "pos", F.col("tok").alias("want")).join(final, ["seq", "pos"], "left")
+    same = F.coalesce(F.col("tok") == F.col("want"), F.lit(False))
+    return both.groupBy("seq").agg(F.bool_and(same).alias("greedy"), F.count_if(same).alias("equal"))
+
+
 def loglikelihood(draws: DataFrame, proposals: DataFrame, targets: DataFrame, lengths: DataFrame | None = None, max_length: int | None = None) -> DataFrame:
     """(seq, loglik, greedy) per request: the Monte-Carlo score of draws (mc_loglikelihood's rows) and whether the proposals are the targets.
 

@@ -230,6 +230,14 @@ def cut_at_stops(text: Column, until: Column) -> Column:
 
 
 def encode_pair(context: Column, continuation: Column, ids: Callable[[Column], Column] | None = None) -> tuple[Column, Column]:
-    """Trailing white space of the context goes to the continuation."""
+    """Trailing white space of the context goes to the continuation.
+
+    With ids, a tokenizer's Column function, token ids come back: the whole is encoded once, and its ids beyond as many as the context
+    alone has are the continuation's, so a token that spans the border goes by that count.
+    """
     tail = F.regexp_extract(context, r"(\s*)$", 1)
-    return F.substring(context, F.lit(1), F.length(context) - F.length(tail)), F.concat(tail, continuation)
+    left, right = F.substring(context, F.lit(1), F.length(context) - F.length(tail)), F.concat(tail, continuation)
+    if ids is None:
+        return left, right
+    own, whole = ids(left), ids(F.concat(left, right))
+    return own, F.slice(whole, F.size(own) + 1, F.greatest(F.size(whole) - F.size(own), F.lit(0)))

@@ -10,7 +10,7 @@ from ..functions.schedules import alpha, kappa
 from ..operators import corrupt as C
 from ..operators.decode import argmax
 from .chat import SFT, sft_rows, text_of
-from .registry import query
+from .registry import query, table
 
 MASK = 3
 _T = f"(0.001 + 0.999 * {uniform_sql('conv_id', 21)})"
@@ -107,13 +107,16 @@ def doubled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("block_attention_mask", """
-WITH p AS (SELECT q, k, q >= 16 AS cq, k >= 16 AS ck, (q % 16) // 4 AS bq, (k % 16) // 4 AS bk FROM range(32) a(q), range(32) b(k))
-SELECT q, k, (bq = bk AND cq = ck) OR (bq > bk AND ck AND NOT cq) OR (bq >= bk AND ck AND cq) AS attends FROM p
+WITH n AS (SELECT doc_id, 4 + n_chars % 13 AS n FROM documents), q AS (SELECT doc_id, n, unnest(range(2 * n)) AS q FROM n), p AS (SELECT doc_id, n, q, unnest(range(2 * n)) AS k FROM q),
+m AS (SELECT doc_id, q, k, q >= n AS cq, k >= n AS ck, (q % n) // 4 AS bq, (k % n) // 4 AS bk FROM p)
+SELECT doc_id, count(*) AS pairs, sum(q * 64 + k)::BIGINT AS places FROM m WHERE (bq = bk AND cq = ck) OR (bq > bk AND ck AND NOT cq) OR (bq >= bk AND ck AND cq) GROUP BY doc_id
 """)
 def block_attention_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    places = F.sequence(F.lit(0).cast("long"), F.lit(31).cast("long"))
-    rows = spark.range(32).select(F.col("id").alias("q"), F.explode(places).alias("k"))
-    return rows.withColumn("attends", C.block_mask(F.col("q"), F.col("k"), 4, 16))
+    """Which pairs of places attend, for doubled rows of 4 to 16 places; blocks of 4, the last one shorter."""
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), 2 * n - 1))
+    rows = table(spark, sf_dir, "documents").select("doc_id", (4 + F.col("n_chars") % 13).alias("n")).withColumn("q", upto(F.col("n"))).withColumn("k", upto(F.col("n")))
+    hit = rows.where(C.block_mask(F.col("q"), F.col("k"), 4, F.col("n")))
+    return hit.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pairs"), F.sum(F.col("q") * 64 + F.col("k")).alias("places"))
 
 
 @query("edit_flow_time", SFT + f"SELECT conv_id, round(t, 9) AS t, round(least(1 / (1 - t + 1e-6), 20), 6) AS weight FROM (SELECT conv_id, 0.999 * {uniform_sql('conv_id', 31)} AS t FROM sft)")

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.rng import uniform, uniform_sql
 from ..operators import metrics as M
 from ..operators import pack as P
+from .chat import ids_sql
 from .corruption import _CE, _LOGITS, ce_rows
 from .registry import query, table
+from .samplers import _folded
 
 _EVENTS = "(SELECT event_type AS split, value, coalesce(json_extract(props, '$.k')::DOUBLE, 0) AS weight FROM events)"
 
@@ -97,6 +99,31 @@ def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.greedy_match(best, best.where("pos >= 6").withColumn("tok", F.when(other, (F.col("tok") + 1) % 64).otherwise(F.col("tok"))))
 
 
+@query("greedy_decoded", f"""WITH b AS (SELECT vec_id // 16 AS seq, (vec_id % 16)::INT AS pos, (list_position(embedding, list_max(embedding)) - 1)::INT AS best FROM embeddings)
+SELECT f.seq, bool_and(f.tok = b.best) AS greedy, count(*) FILTER (f.tok = b.best) AS equal FROM ({_folded('r <= 1', 9, 16, 16)}) f JOIN b ON b.seq = f.seq AND b.pos = f.pos WHERE f.pos >= 4 + f.seq % 9 GROUP BY f.seq""")
+def greedy_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One place a step, by a scorer that reads the canvas; the targets are the best tokens without the canvas."""
+    from ..operators.decode import argmax
+    from .corruption import logits
+    from .samplers import MASK, _reader, _uneven
+
+    targets = argmax(logits(spark, sf_dir)).where(F.col("pos") >= 4 + F.col("seq") % 9)
+    return M.greedy_decoded(_uneven(spark, sf_dir, 9), _reader(spark, sf_dir), MASK, targets)
+
+
+@query("encode_pair_ids", f"""WITH p AS (SELECT item_id, regexp_replace(substr(text, 1, length(text) // 2), '\\s+$', '') AS c, text FROM benchmark), t AS (SELECT item_id, {ids_sql('c')} AS c, {ids_sql('text')} AS w FROM p)
+SELECT item_id, array_to_string(c, ',') AS context, array_to_string(w[len(c) + 1:], ',') AS continuation FROM t""")
+def encode_pair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts cut in the middle, mostly inside a word: the whole is encoded once and split by the context's number of ids."""
+    from ..operators import text as X
+
+    half = F.floor(F.length("text") / 2).cast("int")
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.substring(F.col("text"), F.lit(1), half).alias("a"), F.substring(F.col("text"), half + 1, F.length("text")).alias("b"))
+    context, continuation = P.encode_pair(F.col("a"), F.col("b"), X.token_ids)
+    text = lambda c: F.array_join(c.cast("array<string>"), ",")
+    return rows.select("item_id", text(context).alias("context"), text(continuation).alias("continuation"))
+
+
 @query("encode_pair", r"""SELECT item_id, regexp_replace(c, '\s+$', '') AS context, regexp_extract(c, '(\s*)$', 1) || substr(text, 41) AS continuation FROM (SELECT *, substr(text, 1, 40) AS c FROM benchmark)""")
 def encode_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     context, continuation = P.encode_pair(F.substring("text", 1, 40), F.substring(F.col("text"), F.lit(41), F.length("text")))

@@ -6,20 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import schedules as S
-from .registry import query
+from ..functions.rng import uniform_sql
+from .registry import query, table
 
-_STEPS = "(SELECT i / 100.0::DOUBLE AS t FROM range(101) r(i))"
+#: Every document's own time, in hundredths.
+_TIMES = "(SELECT doc_id, (n_chars % 101) / 100.0::DOUBLE AS t FROM documents)"
 
 
-def _steps(spark: SparkSession) -> DataFrame:
-    return spark.range(101).select((F.col("id") / 100.0).alias("t"))
+def _times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") % 101 / 100.0).alias("t"))
 
 
 def _schedule(name: str, make: S.Alpha | S.Kappa, value: str, slope: str, weight: str) -> None:
-    @query(name, f"SELECT t, round({value}, 9) AS value, round({slope}, 9) AS slope, round({weight.format(v=value, d=slope)}, 6) AS weight FROM {_STEPS}")
+    @query(name, f"SELECT doc_id, t, round({value}, 9) AS value, round({slope}, 9) AS slope, round({weight.format(v=value, d=slope)}, 6) AS weight FROM {_TIMES}")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         t = F.col("t")
-        return _steps(spark).select("t", F.round(make(t), 9).alias("value"), F.round(make.derivative(t), 9).alias("slope"), F.round(make.weight(t), 6).alias("weight"))
+        return _times(spark, sf_dir).select("doc_id", "t", F.round(make(t), 9).alias("value"), F.round(make.derivative(t), 9).alias("slope"), F.round(make.weight(t), 6).alias("weight"))
 
 
 _ALPHA, _KAPPA = "-({d}) / (1 - ({v}) + 1e-6)", "({d}) / (1 - ({v}) + 1e-6)"
@@ -30,14 +32,29 @@ _schedule("kappa_linear", S.kappa("linear"), "t", "(t * 0 + 1)", _KAPPA)
 _schedule("kappa_cosine", S.kappa("cosine"), "(1 - cos(pi() / 2 * t))", "(pi() / 2 * sin(pi() / 2 * t))", _KAPPA)
 
 
-@query("reverse_mask_prob", f"""
-SELECT a.t AS s, b.t AS t, round(a.t / b.t, 9) AS linear, round(cos(pi() / 2 * (1 - a.t)) / cos(pi() / 2 * (1 - b.t)), 9) AS cosine
-FROM {_STEPS} a JOIN {_STEPS} b ON b.t = a.t + 0.25 WHERE a.t < 0.75 AND (a.t * 100)::INT % 25 = 0
+@query("reverse_mask_prob", """
+SELECT doc_id, s, t, round(s / t, 9) AS linear, round(cos(pi() / 2 * (1 - s)) / cos(pi() / 2 * (1 - t)), 9) AS cosine
+FROM (SELECT doc_id, (n_chars % 75) / 100.0::DOUBLE AS s, (n_chars % 75 + 25) / 100.0::DOUBLE AS t FROM documents)
 """)
 def reverse_mask_prob(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = spark.range(3).select((F.col("id") / 4.0).alias("s"), ((F.col("id") + 1) / 4.0).alias("t"))
+    pairs = table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") % 75 / 100.0).alias("s"), ((F.col("n_chars") % 75 + 25) / 100.0).alias("t"))
     s, t = F.col("s"), F.col("t")
-    return pairs.select("s", "t", F.round(S.alpha("linear").reverse_mask_prob(s, t), 9).alias("linear"), F.round(S.alpha("cosine").reverse_mask_prob(s, t), 9).alias("cosine"))
+    return pairs.select("doc_id", "s", "t", F.round(S.alpha("linear").reverse_mask_prob(s, t), 9).alias("linear"), F.round(S.alpha("cosine").reverse_mask_prob(s, t), 9).alias("cosine"))
+
+
+@query("transfer_quota_drawn", f"""
+WITH RECURSIVE q(doc_id, k, rest, got) AS (
+  SELECT doc_id, 0, (n_chars % 40)::BIGINT, []::BIGINT[] FROM documents
+  UNION ALL
+  SELECT doc_id, k + 1, rest - n, list_append(got, n) FROM (
+    SELECT doc_id, k, rest, got, len([i FOR i IN range(1, rest + 1) IF {uniform_sql("(doc_id::VARCHAR || '/' || k::VARCHAR || '/' || i::VARCHAR)", 4)} < 1 - (cos(pi() / 2 * (1 - (5 - k) / 6.0::DOUBLE)) / cos(pi() / 2 * (1 - (6 - k) / 6.0::DOUBLE)))]) AS n FROM q WHERE k < 6))
+SELECT doc_id, array_to_string(got, ',') AS quota FROM q WHERE k = 6
+""")
+def transfer_quota_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotas drawn by the binomial law, cosine schedule, zeros kept."""
+    docs = table(spark, sf_dir, "documents")
+    quota = S.transfer_quota(F.col("n_chars") % 40, 6, S.alpha("cosine"), True, S.binomial_draw(F.col("doc_id"), 4))
+    return docs.select("doc_id", F.array_join(quota.cast("array<string>"), ",").alias("quota"))
 
 
 @query("transfer_quota", """

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from seqloom.functions import schedules as S
 from seqloom.operators import corrupt as C
 from seqloom.operators import decode as L
+from seqloom.operators import metrics as M
+from seqloom.operators import pack as P
 from seqloom.operators import samplers as D
 from seqloom.operators import text as X
 from seqloom.sources import datasets as S_
@@ -349,3 +351,42 @@ def test_tokenizer_ids(spark):
     row = X.sft_map(chats, encode=X.bpe_ids(path)).first()
     assert own.decode(row["input_ids"][row["prompt_len"] :]).strip() == "yes, you<|eot_id|>" and row["labels"][: row["prompt_len"]] == [-100] * row["prompt_len"]
     assert X.sft_map(chats, mask_prompt=False).first()["labels"] == X.sft_map(chats).first()["input_ids"]
+
+
+def test_greedy_by_repeated_commits(spark):
+    """One place a step, the most confident; a scorer that reads the canvas, continuations of unequal lengths."""
+    def plain_greedy(seq, start):
+        row = [p if p < start else MASK for p in range(N)]
+        while MASK in row:
+            best = {}
+            for p in range(N):
+                logits = [weight(seq, p, t, row[p - 1] if p else 7) for t in range(V)]
+                e = [math.exp(x) for x in logits]
+                tok = max(range(V), key=lambda t: (logits[t], -t))  # noqa: B023
+                best[p] = e[tok] / sum(e), tok
+            p = min((p for p in range(N) if row[p] == MASK), key=lambda p: (-best[p][0], p))
+            row[p] = best[p][1]
+        return row
+
+    want = {s: plain_greedy(s, at) for s, at in STARTS.items()}
+    canvas = spark.createDataFrame([(s, p, p if p < at else MASK, True) for s, at in STARTS.items() for p in range(N)], "seq long, pos int, tok int, is_valid boolean")
+    targets = [(s, p, (want[s][p] + (s == 2 and p == 8)) % V) for s, at in STARTS.items() for p in range(at, N)]
+    got = M.greedy_decoded(canvas, scorer(spark), MASK, spark.createDataFrame(targets, "seq long, pos int, tok int")).collect()
+    assert {(r["seq"], r["greedy"], r["equal"]) for r in got} == {(s, s != 2, N - at - (s == 2)) for s, at in STARTS.items() if at < N}
+
+
+def test_pairs_are_split_by_the_contexts_tokens(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own = Tokenizer.from_file(path)
+    encode = lambda t: own.encode(t, add_special_tokens=False).ids
+    pairs = [("Hello wor", "ld, this is"), ("a  \n", "b"), ("", "only"), ("only", ""), ("unbeliev", "able things"), ("naïv", "eté 日本")]
+    df = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "k long, a string, b string")
+    context, continuation = P.encode_pair(F.col("a"), F.col("b"), X.bpe_ids(path))
+    got = {r["k"]: (r["c"], r["d"]) for r in df.select("k", context.alias("c"), continuation.alias("d")).collect()}
+    for k, (a, b) in enumerate(pairs):
+        left = a.rstrip()
+        whole, n = encode(left + a[len(left) :] + b), len(encode(left))
+        assert got[k] == (encode(left), whole[n:])
