@@ -79,13 +79,6 @@ SELECT seq, pos, min(tok)::INT AS tok, step::INT AS step FROM d WHERE run >= {_D
     block_size=12, temperature=5.0, top_p=0.8, top_k=20)
 
 
-@query("remasking_sample")
-def remasking_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places may be written, masked and written again; no twin, held against a plain loop in the tests."""
-    options = replace(D.PROGRAMS["remasking"], steps=4, block_size=12, extra_steps=2)
-    return with_steps(D.run(canvas(spark, sf_dir), lambda c: logits(spark, sf_dir), MASK, options, 4, history=True))
-
-
 @query("masked_infill", f"""WITH l AS {_LOGITS} SELECT seq, pos, CASE WHEN pos % 2 = 0 THEN pos ELSE arg_max(tok, (logit, -tok)) END::INT AS tok FROM l GROUP BY seq, pos""")
 def masked_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = canvas(spark, sf_dir).withColumn("tok", F.when(F.col("pos") % 2 == 0, F.col("pos")).otherwise(MASK))
@@ -115,7 +108,22 @@ def _edits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, D.Score]:
     return rows.select("seq", "pos", (F.col("pos") + 100).alias("tok")), rates
 
 
-@query("edit_flow_sample")
+def _moment(what: str) -> str:
+    return uniform_sql("(seq::VARCHAR || chr(47) || pos::VARCHAR)", f"0/@/{what}").replace("@", "' || k || '")
+
+
+#: A sequence's ids step by step: c holds them before step k, ev the events of each step.
+_EDITED = f"""WITH RECURSIVE l AS {_LOGITS}, g AS (SELECT seq, pos, abs(max(logit) FILTER (tok = 0)) / 4 AS d, abs(max(logit) FILTER (tok = 1)) / 4 AS s, abs(max(logit) FILTER (tok = 2)) / 4 AS i, arg_max(tok, (logit, -tok)) AS best FROM l GROUP BY seq, pos),
+c AS (SELECT seq, 0 AS k, list(100 + pos ORDER BY pos) AS toks, []::STRUCT(pos BIGINT, before BIGINT, op VARCHAR, ins BIGINT, after BIGINT[], ops VARCHAR[])[] AS ev FROM g GROUP BY seq
+  UNION ALL SELECT seq, k + 1, flatten(list(after ORDER BY pos)), list(struct_pack(pos := pos, before := tok, op := op, ins := ins, after := after, ops := ops) ORDER BY pos) FROM (
+    SELECT *, list_filter([CASE op WHEN 'SUB' THEN best WHEN 'KEEP' THEN tok END, ins], lambda x: x IS NOT NULL) AS after, list_filter([CASE WHEN op <> 'DEL' THEN op END, CASE WHEN ins IS NOT NULL THEN 'INS' END], lambda x: x IS NOT NULL) AS ops FROM (
+      SELECT *, CASE WHEN NOT fires THEN 'KEEP' WHEN del THEN 'DEL' ELSE 'SUB' END AS op, CASE WHEN adds THEN best END AS ins FROM (
+        SELECT seq, k, pos, tok, best, {_moment('fire')} < least((d + s) * 0.25, 1 - 1e-6) AS fires, {_moment('which')} < least(d / (d + s + 1e-8), 1) AS del, {_moment('ins')} < least(i * 0.25, 1 - 1e-6) AS adds FROM (
+          SELECT p.seq, p.k, p.pos, p.tok, coalesce(g.best, 0) AS best, CASE WHEN p.pos >= 1 THEN coalesce(d, 0) ELSE 0 END * w AS d, CASE WHEN p.pos >= 1 THEN coalesce(s, 0) ELSE 0 END * w AS s, coalesce(i, 0) * w AS i
+          FROM (SELECT seq, k, 1 / (1 - k * 0.25::DOUBLE + 1e-6) AS w, unnest(range(len(toks))) AS pos, unnest(toks) AS tok FROM c WHERE k < 4) p LEFT JOIN g ON g.seq = p.seq AND g.pos = p.pos)))) GROUP BY seq, k)"""
+
+
+@query("edit_flow_sample", f"{_EDITED} SELECT seq, unnest(range(len(toks)))::INT AS pos, unnest(toks)::INT AS tok FROM c WHERE k = 4")
 def edit_flow_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     start, rates = _edits(spark, sf_dir)
     return D.edit_flow(start, rates, 0.25)[0].select("seq", "pos", "tok")
@@ -171,11 +179,14 @@ _TOSS = lambda k: uniform_sql("(seq::VARCHAR || chr(47) || pos::VARCHAR)", f"0/{
 _program("origin_sample", "origin", _sql(_SHIFTED, "max(p)", "0", f"CASE WHEN {_TOSS(0)} < 0.25 THEN 0 WHEN {_TOSS(1)} < 1 / 3.0::DOUBLE THEN 1 WHEN {_TOSS(2)} < 0.5 THEN 2 ELSE 3 END"), block_size=12)
 
 
-@query("edit_flow_trace")
+@query("edit_flow_trace", f"""{_EDITED} SELECT seq, k - 1 AS step, e.pos::INT AS pos, e.before::INT AS before, e.op AS op, e.ins::INT AS ins, array_to_string(e.after, ',') AS after, array_to_string(e.ops, ',') AS after_ops, false AS reused
+FROM (SELECT seq, k, unnest(ev) AS e FROM c WHERE k > 0)""")
 def edit_flow_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event of every step with the origins of the new ids; held against a plain loop in the tests."""
+    """Every event of every step with the origins of the new ids."""
     start, rates = _edits(spark, sf_dir)
-    return D.edit_flow(start, rates, 0.25, time_independent=True)[1]
+    facts = D.edit_flow(start, rates, 0.25, time_independent=True)[1]
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return facts.select("seq", "step", "pos", "before", "op", "ins", text("after"), text("after_ops"), "reused")
 
 
 def _uneven(spark: SparkSession, sf_dir: str, m: int) -> DataFrame:
@@ -263,3 +274,26 @@ def infill_uneven(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every other place is given; windows over the whole sequence."""
     rows = canvas(spark, sf_dir).withColumn("tok", F.when(F.col("pos") % 2 == 0, F.col("pos")).otherwise(MASK))
     return with_turns(D.infill(rows, _reader(spark, sf_dir), MASK, replace(D.PROGRAMS["masked"], steps=8, block_size=8), history=True))
+
+
+_AGAIN = uniform_sql("(seq::VARCHAR || chr(47) || pos::VARCHAR)", "0/remask/@").replace("@", "' || k || '")
+
+
+@query("remasking_sample", f"""WITH RECURSIVE l AS {_LOGITS}, place AS (SELECT DISTINCT seq, pos, pos < 4 + seq % 9 AS given FROM l),
+q AS (SELECT seq, 0 AS j, count(*) FILTER (NOT given) AS rest, []::BIGINT[] AS got FROM place GROUP BY seq
+  UNION ALL SELECT seq, j + 1, rest - x, CASE WHEN x > 0 THEN list_append(got, x) ELSE got END
+    FROM (SELECT *, least(round_even(rest * (1 - ((3 - j) / 4::DOUBLE) / ((4 - j) / 4::DOUBLE)), 0)::BIGINT, rest) AS x FROM q WHERE j < 4)),
+c AS (SELECT p.seq, 0 AS k, list(CASE WHEN given THEN pos ELSE {MASK} END ORDER BY pos) AS toks, list(-1 ORDER BY pos) AS ats, any_value(list_concat(got, [0, 0, 0, 0, 0, 0])[1:6]) AS quotas FROM place p JOIN q ON q.seq = p.seq AND q.j = 4 GROUP BY p.seq
+  UNION ALL SELECT seq, k + 1, list(CASE WHEN hit THEN tok WHEN again THEN {MASK} ELSE now END ORDER BY pos), list(CASE WHEN hit THEN k ELSE was END ORDER BY pos),
+    [any_value(quotas)[x] + CASE WHEN x < k + 2 THEN 0 ELSE count(*) FILTER (again) // (5 - k) + CASE WHEN len([y FOR y IN range(k + 2, 7) IF any_value(quotas)[y] < any_value(quotas)[x] OR (any_value(quotas)[y] = any_value(quotas)[x] AND y <= x)]) <= count(*) FILTER (again) % (5 - k) THEN 1 ELSE 0 END END FOR x IN range(1, 7)]
+  FROM (SELECT *, masked AND row_number() OVER (PARTITION BY seq ORDER BY masked DESC, conf DESC, pos) <= CASE WHEN k = 5 THEN 1000 ELSE quotas[k + 1] END AS hit FROM (
+    SELECT *, (now = {MASK} OR again) AND pos >= 4 + seq % 9 AS masked FROM (
+      SELECT *, k < 5 AND now <> {MASK} AND pos >= 4 + seq % 9 AND conf - own > 0 AND {_AGAIN} < least(conf - own, 1) AS again FROM (
+        SELECT seq, k, pos, any_value(quotas) AS quotas, any_value(now) AS now, any_value(was) AS was, arg_max(tok, (logit, -tok)) AS tok, exp(max(logit)) / sum(exp(logit)) AS conf, coalesce(exp(max(logit) FILTER (tok = now)) / sum(exp(logit)), 0) AS own
+        FROM (SELECT c.seq, c.k, c.quotas, l.pos, l.tok, c.toks[l.pos + 1] AS now, c.ats[l.pos + 1] AS was, l.logit + 4 * cos(0.7 * (CASE WHEN l.pos = 0 THEN {MASK} ELSE c.toks[l.pos] END) + 1.3 * l.tok) AS logit FROM c JOIN l ON l.seq = c.seq WHERE c.k < 6) GROUP BY seq, k, pos)))) GROUP BY seq, k),
+done AS (SELECT seq, unnest(range(16))::INT AS pos, unnest(toks)::INT AS tok, unnest(ats) AS step FROM c WHERE k = 6)
+SELECT seq, pos, tok, (CASE WHEN step < 0 THEN -1 ELSE dense_rank() OVER (PARTITION BY seq, step < 0 ORDER BY step) END)::INT AS turn FROM done WHERE tok IS NOT NULL""")
+def remasking_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written places may be masked again, and what was is spread over the steps that are left to its sequence."""
+    options = replace(D.PROGRAMS["remasking"], steps=4, block_size=12, extra_steps=2)
+    return with_turns(D.run(_uneven(spark, sf_dir, 9), _reader(spark, sf_dir), MASK, options, history=True))
