@@ -143,9 +143,35 @@ class EvalConfig:
     suppress_tokens: list[int] = field(default_factory=list)
 
 
-#: Evaluation settings by name; register(name, ...) adds own ones.
-EVALUATIONS: dict[str, EvalConfig] = {"masked": EvalConfig(), "block": EvalConfig(block_size=32), "cached": EvalConfig(block_size=32), "shifted": EvalConfig(steps=512)}
+#: Evaluation settings by the program's name; register(name, ...) adds own ones.
+EVALUATIONS: dict[str, EvalConfig] = {
+    "masked": EvalConfig(),
+    "block": EvalConfig(block_size=32),
+    "prefix_cached": EvalConfig(block_size=32),
+    "both_cached": EvalConfig(block_size=32),
+    "carry": EvalConfig(block_size=32),
+    "shifted": EvalConfig(steps=512),
+}
 
 
 def register(name: str, config: EvalConfig) -> None:
     EVALUATIONS[name] = config
+
+
+def program(name: str, source: object = None, **given: object):
+    """(evaluation settings, options of the sampler) of a registered name: what is given wins over source, that over the name's own.
+
+    Token lists may be text such as `[1;2]`. An own name needs a program of the same name.
+    """
+    from dataclasses import replace
+
+    from ..sources.specs import merge_options, token_list
+    from .samplers import PROGRAMS
+
+    if name not in EVALUATIONS or name not in PROGRAMS:
+        raise ValueError(f"unknown evaluation {name!r}; known: {', '.join(sorted(EVALUATIONS.keys() & PROGRAMS.keys()))}")
+    own = EVALUATIONS[name] if source is None else merge_options(EvalConfig, source)
+    if given.get("suppress_tokens") is not None:
+        given = given | {"suppress_tokens": token_list(given["suppress_tokens"])}
+    config = merge_options(EvalConfig, own, **given)
+    return config, replace(PROGRAMS[name], steps=config.steps, block_size=config.block_size, temperature=config.temperature, suppress=tuple(config.suppress_tokens))

@@ -406,3 +406,8 @@ def edit_flow(canvas: DataFrame, rates: Score, tau: float, kappa: S.Kappa = S.KA
         given = None
         now = _saved(E.rebuilt(moved).select("seq", F.posexplode("ids").alias("pos", "tok")), "edit")
     return now, facts
+
+
+def edit_flow_infill(canvas: DataFrame, rates: Score, **options: object) -> None:
+    """Edit flow has no infilling."""
+    raise NotImplementedError("this program does not infill")

@@ -303,3 +303,22 @@ SELECT doc_id, CASE WHEN place = 0 THEN top WHEN place = top THEN 0 ELSE place E
 def length_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Megabatches of three batches of eight, the longest of all rows first."""
     return D.length_grouped(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id", 8, 5, 3).select("doc_id", "place")
+
+
+@query("load_relative", f"SELECT doc_id, 'train' AS split, 0 AS source_ord FROM {_PLACED} WHERE ord < 12 UNION ALL SELECT doc_id, 'train', 1 FROM documents WHERE lang = 'de'")
+def load_relative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relative names below the folder of a setting, matched with readers by a part of their path."""
+    import os
+
+    from ..sources.specs import BASE_ENV
+    from ..storage import shared_folder
+
+    root, docs = shared_folder(spark, "dataset").removeprefix("file:"), table(spark, sf_dir, "documents").select("doc_id", "lang")
+    _uneven_files(spark, docs.select("doc_id"), f"{root}/HuggingFaceTB/smoltalk/all")
+    _stored(spark, docs.withColumnRenamed("lang", "program_lang"), "", "synthetic_qa", f"{root}/OpenCoder-LLM/opc-annealing-corpus")
+    before = os.environ.get(BASE_ENV)
+    os.environ[BASE_ENV] = root
+    try:
+        return _loaded(spark, "HuggingFaceTB/smoltalk[train:12] + OpenCoder-LLM/opc-annealing-corpus[lang:de]").select("doc_id", "split", "source_ord")
+    finally:
+        os.environ.pop(BASE_ENV) if before is None else os.environ.update({BASE_ENV: before})

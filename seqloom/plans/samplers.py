@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import schedules as S
 from ..functions.rng import uniform_sql
 from ..operators import samplers as D
 from .corruption import _LOGITS, logits
@@ -208,21 +209,24 @@ def _reader(spark: SparkSession, sf_dir: str, forced: int | None = None) -> D.Sc
     return score
 
 
-def _folded(rule: str, m: int, size: int, steps: int, even: bool = False, infill: bool = False, forced: int | None = None, limit: str = "") -> str:
+def _folded(rule: str, m: int, size: int, steps: int, even: bool = False, infill: bool = False, forced: int | None = None, limit: str = "", power: int = 1) -> str:
     """Every sequence folded on its own: its quotas by its own masks in each block, its places by a scorer that reads the canvas.
 
+    The schedule is 1 - t or, with power 2, 1 - t t.
+
     c holds a sequence's tokens and the steps at which they were written; `rule` says what a step commits.
     """
     start = "0" if infill else f"(4 + seq % {m})"
     given = "pos % 2 = 0" if infill else f"pos < {start}"
     bonus = "" if forced is None else f" + CASE WHEN l.pos = {forced} AND l.tok = 1 THEN 100 ELSE 0 END"
+    ratio = "s / t" if power == 1 else "(1 - (1 - s * s)) / (1 - (1 - t * t))"
     blocks = -(-(16 if infill else 12) // size)
     per = -(-steps // blocks)
     quotas = f"[{', '.join(str(size // per + (k < size % per)) for k in range(per))}]::BIGINT[]"
     return f"""WITH RECURSIVE l AS {_LOGITS}, place AS (SELECT DISTINCT seq, pos, ({given}) AS given, (pos - {start}) // {size} AS b FROM l),
 q AS (SELECT seq, b, 0 AS j, count(*) AS rest, []::BIGINT[] AS got FROM place WHERE NOT given GROUP BY seq, b
   UNION ALL SELECT seq, b, j + 1, rest - x, CASE WHEN x > 0 THEN list_append(got, x) ELSE got END
-    FROM (SELECT *, least(round_even(rest * (1 - (({per} - j - 1) / {per}::DOUBLE) / (({per} - j) / {per}::DOUBLE)), 0)::BIGINT, rest) AS x FROM q WHERE j < {per})),
+    FROM (SELECT *, least(round_even(rest * (1 - {ratio}), 0)::BIGINT, rest) AS x FROM (SELECT *, ({per} - j - 1) / {per}::DOUBLE AS s, ({per} - j) / {per}::DOUBLE AS t FROM q WHERE j < {per}))),
 quota AS (SELECT seq, b, {quotas if even else 'got'} AS got FROM q WHERE j = {per}),
 c AS (SELECT seq, 0 AS stp, 0 AS b, 0 AS k, list(CASE WHEN given THEN pos ELSE {MASK} END ORDER BY pos) AS toks, list(-1 ORDER BY pos) AS ats FROM place GROUP BY seq
   UNION ALL SELECT seq, stp + 1, CASE WHEN bool_or(masked AND NOT hit) THEN any_value(b) ELSE any_value(b) + 1 END, CASE WHEN bool_or(masked AND NOT hit) THEN any_value(k) + 1 ELSE 0 END,
@@ -297,3 +301,22 @@ def remasking_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written places may be masked again, and what was is spread over the steps that are left to its sequence."""
     options = replace(D.PROGRAMS["remasking"], steps=4, block_size=12, extra_steps=2)
     return with_turns(D.run(_uneven(spark, sf_dir, 9), _reader(spark, sf_dir), MASK, options, history=True))
+
+
+@query("hooked_own_schedule", _folded("r <= quota", 9, 12, 5, forced=9, power=2))
+def hooked_own_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A schedule of one's own, a hook on the logits (token 1 wins at place 9) and one on the tokens, which finds them as they were."""
+    S.ALPHAS["squared"] = S.Alpha(lambda t: 1 - t * t, lambda t: -2 * t)
+    bonus = lambda rows: rows.withColumn("logit", F.col("logit") + F.when((F.col("pos") == 9) & (F.col("tok") == 1), 100.0).otherwise(0.0))
+    same = lambda rows: rows.withColumn("tok", F.abs("tok"))
+    options = replace(D.PROGRAMS["masked"], steps=5, block_size=12, schedule="Squared", logit_hooks=(bonus,), token_hooks=(same,))
+    return with_turns(D.run(_uneven(spark, sf_dir, 9), _reader(spark, sf_dir), MASK, options, history=True))
+
+
+@query("configured_sample", _sql(f"SELECT * FROM {_LOGITS} WHERE tok NOT IN (1, 2, 40)", "max(p)", "0", "(r - 1) // 3"))
+def configured_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The program that a registered evaluation and its overrides describe, with suppressed tokens as text."""
+    from ..operators.metrics import program
+
+    config, options = program("masked", {"steps": 9, "block_size": 12}, steps=4, suppress_tokens="[1;2; 40]")
+    return with_steps(D.run(canvas(spark, sf_dir), lambda c: logits(spark, sf_dir), MASK, options, 16 - config.block_size, history=True))

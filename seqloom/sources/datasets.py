@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions.rng import uniform
 from ..storage import saved, shared_folder
-from .specs import name_matches, split_specs
+from .specs import BASE_ENV, name_matches, resolve_path, split_specs
 
 #: Named readers: (spark, path, options without split limits) -> DataFrame with split and ord.
 Reader = Callable[[SparkSession, str, dict], DataFrame]
@@ -279,13 +279,14 @@ def length_grouped(df: DataFrame, length: str, key: str, batch: int, seed: int |
 def load(spark: SparkSession, specs: str, readers: Mapping[str, Reader], streaming: bool = False, preprocessed: bool = False) -> DataFrame:
     """Loads every part of a specification, cuts it by its split limits and unites all in order.
 
-    The reader is the one whose name the part's name matches. Keys `name`, `lang` and `config` are the reader's;
+    A relative path may lie below the folder in BASE_ENV. The reader is the one whose name the part's name matches. Keys `name`, `lang` and `config` are the reader's;
     the remaining ones are split limits. preprocessed reads columnar data as saved.
     """
     parts = []
     for name, options in split_specs(specs):
         if name is None:
             raise ValueError("a dataset needs a name")
+        name = resolve_path(name, BASE_ENV)
         own = {k: options.pop(k) for k in ("name", "lang", "config") if k in options}
         found = None if preprocessed else next((r for k, r in readers.items() if name_matches(name, k)), None)
         if found is None and not preprocessed:

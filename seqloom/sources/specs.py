@@ -45,10 +45,14 @@ def split_specs(specs: str) -> list[tuple[str | None, dict[str, Any]]]:
     return [parse_spec(p) for p in parts]
 
 
+#: Fixed: the setting that holds the folder of relative dataset paths.
+BASE_ENV = "BASE_DATASETS_DIR"
+
+
 def resolve_path(path: str, env: str) -> str:
-    """Absolute or existing paths, and all where env is unset, as they are; else below the folder in env, where it has to exist."""
+    """Absolute or existing paths, addresses with a scheme, and all where env is unset, as they are; else below the folder in env, where it has to exist."""
     base = os.environ.get(env, "")
-    if os.path.isabs(path) or os.path.exists(path) or not base:
+    if os.path.isabs(path) or re.match(r"\w+:/", path) or os.path.exists(path) or not base:
         return path
     joined = Path(base) / path
     if not joined.exists():

@@ -216,9 +216,14 @@ def test_hooks_and_stop(spark):
     stop = replace(D.PROGRAMS["block"], steps=4, block_size=4, stop_token=4, token_hooks=(fixed,))
     row = {r["pos"]: r["tok"] for r in D.run(canvas, scorer(spark), MASK, stop, START)[0].collect()}
     assert row[5] == 4 and all(row[p] == MASK for p in range(6, N))
-    for key in ("block", "hybrid"):
+    for key in ("block", "hybrid", "carry", "prefix_cached"):
         with pytest.raises(NotImplementedError):
             D.infill(canvas, scorer(spark), MASK, D.PROGRAMS[key])
+    with pytest.raises(NotImplementedError):
+        D.edit_flow_infill(canvas, scorer(spark))
+    with pytest.raises(ValueError, match="unknown evaluation"):
+        M.program("nothing")
+    assert M.program("shifted")[1].steps == 512 and M.program("block", steps=7)[0].steps == 7
 
 
 def edit_rates(canvas):
