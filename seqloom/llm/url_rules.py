@@ -3,8 +3,10 @@
 Labelled URLs become sets of tokens (host labels, path segments with numbers as one token, query keys). FP-growth
 mines frequent token sets together with the label; rules `tokens -> block` are kept by confidence, support
 (as a share and as a count), lift and significance, and pruned where a subset of their tokens already reaches their
-confidence. An inverted index from a rule's rarest token matches them: a rule fires for a URL that holds all its
-tokens. Pages are labelled by the row of `labels` of their key: block if it is toxic.
+confidence. Frequent tokens that stand in exactly the same labelled rows are one item for mining, so thirty query keys that
+always come together are not 2^30 sets; a rule then takes any of them. Tokens that nearly always come together are not
+joined, and FP-growth itself has no bound on the size of a set. An inverted index from a rule's rarest token matches them: a rule
+fires for a URL that holds all its tokens. Pages are labelled by the row of `labels` of their key: block if it is toxic.
 """
 
 from __future__ import annotations
@@ -66,19 +68,36 @@ def _rarest(rules: DataFrame, counts: DataFrame) -> DataFrame:
     return rules.join(chosen, "rule_id").withColumn("token", F.col("least.token")).drop("least")
 
 
+def same_rows(rows: DataFrame, least: float) -> DataFrame:
+    """(item, tokens) of the tokens of rows (_row, tokens) that at least `least` rows hold and that stand in the same rows as others: the first of them and all.
+
+    Rows are compared by their number and two 64-bit sums. At most as many tokens as rows have on average, over the least share.
+    """
+    each = rows.select("_row", F.explode("tokens").alias("token"))
+    sums = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("_row")).alias("a"), F.bit_xor(F.xxhash64("_row", F.lit(1))).alias("b"))
+    alike = sums.where(F.col("n") >= least).groupBy("n", "a", "b").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
+    return alike.where(F.size("tokens") > 1).select(F.col("tokens")[0].alias("item"), "tokens")
+
+
 def mine(rows: DataFrame, min_support: float = 0.005, min_confidence: float = 0.6, min_lift: float = 1.5, min_count: int = 10, min_z: float = 4.0) -> DataFrame:
-    """(rule_id, tokens, confidence, support) from rows (tokens, blocked), by FP-growth.
+    """(rule_id, tokens, confidence, support, ways) from rows (tokens, blocked), by FP-growth. ways holds for each token all that may stand for it.
 
     A rule needs min_count blocked rows, however few rows there are, and more of them than chance gives: its
     confidence lies min_z standard errors above the share of blocked rows. A rule goes if some of its tokens alone reach its
     confidence; such pairs are found by the rarest token of the smaller one.
     """
-    items = saved(rows.select(F.when(F.col("blocked"), F.concat("tokens", F.array(F.lit(BLOCK)))).otherwise(F.col("tokens")).alias("items")), "url-items")
-    empty = rows.sparkSession.createDataFrame([], "rule_id long, tokens array<string>, confidence double, support double")
-    total = items.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.array_contains("items", BLOCK)).alias("bad")).first()
+    rows = saved(rows.select("tokens", "blocked", F.monotonically_increasing_id().alias("_row")), "url-rows")
+    empty = rows.sparkSession.createDataFrame([], "rule_id long, tokens array<string>, confidence double, support double, ways array<array<string>>")
+    total = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("blocked").alias("bad")).first()
     n, bad = total["n"], total["bad"]
     if bad < min_count or bad == n:
         return empty
+    alike = saved(same_rows(rows, max(min_support * n, min_count)), "url-alike")
+    if not alike.isEmpty():
+        names = alike.select("item", F.explode("tokens").alias("token"))
+        each = rows.select("_row", "blocked", F.explode_outer("tokens").alias("token")).join(F.broadcast(names), "token", "left")
+        rows = each.groupBy("_row", "blocked").agg(F.collect_set(F.coalesce("item", "token")).alias("tokens"))
+    items = saved(rows.select(F.when(F.col("blocked"), F.concat("tokens", F.array(F.lit(BLOCK)))).otherwise(F.col("tokens")).alias("items")), "url-items")
     model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_count / n), minConfidence=min_confidence).fit(items)
     found = model.associationRules.where(F.array_contains("consequent", BLOCK) & (F.size("consequent") == 1) & (F.col("lift") >= min_lift))
     share = bad / n
@@ -90,22 +109,27 @@ def mine(rows: DataFrame, min_support: float = 0.005, min_confidence: float = 0.
     smaller = smaller.select("token", F.col("tokens").alias("fewer"), F.col("confidence").alias("sure"))
     narrow = each.join(smaller, "token").where((F.size("fewer") < F.size("tokens")) & (F.col("sure") >= F.col("confidence")))
     implied = narrow.where(F.size(F.array_except("fewer", "tokens")) == 0).select("rule_id").distinct()
-    return found.join(implied, "rule_id", "left_anti").select("rule_id", "tokens", "confidence", "support")
+    kept = found.join(implied, "rule_id", "left_anti")
+    place = kept.select("rule_id", F.posexplode("tokens").alias("at", "item")).join(F.broadcast(alike.withColumnRenamed("tokens", "way")), "item", "left")
+    ways = place.groupBy("rule_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("way", F.array("item")).alias("way")))), lambda x: x["way"]).alias("ways"))
+    return kept.join(ways, "rule_id").select("rule_id", "tokens", "confidence", "support", "ways")
 
 
 def match(pages: DataFrame, rules: DataFrame, salts: int = 16) -> DataFrame:
-    """(page_row, rule_ids) of the pages (page_row, tokens) in which rules fire.
+    """(page_row, rule_ids) of the pages (page_row, tokens) in which rules (rule_id, tokens, and ways if there are any) fire.
 
-    The index holds each rule once, under the one of its tokens that the fewest pages have. Pages look up all their
+    The index holds each rule once for each way of the one of its tokens that the fewest pages have. Pages look up all their
     tokens and check the rest of what they find. Tokens are salted, so that a common one is no single task.
     """
-    known = rules.select(F.explode("tokens").alias("token")).distinct()
+    rules = rules if "ways" in rules.columns else rules.withColumn("ways", F.transform("tokens", lambda t: F.array(t)))
+    known = rules.select(F.explode(F.flatten("ways")).alias("token")).distinct()
     held = pages.select("page_row", "tokens", F.explode("tokens").alias("token"))
     counts = held.join(known, "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    index = _rarest(rules, counts).select("token", "rule_id", F.col("tokens").alias("needs"))
+    way = F.element_at("ways", F.array_position("tokens", F.col("token")).cast("int"))
+    index = _rarest(rules.select("rule_id", "tokens", "ways"), counts).select("rule_id", "ways", F.explode(way).alias("token"))
     index = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     dealt = held.withColumn("salt", F.pmod(F.xxhash64("page_row"), F.lit(salts)).cast("int"))
-    met = dealt.join(index, ["token", "salt"]).where(F.size(F.array_except("needs", "tokens")) == 0)
+    met = dealt.join(index, ["token", "salt"]).where(F.forall("ways", lambda w: F.arrays_overlap(w, F.col("tokens"))))
     return met.groupBy("page_row").agg(F.array_sort(F.collect_set("rule_id")).alias("rule_ids"))
 
 
@@ -117,7 +141,8 @@ def judge(pages: DataFrame, labels: DataFrame, rules: tuple = RULES, key: Column
 
     mined holds the fired rules of pages that no fixed rule decides: with one or more the verdict is block, else
     allow. Null URLs and URLs without :// have an empty host and path and no rule. Null or repeated ids are rows
-    of their own; only ids with a label are learnt from. Without labels, or with an empty table, nothing is mined.
+    of their own; only ids with a label are learnt from. Without labels, or with an empty table, nothing is mined. URLs of any
+    length are read whole; rules of one length go by their place in the list; other columns are not used.
     """
     url = F.col("url")
     own = F.col("page_id").cast("long") if key is None else key

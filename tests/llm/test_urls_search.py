@@ -66,6 +66,24 @@ def test_mined_rules_are_the_counted_ones(spark):
     assert mined.keys() == kept.keys() and all(abs(mined[s] - kept[s]) < 1e-9 for s in kept)
 
 
+def test_tokens_that_always_come_together_are_one(spark):
+    """Thirty query keys shared by the blocked pages, three by half of the others: no 2^30 sets, and any of the keys blocks."""
+    keys = "&".join(f"k{k}=1" for k in range(30))
+    pages = [(k, f"http://shop.example.info/x?{keys if k % 4 == 0 else 'a=1&b=2&c=3' if k % 4 == 1 else 'id=7'}") for k in range(400)]
+    labels = [(k, int(k % 4 == 0 and k % 20 != 0)) for k in range(400)]
+    new = [(1000, "http://other.info/?k17=5"), (1001, "http://other.info/?a=1"), (1002, "http://shop.example.info/"), (1003, "http://x.example.info/?k3=1&k4=1&id=1")]
+    got = ur.judge(spark.createDataFrame(pages + new, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    assert {r["page_id"]: r["verdict"] for r in got if r["page_id"] >= 1000} == {1000: "block", 1001: "allow", 1002: "allow", 1003: "block"}
+    assert all((r["verdict"] == "block") == (r["page_id"] % 4 == 0) for r in got if r["page_id"] < 1000)
+
+
+def test_rules_with_several_ways(spark):
+    rules = [(1, ["a", "x"], [["a", "b"], ["x", "y"]]), (2, ["c"], [["c"]])]
+    pages = [(1, ["a", "y"]), (2, ["b", "x", "a"]), (3, ["a", "b"]), (4, ["c", "y", "b"]), (5, [])]
+    got = ur.match(spark.createDataFrame(pages, "page_row long, tokens array<string>"), spark.createDataFrame(rules, "rule_id long, tokens array<string>, ways array<array<string>>")).collect()
+    assert {r["page_row"]: r["rule_ids"] for r in got} == {1: [1], 2: [1], 4: [1, 2]}
+
+
 def test_few_rows_are_no_evidence(spark):
     rows = [(["h:a", f"p:{k % 9}"], k < 9) for k in range(90)]
     assert ur.mine(spark.createDataFrame(rows, "tokens array<string>, blocked boolean")).count() == 0
