@@ -109,7 +109,7 @@ class LineRuns:
         return self.frequent()
 
 
-def batches_of(docs: DataFrame, first_bytes: int = 1 << 17, growth: int = 4) -> list[DataFrame]:
+def batches_of(docs: DataFrame, first_bytes: int = 1 << 17, growth: int = 8) -> list[DataFrame]:
     """docs, if it is a plain scan of files, in batches of first_bytes, growth times as much, and so on, in the files' order; else docs as one batch.
 
     Bounds are bytes of the files, and fall between any two rows of a file: a row lies at its share of its file. Batches grow so
