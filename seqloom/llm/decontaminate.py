@@ -245,6 +245,7 @@ def _loads(texts: DataFrame, n: int) -> Iterator[tuple[bool, Load]]:
                 rows = pq.read_table(f"{folder}/{name}", columns=["key", "text"], partitioning=None)
                 yield [*zip(rows["key"].to_pylist(), rows["text"].to_pylist(), strict=True)]
 
+        from_folder.many = True
         yield True, from_folder
         return
     for k in range(n):
@@ -265,17 +266,20 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame, q: int = 12, rate: flo
 HELD = 64 << 20
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches joined to about HELD bytes."""
+def _blocks(batches: Iterator[pa.RecordBatch], load: Load) -> Iterator[pa.RecordBatch]:
+    """Batches, joined to about HELD bytes if each meets several slices."""
+    if not getattr(load, "many", False):
+        yield from batches
+        return
     held, size = [], 0
     for batch in batches:
         held.append(batch)
         size += batch.nbytes
         if size >= HELD:
-            yield from pa.Table.from_batches(held).to_batches()
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
             held, size = [], 0
     if held:
-        yield from pa.Table.from_batches(held).to_batches()
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
 def _indexes(load: Load, q: int, rate: float) -> Callable[[], Iterator[Items]]:
@@ -298,7 +302,7 @@ def _indexes(load: Load, q: int, rate: float) -> Callable[[], Iterator[Items]]:
 def _without(rows: DataFrame, load: Load, q: int, rate: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         indexes = _indexes(load, q, rate)
-        for batch in _blocks(batches):
+        for batch in _blocks(batches, load):
             left = list(range(batch.num_rows))
             for index in indexes():
                 left = [k for k in left if not index.matches(normal(batch.column(0)[k].as_py()))]
@@ -316,7 +320,7 @@ def _searched(rows: DataFrame, load: Load, q: int, rate: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         indexes = _indexes(load, q, rate)
         names = [x.split()[0] for x in MATCHES.split(", ")]
-        for batch in _blocks(batches):
+        for batch in _blocks(batches, load):
             docs = batch.column(0).to_pylist()
             for index in indexes():
                 found = [(doc, *m) for doc, text in zip(docs, batch.column(1), strict=True) for m in index.matches(normal(text.as_py()))]
