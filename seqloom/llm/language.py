@@ -43,16 +43,18 @@ def sample_by_label(rows: DataFrame, label: str, texts: int, chars: int, sizes:
     return cut.groupBy("label", "rank").agg(F.min("text").alias("text"))
 
 
-def dictionaries(rows: DataFrame, label: str = "lang", sample_texts: int = 256, sample_chars: int = 2000, dictionary_bytes: int = 65_536) -> dict[str, bytes]:
+def dictionaries(rows: DataFrame, label: str = "lang", sample_texts: int = 256, sample_chars: int = 2000, dictionary_bytes: int = 65_536, most_languages: int = 1000) -> dict[str, bytes]:
     """Raw dictionaries in order of preference at ties. rows: text and label.
 
-    Each sampled text has an equal part of the dictionary: what short ones leave goes to the longer ones.
+    Of more than most_languages labels the most frequent ones are learnt, by name at ties. Each sampled text has an equal part of the dictionary: what short ones leave goes to the longer ones.
     """
     named = rows.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("label"))
-    sizes = named.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("texts")).collect()
+    sizes = named.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("texts")).orderBy(F.desc("n"), "label").limit(most_languages).collect()
     counts = {r["label"]: r["n"] for r in sizes}
     if not counts:
         return {}
+    if len(counts) == most_languages:
+        rows = rows.where(F.col(label).isin(*counts))
     parts: dict[str, list[tuple[int, bytes]]] = {k: [] for k in counts}
     for r in sample_by_label(rows, label, sample_texts, sample_chars, {r["label"]: max(1, r["texts"]) for r in sizes}).collect():
         parts[r["label"]].append((r["rank"], normal(r["text"]).encode()))

@@ -194,3 +194,9 @@ def test_equal_items_and_slices(spark):
         assert sorted(r["doc_id"] for r in dc.uncontaminated(docs, items, slice_bytes=size).collect()) == [2, 4]
     sizes = [[len(t) for _, t in part] for _, load in dc.slices(items, 1000)[1] for part in load()]
     assert len(sizes) > 2 and max(map(sum, sizes)) < 2000 and sum(map(len, sizes)) == 41
+
+
+def test_the_number_of_languages_is_bounded(spark):
+    rows = [(f"text of {k} " * 4, f"l{k % 7:02d}" if k < 90 else f"x{k}") for k in range(120)]
+    found = language.dictionaries(spark.createDataFrame(rows, "text string, lang string"), most_languages=5)
+    assert [*found] == ["l00", "l01", "l02", "l03", "l04"] and all(found.values())
