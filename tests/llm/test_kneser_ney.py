@@ -106,3 +106,17 @@ def test_mapped_arrays_are_bounded_and_let_go(tmp_path):
         del own
         gc.collect()
         assert opened() == 0
+
+
+def test_a_text_longer_than_a_segment(spark):
+    """More than 4 MB of words, cut at white space: the same as the counts of a plain model."""
+    long = " ".join(f"w{k * k % 977}" for k in range(900_000))
+    assert len(long) > 1 << 22
+    rows = [(0, long), (1, "w1 w4 w9"), (3, "other words")]
+    learnt = [t for d, t in rows if zlib.crc32(str(d).encode()) % 7 != 2]
+    score, total = brute(learnt, 2)
+    got = {r["doc_id"]: r for r in kn.score_with_folds(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for d, t in rows:
+        want = score(t)
+        assert (got[d]["n_tokens"], got[d]["n_known"]) == want[:2] and abs(got[d]["base_score"] / want[2] - 1) < 1e-9 and abs(got[d]["score"] / want[3] - 1) < 1e-9
+        assert got[d]["train_tokens"] == total

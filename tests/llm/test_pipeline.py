@@ -52,3 +52,20 @@ def test_stages_do_their_work(spark, tmp_path):
 
 def test_pipeline_runs_whole(spark):
     assert corpus_pipeline.run(spark, SF).columns == [*[c.split()[0] for c in packing.PIECES.split(", ")], "sequence_id", "offset"]
+
+
+def test_stages_on_no_rows_and_on_clashing_names(spark, tmp_path):
+    """Every stage keeps an empty table empty, and columns that are named like its own come through."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    names = ["row", "score", "text_id", "key", "hits", "own", "t", "h", "root", "label", "_body", "lines"]
+    odd = docs.withColumns({n: F.concat(F.lit(f"{n} of "), "doc_id") for n in names})
+    for n, (name, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        for kind, some in (("none", odd.where("doc_id < 0")), ("some", odd)):
+            some.write.parquet(f"{tmp_path}/{n}-{kind}")
+            got = stage(spark, spark.read.parquet(f"{tmp_path}/{n}-{kind}"), SF)
+            rows = got.collect()
+            assert got.columns == odd.columns and (kind == "some") == bool(rows), name
+            assert all(r[c] == f"{c} of {r['doc_id']}" for r in rows for c in names), name
+    assert corpus_pipeline.STAGES[4][1](spark, odd.where("doc_id < 0"), SF).count() == 0

@@ -182,3 +182,14 @@ def test_scores_are_those_of_a_plain_scorer(spark):
     assert 0 < flags.sum() < len(flags)
     own = tx.fit(kernel, flags, scorer.names)(kernel)
     assert np.abs(own - plain_fit(kernel, flags, scorer.names)(kernel)).max() < 1e-4
+
+
+def test_repeated_ids_and_long_texts(spark):
+    """Of repeated ids one text is learnt from, every row is scored; an insult behind 4 MB of clean words is found."""
+    docs, labels = training(spark)
+    again = docs.where("doc_id < 30").withColumn("text", tx.F.lit("the same clean words")).unionByName(docs.where("doc_id < 5"))
+    scorer = tx.train(docs.unionByName(again), labels.unionByName(labels))
+    long = "calm river words " * 300_000
+    odd = spark.createDataFrame([(1, long + " you idiot"), (2, long), (2, "an idiot")], "doc_id long, text string")
+    got = [(r["doc_id"], r["score"] >= 0.7) for r in tx.score_documents(odd, scorer).collect()]
+    assert sorted(got) == [(1, True), (2, False), (2, True)]
