@@ -205,13 +205,13 @@ def map_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sft_rows(spark, sf_dir).transform(D.use("seqloom.operators.pack.prepend_bos", bos=BOS)).select(text_of("input_ids"), text_of("labels"))
 
 
-@query("json_map", "SELECT vec_id::INT AS tok, label::INT AS cluster FROM embeddings WHERE vec_id < 64")
+@query("json_map", "SELECT vec_id::INT AS tok, label::INT AS cluster FROM embeddings")
 def json_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A vocabulary's clusters from one JSON object."""
+    """A vocabulary's clusters from JSON objects of 64 entries, one a line."""
     from ..sources import datasets as D
     from ..storage import shared_folder
 
     path = f"{shared_folder(spark, 'map')}/clusters"
     pairs = F.map_from_entries(F.collect_list(F.struct(F.col("vec_id").cast("string"), "label")))
-    table(spark, sf_dir, "embeddings").where("vec_id < 64").agg(F.to_json(pairs).alias("value")).coalesce(1).write.text(path)
-    return D.cluster_map(spark, path)
+    table(spark, sf_dir, "embeddings").groupBy(F.floor(F.col("vec_id") / 64)).agg(F.to_json(pairs).alias("value")).select("value").write.text(path)
+    return D.cluster_map(spark, path, lines=True)

@@ -370,7 +370,7 @@ def use(name: str, **bound: object) -> Callable[[DataFrame], DataFrame]:
     return lambda df: found(df, **bound)
 
 
-def cluster_map(spark: SparkSession, path: str) -> DataFrame:
-    """(tok, cluster) from a JSON object {token id: cluster id}."""
-    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,int>").alias("m"))
+def cluster_map(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(tok, cluster) from JSON objects {token id: cluster id}: one a file or, with lines, one a line."""
+    raw = spark.read.text(path, wholetext=not lines).select(F.from_json("value", "map<string,int>").alias("m"))
     return raw.select(F.explode("m").alias("tok", "cluster")).select(F.col("tok").cast("int"), "cluster")
