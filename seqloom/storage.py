@@ -33,10 +33,19 @@ def dropped(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Bytes a core from which a scan's rows are read where they lie, if its splits reach a quarter of the cores.
+ENOUGH = 32 << 20
+
+
 def dealt(scan: DataFrame) -> DataFrame:
-    """A bare scan's rows over all cores where its files have fewer splits than there are cores; a larger table is left as it is.
+    """A bare scan's rows over all cores where its files have fewer splits than there are cores and little in each; a larger table is left as it is.
 
-    A small file has few row groups, and what follows a scan (tokens, scores) costs far more than moving its rows once.
+    A small file has few row groups, and what follows a scan (tokens, scores) costs far more than moving its rows once. Where a
+    core has ENOUGH to read, moving them is dear and some idle cores are not; with fewer splits than a quarter of the
+    cores they are moved all the same.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+    cores, splits = scan.sparkSession.sparkContext.defaultParallelism, scan.rdd.getNumPartitions()
+    if splits >= cores:
+        return scan
+    size = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return scan if 4 * splits > cores and size > ENOUGH * cores else scan.repartition(cores)

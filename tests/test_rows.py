@@ -14,6 +14,7 @@ from seqloom.operators import pack as P
 from seqloom.operators import samplers as D
 from seqloom.operators import text as X
 from seqloom.sources import datasets as S
+from seqloom import storage
 from seqloom.storage import dealt
 from seqloom.streaming import pipelines as R
 
@@ -118,13 +119,24 @@ def test_packing_shuffles_ids_once(spark):
     assert plan.count("Exchange") == 1
 
 
-def test_small_scans_are_dealt_over_cores(spark, tmp_path):
+def test_small_scans_are_dealt_over_cores(spark, tmp_path, monkeypatch):
     spark.range(50).coalesce(1).write.parquet(f"{tmp_path}/one")
     spark.range(50).repartition(30).write.parquet(f"{tmp_path}/many")
     few, many = (spark.read.parquet(f"{tmp_path}/{n}") for n in ("one", "many"))
     cores = spark.sparkContext.defaultParallelism
     assert dealt(few).rdd.getNumPartitions() == cores and sorted(r[0] for r in dealt(few).collect()) == [*range(50)]
     assert few.rdd.getNumPartitions() < cores <= many.rdd.getNumPartitions() and dealt(many) is many
+    spark.range(50).repartition(cores - 1).write.parquet(f"{tmp_path}/most")
+    before = spark.conf.get("spark.sql.files.openCostInBytes"), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "64m"), spark.conf.set("spark.sql.files.maxPartitionBytes", "64m")
+        most = spark.read.parquet(f"{tmp_path}/most")
+        assert cores // 4 < most.rdd.getNumPartitions() < cores
+        assert dealt(most) is not most  # little to move
+        monkeypatch.setattr(storage, "ENOUGH", 1)
+        assert dealt(most) is most and dealt(few) is not few  # much in each of nearly as many splits; one split is moved anyway
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before[0]), spark.conf.set("spark.sql.files.maxPartitionBytes", before[1])
 
 
 def test_clips_and_labels(spark):
