@@ -215,3 +215,19 @@ def json_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = F.map_from_entries(F.collect_list(F.struct(F.col("vec_id").cast("string"), "label")))
     table(spark, sf_dir, "embeddings").groupBy(F.floor(F.col("vec_id") / 64)).agg(F.to_json(pairs).alias("value")).select("value").write.text(path)
     return D.cluster_map(spark, path, lines=True)
+
+
+@query("collated_without_mask", SFT + """SELECT conv_id, array_to_string(list_resize(list_prepend(1, input_ids), w + 1, 0), ',') AS input_ids, array_to_string(list_resize(list_prepend(-100, labels), w + 1, -100), ',') AS labels, false AS has_mask
+FROM (SELECT *, max(len(input_ids)) OVER (PARTITION BY conv_id // 8) AS w FROM sft)""")
+def collated_without_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A collator of three steps: a first token, padding, and away with the mask."""
+    rows = sft_rows(spark, sf_dir).withColumn("batch", F.floor(F.col("conv_id") / 8))
+    out = P.collate(lambda df: P.prepend_bos(df, BOS), lambda df: P.pad_batch(df, "batch", PAD), P.drop_mask)(rows)
+    return out.select("conv_id", text_of("input_ids"), text_of("labels"), F.lit("attention_mask" in out.columns).alias("has_mask"))
+
+
+@query("edit_pairs_empty", SFT + "SELECT conv_id, '1' AS x0, array_to_string(CASE WHEN input_ids[1] = 1 THEN input_ids ELSE list_prepend(1, input_ids) END, ',') AS x1 FROM sft")
+def edit_pairs_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without a prompt and from nothing: the first token alone becomes the whole text."""
+    x0, x1 = P.edit_pairs(F.col("input_ids"), None, P.start_sampler("empty"), BOS)
+    return sft_rows(spark, sf_dir).select("conv_id", F.array_join(x0.cast("array<string>"), ",").alias("x0"), F.array_join(x1.cast("array<string>"), ",").alias("x1"))
