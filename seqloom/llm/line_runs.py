@@ -22,6 +22,8 @@ from .common import SPACES, ascii_lower, saved, stored, table
 
 #: Parts of a hot text's rows where lists are joined.
 SALTS = 16
+#: Longer lists of a text's frequent keys are cut in so many parts by the key's hash, so that a line looks through one of them.
+PARTS = 256
 
 
 def lines_of(text: Column) -> Column:
@@ -167,8 +169,11 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     body = F.col(f"row.`{text}`")
     found = whole.select(F.xxhash64(body).alias("t"), F.explode(_hashes(body, min_chars)).alias("h"))
-    hits = saved(found.join(frequent, "h", "left_semi").groupBy("t").agg(F.collect_set("h").alias("hits")), "line-hits")
-    size = hits.agg(F.sum(16 + 8 * F.size("hits").cast("long"))).first()[0] or 0
+    lists = found.join(frequent, "h", "left_semi").groupBy("t").agg(F.collect_set("h").alias("all"))
+    places = F.sequence(F.lit(0), F.lit(PARTS - 1))
+    parted = F.when(F.size("all") > PARTS, F.transform(places, lambda p: F.filter("all", lambda h: F.pmod(h, F.lit(PARTS)) == p))).otherwise(F.array("all"))
+    hits = saved(lists.select("t", parted.alias("hits")), "line-hits")
+    size = hits.agg(F.sum(16 + 8 * F.size(F.flatten("hits")).cast("long"))).first()[0] or 0
     own = whole.withColumn("own", F.xxhash64(body))
     if size <= broadcast_bytes:
         joined = own.join(F.broadcast(hits), F.col("own") == F.col("t"), "left")
@@ -177,7 +182,8 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
         dealt = own.withColumn("own_salt", F.spark_partition_id() % SALTS)
         joined = dealt.join(copies, (F.col("own") == F.col("t")) & (F.col("own_salt") == F.col("salt")), "left")
     lines = joined.select("row", "hits", lines_of(body).alias("lines"))
-    hit = lambda x: F.array_contains("hits", key_hash(ascii_lower(x)))
+    own_part = lambda h: F.get("hits", F.pmod(h, F.lit(PARTS)).cast("int"))
+    hit = lambda x: F.when(F.size("hits") == 1, F.array_contains(F.get("hits", F.lit(0)), key_hash(ascii_lower(x)))).otherwise(F.array_contains(own_part(key_hash(ascii_lower(x))), key_hash(ascii_lower(x))))
     long_enough = lambda x: F.char_length(F.btrim(x, F.lit(SPACES))) >= min_chars
     kept = F.when(F.col("hits").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~(long_enough(x) & hit(x))))
     out = lines.select("row", "lines", kept.alias("kept"))

@@ -76,6 +76,22 @@ def test_the_query_runs_in_batches(spark, monkeypatch):
     assert [x for k, x in seen if k == "merge"]
 
 
+def test_texts_with_many_frequent_lines(spark):
+    """Lists longer than PARTS are cut; 60,000 lines of 6,000 frequent keys take seconds."""
+    import time
+
+    few = [(k, "\n".join(f"line {n}" for n in range(300 + k % 3)) + f"\nown {k}") for k in range(12)]
+    df = spark.createDataFrame(few, "doc_id long, text string")
+    got = sorted([(r["doc_id"], r["_n_lines"], r["_n_dropped"], r["text"]) for r in line_runs.drop_frequent_lines(df).collect()], key=repr)
+    assert got == brute_lines(few, 10)
+    many = [(k, "\n".join(f"line {n}" for n in range(6000)) * (10 if k == 0 else 1)) for k in range(10)]
+    began = time.perf_counter()
+    rows = line_runs.drop_frequent_lines(spark.createDataFrame(many, "doc_id long, text string")).collect()
+    assert time.perf_counter() - began < 30
+    want = {d: [r for r in brute_lines(many, 10) if r[0] == d][0] for d in (0, 5)}
+    assert all((r["doc_id"], r["_n_lines"], r["_n_dropped"], r["text"]) == want[r["doc_id"]] for r in rows if r["doc_id"] in want)
+
+
 def test_large_lists_are_joined(spark):
     rows = [(k % 3, f"Shared Line\nown {k}") for k in range(40)] + [(None, "shared line\ncopied")] * 9
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"own": line_runs.F.lit(1), "salt": line_runs.F.lit(2), "t": line_runs.F.lit(3)}).repartition(5)
