@@ -1,7 +1,8 @@
 """A stream that repeats a saved dataset for ever: a Python data source whose offset is (epoch, file, row).
 
 Files are Parquet, in the order of their paths, below a mounted folder. Every trigger goes on by `rows` rows, over the
-end of a file and of an epoch; a batch is dealt in parts of at most `rows_per_task`. Where the stream was sent is written to
+end of a file and of an epoch; a batch is dealt in parts of at most `rows_per_task`, which read the row groups they lie in. The
+files must stay as they are while a stream reads them. Where the stream was sent is written to
 the file `position` before Spark is told of it, so it is never behind Spark's own log and a restarted query goes on
 where it stopped: nothing is read twice or left out. `epochs` ends the stream, without it there is no end.
 """
@@ -11,8 +12,11 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from glob import glob
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
@@ -53,19 +57,40 @@ class EpochReader(DataSourceStreamReader):
             raise ValueError("rows and rows_per_task must be at least 1")
         folder = local(options["path"])
         self.files = sorted(f for f in glob(f"{folder}/**/*.parquet", recursive=True) if not os.path.basename(f).startswith(("_", ".")))
-        self.rows = [pq.read_metadata(f).num_rows for f in self.files]
-        self.total = sum(self.rows)
+        self.rows = self._counted()
+        self.before = [0, *accumulate(self.rows)]
+        self.total = self.before[-1]
+
+    def _counted(self) -> list[int]:
+        """Rows of each file: from the footers, many at a time, and kept beside the position for later starts."""
+        known, path = {}, f"{self.position}.rows"
+        if os.path.exists(path):
+            with open(path) as file:
+                known = json.load(file)
+        new = [f for f in self.files if f not in known]
+        if new:
+            with ThreadPoolExecutor(32) as pool:
+                known = {f: known[f] for f in self.files if f in known} | dict(zip(new, pool.map(lambda f: pq.read_metadata(f).num_rows, new), strict=True))
+            self._written(path, known)
+        return [known[f] for f in self.files]
+
+    @staticmethod
+    def _written(path: str, value: dict) -> None:
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(f"{path}.new", "w") as file:
+            json.dump(value, file)
+        os.replace(f"{path}.new", path)
 
     def initialOffset(self) -> dict:
         return {"epoch": 0, "file": 0, "row": 0}
 
     def latestOffset(self) -> dict:
-        at = json.load(open(self.position)) if os.path.exists(self.position) else self.initialOffset()
+        at = self.initialOffset()
+        if os.path.exists(self.position):
+            with open(self.position) as file:
+                at = json.load(file)
         to = self._ahead(at, self.step)
-        os.makedirs(os.path.dirname(self.position), exist_ok=True)
-        with open(f"{self.position}.new", "w") as file:
-            json.dump(to, file)
-        os.replace(f"{self.position}.new", self.position)
+        self._written(self.position, to)
         return to
 
     def _spans(self, at: dict, n: int | None, end: dict | None = None) -> Iterator[tuple[int, int, int, int]]:
@@ -97,23 +122,24 @@ class EpochReader(DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> list[Part]:
         out = []
         for epoch, file, low, high in self._spans(start, None, end):
-            before = sum(self.rows[:file])
-            out += [Part(epoch, self.files[file], a, min(a + self.size, high), before, self.total) for a in range(low, high, self.size)]
+            out += [Part(epoch, self.files[file], a, min(a + self.size, high), self.before[file], self.total) for a in range(low, high, self.size)]
         return out
 
     def read(self, part: Part) -> Iterator[pa.RecordBatch]:
-        own = [f for f in self.schema.fieldNames() if f not in PLACES]
-        at = 0
-        for batch in pq.ParquetFile(part.path).iter_batches(columns=own):
+        """The part's rows; row groups that hold none of them are not read."""
+        names = self.schema.fieldNames()
+        file = pq.ParquetFile(part.path)
+        ends = [0, *accumulate(file.metadata.row_group(k).num_rows for k in range(file.metadata.num_row_groups))]
+        groups = [k for k in range(len(ends) - 1) if ends[k] < part.high and ends[k + 1] > part.low]
+        at = ends[groups[0]] if groups else 0
+        for batch in file.iter_batches(row_groups=groups, columns=[f for f in names if f not in PLACES]):
             low, high = max(part.low - at, 0), min(part.high - at, batch.num_rows)
             if low < high:
                 rows = batch.slice(low, high - low)
-                places = pa.array(range(part.before + at + low, part.before + at + high), pa.int64())
-                extra = {"epoch": pa.array([part.epoch] * (high - low), pa.int64()), "ord": places, "stream_ord": pa.array([part.epoch * part.total + p for p in places.to_pylist()], pa.int64())}
-                yield pa.RecordBatch.from_arrays([extra[f] if f in PLACES else rows[f] for f in self.schema.fieldNames()], names=self.schema.fieldNames())
+                places = np.arange(part.before + at + low, part.before + at + high, dtype=np.int64)
+                extra = {"epoch": np.full(high - low, part.epoch, dtype=np.int64), "ord": places, "stream_ord": part.epoch * part.total + places}
+                yield pa.RecordBatch.from_arrays([pa.array(extra[f]) if f in PLACES else rows[f] for f in names], names=names)
             at += batch.num_rows
-            if at >= part.high:
-                return
 
     def commit(self, end: dict) -> None:
         """Nothing is kept back: the position is written ahead."""

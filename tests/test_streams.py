@@ -113,3 +113,16 @@ def test_a_meter_goes_on_and_can_be_reset(spark, tmp_path):
 
     assert {r["split"]: round(r["nll"], 9) for r in R.metered(spark, f"{tmp_path}/meter").collect()} == want(rows)
     assert {r["split"]: round(r["nll"], 9) for r in R.metered(spark, f"{tmp_path}/meter", since=1).collect()} == want(rows[25:])
+
+
+def test_parts_read_their_row_groups_only(tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from pyspark.sql import types as T
+
+    pq.write_table(pa.table({"id": list(range(100))}), f"{tmp_path}/a.parquet", row_group_size=7)
+    reader = E.EpochReader({"path": str(tmp_path), "position": f"{tmp_path}/p/at", "rows": "5"}, T.StructType.fromDDL("id long, ord long"))
+    assert reader.rows == [100] and json.load(open(f"{tmp_path}/p/at.rows")) == {f"{tmp_path}/a.parquet": 100}
+    for low, high in ((0, 1), (6, 8), (7, 14), (13, 40), (98, 100), (0, 100)):
+        got = [r for b in reader.read(E.Part(0, reader.files[0], low, high, 1000, 5000)) for r in b.to_pylist()]
+        assert got == [{"id": k, "ord": 1000 + k} for k in range(low, high)]
