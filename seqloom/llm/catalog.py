@@ -24,4 +24,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": line_runs.OP4_SQL, "op8_int8_block_join": matrix_search.OP8_SQL, "op11_merkle_manifest": merkle.OP11_SQL}
+    return {"op4_line_dedup": line_runs.OP4_SQL, "op8_int8_block_join": matrix_search.OP8_SQL, "op11_merkle_manifest": merkle.OP11_SQL, "op12_licence_index": licences.OP12_SQL}

@@ -243,5 +243,37 @@ def op12_licence_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = lambda found: F.array_join(F.array_sort(F.array_distinct(F.transform(found, lambda m: m["label"]))), ",")
     return rows.select(
         F.col("row.doc_id").alias("doc_id"), "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
-        labels(base).alias("base_labels"), labels(F.col("matches")).alias("labels"), F.coalesce(F.array_max(F.transform("matches", lambda m: m["score"])), F.lit(0.0)).alias("score"),
+        labels(base).alias("base_labels"), labels(F.col("matches")).alias("labels"), F.round(F.coalesce(F.array_max(F.transform("matches", lambda m: m["score"])), F.lit(0.0)), 9).alias("score"),
     )
+
+
+def _listed(words: Sequence[bytes]) -> str:
+    return "[" + ", ".join(f"'{w.decode()}'" for w in words) + "]"
+
+
+_ALL = (*BASE, *NOTICES)
+_TEMPLATES = ", ".join(f"({t}, '{x.label}', {x.base}, {x.slack}, {_listed(phrase(x.notice))})" for t, x in enumerate(_ALL))
+_KEYS = ", ".join(f"({t}, {Index._place(x, k)[0]}, {_listed(phrase(k))})" for t, x in enumerate(_ALL) for k in x.keys)
+
+OP12_SQL = rf"""
+WITH doc AS (SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+template(t, label, base, slack, notice) AS (VALUES {_TEMPLATES}), key(t, place, words) AS (VALUES {_KEYS}),
+own AS (SELECT t, base, slack, unnest(notice) AS word, generate_subscripts(notice, 1) - 1 AS j FROM template),
+word AS (SELECT * FROM (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS p FROM doc) WHERE word IN (SELECT word FROM own)),
+df AS (SELECT word, count(DISTINCT rid) AS n FROM word GROUP BY word),
+idf AS (SELECT own.*, 1 + ln(((SELECT count(*) FROM doc) + 1) / (coalesce(n, 0) + 1)::DOUBLE) AS idf FROM own LEFT JOIN df USING (word)),
+rare AS (SELECT *, idf / sum(idf) OVER (PARTITION BY t) AS weight, ceil(0.75 * count(*) OVER (PARTITION BY t)) AS least
+  FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY idf DESC, j) AS r FROM idf) WHERE r <= CASE WHEN base THEN 1 ELSE 5 END),
+vote AS (SELECT DISTINCT rid, t, slack, j, weight, least, s FROM (SELECT rid, t, slack, j, weight, least, unnest(range(p - j - slack, p - j + 1)) AS s FROM word JOIN rare USING (word))),
+start AS (SELECT rid, t, slack, s, least(sum(weight), 1) AS score FROM vote GROUP BY rid, t, slack, s HAVING count(*) >= any_value(least)),
+good AS (SELECT rid, t, s, any_value(score) AS score, any_value(slack) AS slack FROM (
+    SELECT start.*, len(list_filter(range(slack + 1), lambda d: s + place + d >= 0 AND w[s + place + d + 1 : s + place + d + len(words)] = words)) > 0 AS stands
+    FROM start JOIN key USING (t) JOIN doc USING (rid)) GROUP BY rid, t, s HAVING bool_and(stands)),
+part AS (SELECT *, sum(fresh) OVER (PARTITION BY rid, t ORDER BY s) AS island FROM (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY rid, t ORDER BY s) <= slack THEN 0 ELSE 1 END AS fresh FROM good)),
+found AS (SELECT rid, t, island, max(score) AS score, max(s) FILTER (score >= top - 1e-12) AS s FROM (SELECT *, max(score) OVER (PARTITION BY rid, t, island) AS top FROM part) GROUP BY rid, t, island),
+per AS (SELECT rid, count(*) FILTER (base) AS n_base, min(s) FILTER (base) AS first_word, max(s) FILTER (base) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
+    string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score FROM found JOIN template USING (t) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, round(coalesce(score, 0), 9) AS score
+FROM doc LEFT JOIN per USING (rid)
+"""
