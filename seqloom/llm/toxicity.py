@@ -113,7 +113,7 @@ class Landmarks:
         sizes = np.array([len(w) for w in words])
         low = 0
         for width in (5, 7, 9, 12, LONGEST + 1):
-            for some in np.array_split(np.flatnonzero((sizes > low) & (sizes <= width)), 1 + len(words) // 8192):
+            for some in np.array_split(np.flatnonzero((sizes > low) & (sizes <= width)), 1 + len(words) // 2048):
                 if len(some):
                     code, weight = subsequences([words[k] for k in some], width)
                     row = self.row[code]
@@ -129,7 +129,7 @@ class Landmarks:
 class TextKernel:
     """Best kernel of any unit of a text with each landmark. Remembers at most `most` units."""
 
-    def __init__(self, landmarks: Landmarks, most: int = 400_000):
+    def __init__(self, landmarks: Landmarks, most: int = 200_000):
         self.landmarks, self.most = landmarks, most
         self.clean: set[bytes] = set()
         self.marked: dict[bytes, np.ndarray] = {}
