@@ -127,8 +127,14 @@ def eval_step(rows: DataFrame, logits: DataFrame, kind: str, by: list[str], loss
 
 
 def label_mismatches(df: DataFrame) -> DataFrame:
-    """Rows whose counted labels differ from their ids."""
-    return df.where(F.exists(F.arrays_zip("input_ids", "labels"), lambda z: (z["labels"] != IGNORE) & (z["labels"] != z["input_ids"])))
+    """Rows whose counted labels differ from their ids.
+
+    Both columns pass a generator, through which no filter is pushed down: there their expressions would stand in for them and
+    be evaluated again, token ids in an element's condition once an element.
+    """
+    own = F.inline(F.array(F.struct("input_ids", "labels"))).alias("_ids", "_labels")
+    rows = df.select(*[c for c in df.columns if c not in ("input_ids", "labels")], own).withColumnsRenamed({"_ids": "input_ids", "_labels": "labels"}).select(df.columns)
+    return rows.where(F.exists(F.arrays_zip("input_ids", "labels"), lambda z: (z["labels"] != IGNORE) & (z["labels"] != z["input_ids"])))
 
 
 def bos_if_needed(df: DataFrame, batch: str, bos: int) -> DataFrame:

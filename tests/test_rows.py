@@ -238,3 +238,15 @@ def test_cutting_collator_leaves_batches_with_one_token_responses(spark):
     assert out[1]["input_ids"] == [5, 6, 7, 8] and 2 <= len(out[2]["input_ids"]) < 4
     assert {len(r["input_ids"]) for r in P.cutting_collator("batch", "id", 0, 3)(rows).collect()} == {4}
     assert P.cutting_collator("batch", "id", 0, 3, per_batch=True)(rows.limit(0)).count() == 0
+
+
+def test_label_mismatches_condition_reads_columns_not_their_expressions(spark):
+    texts = frame(spark, [(1, "a b c d"), (2, "a b c d"), (3, ""), (4, None)], "conv_id long, text string")
+    rows = texts.select("conv_id", X.token_ids(F.col("text")).alias("input_ids"), F.lit(2).alias("prompt_len"))
+    rows = rows.withColumn("labels", P.sft_labels(F.col("input_ids"), F.col("prompt_len")))
+    wrong = rows.withColumn("labels", F.transform("labels", lambda x, i: F.when((F.col("conv_id") == 2) & (i == F.size("labels") - 1), x + 1).otherwise(x)))
+    found = C.label_mismatches(wrong)
+    assert found.columns == wrong.columns
+    assert [r["conv_id"] for r in found.collect()] == [2]
+    conditions = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in x and "exists(" in x]
+    assert conditions and not any("md5" in x for x in conditions)
