@@ -12,6 +12,7 @@ NAMES = [
     "ar_nll",
     "carry_sample",
     "configured_sample",
+    "masked_sample",
 ]
 
 
