@@ -13,6 +13,7 @@ NAMES = [
     "carry_sample",
     "configured_sample",
     "masked_sample",
+    "filtered_sample",
 ]
 
 
