@@ -18,6 +18,7 @@ NAMES = [
     "sample_history",
     "shifted_full_history",
     "shifted_history",
+    "shifted_sample",
 ]
 
 
