@@ -28,7 +28,8 @@ from .common import gapless_ranks, saved, table
 from .words import segments
 
 TOKENIZER = "word_bpe_49k.json"
-_STOP = re.compile(rb"(?:(?<=[a-z])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([.,])(?=[\x20\x09-\x0d]|$)")
+#: ASCII signs behind a Latin-1 letter, up to white space. The signs come first, so a search looks at nothing else.
+_STOP = re.compile(rb"[!-/:-@\[-`{-~](?:(?<=[a-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[!-/:-@\[-`{-~]*(?=[\x20\x09-\x0d]|$)")
 
 
 def byte_letters() -> dict[int, str]:
@@ -42,8 +43,8 @@ class ChunkIds(dict):
     """UTF-8 chunks without white space to their ids as little-endian uint32 bytes.
 
     The tokenizer's normaliser and pre-tokenizer never look across white space, so the ids of a text are
-    those of its chunks; neither does it join a single . or , to the Latin-1 letter before it, and it lower-cases
-    (its special tokens, which it does not, hold <|). Chunks of Latin letters alone are single words to it and go
+    those of its chunks; neither does it join ASCII signs at a chunk's end to the Latin-1 letter before them, and it
+    lower-cases (its special tokens, which it does not, hold <|). Chunks of Latin letters alone are single words to it and go
     to its BPE model at once. At most `most` chunks are remembered, none above 64 bytes.
     """
 
@@ -55,7 +56,7 @@ class ChunkIds(dict):
         self.model, self.bytes = self.tokenizer.model, byte_letters()
 
     def encode(self, text: bytes) -> bytes:
-        chunks = _STOP.sub(rb" \1", text.lower()).split() if b"<|" not in text else text.split()
+        chunks = _STOP.sub(rb" \g<0>", text.lower()).split() if b"<|" not in text else text.split()
         found = [*map(self.get, chunks)]
         if None not in found:
             return b"".join(found)

@@ -215,6 +215,17 @@ def test_chunked_ids_are_the_tokenizers(spark):
         assert ids == whole.encode(text, add_special_tokens=False).ids
 
 
+def test_signs_behind_a_word_are_chunks_of_their_own():
+    path = packing.tokenizer_path(packing.TOKENIZER)
+    known = packing.ChunkIds(path)
+    known.encode("Word$$$ word### é&&& word.*** é!!\nword&&&".encode())
+    assert {*known} == {b"word", "é".encode(), b"$$$", b"###", b"&&&", b".***", b"!!"}
+    rng = random.Random(5)
+    for _ in range(3000):
+        text = "".join(rng.choice("aZéÿÉßI $.'_`{~!?s<|9\n\u0144\u0338’İ=&") for _ in range(rng.randint(1, 14)))
+        assert np.frombuffer(known.encode(text.encode()), "<u4").tolist() == known.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 40), st.integers(1, 30), max_size=20))
 def test_plan_fills_no_sequence_twice(histogram):
