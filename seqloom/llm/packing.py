@@ -91,10 +91,10 @@ def tokenizer_path(name: str) -> str:
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces_of(docs: DataFrame, capacity: int = 4096, end_id: int = 1, tokenizer: str = TOKENIZER, with_ids: bool = False) -> DataFrame:
+def pieces_of(docs: DataFrame, capacity: int = 4096, end_id: int = 1, tokenizer: str = TOKENIZER, with_ids: bool = False, remembered: int = 500_000) -> DataFrame:
     """One row per piece of every document (doc_id, text): PIECES and, if asked for, ids (little-endian uint32).
 
-    A null or empty text is the end id alone. Texts are read whole, in bounded parts.
+    A null or empty text is the end id alone. Texts are read whole, in bounded parts. A worker remembers `remembered` chunks at most.
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")
@@ -104,7 +104,7 @@ def pieces_of(docs: DataFrame, capacity: int = 4096, end_id: int = 1, tokenizer:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        known, end = ChunkIds(tokenizer_path(tokenizer)), np.array([end_id], "<u4").tobytes()
+        known, end = ChunkIds(tokenizer_path(tokenizer), remembered), np.array([end_id], "<u4").tobytes()
         width = 4 * capacity
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
@@ -193,13 +193,13 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_sequence") + F.col("rank") - F.col("_rank")).alias("sequence_id"), "offset")
 
 
-def pack_documents(docs: DataFrame, capacity: int = 4096, end_id: int = 1, tokenizer: str = TOKENIZER) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = 4096, end_id: int = 1, tokenizer: str = TOKENIZER, remembered: int = 500_000) -> DataFrame:
     """Pieces of all documents with their sequences and places in them.
 
     Null and empty texts are pieces of the end id; null and repeated doc_ids are packed like others; an
     empty table gives no rows; columns other than doc_id and text are not used.
     """
-    return pack(saved(pieces_of(docs, capacity, end_id, tokenizer), "pack-pieces"), capacity)
+    return pack(saved(pieces_of(docs, capacity, end_id, tokenizer, remembered=remembered), "pack-pieces"), capacity)
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

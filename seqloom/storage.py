@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -49,3 +50,15 @@ def dealt(scan: DataFrame) -> DataFrame:
         return scan
     size = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return scan if 4 * splits > cores and size > ENOUGH * cores else scan.repartition(cores)
+
+
+#: Bytes of an Arrow batch to a Python worker. The JVM holds a batch outside its heap and the worker once or twice more, on every core.
+BATCH = 4 << 20
+_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session gives Python workers batches of about BATCH bytes at most (Spark's own limit is 64 MB); a lower limit stays."""
+    now = re.fullmatch(r"(\d+)([kmg]?)b?", (spark.conf.get(_LIMIT, None) or "").lower())
+    if not now or not 0 < int(now[1]) << {"": 0, "k": 10, "m": 20, "g": 30}[now[2]] <= BATCH:
+        spark.conf.set(_LIMIT, f"{BATCH}b")

@@ -69,3 +69,29 @@ def test_stages_on_no_rows_and_on_clashing_names(spark, tmp_path):
             assert got.columns == odd.columns and (kind == "some") == bool(rows), name
             assert all(r[c] == f"{c} of {r['doc_id']}" for r in rows for c in names), name
     assert corpus_pipeline.STAGES[4][1](spark, odd.where("doc_id < 0"), SF).count() == 0
+
+
+def test_stages_give_workers_small_batches(spark, tmp_path):
+    """A batch is held by the JVM, outside its heap, and by the worker; 20 MB in one split are several batches."""
+    from pyspark.sql import functions as F
+
+    from seqloom.storage import BATCH
+
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("0123456789"), 1000).alias("text")).coalesce(1)
+    for stage in (s for name, s in corpus_pipeline.STAGES if name != "line_dedup"):
+        spark.conf.unset(limit)
+        stage(spark, spark.read.parquet(f"{SF}/documents.parquet").limit(5), SF)
+        sizes = docs.mapInArrow(_sizes, "size long").agg(F.max("size"), F.sum("size")).first()
+        assert 20_000_000 < sizes[1] and sizes[0] < 2 * BATCH
+    spark.conf.set(limit, "1m")
+    corpus_pipeline.STAGES[4][1](spark, spark.read.parquet(f"{SF}/documents.parquet").limit(5), SF)
+    assert spark.conf.get(limit) == "1m"
+    spark.conf.unset(limit)
+
+
+def _sizes(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["size"])
