@@ -12,14 +12,16 @@ piece finds its place by its rank among the pieces of its length.
 
 from __future__ import annotations
 
-import re
 import zlib
 from array import array
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,8 +30,10 @@ from .common import gapless_ranks, saved, table
 from .words import segments
 
 TOKENIZER = "word_bpe_49k.json"
-#: ASCII signs behind a Latin-1 letter, up to white space. The signs come first, so a search looks at nothing else.
-_STOP = re.compile(rb"[!-/:-@\[-`{-~](?:(?<=[a-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[!-/:-@\[-`{-~]*(?=[\x20\x09-\x0d]|$)")
+#: A Latin-1 letter and the ASCII signs behind it, up to the end.
+_STOP = r"([a-zÀ-ÖØ-öø-ÿ])([!-/:-@\[-`{-~]+)$"
+#: Bytes of text whose chunks are looked up at once.
+AT_ONCE = 4 << 20
 
 
 def byte_letters() -> dict[int, str]:
@@ -45,7 +49,8 @@ class ChunkIds(dict):
     The tokenizer's normaliser and pre-tokenizer never look across white space, so the ids of a text are
     those of its chunks; neither does it join ASCII signs at a chunk's end to the Latin-1 letter before them, and it
     lower-cases (its special tokens, which it does not, hold <|). Chunks of Latin letters alone are single words to it and go
-    to its BPE model at once. At most `most` chunks are remembered, none above 64 bytes.
+    to its BPE model at once. At most `most` chunks are remembered, none above 64 bytes: the half seen last in this dictionary,
+    which becomes `older` when it is full.
     """
 
     def __init__(self, path: str, most: int = 500_000):
@@ -53,28 +58,49 @@ class ChunkIds(dict):
 
         super().__init__()
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.older: dict[bytes, bytes] = {}
         self.model, self.bytes = self.tokenizer.model, byte_letters()
 
     def encode(self, text: bytes) -> bytes:
-        chunks = _STOP.sub(rb" \g<0>", text.lower()).split() if b"<|" not in text else text.split()
-        found = [*map(self.get, chunks)]
-        if None not in found:
-            return b"".join(found)
-        new = self.learn({c for c, ids in zip(chunks, found, strict=True) if ids is None})
-        if len(self) + len(new) > self.most:
-            self.clear()
-        self.update({c: ids for c, ids in new.items() if len(c) <= 64})
-        return b"".join([new[c] if ids is None else ids for c, ids in zip(chunks, found, strict=True)])
-
-    def learn(self, new: set[bytes]) -> dict[bytes, bytes]:
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of every text. Arrow finds the distinct chunks of all of them, so each is looked up once."""
+        lowered = pa.array([t if b"<|" in t else t.lower() for t in texts], pa.large_string())
+        return joined(lowered, self.of_words).to_pylist()
+
+    def of_words(self, words: pa.Array) -> pa.Array:
+        """The ids of words without white space, which may end in signs."""
+        stopped = pc.replace_substring_regex(words, _STOP, r"\1 \2")
+        return joined(pc.if_else(pc.match_substring(words, "<|"), words, stopped), self.of_chunks)
+
+    def of_chunks(self, chunks: pa.Array) -> pa.Array:
+        """The ids of distinct chunks, of which the new ones are learnt."""
+        names = chunks.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+        found = [*map(self.get, names)]
+        if None in found:
+            missing = [c for c, ids in zip(names, found, strict=True) if ids is None]
+            new = {c: self.older[c] for c in missing if c in self.older}
+            new |= self.learn([c for c in missing if c not in new])
+            if len(self) + len(new) > self.most // 2:
+                self.older = {**self}
+                self.clear()
+            self.update(islice(((c, ids) for c, ids in new.items() if 0 < len(c) <= 64), self.most // 2 - len(self)))
+            found = [new[c] if ids is None else ids for c, ids in zip(names, found, strict=True)]
+        return pa.array(found, pa.large_binary())
+
+    def learn(self, new: list[bytes]) -> dict[bytes, bytes]:
         out, odd = {}, []
         tokenize, letters = self.model.tokenize, self.bytes
         for chunk in new:
-            text = chunk.decode()
-            if text.isalpha() and max(text) < "\u0130":
-                out[chunk] = array("I", [t.id for t in tokenize(text if chunk.isascii() and text.islower() else text.lower().encode().decode("latin-1").translate(letters))]).tobytes()
+            if chunk.isalpha():
+                word = chunk.lower().decode()
+            elif (text := chunk.decode()).isalpha() and max(text) < "\u0130":
+                word = text.lower().encode().decode("latin-1").translate(letters)
             else:
                 odd.append(chunk)
+                continue
+            out[chunk] = array("I", [t.id for t in tokenize(word)]).tobytes()
         for at in range(0, len(odd), 4096):
             some = odd[at : at + 4096]
             for chunk, coded in zip(some, self.tokenizer.encode_batch_fast([c.decode() for c in some], add_special_tokens=False), strict=True):
@@ -82,6 +108,36 @@ class ChunkIds(dict):
         return out
 
 
+def joined(texts: pa.Array, ids_of: Callable[[pa.Array], pa.Array]) -> pa.Array:
+    """The ids of every text: those of its parts between white space, which ids_of gives for the distinct ones."""
+    parts = pc.ascii_split_whitespace(texts)
+    coded = parts.values.dictionary_encode()
+    ids = ids_of(coded.dictionary).take(coded.indices)
+    ends = np.frombuffer(ids.buffers()[1], np.int64)[parts.offsets.to_numpy()]
+    return pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(ends), ids.buffers()[2] or pa.py_buffer(b"")])
+
+
+@lru_cache(maxsize=1)
+def chunk_ids(path: str, most: int) -> ChunkIds:
+    """A Python worker's chunks, kept from task to task."""
+    return ChunkIds(path, most)
+
+
+def together(batch: pa.RecordBatch) -> Iterator[tuple[list, list[bytes]]]:
+    """Ids and texts (UTF-8, null: empty) of consecutive rows, AT_ONCE bytes of text at most or one longer text."""
+    docs, texts, size = [], [], 0
+    for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        body = text.as_buffer().to_pybytes() if text.is_valid else b""
+        if docs and size + len(body) > AT_ONCE:
+            yield docs, texts
+            docs, texts, size = [], [], 0
+        docs.append(doc)
+        texts.append(body)
+        size += len(body)
+    if docs:
+        yield docs, texts
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -104,15 +160,14 @@ def pieces_of(docs: DataFrame, capacity: int = 4096, end_id: int = 1, tokenizer:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        known, end = ChunkIds(tokenizer_path(tokenizer), remembered), np.array([end_id], "<u4").tobytes()
+        known, end = chunk_ids(tokenizer_path(tokenizer), remembered), np.array([end_id], "<u4").tobytes()
         width = 4 * capacity
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
+            for some, texts in together(batch):
+                coded = known.encode_all(texts) if len(texts) > 1 else [b"".join(map(known.encode, segments(texts[0])))]
                 cols: list[list] = [[], [], [], [], [], []]
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                    body = text.as_buffer().to_pybytes() if text.is_valid else b""
-                    ids = b"".join([known.encode(s) for s in segments(body)] + [end])
+                for doc, body in zip(some, coded, strict=True):
+                    ids = body + end
                     for k, at in enumerate(range(0, len(ids), width)):
                         piece = ids[at : at + width]
                         for col, value in zip(cols, (doc, k, at // 4, len(piece) // 4, zlib.crc32(piece), piece), strict=True):

@@ -226,6 +226,43 @@ def test_signs_behind_a_word_are_chunks_of_their_own():
         assert np.frombuffer(known.encode(text.encode()), "<u4").tolist() == known.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_a_distinct_chunk_is_looked_up_and_learnt_once_for_many_texts(monkeypatch):
+    path = packing.tokenizer_path(packing.TOKENIZER)
+    known, asked, learn = packing.ChunkIds(path, 40), [], packing.ChunkIds.learn
+    monkeypatch.setattr(packing.ChunkIds, "learn", lambda self, new: asked.extend(new) or learn(self, new))
+    texts = ["The cat, the CAT.\n", "", "cat the", " \x0b\x0c", "a<|endoftext|> The cat", "naïve! the"] * 50
+    ids = known.encode_all([t.encode() for t in texts])
+    assert [np.frombuffer(i, "<u4").tolist() for i in ids] == [known.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(asked) == len({*asked}) and {b"the", b"cat", b",", b".", b"a<|endoftext|>", b"The"} <= {*asked}
+    asked.clear()
+    known.encode_all([b"cat the."])
+    assert asked == []
+    for k in range(30):
+        words = [f"w{chr(97 + k % 26)}{chr(97 + j)}" for j in range(k)]
+        known.encode(" ".join(words).encode())
+        assert len(known) + len(known.older) <= 40
+    known.encode(b"cat")
+    assert asked.count(b"cat") == 1  # forgotten at last, and learnt again
+
+
+def test_a_workers_chunks_are_kept_from_task_to_task(spark):
+    df = spark.range(64).selectExpr("id doc_id", "concat('kept words ', id) text").repartition(32)
+    assert packing.pieces_of(df, remembered=1234).count() == 64
+
+    def seen(batches):
+        import os
+
+        import pandas as pd
+
+        from seqloom.llm import packing
+
+        for _ in batches:
+            yield pd.DataFrame([(os.getpid(), packing.chunk_ids.cache_info().hits)], columns=["pid", "hits"])
+
+    hits = dict(tuple(r) for r in spark.range(64).repartition(32).mapInPandas(seen, "pid long, hits long").collect())
+    assert sum(hits.values()) >= 8
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 40), st.integers(1, 30), max_size=20))
 def test_plan_fills_no_sequence_twice(histogram):
