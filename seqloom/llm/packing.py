@@ -33,7 +33,7 @@ TOKENIZER = "word_bpe_49k.json"
 #: A Latin-1 letter and the ASCII signs behind it, up to the end.
 _STOP = r"([a-zÀ-ÖØ-öø-ÿ])([!-/:-@\[-`{-~]+)$"
 #: Bytes of text whose chunks are looked up at once.
-AT_ONCE = 4 << 20
+AT_ONCE = 8 << 20
 
 
 def byte_letters() -> dict[int, str]:
